@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, jaccard_join, quality_rules, source_mix, token_counts, token_files, warc
+from . import byte_bpe, jaccard_join, line_templates, multi_index, quality_rules, source_mix, token_counts, token_files, warc
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("NOTEWELL_TOKENIZERS", os.path.dirname(public_tokenizers.path("x")))
@@ -29,6 +29,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(_table(spark, sf_dir, "embeddings"), queries_divide=20)
+
+
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.query(_table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,6 +60,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_multi_index": op3_multi_index,
+    "op5_line_templates": op5_line_templates,
     "op4_source_mix": op4_source_mix,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
@@ -59,4 +69,4 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {"op10_warc": warc.SQL}
+SQL: dict[str, str] = {"op5_line_templates": line_templates.SQL, "op10_warc": warc.SQL}
