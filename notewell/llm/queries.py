@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, jaccard_join, line_templates, multi_index, quality_rules, source_mix, token_counts, token_files, warc
+from . import byte_bpe, jaccard_join, license_scan, line_templates, multi_index, quality_rules, source_mix, token_counts, token_files, warc
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("NOTEWELL_TOKENIZERS", os.path.dirname(public_tokenizers.path("x")))
@@ -25,8 +25,12 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def encode_documents(docs: DataFrame) -> DataFrame:
+    return byte_bpe.round_trip(docs, _vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
+    return encode_documents(_table(spark, sf_dir, "documents"))
 
 
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +45,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.query(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +71,7 @@ QUERIES = {
     "op3_multi_index": op3_multi_index,
     "op5_line_templates": op5_line_templates,
     "op4_source_mix": op4_source_mix,
+    "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
