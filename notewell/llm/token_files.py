@@ -14,6 +14,7 @@ retried task writes the same bytes again.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from .pieces import PieceEncoder, texts_of
 from .support import Publisher, filesystem, fresh_path, written
 from .textcodes import slices
 
-CACHE = 1_000_000
+CACHE = 400_000
 #: One entry of the select directory for so many values.
 STEP = 512
 NULL_ID = -(1 << 63)
@@ -96,6 +97,8 @@ class LibraryPieces:
     """Pieces encoded by the tokenizers library; texts with a special token are left to it as a whole."""
 
     def __init__(self, spec: str):
+        # One thread a task: more would take the other tasks' cores and memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -104,7 +107,11 @@ class LibraryPieces:
         self.pieces = PieceEncoder(self.encode_pieces, self.dtype, CACHE)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+        out: list[bytes] = []
+        # The library's results are large objects; few of them live at a time.
+        for a in range(0, len(pieces), 2048):
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces[a : a + 2048], add_special_tokens=False)]
+        return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
