@@ -30,7 +30,7 @@ from .pieces import PieceEncoder, texts_of
 from .support import Publisher, filesystem, fresh_path, written
 from .textcodes import slices
 
-CACHE = 400_000
+CACHE = 600_000
 #: One entry of the select directory for so many values.
 STEP = 512
 NULL_ID = -(1 << 63)
@@ -103,15 +103,20 @@ class LibraryPieces:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        parts = json.loads(spec)
+        if parts["normalizer"] is not None or parts["pre_tokenizer"]["type"] != "ByteLevel" or parts["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError("a byte-level vocabulary without normalisation is needed")
+        # Byte-level vocabularies write a byte that is no visible Latin-1 character as one of the code points from 256 on.
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.marks = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*visible}))}
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = PieceEncoder(self.encode_pieces, self.dtype, CACHE)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        # The library's results are large objects; few of them live at a time.
-        for a in range(0, len(pieces), 2048):
-            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces[a : a + 2048], add_special_tokens=False)]
-        return out
+        # Straight to the library's model: a piece needs no splitting any more, and no large result object.
+        tokenize = self.tokenizer.model.tokenize
+        marked = [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.marks) for p in pieces]
+        return [np.array([t.id for t in tokenize(p)], self.dtype).tobytes() for p in marked]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
