@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 V = "aeiouy"
 _DOUBLE = re.compile(r"(bb|dd|ff|gg|mm|nn|pp|rr|tt)\Z")
@@ -135,7 +136,7 @@ def stem(word: str) -> str:
     return russian(word) if re.search("[а-яё]", word) else english(word)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
 

@@ -10,6 +10,7 @@ from operator import or_
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Numbers that parse as one; Spark's own cast also takes blanks and type suffixes.
 NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
@@ -58,7 +59,7 @@ def resolve_name(target: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(F.substring_index(target, "#", 1), "/", -1), -1), r"\.md$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else s if s.isascii() else unicodedata.normalize("NFKC", s))
 
