@@ -96,7 +96,7 @@ SQL = {
     "list_live_tickets": T + "select rel, name || ' — Order ' || k || ' of customer ' || o_custkey || ' [' || kind || ', ' || lower(seg) || case when k % 5 = 0 then ', once-' || k else '' end || ']' as line from v where tier <> 'superseded'",
     "backlinks_count": T + "select 'track-' || c_nationkey as name, tier as src_tier, count(*) as n from t group by all",
     "card_backlinks": CT + """, l as (select name as src_name, o_custkey, k, 0 as again from t union all select name, o_custkey, k, 1 from t where k % 3 = 0)
-      select c.name, l.src_name, (2 + 13 + case when l.k % 11 = 0 then -1 else 0 end + (l.k % 17 = 0)::int + (l.k % 101 = 0)::int + (l.k % 19 = 0)::int + (l.k % 23 = 0)::int - (l.k % 31 = 0)::int + case when l.k % 14 = 0 then 3 when l.k % 7 = 0 then 2 else 0 end + 2 + again * 14)::int as line
+      select c.name, l.src_name, (3 + 13 + case when l.k % 11 = 0 then -1 else 0 end + (l.k % 17 = 0)::int + (l.k % 101 = 0)::int + (l.k % 19 = 0)::int + (l.k % 23 = 0)::int - (l.k % 31 = 0)::int + case when l.k % 14 = 0 then 3 when l.k % 7 = 0 then 2 else 0 end + 2 + again * 13)::int as line
       from l join c on c.k = l.o_custkey""",
     "link_targets": "with " + C + "select rel, 3 + case when k % 6 = 0 then 0 else 1 end + case when k * 3 = k + 1 then -1 else 0 end as n, 'card-' || k * 3 as first_target from c",
     "resolve_slug": "select '41 projects/tracks/track-7.md' as rel from nation where n_nationkey = 7",
