@@ -29,10 +29,6 @@ LEAST_CHARS, LEAST_COMMON, LEAST_REFERENCE = 200, 30, 2000
 MIN_WORDS = 50
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-
-
 def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common) of each row."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -47,10 +43,17 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     repeat = F.expr("aggregate(at, struct(0L as n, -3 as last), (s, i) -> struct(s.n + least(3, i - s.last) as n, i as last), s -> s.n)")
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD))
     base = base.withColumn("lines", lines)
-    symbols = [_count(F.col("t"), f"[{c}]+").cast("long") for c in CLASSES]
-    chars = F.length(F.regexp_replace("t", BLANKS, "")).cast("long")
-    spoken = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: F.array_contains(_words_of(F.col("lang")), w))
-    base = base.withColumn("spoken", spoken).withColumn("classes", F.array(*symbols)).withColumn("chars", chars)
+    # Lower-case runs go together with the blanks between them, in few long matches; each class after that is
+    # taken from the little that is left.
+    base = base.withColumn("chars", F.length(F.array_join("words", "")).cast("long"))
+    left = "t"
+    for i, c in enumerate(CLASSES):
+        base = base.withColumn(f"left_{i}", F.regexp_replace(left, f"[{c}{' ' + BLANKS[1:-2] if i == 0 else ''}]+", ""))
+        left = f"left_{i}"
+    lengths = [F.col("chars"), *[F.length(f"left_{i}").cast("long") for i in range(len(CLASSES))]]
+    symbols = [a - b for a, b in zip(lengths, lengths[1:], strict=False)]
+    spoken = F.filter("words", lambda w: F.array_contains(_words_of(F.col("lang")), w))
+    base = base.withColumn("spoken", spoken).withColumn("classes", F.array(*symbols, lengths[-1]))
     return base.select(
         F.col("id").alias(key),
         F.col("lang").alias("lang"),
@@ -59,7 +62,7 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         F.col("classes")[len(CLASSES) - 1].alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
-        F.concat("classes", F.array(F.col("chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x))).alias("classes"),
+        F.col("classes"),
         F.transform(_words_of(F.col("lang")), lambda c: F.size(F.filter(F.col("spoken"), lambda w: w == c)).cast("long")).alias("common"),
     )
 
