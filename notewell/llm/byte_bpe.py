@@ -60,7 +60,7 @@ class MinimalPerfectHash:
                 # The single keys come last; each takes the next free slot.
                 if free is None:
                     free = iter([i for i, key in enumerate(self.keys) if key is None])
-                self.displacement[bucket] = (next(free) - members[0][1]) % self.n
+                self.displacement[bucket] = (next(free) - members[0][0]) % self.n
             else:
                 self.displacement[bucket] = self._displacement(members)
             for low, step, key in members:

@@ -78,9 +78,10 @@ def _words_of(lang: Column) -> Column:
 
 def _distance(p: str, q: str, p_total: str, q_total: str) -> Column:
     """The Jensen-Shannon distance, to base 2, of two histograms of equal length (null if one is empty)."""
-    terms = f"""aggregate(zip_with({p}, {q}, (a, b) -> (
-        case when a > 0 then a / {p_total} * log2(a / {p_total} / ((a / {p_total} + b / {q_total}) / 2)) else 0d end
-      + case when b > 0 then b / {q_total} * log2(b / {q_total} / ((a / {p_total} + b / {q_total}) / 2)) else 0d end) / 2), 0d, (s, x) -> s + x)"""
+    # A total of zero must not be divided by, whichever branch is evaluated first.
+    x, y = f"a / nullif({p_total}, 0d)", f"b / nullif({q_total}, 0d)"
+    term = lambda own: f"case when {own[0]} > 0 then {own} * log2({own} / (({x} + {y}) / 2)) else 0d end"
+    terms = f"aggregate(zip_with({p}, {q}, (a, b) -> ({term(x)} + {term(y)}) / 2), 0d, (s, x) -> s + x)"
     return F.expr(f"case when {p_total} > 0 and {q_total} > 0 then sqrt(greatest(0d, {terms})) end")
 
 
