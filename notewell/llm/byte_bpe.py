@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from .pieces import PieceEncoder, like, texts_of
 from .textcodes import expand, slices
 
-#: Cached pieces a worker; about 120 bytes each.
-CACHE = 1_000_000
+#: Cached pieces a worker; about 200 bytes each.
+CACHE = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

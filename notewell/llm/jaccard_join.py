@@ -128,7 +128,7 @@ def _replicas(docs: DataFrame, text: str, width: int, frequent) -> DataFrame:
                     # A set that this task has copied already gives the same rows.
                     if k not in seen:
                         new[i] = counts[i] > 0
-                        if len(seen) < 1_000_000:
+                        if len(seen) < 200_000:
                             seen.add(k)
                 size = np.where(new, _windows(counts), 0)
                 owner = np.repeat(np.arange(len(counts)), counts)

@@ -185,8 +185,8 @@ def test_quality_counts(docs):
 
 
 def test_distance_of_histograms(spark):
-    one = spark.sql("select array(1L, 3L, 0L) as p, array(2L, 0L, 2L) as q, 4d as a, 4d as b, 0d as z")
-    got = one.select(quality_rules._distance("p", "q", "a", "b").alias("d"), quality_rules._distance("p", "q", "a", "z").alias("n")).first()
+    one = spark.sql("select array(1L, 3L, 0L) as p, array(2L, 0L, 2L) as q, 4d as p_n, 4d as q_n, 0d as zero")
+    got = one.select(quality_rules._distance("p", "q", "p_n", "q_n").alias("d"), quality_rules._distance("p", "q", "p_n", "zero").alias("n")).first()
     p, q = np.array([0.25, 0.75, 0]), np.array([0.5, 0, 0.5])
     m = (p + q) / 2
     js = sum(x * math.log2(x / y) for x, y in zip(p, m, strict=True) if x) / 2 + sum(x * math.log2(x / y) for x, y in zip(q, m, strict=True) if x) / 2
