@@ -14,6 +14,10 @@ _KEY = re.compile(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s#&*!|>'"%@`{}\[\],?:
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "\\": "\\", "/": "/", "0": "\0", "e": "\x1b", " ": " ", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
 
 
+#: Lines that most frontmatter is made of: a key with a plain scalar, a text in quotes, or a list of plain scalars.
+_PLAIN = re.compile(r"""([A-Za-z_][\w-]*):[ ]+(?:([\w./+~][^#:"'\[\]{}\t]*)|"([^"\\]*)"|\[([^\[\]{}"'#:&*!|>%@`\t]*)\])[ ]*\Z""")
+
+
 class YamlError(ValueError):
     pass
 
@@ -139,6 +143,8 @@ class _Block:
         self.lines, self.at = lines, 0
 
     def skip(self) -> None:
+        if self.at < len(self.lines) and self.lines[self.at][:1].isalpha():
+            return
         while self.at < len(self.lines) and not _strip_comment(self.lines[self.at]).strip():
             self.at += 1
 
@@ -240,6 +246,14 @@ class _Block:
             if self.indent() > indent:
                 raise YamlError("bad indentation in a mapping")
             body = self.lines[self.at].strip()
+            if (m := _PLAIN.match(body)) and m[1] not in out and not (self.at + 1 < len(self.lines) and self.lines[self.at + 1][:1] in (" ", "\t", "")):
+                key, plain, quoted, items = m.groups()
+                items = items.split(",") if items is not None else None
+                # An empty item is an error or a null, which the full reading tells apart.
+                if items is None or all(x.strip() for x in items):
+                    out[key] = scalar(plain.strip()) if plain is not None else quoted if items is None else [scalar(x.strip()) for x in items]
+                    self.at += 1
+                    continue
             m = _KEY.match(body)
             if not m:
                 raise YamlError(f"no key in {body[:40]!r}")
