@@ -33,11 +33,11 @@ def list_live_tickets(spark, sf_dir):
 
 
 def backlinks_count(spark, sf_dir):
-    return graph.backlinks(_notes(spark, sf_dir, "ticket", "track", parts=("links",))).groupBy("name", "src_tier").agg(F.count("*").alias("n"))
+    return graph.backlinks(_notes(spark, sf_dir, "ticket", "track", parts=("links",)).persist()).groupBy("name", "src_tier").agg(F.count("*").alias("n"))
 
 
 def card_backlinks(spark, sf_dir):
-    return graph.backlinks(_notes(spark, sf_dir, "ticket", "card", parts=("links",))).where("name like 'card-%' and src_name like 'ticket-%'").select("name", "src_name", "line")
+    return graph.backlinks(_notes(spark, sf_dir, "ticket", "card", parts=("links",)).persist()).where("name like 'card-%' and src_name like 'ticket-%'").select("name", "src_name", "line")
 
 
 def link_targets(spark, sf_dir):
@@ -65,7 +65,7 @@ def ticket_by_track(spark, sf_dir):
 
 def track_roster(spark, sf_dir):
     """Tickets of tracks that the vault doesn't have, with near matches by the slug's first part."""
-    notes = _notes(spark, sf_dir, "ticket", "track")
+    notes = _notes(spark, sf_dir, "ticket", "track").persist()
     roster = notes.where("type = 'track' and fm['slug'].num % 3 <> 0").select(F.col("fm")["slug"]["display"].alias("slug"))
     owner = F.regexp_replace(text.resolve_name(F.get(F.col("fm")["track"]["links"], F.lit(0))["target"]), "^track-", "")
     return notes.where("type = 'ticket'").select("rel", owner.alias("slug")).join(roster, "slug", "left_anti")

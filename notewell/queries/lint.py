@@ -13,14 +13,15 @@ from notewell.sources import synth
 
 def _rule(name: str, *kinds: str, parts: tuple[str, ...] = (), cap: int = L.CAP):
     def query(spark, sf_dir):
-        notes = N.parse(synth.vault(spark, sf_dir, *kinds), *parts)
+        # Rules look at the notes from several sides; they are parsed once.
+        notes = N.parse(synth.vault(spark, sf_dir, *kinds), *parts).persist()
         return L.RULES[name][1](L.Vault(notes, cap=cap)).select("file", "message")
 
     return query
 
 
 def lint_summary(spark, sf_dir):
-    notes = N.parse(synth.vault(spark, sf_dir, "ticket", "track", "card", "reference"), *L.PARTS)
+    notes = N.parse(synth.vault(spark, sf_dir, "ticket", "track", "card", "reference"), *L.PARTS).persist()
     on = {"slug-filename-mismatch", "untagged-card", "dangling-requires-target", "missing-required-field", "unknown-rel", "reference-not-wikilink"}
     found = L.findings(L.Vault(notes), overrides={r: "off" for r in L.RULES if r not in on})
     return L.summary(found)
