@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .pieces import PieceEncoder, like, texts_of
+from .support import give_back_memory
 from .textcodes import expand, slices
 
 #: Cached pieces a worker; about 200 bytes each.
@@ -184,6 +185,7 @@ def _mapped(docs: DataFrame, key: str, text: str, ranks_path: str, schema: T.Str
                 part = batch.slice(a, b - a)
                 ids, offsets = encode(texts_of(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns(codec, ids, offsets)], schema.names)
+        give_back_memory()
 
     return docs.select(key, text).mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .components import connected
 from .pieces import like
-from .support import written
+from .support import give_back_memory, written
 from .textcodes import MIX_A, U, expand, mix, piece_hashes, slices, utf8_column, words
 
 #: Regions of up to so many documents emit pairs; larger ones go to the document pivots as a whole.
@@ -147,6 +147,7 @@ def _replicas(docs: DataFrame, text: str, width: int, frequent) -> DataFrame:
                 token, who, at = np.concatenate([token, values[tail]]), np.concatenate([who, owner[tail]]), np.concatenate([at, np.full(len(tail), -1)])
                 m = counts[who] << 32 | np.where(at < 0, 0xFFFFFFFF, at)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(keys[who, 0]), pa.array(m)], ["token", "k1", "m"])
+        give_back_memory()
 
     return docs.select(text).mapInArrow(run, "token long, k1 long, m long")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import posixpath
 import tempfile
 import uuid
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,3 +92,11 @@ class Publisher:
     def abandon(self) -> None:
         self.sink.close()
         self.fs.delete_file(self.temporary)
+
+
+def give_back_memory() -> None:
+    """Returns what a finished task has freed to the system: a worker is used again, and the heap keeps its peak else."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        # Only the GNU C library has it; elsewhere there is nothing to do.
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .pieces import PieceEncoder, texts_of
-from .support import Publisher, filesystem, fresh_path, written
+from .support import Publisher, filesystem, fresh_path, give_back_memory, written
 from .textcodes import slices
 
-CACHE = 600_000
+CACHE = 300_000
 #: One entry of the select directory for so many values.
 STEP = 512
 NULL_ID = -(1 << 63)
@@ -174,6 +174,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int,
         index.write(json.dumps({"n_docs": len(ends), "n_ids": int(ends[-1]), "id_bytes": np.dtype(encode.dtype).itemsize, "nulls": nulls, "base": base}).encode() + b"\n")
         index.write(boundaries.dump() + names.dump())
         index.close()
+        give_back_memory()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": len(ends), "n_ids": int(ends[-1]), "low_id": int(all_keys[0])}])
 
     dealt = docs.select(F.col(key).cast("long").alias(key), text).repartitionByRange(shards, F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), text)
