@@ -57,11 +57,11 @@ views:
 def root(tmp_path_factory):
     top = tmp_path_factory.mktemp("vault")
     files = {
-        "20 cards/Retry patterns.md": "---\ntype: card\ndescription: backoff\ntags: [net, net]\nreference: \"[[Book]]\"\n---\nRetry with backoff. See [[Book|the book]] and [[Gone#x]].\n",
+        "20 cards/Backoff rules.md": "---\ntype: card\ndescription: backoff\ntags: [net, net]\nreference: \"[[Book]]\"\n---\nRetry with backoff. See [[Book|the book]] and [[Gone#x]].\n",
         "20 cards/Old.md": "---\ntype: card\nsuperseded: true\n---\nretry retry retry\n",
         "20 cards/Bad.md": "---\ntype: [card\n---\nx\n",
         "30 references/Book.md": "---\ntype: reference\ndescription: A book\ntags: [t]\n---\n# Book\n\n## Notes\n\ntext\n\n> [!note] head\n> body\n",
-        "Inbox capture.md": "---\ndescription: only\n---\nfoo*bar*baz [[retry PATTERNS.md]]\n",
+        "Loose thought.md": "---\ndescription: only\n---\nfoo*bar*baz [[backoff RULES.md]]\n",
         "templates/Card.md": "---\ntype: card\ntemplate: true\ndescription:\ntags: [a, b]\nreference:\nkind: [x, y]\n---\n",
         "skipped/x.md": "no",
         "41 projects/nixos/n.md": "---\ntype: checkpoint\n---\n",
@@ -84,7 +84,7 @@ def notes(spark, root):
 
 def test_scan_ignores_and_skips_what_is_not_text(spark, root):
     found = {r.rel for r in vault.scan(spark, root).select("rel").collect()}
-    assert "skipped/x.md" not in found and "latin.md" not in found and "Inbox capture.md" in found and len(found) == 10
+    assert "skipped/x.md" not in found and "latin.md" not in found and "Loose thought.md" in found and len(found) == 10
     assert [r.rel for r in vault.assets(spark, root).collect()] == ["pic.PNG"]
     spark.dataSource.register(vault.VaultSource)
     assert "skipped/x.md" in {r.rel for r in spark.read.format("vault").load(root).select("rel").collect()}
@@ -107,15 +107,15 @@ def test_views(spark, notes):
 
 
 def test_links_and_lint(spark, root, notes):
-    assert {(r["name"], r.src_name) for r in graph.backlinks(notes).collect()} == {("Book", "Retry patterns"), ("Retry patterns", "Inbox capture")}
+    assert {(r["name"], r.src_name) for r in graph.backlinks(notes).collect()} == {("Book", "Backoff rules"), ("Backoff rules", "Loose thought")}
     found = lint.findings(lint.Vault(notes, vault.assets(spark, root)))
     rules = {(r.rule, r.file) for r in found.collect()}
-    assert ("broken-wikilink", "20 cards/Retry patterns.md") in rules
+    assert ("broken-wikilink", "20 cards/Backoff rules.md") in rules
     assert ("invalid-frontmatter", "20 cards/Bad.md") in rules
     assert ("duplicate-h1", "30 references/Book.md") in rules
-    assert ("untyped-entry", "Inbox capture.md") in rules
+    assert ("untyped-entry", "Loose thought.md") in rules
     assert ("callout-missing-separator", "30 references/Book.md") in rules
-    assert not any(rule == "orphan-card" and f.endswith("Retry patterns.md") for rule, f in rules)
+    assert not any(rule == "orphan-card" and f.endswith("Backoff rules.md") for rule, f in rules)
     assert lint.exit_code(found) == 1
     with pytest.raises(ValueError):
         lint.severities({"no-rule": "off"})
@@ -123,10 +123,10 @@ def test_links_and_lint(spark, root, notes):
 
 def test_search_and_consult(notes):
     hits = search.search(notes, "retry backoff").collect()
-    assert hits[0].title == "Retry patterns" and hits[0].snippet.startswith("Retry")
+    assert hits[0].title == "Backoff rules" and hits[0].snippet.startswith("Retry")
     assert all(r.title != "Old" for r in search.search(notes, "retry", drop_superseded=True).collect())
     out = search.consult(notes, "retry backoff", scope=("card",))
-    assert out.exit_code == 0 and [r.rel for r in out.docs.collect()] == ["20 cards/Retry patterns.md"]
+    assert out.exit_code == 0 and [r.rel for r in out.docs.collect()] == ["20 cards/Backoff rules.md"]
     assert search.consult(notes, "zebra").exit_code == 4 and search.consult(notes, "a AND b").exit_code == 4
 
 
