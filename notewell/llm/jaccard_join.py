@@ -482,3 +482,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     out = keys.where(some & F.col("id").isNotNull()).join(classes, ["k1", "k2"]).select("id", "n", "component_id")
     alone = keys.where(~some | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+#: The same rows by all pairs that share a shingle; for small tables.
+SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as sh from w),
+n as (select doc_id, len(sh)::bigint as n from s),
+e as (select doc_id, unnest(sh) as x from s),
+p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)),
+r(a, b) as (select doc_id, doc_id from n union select r.a, l.b from r join l on r.b = l.a)
+select n.doc_id, n.n as n_shingles, min(r.b) as component_id from n join r on r.a = n.doc_id group by n.doc_id, n.n
+"""

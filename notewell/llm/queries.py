@@ -78,4 +78,4 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {"op5_line_templates": line_templates.SQL, "op10_warc": warc.SQL}
+SQL: dict[str, str] = {"op1_jaccard_join": jaccard_join.SQL, "op5_line_templates": line_templates.SQL, "op10_warc": warc.SQL}
