@@ -394,8 +394,10 @@ def _large_groups(members: DataFrame) -> DataFrame:
         mains.append((component, sum(1 << i for i in range(PIVOTS) if union.root(i) == best)))
     main = spark.createDataFrame(mains, "component long, main long")
     state = marked.join(main, "component").withColumn("in_main", F.col("mask").bitwiseAND(F.col("main")) != 0)
-    totals = state.groupBy("component").agg(F.ceil(F.sum(F.when(~F.col("in_main"), F.col("n")).otherwise(0)) / BLOCK).alias("blocks"), F.ceil(F.sum("n") / GROUP).alias("parts"))
-    state = written(state.join(totals, "component").select("component", "k1", "id", "in_main", "blocks", "parts"), "large-state")
+    # The hub of the main region is one of its sets: the coarse group's own name may be the hash of any member.
+    hub = F.min(F.when(F.col("in_main"), F.col("k1"))).alias("hub")
+    totals = state.groupBy("component").agg(hub, F.ceil(F.sum(F.when(~F.col("in_main"), F.col("n")).otherwise(0)) / BLOCK).alias("blocks"), F.ceil(F.sum("n") / GROUP).alias("parts"))
+    state = written(state.join(totals, "component").select("component", "k1", "id", "in_main", "hub", "blocks", "parts"), "large-state")
     rows = members.select("component", "k1", "shingles").join(state.select("component", "k1", "in_main", "blocks", "parts"), ["component", "k1"]).where("blocks > 0")
     # Each set goes to its part of every block; those outside the main region are also the block of every part.
     everywhere = rows.select("component", "k1", "shingles", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.expr("pmod(xxhash64(k1, 1), parts)").alias("part"), F.lit(False).alias("query"))
@@ -417,7 +419,7 @@ def _large_groups(members: DataFrame) -> DataFrame:
 
     task = F.xxhash64("component", "block", "part")
     dealt = everywhere.union(queries).select(task.alias("task"), "k1", "query", "shingles").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task", F.desc("query"))
-    edges = dealt.mapInArrow(compare, "a long, b long").union(state.where("in_main").select("k1", "component"))
+    edges = dealt.mapInArrow(compare, "a long, b long").union(state.where("in_main").select("k1", "hub"))
     labels = connected(edges.where("a <> b"))
     found = state.join(labels, state.k1 == labels.node, "left").select(state.k1, "id", F.coalesce(labels.component, state.k1).alias("label"))
     low = found.groupBy("label").agg(F.min("id").alias("low"))

@@ -92,3 +92,20 @@ def test_batches_do_not_mix_texts():
     column = pa.array(["a b", "c d e f g h", None, "", "a b"])
     values, offsets = jj.shingle_sets(column, 5)
     assert np.diff(offsets).tolist() == [1, 2, 0, 0, 1] and values[0] == values[3]
+
+
+def test_large_group_whose_smallest_hash_is_an_unrelated_set(spark, monkeypatch):
+    monkeypatch.setattr(jj, "GROUP", 2000)
+    monkeypatch.setattr(jj, "BLOCK", 700)
+    monkeypatch.setattr(jj, "SMALL", 4)
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("aeioubcd") for _ in range(8))
+    passage, base = [word() for _ in range(60)], [word() for _ in range(20)]
+    near = [" ".join([*base, *passage, word()]) for _ in range(60)]
+    # Texts that share only the passage; the one of 4,000 with the smallest hash goes with 59 others.
+    others = [" ".join([*(word() for _ in range(20)), *passage]) for _ in range(4000)]
+    hashes = jj.set_keys(*jj.shingle_sets(pa.array(others), 5))[:, 0]
+    assert hashes.min() < jj.set_keys(*jj.shingle_sets(pa.array(near), 5))[:, 0].min()
+    rows = list(enumerate(near + [others[int(hashes.argmin())]] + others[:59]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jj.join(docs).collect())) == brute(rows)
