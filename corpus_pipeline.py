@@ -31,13 +31,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id; rows without doc_id stay."""
-    first = written(jaccard_join.join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept-documents")
-    kept = docs.join(first.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
-    if first.where("rows > 1").limit(1).count():
-        # Rows that repeat a doc_id are one document; where there are none, texts needn't be shuffled for this.
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null")).select(*COLUMNS)
+    """One row of each group of near duplicates: the one with the smallest doc_id and, of its texts, text hash.
+
+    A document is a doc_id with a text: rows that share only the doc_id are joined or not as others are.  Of rows
+    that repeat both, the one with the smallest other columns stays.  Rows without doc_id stay.
+    """
+    rows = jaccard_join.rows_of(docs).where("doc_id is not null").groupBy("root", F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("_rows"))
+    rows = written(rows, "document-components")
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("_id", "_th", "_rows")).alias("x")).select("x.*")
+    first = written(first.union(rows.where("root is null").select("_id", "_th", "_rows")), "kept-documents")
+    kept = docs.join(first, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th")))
+    once = kept.where("_rows = 1").select(*COLUMNS)
+    if first.where("_rows > 1").limit(1).count():
+        # Where no row is repeated, texts needn't be shuffled for this.
+        rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+        repeated = kept.where("_rows > 1").groupBy("_id", "_th").agg(F.min(F.struct(*rest, "text")).alias("x"))
+        once = once.union(repeated.select(F.col("_id").alias("doc_id"), "x.*").select(*COLUMNS))
+    return once.union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

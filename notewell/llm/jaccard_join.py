@@ -97,7 +97,7 @@ def _windows(counts: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, n, k1, k2, sample): the size and the hash of each set, and for some the shingles of a wider window."""
+    """(id, n, k1, k2, th, sample): size and hash of each set, hash of its text, for some the shingles of a wider window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,11 +106,11 @@ def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 counts, keys = np.diff(offsets), set_keys(values, offsets)
                 wide = np.where(keys[:, 0] % SAMPLE == 0, np.minimum(counts, _windows(counts) * 3 // 2), 0)
                 sample = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(wide)]).astype(np.int32)), pa.array(values[expand(offsets[:-1], wide)].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), sample], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), batch.column(2).slice(a, b - a), sample], schema.names)
 
-    longs = [T.StructField(c, T.LongType()) for c in ("n", "k1", "k2")]
+    longs = [T.StructField(c, T.LongType()) for c in ("n", "k1", "k2", "th")]
     schema = T.StructType([like(docs, key, "id"), *longs, T.StructField("sample", T.ArrayType(T.LongType()))])
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(run, schema)
 
 
 def _replicas(docs: DataFrame, text: str, width: int, frequent) -> DataFrame:
@@ -321,7 +321,7 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _small_groups(members: DataFrame) -> DataFrame:
-    """(k1, k2, low): the smallest id of each set's component, for groups that fit a task."""
+    """(k1, k2, low, root): the smallest id and the smallest k1 of each set's component, for groups that fit a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_group(batches):
@@ -329,13 +329,15 @@ def _small_groups(members: DataFrame) -> DataFrame:
             rows = list(own.values())
             roots = group_components(_Sets([r[4] for r in rows]))
             low: dict[int, int] = {}
+            name: dict[int, int] = {}
             for r, root in zip(rows, roots.tolist(), strict=True):
                 low[root] = min(low.get(root, r[3]), r[3])
-            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([low[x] for x in roots.tolist()], pa.int64())], ["k1", "k2", "low"])
+                name[root] = min(name.get(root, r[1]), r[1])
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), *[pa.array([of[x] for x in roots.tolist()], pa.int64()) for of in (low, name)]], ["k1", "k2", "low", "root"])
 
     width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = members.select("component", "k1", "k2", "id", "shingles").repartition(width, "component").sortWithinPartitions("component")
-    return rows.mapInArrow(run, "k1 long, k2 long, low long")
+    return rows.mapInArrow(run, "k1 long, k2 long, low long, root long")
 
 
 def _large_groups(members: DataFrame) -> DataFrame:
@@ -423,7 +425,7 @@ def _large_groups(members: DataFrame) -> DataFrame:
     labels = connected(edges.where("a <> b"))
     found = state.join(labels, state.k1 == labels.node, "left").select(state.k1, "id", F.coalesce(labels.component, state.k1).alias("label"))
     low = found.groupBy("label").agg(F.min("id").alias("low"))
-    return members.select("k1", "k2").join(found, "k1").join(low, "label").select("k1", "k2", "low").distinct()
+    return members.select("k1", "k2").join(found, "k1").join(low, "label").select("k1", "k2", "low", F.col("label").alias("root")).distinct()
 
 
 def _grouped(rows) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -439,6 +441,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     Texts without a word have an empty set, are linked with nothing and are their own component, as are rows with a
     null key (component_id null).  Repeated rows give a row each, in one component.  Other columns are left out.
     """
+    return rows_of(docs, key, text, width).select(key, "n_shingles", "component_id")
+
+
+def rows_of(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """The rows of ``join`` with ``th``, the hash of the text, and ``root``, which names the component.
+
+    Where a key stands for several texts, component_id may be that of several components; root is of one only (null
+    for rows with a null key or an empty set).
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias(key), text)
     keys = written(_sets(docs, key, text, width), "jaccard-sets")
@@ -457,7 +468,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     sizes = grouped.groupBy("component").agg(F.sum("n").alias("weight"), F.count("*").alias("members")).where("members > 1")
     chosen = written(grouped.join(sizes, "component").select("id", "k1", "k2", "n", "component", "weight", "members"), "jaccard-chosen")
     if (n_chosen := chosen.count()) == 0:
-        found = spark.createDataFrame([], "k1 long, k2 long, low long")
+        found = spark.createDataFrame([], "k1 long, k2 long, low long, root long")
     else:
         few = F.broadcast(chosen) if n_chosen <= BROADCAST_ROWS else chosen
         texts = docs.join(few, docs[key] == chosen.id).select("id", "k1", "k2", "n", "component", "weight", "members", text)
@@ -479,11 +490,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         if chosen.where(F.col("weight") > GROUP).limit(1).count():
             found = found.union(_large_groups(members.where(F.col("weight") > GROUP)))
         found = written(found, "jaccard-found")
-    classes = sets.join(found, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("low", "id").alias("component_id"))
+    classes = sets.join(found, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("low", "id").alias("component_id"), F.coalesce("root", "k1").alias("root"))
     some = F.col("n") > 0
-    out = keys.where(some & F.col("id").isNotNull()).join(classes, ["k1", "k2"]).select("id", "n", "component_id")
-    alone = keys.where(~some | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
-    return out.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    out = keys.where(some & F.col("id").isNotNull()).join(classes, ["k1", "k2"]).select("id", "n", "component_id", "th", "root")
+    alone = keys.where(~some | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"), "th", F.lit(None).cast("long").alias("root"))
+    return out.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", "th", "root")
 
 
 #: The same rows by all pairs that share a shingle; for small tables.

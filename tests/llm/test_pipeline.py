@@ -38,3 +38,12 @@ def test_each_stage_does_what_its_operator_says(spark):
             assert all(abs(counts.get(k, 0) - n) <= 1 for k, n in want.items()) and max(counts.values()) <= 2
         else:
             assert sorted(r.doc_id for r in rows) == sorted(k for k, n in counts.items() for _ in range(n))
+
+
+def test_near_duplicates_of_texts_that_share_a_doc_id(spark):
+    own = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(5, own("a"), "en", "s", 1), (3, own("a") + " end", "en", "s", 1), (5, own("b"), "en", "s", 1), (5, own("c"), "en", "s", 1), (3, own("d"), "en", "s", 1)]
+    rows += [(9, own("e"), "en", "s2", 1), (9, own("e"), "en", "s1", 1), (None, own("a"), "en", "s", 1), (7, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == sorted([rows[i] for i in (1, 2, 3, 4, 6, 7, 8)], key=str)
