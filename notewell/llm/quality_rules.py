@@ -1,10 +1,11 @@
 """Quality rules for documents: repetition and length counts, then the divergence from language references.
 
 All of it is column expressions; a document is judged within its own row, but for the references, which are sums
-over all documents of a language.  A reference has two histograms: classes of characters, and the most common
-function words of the language.  A document that passes the base rules is rejected if the Jensen-Shannon distance
-of either histogram to its language's reference is above a limit; the guards leave out documents too short for a
-histogram to mean something, and languages with too little text for a reference.
+over all documents of a language.  A reference has three histograms: classes of characters, the most common function
+words of the language, and those words against all others.  A document that passes the base rules is rejected if the
+Jensen-Shannon distance of any of them to its language's reference is above a limit; the guards leave out documents
+too short for a histogram to mean something, and languages with too little text for a reference.  The share of common
+words is compared for every document with MIN_WORDS words, so a text with few or none of them is far from its language.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ COMMON = {
 #: Classes of characters; what is in none of them is the last class, white space left out.
 CLASSES = [r"a-z", r"A-Z", r"0-9", r".,;:!?'\"()\-", r"#*$%&|<>"]
 LIMIT_CLASSES, LIMIT_WORDS = 0.3, 0.6
+#: Limit on the distance of the shares of common and other words; of a reference of 16 %, less than 3 % or over 37 %.
+LIMIT_SHARE = 0.2
 #: Characters and common words that a document must have to be compared, and words that a reference must have.
 LEAST_CHARS, LEAST_COMMON, LEAST_REFERENCE = 200, 30, 2000
 MIN_WORDS = 50
@@ -95,7 +98,7 @@ def references(counted: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, js_classes, js_words).
+    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, js_classes, js_words, js_share).
 
     A null text has no words and fails; a null language is one of its own.  Repeated rows give a row each; an empty
     table gives an empty result; other columns are left out.  The counts are written once to the shared folder,
@@ -111,6 +114,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     known = F.col("ref_words") >= LEAST_REFERENCE
     js_classes = F.when(known & (F.col("classes_n") >= LEAST_CHARS), _distance("classes", "ref_classes", "classes_n", "ref_classes_n"))
     js_words = F.when(known & (F.col("common_n") >= LEAST_COMMON), _distance("common", "ref_common", "common_n", "ref_common_n"))
-    judged = joined.withColumn("js_classes", js_classes).withColumn("js_words", js_words)
-    far = (F.coalesce("js_classes", F.lit(0.0)) > LIMIT_CLASSES) | (F.coalesce("js_words", F.lit(0.0)) > LIMIT_WORDS)
-    return judged.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "js_classes", "js_words")
+    # The two bins are common and other words; unlike the common ones alone they are there for any text with words.
+    joined = joined.withColumn("share", F.expr("array(cast(common_n as long), n_words - cast(common_n as long))")).withColumn("ref_share", F.expr("array(cast(ref_common_n as long), ref_words - cast(ref_common_n as long))"))
+    joined = joined.withColumn("words_n", F.col("n_words").cast("double")).withColumn("ref_words_n", F.col("ref_words").cast("double"))
+    js_share = F.when(known & (F.col("n_words") >= MIN_WORDS), _distance("share", "ref_share", "words_n", "ref_words_n"))
+    judged = joined.withColumn("js_classes", js_classes).withColumn("js_words", js_words).withColumn("js_share", js_share)
+    far = (F.coalesce("js_classes", F.lit(0.0)) > LIMIT_CLASSES) | (F.coalesce("js_words", F.lit(0.0)) > LIMIT_WORDS) | (F.coalesce("js_share", F.lit(0.0)) > LIMIT_SHARE)
+    return judged.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "js_classes", "js_words", "js_share")

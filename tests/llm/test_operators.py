@@ -193,6 +193,17 @@ def test_distance_of_histograms(spark):
     assert got.d == pytest.approx(math.sqrt(js)) and got.n is None
 
 
+def test_long_texts_without_function_words_are_far_from_their_language(spark):
+    draw = random.Random(2)
+    own = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    plain = lambda n: " ".join(draw.choice(quality_rules.COMMON["en"]) if i % 5 == 0 else own() for i in range(n))
+    rows = [(i, plain(200), "en") for i in range(30)] + [(30, plain(60), "en")]
+    rows += [(40, " ".join(own() for _ in range(400)), "en"), (41, " ".join(own() for _ in range(60)), "en"), (42, " ".join(["in", *(own() for _ in range(59))] * 2), "en")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(31)) and not got[40].base_failed and not got[41].base_failed
+    assert not got[40].kept and not got[41].kept and not got[42].kept and got[40].js_words is None
+
+
 def test_recurring_templates_stay_once(spark):
     line = "Printed on day {} by user{}"
     rows = [(i, f"own words of document number{'abcdef'[i]}\n{line.format(i, i * 7)}\nlast one", 1) for i in range(6)] + [(9, None, 1), (10, "", 1), (None, line.format(1, 2), 1), (0, "own words of document numbera\n" + line.format(0, 0) + "\nlast one", 1)]
