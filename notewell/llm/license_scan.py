@@ -1,9 +1,10 @@
 """License scans: headers and licence files by sparse TF-IDF cosine, then inheritance from the nearest directory.
 
-Each line of a file, and the file as a whole, is a sparse vector of token counts weighted by the templates' inverse
-document frequencies; a token that no template has weighs as much as the rarest.  The licence of a file is that of
+Each line of a file, the file as a whole, and each run of as many tokens as a template has, across line ends, is a
+sparse vector of token counts weighted by the templates' inverse document frequencies; a token that no template has weighs as much as the rarest.  The licence of a file is that of
 the template with the largest cosine of at least LEAST.  Most units are settled by a bound that is computed for the
-whole batch at once: the cosine can't exceed the share of a unit's squared weights that is on template tokens.
+whole batch at once: the cosine can't exceed the share of a unit's squared weights that is on template tokens, nor
+the root of the share of a template's squared weights that is on the unit's tokens.
 
 A licence file speaks for its directory.  Directories that have files look up their ancestors by joins on the path,
 one row for each of their ancestors; files then join their own directory, so no file is copied and a directory that
@@ -27,14 +28,20 @@ from .textcodes import U, piece_hashes, slices, utf8_column
 
 #: Statements of public licences.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "The GNU General Public License is a free, copyleft license for software and other kinds of works."],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "\"Covered Software\" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form of such Source Code Form, and Modifications of such Source Code Form"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License.", "You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License"],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License"],
     "CC0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain worldwide."],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software"],
+    "LGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "This license, the Lesser General Public License, applies to some specially designated software packages"],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 LEAST = 0.7
 
@@ -66,6 +73,7 @@ class Templates:
             for h, n in Counter(row).items():
                 self.matrix[i, np.searchsorted(self.vocabulary, U(h))] = n * idf[h]
         self.matrix /= np.linalg.norm(self.matrix, axis=1)[:, None]
+        self.lengths = [len(row) for row in rows]
 
     @staticmethod
     def _hashes(text: str) -> list[int]:
@@ -83,7 +91,27 @@ class Templates:
         return float(cosines[best]), best
 
 
-def _scan_batch(column: pa.Array, templates: Templates) -> tuple[list[str | None], list[float]]:
+def _windows(offsets: np.ndarray, starts: np.ndarray, hashes: np.ndarray, at: np.ndarray, known: np.ndarray, templates: Templates) -> Iterator[tuple[int, int, int]]:
+    """(text, first, last) of the runs of a template's length, within a text, that may be LEAST near that template."""
+    text = np.searchsorted(offsets, starts, "right") - 1
+    stop = np.searchsorted(starts, offsets[1:])[text]
+    place = np.flatnonzero(known)
+    token = at[place]
+    order = np.argsort(token, kind="stable")
+    before = np.full(len(place), -1)
+    again = token[order[1:]] == token[order[:-1]]
+    before[order[1:][again]] = place[order[:-1][again]]
+    for squares, length in zip(templates.matrix**2, templates.lengths, strict=True):
+        # A token counts in the windows that begin after its place before, so once in each: its share of the template.
+        mine = np.flatnonzero(squares[token] > 0)
+        begin, weight = np.maximum(before[mine] + 1, place[mine] - length + 1), squares[token[mine]]
+        share = np.cumsum(np.bincount(np.maximum(begin, 0), weight, len(starts) + 1) - np.bincount(place[mine] + 1, weight, len(starts) + 1))
+        may = np.flatnonzero(share[: len(starts)] >= LEAST**2 - 1e-6)
+        for first in may[may + length <= stop[may]].tolist():
+            yield int(text[first]), first, first + length
+
+
+def _scan_batch(column: pa.Array, templates: Templates, windows: bool = False) -> tuple[list[str | None], list[float]]:
     data, offsets = utf8_column(column)
     n = len(offsets) - 1
     names, scores = [None] * n, [0.0] * n
@@ -107,18 +135,22 @@ def _scan_batch(column: pa.Array, templates: Templates) -> tuple[list[str | None
             doc = int(np.searchsorted(offsets, starts[first[u]], "right")) - 1
             if score >= LEAST and score > scores[doc]:
                 names[doc], scores[doc] = templates.names[best], score
+    for doc, first, last in _windows(offsets, starts, hashes, at, known, templates) if windows else ():
+        score, best = templates.best(hashes[first:last])
+        if score >= LEAST and score > scores[doc]:
+            names[doc], scores[doc] = templates.names[best], score
     return names, scores
 
 
 def scan(files: DataFrame, key: str, text: str, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """(key, own_license, own_score) of each row: the best match among the lines and the whole of its text."""
+    """(key, own_license, own_score) of each row: the best match among the lines, the windows and the whole of its text."""
     shared = files.sparkSession.sparkContext.broadcast(Templates(templates or TEMPLATES))
     schema = T.StructType([like(files, key), T.StructField("own_license", T.StringType()), T.StructField("own_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                names, scores = _scan_batch(batch.column(1).slice(a, b - a), shared.value)
+                names, scores = _scan_batch(batch.column(1).slice(a, b - a), shared.value, windows=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
     return files.select(key, text).mapInArrow(run, schema)
