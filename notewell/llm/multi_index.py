@@ -4,9 +4,14 @@ Vectors are cut in two halves, and each half is quantised by a codebook of its o
 its two centroids.  A query looks at pairs of centroids in the order of their summed distance, kept in a heap, until
 the cells looked at hold enough vectors; those are reranked by the exact inner product of the original vectors.
 
+Nearness is the inner product, so the distance of a half from a centroid is minus their inner product, less SLACK
+times the length of the half and the spread of the vectors around that centroid: long vectors and wide cells, which
+may hold large products, come earlier.  It needs no vectors of length one, and it is the same at every table size.
+
 The codebooks are fitted on a sample of at most SAMPLE vectors; every vector is indexed.  The table of cells has
 CODES**2 entries at most.  Index rows are dealt by the first centroid and, where that one is frequent, by parts of
-PART vectors; a query goes only to the parts of centroids that it visits, so a hot centroid is split, not one task.
+PART vectors, drawn row by row; a query goes only to the parts of centroids that it visits, so neither a hot centroid
+nor a hot vector is one task.
 """
 
 from __future__ import annotations
@@ -21,9 +26,10 @@ from pyspark.sql import functions as F
 
 from .support import written
 
-SAMPLE, CODES, ROUNDS = 20_000, 64, 12
-#: Vectors that a query looks at: this part of all, and so many at least.
-REACH, LEAST = 0.55, 4_000
+SAMPLE, CODES, ROUNDS = 20_000, 128, 12
+#: The part of all vectors that a query looks at.
+REACH = 0.4
+SLACK = 0.4
 PART = 16_384
 
 
@@ -44,6 +50,24 @@ def distances(half: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (half**2).sum(1)[:, None] - 2 * half @ centroids.T + (centroids**2).sum(1)
 
 
+class Book:
+    """The codebook of a half: centroids, and the spread of the fitted vectors around each."""
+
+    def __init__(self, half: np.ndarray, codes: int, seed: int):
+        self.centroids = codebook(half, codes, seed)
+        at = self.assign(half)
+        square = ((half - self.centroids[at]) ** 2).sum(1)
+        count = np.bincount(at, minlength=len(self.centroids))
+        self.spread = np.sqrt(np.bincount(at, square, len(self.centroids)) / np.maximum(1, count))
+
+    def assign(self, half: np.ndarray) -> np.ndarray:
+        return distances(half, self.centroids).argmin(1)
+
+    def far(self, half: np.ndarray) -> np.ndarray:
+        """How far each row of ``half``, as a query, is from each centroid; the two halves' distances add up."""
+        return -(half @ self.centroids.T) - SLACK * np.linalg.norm(half, axis=1)[:, None] * self.spread
+
+
 def traverse(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, enough: int) -> float:
     """The summed distance of the last cell that a query visits.
 
@@ -68,12 +92,10 @@ def traverse(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, enough: int) -
 
 
 def _usable(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """Rows whose vector has the usual length, only finite components, and not only zeros."""
+    """Rows with a key whose vector has only finite components and not only zeros."""
     v = F.col("v")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & fine)
-    usual = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
-    return rows.where(F.size("v") == (usual.n if usual else 0))
+    fine = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+    return table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & fine)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -85,36 +107,45 @@ def search(table: DataFrame, queries_divide: int, k: int = 20, key: str = "vec_i
     """(query_id, rank, vec_id, score): for each query its ``k`` nearest of those looked at, by largest inner product.
 
     Queries are the rows whose key is divisible by ``queries_divide``; a row is no candidate of its own.  Rows with a
-    null key, and vectors that are null, zero, of an unusual length or hold null or non-finite components take no
-    part; rows that repeat a key are candidates each, but no query repeats.  An empty table gives an empty result.
+    null key, and vectors that are null, empty, zero or hold null or non-finite components take no part; rows that
+    repeat a key are candidates each, but no query repeats (the row with the smallest vector asks).  Keys are read as
+    long.  Vectors of several lengths are an error, since they have no inner product.  An empty table gives an empty
+    result; other columns are left out.
     """
     spark = table.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = written(_usable(table, key, vector), "vectors")
-    total = rows.count()
-    if not total:
+    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).limit(2).collect()
+    if not lengths:
         return spark.createDataFrame([], schema)
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths, such as {lengths[0].n} and {lengths[1].n}")
+    total = lengths[0].c
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(-(-total // SAMPLE))) == 0).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
     if not len(sample):
         sample = rows.limit(1).select("v").toArrow().column(0).combine_chunks()
     fitted = _matrix(sample)
     cut = fitted.shape[1] // 2
     codes = max(1, min(CODES, len(fitted) // 8))
-    books = spark.sparkContext.broadcast((codebook(fitted[:, :cut], codes, 1), codebook(fitted[:, cut:], codes, 2)))
+    books = spark.sparkContext.broadcast((Book(fitted[:, :cut], codes, 1), Book(fitted[:, cut:], codes, 2)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
         for batch in batches:
             if len(batch):
                 x = _matrix(batch.column(1))
-                i, j = distances(x[:, :cut], books.value[0]).argmin(1), distances(x[:, cut:], books.value[1]).argmin(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), batch.column(1)], ["id", "i", "j", "v"])
+                i, j = books.value[0].assign(x[:, :cut]), books.value[1].assign(x[:, cut:])
+                # Rows are dealt to the parts of a hot centroid in turn, whatever their keys.
+                turn = np.arange(at, at + len(x), dtype=np.int64)
+                at += len(x)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(turn), batch.column(1)], ["id", "i", "j", "turn", "v"])
 
-    index = written(rows.mapInArrow(assign, "id long, i int, j int, v array<double>"), "multi-index")
+    index = written(rows.mapInArrow(assign, "id long, i int, j int, turn long, v array<double>"), "multi-index")
     sizes = np.zeros((codes, codes), np.int64)
     for r in index.groupBy("i", "j").agg(F.count("*").alias("c")).collect():
         sizes[r.i, r.j] = r.c
     parts = np.maximum(1, -(-sizes.sum(1) // PART))
-    enough = min(total, max(LEAST, int(np.ceil(REACH * total))))
+    enough = min(total, max(k + 1, int(np.ceil(REACH * total))))
     shared = spark.sparkContext.broadcast((sizes, parts, enough))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,18 +154,19 @@ def search(table: DataFrame, queries_divide: int, k: int = 20, key: str = "vec_i
             if not len(batch):
                 continue
             x = _matrix(batch.column(1))
-            one, two = distances(x[:, :cut], books.value[0]), distances(x[:, cut:], books.value[1])
+            one, two = books.value[0].far(x[:, :cut]), books.value[1].far(x[:, cut:])
             for q in range(len(x)):
-                cutoff = traverse(one[q], two[q], sizes, enough)
-                lists = np.flatnonzero((one[q] + two[q].min() <= cutoff) & (sizes.sum(1) > 0))
-                where = [(i, p) for i in lists.tolist() for p in range(parts[i])]
+                # The last cell is in, whatever the rounding of its distance elsewhere.
+                cutoff = traverse(one[q], two[q], sizes, enough) + 1e-9 * (np.abs(one[q]).max() + np.abs(two[q]).max())
+                visited = ((one[q][:, None] + two[q] <= cutoff) & (sizes > 0)).any(1)
+                where = [(i, p) for i in np.flatnonzero(visited).tolist() for p in range(parts[i])]
                 yield pa.RecordBatch.from_arrays([pa.array([w[0] for w in where], pa.int32()), pa.array([w[1] for w in where], pa.int32()), pa.array([True] * len(where)), pa.array([batch.column(0)[q].as_py()] * len(where), pa.int64()), pa.array([-1] * len(where), pa.int32()), pa.array([cutoff] * len(where)), pa.array([x[q]] * len(where), pa.list_(pa.float64()))], ["i", "part", "query", "id", "j", "cutoff", "v"])
 
     layout = "i int, part int, query boolean, id long, j int, cutoff double, v array<double>"
-    asked = rows.where(F.pmod("id", F.lit(queries_divide)) == 0).dropDuplicates(["id"])
+    asked = rows.where(F.pmod("id", F.lit(queries_divide)) == 0).groupBy("id").agg(F.min("v").alias("v"))
     probes = asked.mapInArrow(probe, layout)
     counts = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("i") + 1)
-    stored = index.select("i", F.pmod(F.xxhash64("id"), counts).cast("int").alias("part"), F.lit(False).alias("query"), "id", "j", F.lit(0.0).alias("cutoff"), "v")
+    stored = index.select("i", F.pmod("turn", counts).cast("int").alias("part"), F.lit(False).alias("query"), "id", "j", F.lit(0.0).alias("cutoff"), "v")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, data = None, [], None
@@ -160,16 +192,18 @@ def search(table: DataFrame, queries_divide: int, k: int = 20, key: str = "vec_i
         ids, second, vectors = data
         out: list[tuple] = []
         asks, cutoffs, x = part.column(3).to_numpy(), part.column(5).to_numpy(), _matrix(part.column(6))
-        cells = distances(x[:, :cut], books.value[0])[:, [i]] + distances(x[:, cut:], books.value[1])
+        cells = books.value[0].far(x[:, :cut])[:, [i]] + books.value[1].far(x[:, cut:])
+        longest = np.sqrt((vectors**2).sum(1).max())
         for a in range(0, len(x), 256):
             rough = x[a : a + 256] @ vectors.T
-            # Cells that the query doesn't visit, and the query's own row.  The last cell is in, whatever the rounding.
-            visited = cells[a : a + 256] <= cutoffs[a : a + 256, None] + 1e-9
+            # Cells that the query doesn't visit, and the query's own row.
+            visited = cells[a : a + 256] <= cutoffs[a : a + 256, None]
             rough[~visited[:, second] | (asks[a : a + 256, None] == ids[None, :])] = -np.inf
             for q in range(len(rough)):
                 row = rough[q]
                 least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                pick = np.flatnonzero((row >= least - 1e-9) & (row > -np.inf))
+                room = 1e-9 * longest * np.sqrt((x[a + q] ** 2).sum())
+                pick = np.flatnonzero((row >= least - room) & (row > -np.inf))
                 if len(pick):
                     # The score is summed in the order of the components, so that equal vectors score the same.
                     score = np.zeros(len(pick))
