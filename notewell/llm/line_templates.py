@@ -1,12 +1,20 @@
-"""Line dedup by log templates: a tree of fixed depth over token count and leading tokens.
-
-A line goes down the tree by its number of tokens, then by its first DEPTH tokens; at the leaf stands its template:
-the line with each variable field (a token with a digit) as one sign.  Templates that recur in at least MIN_DOCS
-documents are dropped from all of them but the first, so that what is repeated stays in the corpus once.
-
-The path and the template of a line are two hashes; only those, the document and the place are shuffled to count
-documents.  A template that a large part of all lines share is counted by pre-aggregated sums, and joined back by a
-join that adaptive execution splits.  All of it is column expressions.
+"""Line dedup by log templates: a tree of fixed depth over token count and leading tokens, generalised at its leaves.
+
+1. Fields: a token with a digit is a variable field at once, and reads as one sign, if no more than half of the line's
+   tokens are such; a row of numbers stays as it is, since its signs alone would be every other row's.
+2. Tree: a line goes down by its number of tokens, then by its first LEAD tokens.  Lines that now read the same are one
+   leaf; a leaf that recurs in enough documents is a template.
+3. Generalisation: the other leaves of a node are compared position by position.  A token that stands at its place in
+   fewer than MIN_DOCS documents of the node is a variable field too.  Leaves that agree in what is left are one
+   template, if no more than a WILD-th of the tokens became variable that way and half of all tokens are still constant.
+4. Templates that recur are dropped from all documents but the first, so that what is repeated stays once.
+
+Enough documents are two for lines of LONG tokens, which recur by no chance, and MIN_DOCS for shorter ones and for
+generalised templates.  Lines of fewer than MIN_CHARS characters (brackets, bullets, "Yes.") are never dropped.
+
+All of it is column expressions.  Hashes of lines and tokens are shuffled, never texts, but for the last join.  Each
+count is pre-aggregated.  A template or token that a large part of all lines share is joined by a broadcast whose size
+is bounded, as each of its rows stands for at least a fixed part of all lines.
 """
 
 from __future__ import annotations
@@ -16,49 +24,129 @@ from pyspark.sql import functions as F
 
 from .support import written
 
-DEPTH, MIN_DOCS, MIN_TOKENS = 3, 3, 2
+LEAD, MIN_DOCS, MIN_CHARS = 2, 3, 8
+#: Tokens from which a line is long, and the part of the tokens that may become variable (one in so many).
+LONG, WILD = 50, 5
+#: A row that is broadcast stands for at least this part of all lines (or tokens), so there are no more rows than that.
+HOT_LINES, HOT_TOKENS = 10_000, 100_000
+#: What has fewer lines is no hot row, however small the table.
+LEAST_HOT = 1_000
 #: A token with a digit in it, looked for at the starts of tokens only, and the sign that stands for it.
 FIELD, SIGN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", "<*>"
 #: White space that isn't one blank.
 WIDE = r"[\x09-\x0D][\x20\x09-\x0D]*+|\x20[\x20\x09-\x0D]++"
 
 
-def template(line: Column) -> Column:
-    """The tokens of a line joined by one blank, variable fields generalised."""
-    # Most lines have neither; a search for the first digit or wide blank is much cheaper than a replacement.
-    general = F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, SIGN)).otherwise(line)
-    return F.trim(F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(general, WIDE, " ")).otherwise(general))
+def plain(line: Column) -> Column:
+    """The tokens of a line joined by one blank."""
+    # Most lines need no replacement; a search for the first wide blank is much cheaper.
+    return F.trim(F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, WIDE, " ")).otherwise(line))
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, th, pos, path, leaf) of each line with at least MIN_TOKENS tokens."""
-    # Within the array of lines each template is made once, and only its hashes leave the document's row.
-    templates = F.transform(F.split(F.col(text), "\n", -1), template)
+def n_tokens(line: Column) -> Column:
+    return F.when(line != "", F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).otherwise(0)
 
-    def walk(t: Column) -> Column:
-        n = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1
-        return F.struct(F.when(t != "", n).otherwise(0).alias("n"), F.xxhash64(n, F.substring_index(t, " ", DEPTH)).alias("path"), F.xxhash64(F.lit(7), t).alias("leaf"))
 
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.transform(templates, walk)).alias("pos", "x"))
-    return rows.where(F.col("x.n") >= MIN_TOKENS).select("id", "th", "pos", "x.path", "x.leaf")
+def general(line: Column) -> Column:
+    """A plain line with its fields as signs, if these are no more than half of its tokens."""
+    masked = F.when(2 * F.regexp_count(line, F.lit(FIELD)) <= n_tokens(line), F.regexp_replace(line, FIELD, SIGN)).otherwise(line)
+    return F.when(line.rlike("[0-9]"), masked).otherwise(line)
+
+
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, th, pos, n, path, leaf, toks) of each line with at least MIN_CHARS characters; toks only where fields are looked for."""
+    # Within the array of lines each step is made once, and only hashes leave the document's row.
+    lines = F.transform(F.transform(F.split(F.col(text), "\n", -1), plain), lambda line: F.struct(F.length(line).alias("chars"), general(line).alias("t")))
+
+    def walk(x: Column) -> Column:
+        t, n = x["t"], n_tokens(x["t"])
+        tokens = F.when((x["chars"] >= MIN_CHARS) & (n >= WILD), F.transform(F.split(t, " "), lambda w: F.hash(w)))
+        return F.struct(x["chars"].alias("chars"), n.cast("int").alias("n"), F.xxhash64(n, F.substring_index(t, " ", LEAD)).alias("path"), F.xxhash64(F.lit(7), t).alias("leaf"), tokens.alias("toks"))
+
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.transform(lines, walk)).alias("pos", "x"))
+    return rows.where(F.col("x.chars") >= MIN_CHARS).select("id", "th", "pos", "x.n", "x.path", "x.leaf", "x.toks")
+
+
+def _documents(in_docs: DataFrame, *by: str) -> DataFrame:
+    """Adds up rows of one document each: docs, the smallest id and whether there is a null one."""
+    return in_docs.groupBy(*by).agg(F.count("*").alias("docs"), F.min("id").alias("low"), F.max(F.col("id").isNull()).alias("no_id"))
+
+
+def _first(x: str = "") -> Column:
+    """The first document's id: null before all others."""
+    return F.when(~F.col(x + "no_id"), F.col(x + "low"))
+
+
+def _with(rows: DataFrame, table: DataFrame, by: list[str], weight: str, least: int) -> DataFrame:
+    """The inner join of ``rows`` with a written table whose rows with weight >= least are few enough to broadcast."""
+    hot = table.where(F.col(weight) >= least)
+    if not hot.limit(1).count():
+        return rows.join(table, by)
+    split = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(table.where(F.col(weight) < least), by)
+    return split.unionByName(rows.join(F.broadcast(hot), by))
+
+
+def _generalised(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(path, leaf, grp, docs, low, no_id) of the leaves that recur only with further fields generalised."""
+    rare = F.col("docs") < _enough()
+    nodes = leaves.where((F.col("n") >= WILD) & rare).groupBy("path").agg(F.sum("docs").alias("d"), F.count("*").alias("c")).where((F.col("d") >= MIN_DOCS) & (F.col("c") > 1))
+    members = leaves.where(F.col("n") >= WILD).join(nodes.select("path"), "path").withColumn("rare", rare)
+    # A line of the first document speaks for its leaf.
+    one = lines.where(F.col("toks").isNotNull()).select("path", "leaf", F.col("id").alias("_id"), "toks")
+    one = one.join(members, ["path", "leaf"]).where(F.col("_id").eqNullSafe(_first())).select("path", "leaf", "n", "docs", "rare", "toks")
+    one = written(one.dropDuplicates(["path", "leaf"]), "line-leaf-tokens")
+    total = one.agg(F.sum(F.col("n") * F.col("docs"))).first()[0] or 0
+    tokens = one.select("path", "leaf", "n", "docs", "rare", F.posexplode("toks").alias("i", "tok"))
+    support = tokens.where(F.col("i") >= LEAD).groupBy("path", "i", "tok").agg(F.sum("docs").alias("s")).where(F.col("s") >= MIN_DOCS)
+    support = written(support, "line-tokens")
+    asked = tokens.where("rare").select("path", "leaf", "n", "docs", "i", "tok")
+    field = F.col("tok") == F.hash(F.lit(SIGN))
+    given = asked.where((F.col("i") < LEAD) | field)
+    held = _with(asked.where((F.col("i") >= LEAD) & ~field), support, ["path", "i", "tok"], "s", max(LEAST_HOT, total // HOT_TOKENS)).select(*asked.columns)
+    # What the constants leave out of a line's tokens is variable; the constants alone, in any order, name the template.
+    constants = given.unionByName(held).withColumn("h", F.xxhash64("i", "tok")).withColumn("f", field.cast("int"))
+    pattern = constants.groupBy("path", "leaf").agg(F.max("n").alias("n"), F.max("docs").alias("docs"), F.count("*").alias("c"), F.sum("f").alias("f"), F.bit_xor("h").alias("g"))
+    pattern = pattern.where((F.col("c") < F.col("n")) & (WILD * (F.col("n") - F.col("c")) <= F.col("n")) & (2 * (F.col("c") - F.col("f")) >= F.col("n")))
+    pattern = written(pattern.select("path", "leaf", "docs", F.xxhash64(F.lit(9), "n", "g").alias("grp")), "line-patterns")
+    many = pattern.groupBy("path", "grp").agg(F.sum("docs").alias("d")).where(F.col("d") >= MIN_DOCS).select("path", "grp")
+    some = written(pattern.join(many, ["path", "grp"]).select("path", "leaf", "grp"), "line-patterns")
+    # Documents are counted by their ids: one document may hold many lines of a template.
+    in_docs = lines.select("path", "leaf", "id").join(some, ["path", "leaf"]).select("path", "grp", "id").distinct()
+    found = _documents(in_docs, "path", "grp").where(F.col("docs") >= MIN_DOCS)
+    return some.join(found, ["path", "grp"]).select("path", "leaf", "grp", "docs", "low", "no_id")
+
+
+def _enough() -> Column:
+    return F.when(F.col("n") >= LONG, 2).otherwise(MIN_DOCS)
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, th, drop array<int>): for each document that loses lines, their places; th is the hash of its text."""
-    lines = written(_lines(docs, key, text), "line-templates")
-    in_docs = lines.groupBy("path", "leaf", "id").agg(F.min(F.struct("id", "th", "pos")).alias("first"))
-    recurring = in_docs.groupBy("path", "leaf").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= MIN_DOCS)
-    hit = lines.join(recurring.select("path", "leaf", "first"), ["path", "leaf"])
-    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))
-    return hit.where(~kept).groupBy("id", "th").agg(F.collect_set("pos").alias("drop"))
+    lines = written(_lines(docs, key, text), "lines")
+    in_docs = lines.select("path", "leaf", "id", "n").distinct()
+    leaves = in_docs.groupBy("path", "leaf").agg(F.max("n").alias("n"), F.count("*").alias("docs"), F.min("id").alias("low"), F.max(F.col("id").isNull()).alias("no_id"))
+    leaves = written(leaves, "line-leaves")
+    total = leaves.agg(F.sum("docs")).first()[0] or 0
+    exact = leaves.where(F.col("docs") >= _enough()).select("path", "leaf", F.col("leaf").alias("grp"), "docs", "low", "no_id")
+    targets = written(exact.unionByName(_generalised(lines, leaves)), "line-templates")
+    # A generalised leaf is rare by itself, but carries its template's documents: it may only be broadcast as what it is.
+    weighed = targets.withColumn("weight", F.when(F.col("leaf") == F.col("grp"), F.col("docs")).otherwise(0))
+    hit = _with(lines.select("id", "th", "pos", "path", "leaf"), weighed, ["path", "leaf"], "weight", max(LEAST_HOT, total // HOT_LINES))
+    hit = written(hit.select("id", "th", "pos", "path", "grp", _first().alias("first")), "line-hits")
+    there = F.col("id").eqNullSafe(F.col("first"))
+    own = hit.where(there).select("path", "grp", "id", "th", "pos")
+    kept = own.groupBy("path", "grp").agg(F.min(F.struct("th", "pos")).alias("kept"))
+    more = own.join(kept, ["path", "grp"]).where(F.struct("th", "pos") != F.col("kept"))
+    return hit.where(~there).select("id", "th", "pos").unionByName(more.select("id", "th", "pos")).groupBy("id", "th").agg(F.collect_set("pos").alias("drop"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` without its dropped lines, and ``n_lines`` and ``n_dropped`` put at the end.
 
-    A null text stays null and has no lines.  Rows that repeat a key and a text lose the same lines; rows with a null
-    key count as one document.  Columns of docs named n_lines or n_dropped are replaced.  An empty table gives an
-    empty result.
+    A null text stays null and has no lines.  The first document is the one with the smallest key, and of its rows and
+    lines the one with the smallest text hash and place.  Rows that repeat a key and a text lose the same lines; rows
+    with a null key count as one document, the first.  Columns of docs named n_lines or n_dropped are replaced.  An
+    empty table gives an empty result.
     """
     drops = dropped_lines(docs, key, text).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("drop").alias("_drop"))
     joined = docs.join(drops, docs[key].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
@@ -77,17 +165,31 @@ def query(docs: DataFrame) -> DataFrame:
 SQL = r"""
 with l as (
   select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
+p as (
+  select *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) as plain from l),
+w as (select *, string_split(plain, ' ') as ws from p where length(plain) >= 8),
 t as (
-  select doc_id, pos, line, trim(regexp_replace(regexp_replace(line, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as t from l),
-u as (select *, t <> '' and length(t) - length(replace(t, ' ', '')) + 1 >= 2 as counted from t),
+  select doc_id, pos, len(ws) as n, case when 2 * len(list_filter(ws, lambda x: regexp_matches(x, '[0-9]'))) <= len(ws)
+    then list_transform(ws, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) else ws end as ws from w),
+u as (select *, ws[1:2] as lead from t),
+d as (select ws, n, lead, count(distinct doc_id) as docs from u group by ws, n, lead),
+k as (select *, unnest(ws) as x, unnest(range(n)) as i from d where n >= 5),
+s as (select n, lead, i, x from k where i >= 2 group by n, lead, i, x having sum(docs) >= 3),
+c as (
+  select k.ws, k.n, k.lead, list(struct_pack(i := k.i, x := k.x) order by k.i) as g, count(*) as c, count(*) filter (where k.x = '<*>') as f
+  from k left join s on k.n = s.n and k.lead = s.lead and k.i = s.i and k.x = s.x
+  where k.docs < case when k.n >= 50 then 2 else 3 end and (k.i < 2 or k.x = '<*>' or s.x is not null) group by k.ws, k.n, k.lead),
+g as (select ws, n, g from c where c < n and 5 * (n - c) <= n and 2 * (c - f) >= n),
+h as (select n, g from g join u using (ws, n) group by n, g having count(distinct doc_id) >= 3),
 r as (
-  select t, min(struct_pack(doc_id := doc_id, pos := pos)) as first from u where counted group by t having count(distinct doc_id) >= 3),
+  select ws, n, null as g from d where docs >= case when n >= 50 then 2 else 3 end
+  union all select g.ws, g.n, g.g from g join h on g.n = h.n and g.g = h.g),
 m as (
-  select u.doc_id, u.pos, u.line, r.t is not null and (u.doc_id, u.pos) <> (r.first.doc_id, r.first.pos) as dropped
-  from u left join r on u.counted and u.t = r.t)
+  select u.doc_id, u.pos, row_number() over (partition by r.n, case when r.g is null then r.ws end, r.g order by u.doc_id, u.pos) > 1 as dropped
+  from u join r on u.ws = r.ws)
 select d.doc_id, coalesce(max(s.n), 0)::bigint as n_lines, coalesce(max(s.k), 0)::bigint as n_dropped, sha256(coalesce(max(s.kept), '')) as kept_sha256
 from documents d left join (
-  select doc_id, count(*) as n, count(*) filter (where dropped) as k, string_agg(line, chr(10) order by pos) filter (where not dropped) as kept
-  from m group by doc_id) s on d.doc_id = s.doc_id
+  select l.doc_id, count(*) as n, count(*) filter (where m.dropped) as k, string_agg(line, chr(10) order by l.pos) filter (where m.dropped is not true) as kept
+  from l left join m on l.doc_id = m.doc_id and l.pos = m.pos group by l.doc_id) s on d.doc_id = s.doc_id
 group by d.doc_id
 """
