@@ -1,18 +1,22 @@
 """Exact Jaccard join of documents on word n-grams, in a metric space.
 
-The Jaccard distance of two sets, 1 - |x & y| / |x | y|, is a metric.  The join of all pairs within ``1 - 0.8`` runs
+The Jaccard distance of two sets, 1 - |x & y| / |x | y|, is a metric.  The join of all pairs within THETA = 1 - 0.8 runs
 over ever smaller regions around pivots:
 
-1. The first pivots are single shingles.  With a fixed order of all shingles, the nearest pivot of a document is the
-   first of its shingles: these are Voronoi regions with ties broken by the order.  A document may be within reach of
-   a region around its (r+1)-th shingle only if it is no more than the threshold away from itself without its first r
-   shingles, so its window holds its first n - ceil(0.8 n) + 1 shingles; it is copied to the regions of those and a
-   few more, such that linked documents meet in up to eight regions, not just one.
-2. The order puts shingles that are frequent in a sample last; it decides which regions are small, never the result.
-3. Pairs that meet often enough, and all members of a region of more than SMALL rows, fall into one coarse group.
-4. Within a group the pivots are documents: those within the threshold of a pivot are linked with it and need no
-   comparison with each other; only the others are compared, with all, in blocks.  Groups too large for a task are
-   split into such blocks over the cluster.
+1. Unrelated documents are at distance 1 from each other, so document pivots alone would copy all of them to every
+   region.  The first level therefore deals documents by single shingles: in a fixed order of all shingles a document's
+   window holds its first n - ceil(0.8 n) + 1 ones, and a few more, such that linked documents meet in up to eight
+   regions, not just one.  Shingles that are frequent in a sample come last in the order; that decides which regions
+   are small, never the result.  Pairs that meet often enough, and all members of a region of more than SMALL rows, fall
+   into one coarse group.
+2. Within a group the pivots are documents, and each document is at home in the Voronoi region of its nearest one.  By
+   the triangle inequality a document x has its links at home in the region of pivot p only if
+   d(x, p) - d(x, nearest) <= 2 THETA; it is copied to these regions and no other.
+3. Documents within THETA of their region's pivot hang on it, and need no comparison with each other.  The rest of a
+   region is joined by new pivots, region within region, until LEAF documents are at home or the pivots part it no
+   further; then those at home are compared with all, exactly.
+4. A group too large for one task goes through the same steps over the cluster, a level a round; what its pivots don't
+   part is compared in blocks, those off the pivots with all.
 
 Documents with equal sets are one class from the first step on; what is shuffled of a document is its set's hash.
 """
@@ -42,10 +46,14 @@ FREQUENT, SAMPLE = 500_000, 8
 #: Shingles of all documents of a group that one task takes, and of a block of a larger group.
 GROUP, BLOCK = 3_000_000, 400_000
 #: Rows up to which a table of chosen documents is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-#: Threshold 4/5.
+BROADCAST_ROWS = 200_000
+#: Threshold 4/5, and the distance that goes with it.
 NUM, DEN = 4, 5
-PIVOTS = 8
+THETA = 1 - NUM / DEN
+#: Pivots of a region, the documents at home up to which it is compared at once, and rounds over the cluster.
+PIVOTS, LEAF, LEVELS = 8, 48, 6
+#: A part of a region is parted further if it holds no more than this share of it, in one task and over the cluster.
+PARTED, PARTED_FAR = 0.8, 0.5
 
 
 def need(n: np.ndarray) -> np.ndarray:
@@ -208,17 +216,29 @@ def _meetings(replicas: DataFrame) -> DataFrame:
 class _Sets:
     """The sets of a group in one task."""
 
-    def __init__(self, rows: list[bytes]):
-        self.n = np.fromiter(map(len, rows), np.int64, len(rows)) // 8
-        self.flat = np.frombuffer(b"".join(rows), U)
-        self.first = np.cumsum(self.n) - self.n
-        self.owner = np.repeat(np.arange(len(rows)), self.n)
+    def __init__(self, n: np.ndarray, flat: np.ndarray):
+        self.n, self.flat = n, flat
+        self.first = np.cumsum(n) - n
+        self.owner = np.repeat(np.arange(len(n)), n)
+
+    @classmethod
+    def of(cls, rows: list[bytes]) -> _Sets:
+        return cls(np.fromiter(map(len, rows), np.int64, len(rows)) // 8, np.frombuffer(b"".join(rows), U))
+
+    def take(self, rows: np.ndarray) -> _Sets:
+        return _Sets(self.n[rows], self.flat[expand(self.first[rows], self.n[rows])])
 
     def common_with(self, one: np.ndarray) -> np.ndarray:
         """How many shingles each set shares with the sorted set ``one``."""
         at = np.minimum(np.searchsorted(one, self.flat), len(one) - 1)
         return np.bincount(self.owner[one[at] == self.flat], minlength=len(self.n))
 
+    def from_pivots(self, pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of the sets (rows) from the pivots (columns), and whether they are linked, which is exact."""
+        common = np.stack([self.common_with(p) for p in pivots], 1)
+        sizes = np.array([len(p) for p in pivots])
+        return 1 - common / (self.n[:, None] + sizes - common), linked(common, self.n[:, None], sizes)
+
     def get(self, i: int) -> np.ndarray:
         return self.flat[self.first[i] : self.first[i] + self.n[i]]
 
@@ -275,34 +295,67 @@ class _Union:
         return np.array([self.root(i) for i in range(len(self.parent))], np.int64)
 
 
-def central(sets: _Sets, among: np.ndarray) -> int:
-    """The set of ``among`` whose shingles are the most frequent ones in the group, for its size."""
+def windows(distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pivot that each set is at home with, and to which pivots' regions it is copied, by the triangle inequality.
+
+    If x and y are linked and y is at home with p, then d(x, p) <= THETA + d(y, p) <= THETA + d(y, q) <= 2 THETA + d(x, q)
+    for any other pivot q.
+    """
+    return distances.argmin(1), distances - distances.min(1)[:, None] <= 2 * THETA + 1e-9
+
+
+def choose_pivots(sets: _Sets, most: int = PIVOTS) -> list[int]:
+    """Sets whose shingles are the most frequent ones in the group, for their size, none linked with one before it."""
     _, place, count = np.unique(sets.flat, return_inverse=True, return_counts=True)
     weight = np.bincount(sets.owner, weights=np.minimum(count[place] - 1, 1 << 20), minlength=len(sets.n)) / np.maximum(1, sets.n)
-    return int(among[np.argmax(weight[among])])
-
-
-def group_components(sets: _Sets) -> np.ndarray:
-    """The component of each set of a group, exactly: pivots first, then the sets in no pivot's region against all."""
-    k = len(sets.n)
-    union = _Union(k)
-    free = np.arange(k)
-    for _ in range(PIVOTS if k > 16 else 0):
-        pivot = central(sets, free)
-        near = np.flatnonzero(linked(sets.common_with(sets.get(pivot)), sets.n, sets.n[pivot]))
-        for i in near.tolist():
-            union.join(pivot, i)
-        fewer = np.setdiff1d(free, near)
-        if len(near) < 8 or len(fewer) < 16:
-            free = fewer
-            break
-        free = fewer
-    roots = union.roots()
-    main = np.bincount(roots).argmax()
-    others = np.flatnonzero(roots != main)
-    for i, j in sets.links(others, np.arange(k)):
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            union.join(x, y)
+    free, chosen = np.ones(len(sets.n), bool), []
+    while free.any() and len(chosen) < most:
+        chosen.append(int(np.argmax(np.where(free, weight, -1))))
+        free &= ~sets.from_pivots([sets.get(chosen[-1])])[1][:, 0]
+        free[chosen[-1]] = False
+    return chosen
+
+
+def _compare(sets: _Sets, names: np.ndarray, home: np.ndarray, union: _Union) -> None:
+    """Joins each set at home with all that it is linked with; pairs of the largest component need no comparison."""
+    roots = np.array([union.root(i) for i in names.tolist()])
+    found, count = np.unique(roots, return_counts=True)
+    main = roots == found[count.argmax()]
+    for left, right in ((home & ~main, np.ones(len(names), bool)), (home & main, ~main)):
+        for i, j in sets.links(np.flatnonzero(left), np.flatnonzero(right)):
+            for x, y in zip(names[i].tolist(), names[j].tolist(), strict=True):
+                union.join(x, y)
+
+
+def join_region(sets: _Sets, names: np.ndarray, home: np.ndarray, union: _Union) -> None:
+    """Joins in ``union`` the linked sets of a region of which at least one is at home; ``names`` are theirs there."""
+    # With few sets at home, to compare them with all costs less than new pivots.
+    if home.sum() <= LEAF:
+        return _compare(sets, names, home, union)
+    pivots = choose_pivots(sets)
+    distances, near = sets.from_pivots([sets.get(p) for p in pivots])
+    for i, p in enumerate(pivots):
+        for x in names[near[:, i]].tolist():
+            union.join(int(names[p]), x)
+    nearest, window = windows(distances)
+    for i in range(len(pivots)):
+        own, inside = home & (nearest == i), window[:, i]
+        # Sets that hang on the pivot are joined already; a region of no other needs nothing more.
+        if not own.any() or near[inside, i].all():
+            continue
+        rows = np.flatnonzero(inside)
+        further = join_region if len(rows) <= PARTED * len(names) else _compare
+        further(sets.take(rows), names[rows], own[rows], union)
+
+
+def group_components(sets: _Sets, home: np.ndarray | None = None, hubs: list | None = None) -> np.ndarray:
+    """The component of each set of a group, exactly; sets with one hub are joined from the start."""
+    union = _Union(len(sets.n))
+    first: dict = {}
+    for i, hub in enumerate(hubs or []):
+        if hub is not None:
+            union.join(first.setdefault(hub, i), i)
+    join_region(sets, np.arange(len(sets.n)), np.ones(len(sets.n), bool) if home is None else home, union)
     return union.roots()
 
 
@@ -327,7 +380,7 @@ def _small_groups(members: DataFrame) -> DataFrame:
         for _, rows in _by_group(batches):
             own = {(r[1], r[2]): r for r in rows}
             rows = list(own.values())
-            roots = group_components(_Sets([r[4] for r in rows]))
+            roots = group_components(_Sets.of([r[4] for r in rows]))
             low: dict[int, int] = {}
             name: dict[int, int] = {}
             for r, root in zip(rows, roots.tolist(), strict=True):
@@ -340,74 +393,89 @@ def _small_groups(members: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "k1 long, k2 long, low long, root long")
 
 
-def _large_groups(members: DataFrame) -> DataFrame:
-    """The same for groups of any size, over the whole cluster."""
-    spark = members.sparkSession
-    members = written(members, "large-groups")
-    rank = Window.partitionBy("component").orderBy(F.xxhash64("k1"))
-    # A sample of each group of at most 64 sets finds the pivots; they only decide how much is left to compare.
-    sample = members.where(F.pmod(F.xxhash64("k1"), F.greatest(F.lit(1), F.floor(F.col("members") / 64))) == 0).withColumn("r", F.row_number().over(rank)).where("r <= 64")
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for component, rows in _by_group(batches):
-            sets = _Sets([r[1] for r in rows])
-            near = np.zeros((len(rows), len(rows)), bool)
-            for i, j in sets.links(np.arange(len(rows)), np.arange(len(rows))):
-                near[i, j] = True
-            chosen: list[int] = []
-            left = np.ones(len(rows), bool)
-            while left.any() and len(chosen) < PIVOTS:
-                best = int((near & left).sum(1).argmax())
-                chosen.append(best)
-                left &= ~near[best]
-                left[best] = False
-            yield pa.RecordBatch.from_arrays([pa.array([component]), pa.array([[rows[i][1] for i in chosen]], pa.list_(pa.binary()))], ["component", "pivots"])
-
-    pivots = written(sample.select("component", "shingles").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "component").sortWithinPartitions("component").mapInArrow(choose, "component long, pivots array<binary>"), "pivots")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+REGION = "region long, k1 long, n long, home boolean, hub long, shingles binary"
+
+
+def _width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _regions_in_tasks(regions: DataFrame) -> DataFrame:
+    """(a, b): links within regions that fit a task, as many as join what is linked there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_group(batches):
+            roots = group_components(_Sets.of([r[4] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([rows[x][1] for x in roots.tolist()], pa.int64())], ["a", "b"])
+
+    rows = regions.select("region", "k1", "home", "hub", "shingles").repartition(_width(regions), "region").sortWithinPartitions("region")
+    return rows.mapInArrow(run, "a long, b long").where("a <> b")
+
+
+def _pivots(large: DataFrame) -> DataFrame:
+    """(region, pivot, k1, shingles): up to PIVOTS sets of each region, from a sample of at most LEAF of those off its pivot."""
+    # Which sets are pivots only decides how much is left to compare.
+    drawn = Window.partitionBy("region").orderBy(F.xxhash64("k1", "region"))
+    some = large.where(F.pmod(F.xxhash64("k1", "region"), F.greatest(F.lit(1), F.floor(F.col("off") / LEAF))) == 0).where("hub is null")
+    sample = some.withColumn("r", F.row_number().over(drawn)).where(F.col("r") <= LEAF).select("region", "k1", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for region, rows in _by_group(batches):
+            chosen = choose_pivots(_Sets.of([r[2] for r in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array([region] * len(chosen)), pa.array(range(len(chosen)), pa.int32()), pa.array([rows[i][1] for i in chosen]), pa.array([rows[i][2] for i in chosen], pa.binary())], ["region", "pivot", "k1", "shingles"])
+
+    return sample.repartition(_width(large), "region").sortWithinPartitions("region").mapInArrow(run, "region long, pivot int, k1 long, shingles binary")
+
+
+def _divided(large: DataFrame, pivots: DataFrame) -> DataFrame:
+    """The rows of the regions around the pivots: each set once for every window that it is in, and the pivot it hangs on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, names = None, [], []
         for batch in batches:
-            masks = []
-            for pivots, shingles in zip(batch.column("pivots").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                own = np.frombuffer(shingles, U)
-                mask = 0
-                for i, p in enumerate(pivots):
-                    pivot = np.frombuffer(p, U)
-                    common = len(np.intersect1d(own, pivot, assume_unique=True))
-                    mask |= int(linked(np.int64(common), len(own), len(pivot))) << i
-                masks.append(mask)
-            keep = [batch.column(c) for c in ("component", "k1", "id", "n")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(masks, pa.int64())], ["component", "k1", "id", "n", "mask"])
-
-    marked = written(members.join(pivots, "component").select("component", "k1", "id", "n", "pivots", "shingles").mapInArrow(near, "component long, k1 long, id long, n long, mask long"), "pivot-links")
-    # A set near several pivots joins their regions; a bit mask has 2**PIVOTS values at most.
-    mains = []
-    for component, rows in _grouped(marked.groupBy("component", "mask").agg(F.count("*").alias("c")).collect()):
-        union = _Union(PIVOTS)
-        for mask, _ in rows:
-            bits = [i for i in range(PIVOTS) if mask >> i & 1]
-            for i in bits[1:]:
-                union.join(bits[0], i)
-        weight = [0] * PIVOTS
-        for mask, count in rows:
-            if mask:
-                weight[union.root((mask & -mask).bit_length() - 1)] += count
-        best = max(range(PIVOTS), key=lambda i: weight[i])
-        mains.append((component, sum(1 << i for i in range(PIVOTS) if union.root(i) == best)))
-    main = spark.createDataFrame(mains, "component long, main long")
-    state = marked.join(main, "component").withColumn("in_main", F.col("mask").bitwiseAND(F.col("main")) != 0)
-    # The hub of the main region is one of its sets: the coarse group's own name may be the hash of any member.
-    hub = F.min(F.when(F.col("in_main"), F.col("k1"))).alias("hub")
-    totals = state.groupBy("component").agg(hub, F.ceil(F.sum(F.when(~F.col("in_main"), F.col("n")).otherwise(0)) / BLOCK).alias("blocks"), F.ceil(F.sum("n") / GROUP).alias("parts"))
-    state = written(state.join(totals, "component").select("component", "k1", "id", "in_main", "hub", "blocks", "parts"), "large-state")
-    rows = members.select("component", "k1", "shingles").join(state.select("component", "k1", "in_main", "blocks", "parts"), ["component", "k1"]).where("blocks > 0")
-    # Each set goes to its part of every block; those outside the main region are also the block of every part.
-    everywhere = rows.select("component", "k1", "shingles", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.expr("pmod(xxhash64(k1, 1), parts)").alias("part"), F.lit(False).alias("query"))
-    queries = rows.where("not in_main").select("component", "k1", "shingles", F.expr("pmod(xxhash64(k1, 2), blocks)").alias("block"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(True).alias("query"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tasks, pivot = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], (tasks[1:] != tasks[:-1]) | ((pivot[1:] < 0) != (pivot[:-1] < 0))])).tolist() + [len(batch)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(a, b - a)
+                if tasks[a] != now:
+                    now, held, names = tasks[a], [], []
+                raw = part.column(7).to_pylist()
+                if pivot[a] >= 0:
+                    held += [np.frombuffer(x, U) for x in raw]
+                    names += part.column(3).to_pylist()
+                    continue
+                if not held:
+                    # The sample of this region is empty; it comes out whole, and is compared in blocks.
+                    region = mix(part.column(1).to_numpy().view(U)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(region), *[part.column(c) for c in (3, 4, 5)], pa.nulls(len(part), pa.int64()), part.column(7), part.column(1)], ["region", "k1", "n", "home", "hub", "shingles", "parent"])
+                for c in range(0, len(raw) if held else 0, 512):
+                    distances, near = _Sets.of(raw[c : c + 512]).from_pivots(held)
+                    nearest, window = windows(distances)
+                    who, which = np.nonzero(window)
+                    take = pa.array(who + c)
+                    region = mix(part.column(1).to_numpy()[who + c].view(U) * MIX_A + which.astype(U) + U(1)).view(np.int64)
+                    hubs = pa.array(np.array(names, np.int64)[which], mask=~near[who, which])
+                    home = part.column(5).to_numpy(zero_copy_only=False)[who + c] & (nearest[who] == which)
+                    yield pa.RecordBatch.from_arrays([pa.array(region), part.column(3).take(take), part.column(4).take(take), pa.array(home), hubs, part.column(7).take(take), part.column(1).take(take)], ["region", "k1", "n", "home", "hub", "shingles", "parent"])
+
+    deal = large.select(F.xxhash64("region", F.pmod(F.xxhash64("k1", F.lit(1)), "parts")).alias("task"), "region", F.lit(-1).alias("pivot"), "k1", "n", "home", "hub", "shingles")
+    parts = large.select("region", "parts").distinct()
+    copies = pivots.join(parts, "region").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
+    copies = copies.select(F.xxhash64("region", "part").alias("task"), "region", "pivot", "k1", F.lit(0).cast("long").alias("n"), F.lit(False).alias("home"), F.lit(None).cast("long").alias("hub"), "shingles")
+    dealt = deal.unionByName(copies).repartition(_width(large), "task").sortWithinPartitions("task", F.col("pivot") < 0, "pivot")
+    return dealt.mapInArrow(run, REGION + ", parent long")
+
+
+def _in_blocks(regions: DataFrame) -> DataFrame:
+    """(a, b): links in regions that pivots don't part: the sets off the pivot, in blocks, against all, in parts."""
+    blocks, parts = F.ceil(F.col("off_n") / BLOCK), F.ceil(F.col("weight") / GROUP)
+    rows = regions.withColumn("blocks", F.greatest(F.lit(1), blocks)).withColumn("parts", F.greatest(F.lit(1), parts))
+    everywhere = rows.select("region", "k1", "shingles", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.expr("pmod(xxhash64(k1, 1), parts)").alias("part"), F.lit(False).alias("query"))
+    queries = rows.where("hub is null").select("region", "k1", "shingles", F.expr("pmod(xxhash64(k1, 2), blocks)").alias("block"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(True).alias("query"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_group(batches):
-            sets = _Sets([r[3] for r in rows])
+            sets = _Sets.of([r[3] for r in rows])
             asks = np.array([r[2] for r in rows])
             union = _Union(len(rows))
             same: dict[int, int] = {}
@@ -416,23 +484,48 @@ def _large_groups(members: DataFrame) -> DataFrame:
             for i, j in sets.links(np.flatnonzero(asks), np.flatnonzero(~asks)):
                 for x, y in zip(i.tolist(), j.tolist(), strict=True):
                     union.join(x, y)
-            roots = union.roots().tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([rows[x][1] for x in roots])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([rows[x][1] for x in union.roots().tolist()])], ["a", "b"])
 
-    task = F.xxhash64("component", "block", "part")
-    dealt = everywhere.union(queries).select(task.alias("task"), "k1", "query", "shingles").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task", F.desc("query"))
-    edges = dealt.mapInArrow(compare, "a long, b long").union(state.where("in_main").select("k1", "hub"))
-    labels = connected(edges.where("a <> b"))
-    found = state.join(labels, state.k1 == labels.node, "left").select(state.k1, "id", F.coalesce(labels.component, state.k1).alias("label"))
-    low = found.groupBy("label").agg(F.min("id").alias("low"))
-    return members.select("k1", "k2").join(found, "k1").join(low, "label").select("k1", "k2", "low", F.col("label").alias("root")).distinct()
+    dealt = everywhere.union(queries).select(F.xxhash64("region", "block", "part").alias("task"), "k1", "query", "shingles")
+    dealt = dealt.repartition(_width(regions), "task").sortWithinPartitions("task", F.desc("query"))
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def _grouped(rows) -> list[tuple[int, list[tuple[int, int]]]]:
-    out: dict[int, list[tuple[int, int]]] = {}
-    for r in rows:
-        out.setdefault(r.component, []).append((r.mask, r.c))
-    return list(out.items())
+def _large_groups(members: DataFrame) -> DataFrame:
+    """The same for groups of any size, over the whole cluster: a round a level of regions."""
+    members = written(members, "large-groups")
+    regions = members.select(F.col("component").alias("region"), "k1", "n", F.lit(True).alias("home"), F.lit(None).cast("long").alias("hub"), "shingles", F.lit(None).cast("long").alias("parent"))
+    before, found = None, []
+    for level in range(LEVELS + 1):
+        off = F.col("hub").isNull()
+        totals = regions.groupBy("region").agg(F.sum("n").alias("weight"), F.sum(F.when(off, F.col("n")).otherwise(0)).alias("off_n"), F.count(F.when(off, 1)).alias("off"), F.max("home").alias("some"), F.max("parent").alias("parent"))
+        # Where every set hangs on the pivot, or none is at home, nothing is left to compare.
+        totals = totals.where("some and off > 0")
+        if before is not None:
+            totals = totals.join(before, "parent", "left").withColumn("whole", F.col("weight") > PARTED_FAR * F.col("was"))
+        else:
+            totals = totals.withColumn("whole", F.lit(False))
+        totals = written(totals.select("region", "weight", "off", "off_n", "whole"), "region-sizes")
+        sized = regions.drop("parent").join(totals, "region")
+        found.append(written(_regions_in_tasks(sized.where(F.col("weight") <= GROUP)), "region-links"))
+        large = F.col("weight") > GROUP
+        stuck = large & (F.col("whole") if level < LEVELS else F.lit(True))
+        if totals.where(stuck).limit(1).count():
+            found.append(written(_in_blocks(sized.where(stuck)), "block-links"))
+        if not totals.where(large & ~stuck).limit(1).count():
+            break
+        rest = written(sized.where(large & ~stuck).withColumn("parts", F.ceil(F.col("weight") / GROUP)).select("region", "k1", "n", "home", "hub", "shingles", "off", "parts"), "large-regions")
+        pivots = written(_pivots(rest), "pivots")
+        before = totals.where(large & ~stuck).select(F.col("region").alias("parent"), F.col("weight").alias("was"))
+        regions = written(_divided(rest, pivots), "regions")
+        found.append(regions.where("hub is not null").select(F.col("k1").alias("a"), F.col("hub").alias("b")))
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    labels = connected(edges.where("a <> b"))
+    names = members.select("k1", "k2", "id").join(labels, members.k1 == labels.node, "left").select("k1", "k2", "id", F.coalesce(labels.component, members.k1).alias("root"))
+    names = written(names.distinct(), "large-names")
+    return names.join(names.groupBy("root").agg(F.min("id").alias("low")), "root").select("k1", "k2", "low", "root")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:

@@ -84,7 +84,7 @@ def test_group_components_of_a_star():
         own[r.integers(0, len(base), 8)] = r.integers(0, 1 << 60, 8).astype(np.uint64)
         rows.append(np.unique(own))
     rows.append(np.unique(r.integers(0, 1 << 60, 200).astype(np.uint64)))
-    roots = jj.group_components(jj._Sets([x.tobytes() for x in rows]))
+    roots = jj.group_components(jj._Sets.of([x.tobytes() for x in rows]))
     assert len(set(roots[:60].tolist())) == 1 and roots[60] != roots[0]
 
 
@@ -109,3 +109,88 @@ def test_large_group_whose_smallest_hash_is_an_unrelated_set(spark, monkeypatch)
     rows = list(enumerate(near + [others[int(hashes.argmin())]] + others[:59]))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, jj.join(docs).collect())) == brute(rows)
+
+
+def clouds(seed, n, off, shared=250):
+    """Sets around a few bases, at about the distance where links begin and end."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for _ in range(n):
+        base = np.random.default_rng(seed * 100 + int(r.integers(0, 5))).integers(0, 1 << 60, 150)
+        own = base.copy()
+        own[r.integers(0, 150, int(r.integers(0, off)))] = r.integers(0, 1 << 60)
+        own[: int(r.integers(0, off))] = r.integers(0, 1 << 60, 1)
+        # What all share keeps the bases near each other, so that windows reach over the borders of regions.
+        rows.append(np.unique(np.concatenate([own, np.arange(shared)])).astype(np.uint64))
+    return [x.tobytes() for x in rows]
+
+
+def all_pairs(rows):
+    sets = [set(np.frombuffer(x, np.uint64).tolist()) for x in rows]
+    union = jj._Union(len(sets))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if (common := len(x & sets[j])) * 5 >= 4 * (len(x) + len(sets[j]) - common):
+                union.join(i, j)
+    return union.roots().tolist()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_regions_find_what_all_pairs_find(seed, monkeypatch):
+    monkeypatch.setattr(jj, "LEAF", 6)
+    rows = clouds(seed, 150, 60)
+    assert jj.group_components(jj._Sets.of(rows)).tolist() == all_pairs(rows)
+
+
+def test_windows_are_needed_and_regions_are_parted(monkeypatch):
+    monkeypatch.setattr(jj, "LEAF", 6)
+    rows = clouds(1, 150, 60, 20)
+    calls, real = [], jj.join_region
+
+    def counted(sets, names, home, union):
+        calls.append(len(names))
+        return real(sets, names, home, union)
+
+    monkeypatch.setattr(jj, "join_region", counted)
+    want = all_pairs(rows)
+    assert jj.group_components(jj._Sets.of(rows)).tolist() == want
+    assert len(calls) > 3 and max(calls[1:]) < len(rows)
+    # Without the copies at the borders, links between regions are lost.
+    lost = 0
+    for seed in range(12):
+        rows = clouds(seed, 150, 60)
+        sets = jj._Sets.of(rows)
+        distances, _ = sets.from_pivots([sets.get(p) for p in jj.choose_pivots(sets)])
+        nearest, window = jj.windows(distances)
+        for i, j in sets.links(np.arange(150), np.arange(150)):
+            assert window[i, nearest[j]].all()
+            lost += int((nearest[i] != nearest[j]).sum())
+    assert lost > 0
+
+
+@pytest.mark.parametrize("levels", [0, 6])
+def test_groups_over_the_cluster_agree_with_all_pairs(spark, monkeypatch, levels):
+    monkeypatch.setattr(jj, "GROUP", 6000)
+    monkeypatch.setattr(jj, "BLOCK", 3000)
+    monkeypatch.setattr(jj, "LEAF", 6)
+    monkeypatch.setattr(jj, "LEVELS", levels)
+    rows = list(dict.fromkeys(clouds(2, 150, 60)))
+    members = [(i, i + 1, 0, len(x) // 8, 0, 0, 0, x) for i, x in enumerate(rows)]
+    table = spark.createDataFrame(members, "id long, k1 long, k2 long, n long, component long, weight long, members long, shingles binary")
+    got = {r.k1 - 1: r.low for r in jj._large_groups(table).collect()}
+    assert [got[i] for i in range(len(rows))] == all_pairs(rows)
+
+
+def test_chosen_documents_are_found_by_a_shuffle_too(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BROADCAST_ROWS", 0)
+    rows = list(enumerate(made(5, 80)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jj.join(docs).collect())) == brute(rows)
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(1)
+    words = [f"w{r.randrange(10_000)}" for _ in range(60_000)]
+    rows = [(2, " ".join(words)), (1, " ".join([*words, "end"])), (3, " ".join(words[:30_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jj.join(docs).collect())) == brute(rows)
