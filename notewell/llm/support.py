@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import posixpath
+import re
 import tempfile
 import uuid
 from urllib.parse import urlsplit
@@ -21,13 +22,15 @@ BLANKS = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is chosen, and it is kept
-    for the life of the session so that the tables in it can be read again.
+    Only where the session names none and runs on one machine, as in tests, a temporary folder is chosen, and it is
+    kept for the life of the session so that the tables in it can be read again.  On a cluster it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not hasattr(context, "_notewell_shared"):
         context._notewell_shared = "file://" + tempfile.mkdtemp(prefix="notewell-")
     return context._notewell_shared
@@ -67,7 +70,7 @@ def public_name(uri: str, name: str) -> str:
 class Publisher:
     """A file written under a task's own name and moved to its final one at the end.
 
-    A retried or speculative task writes another temporary file; the last move wins, and the bytes are the same.
+    The final name must be one that no other attempt of the task uses.
     """
 
     def __init__(self, uri: str, name: str):

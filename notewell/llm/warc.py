@@ -4,12 +4,14 @@ Payloads are compared by their SHA-256.  Of equal payloads of at least SHORTEST
 becomes a response record, the others revisit it; shorter payloads are always responses.  Each task writes one
 archive of gzip members, one a record, and an index row for each: file, offset, length, URL and digest.  A reader
 takes the index, not the archives: it selects records, sorts their ranges, joins neighbours into one read, and
-parses only what it asked for.
+parses only what it asked for.  Each attempt of a task writes archives of its own name, so that the index, which is
+committed once a task, always speaks of the archives of the attempt that counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +26,8 @@ from .support import Publisher, filesystem, fresh_path, written
 SHORTEST = 100
 #: Two ranges no further apart are read as one, up to so many bytes.
 GAP, LARGEST_READ = 64 << 10, 8 << 20
+#: Bytes after which an archive ends.
+LARGEST_ARCHIVE = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 3
 
@@ -89,12 +93,17 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name = f"pages-{TaskContext.get().partitionId():06d}.warc.gz"
-        out = None
+        part, attempt, n = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0
+        out = name = None
         for batch in batches:
             index = []
             for row in batch.to_pylist():
-                out = out or Publisher(folder, name)
+                if out and out.size >= LARGEST_ARCHIVE:
+                    out.close()
+                    out = None
+                if not out:
+                    name, n = f"pages-{part:06d}-{n:06d}-{attempt}.warc.gz", n + 1
+                    out = Publisher(folder, name)
                 member = _member(_record(row))
                 at = out.write(member)
                 index.append({"file": name, "offset": at, "length": len(member), "url": row["url"], "payload_digest": row["payload_digest"], "record_type": "response" if row["refers_to"] is None else "revisit", "page_id": row["page_id"]})
@@ -172,7 +181,7 @@ def read(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame
 def through_archives(pages: DataFrame) -> DataFrame:
     """Writes all rows of ``pages`` to archives in the shared folder and reads every record back.
 
-    A null html is an empty payload; rows without page_id are responses; repeated rows give a record each (of equal
+    Keys are read as long.  A null html is an empty payload; rows without page_id are responses; repeated rows give a record each (of equal
     payloads those with the smallest page_id are responses); an empty table gives an empty result; other columns
     are left out.
     """
