@@ -27,8 +27,8 @@ from .pieces import PieceEncoder, like, texts_of
 from .support import give_back_memory
 from .textcodes import expand, slices
 
-#: Cached pieces a worker; about 200 bytes each.
-CACHE = 300_000
+#: Cached pieces a worker; about 30 bytes each.
+CACHE = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

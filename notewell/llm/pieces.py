@@ -9,30 +9,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textcodes import TwoAgeCache, code_points, distinct, expand, piece_hashes, pretokens
+from .textcodes import code_points, distinct, expand, piece_hashes, pretokens
 
 #: Pieces longer than this are encoded whenever they come, so that no cache holds long texts.
 LONGEST_KEPT = 64
 
 
+class _Store:
+    """Ids of pieces by the pieces' hashes: sorted arrays and one buffer of ids."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray):
+        begin, order = np.cumsum(counts) - counts, np.argsort(hashes)
+        self.hashes, self.counts, self.begin, self.flat = hashes[order], counts[order], begin[order], flat
+        self.used = np.zeros(len(order), bool)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes, and which of them are there."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = self.hashes[at] == hashes
+        self.used[at[hit]] = True
+        return at, hit
+
+    def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of some places, one after the other."""
+        counts = self.counts[at]
+        return counts, self.flat[expand(self.begin[at], counts)]
+
+    def with_rows(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray, keep: np.ndarray | None = None) -> _Store:
+        at = np.arange(len(self.hashes)) if keep is None else np.flatnonzero(keep)
+        own, ids = self.rows(at)
+        return _Store(np.concatenate([self.hashes[at], hashes]), np.concatenate([own, counts]), np.concatenate([ids, flat]))
+
+
 class PieceEncoder:
     """Token ids of whole batches from a function that encodes a list of distinct pieces.
 
-    ``encode_pieces`` gets pieces and returns for each its ids as packed little-endian integers of ``dtype``.
+    ``encode_pieces`` gets pieces and returns for each its ids as packed little-endian integers of ``dtype``.  What it
+    returned is kept for up to about ``cache_size`` pieces, in arrays that a whole batch is looked up in at once: new
+    pieces in a young store, older ones in an old store, from which those not asked for lately go first.
     """
 
+    YOUNG = 1 << 15
+
     def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], dtype: str, cache_size: int):
-        self.encode_pieces, self.dtype = encode_pieces, np.dtype(dtype)
-        self.cache = TwoAgeCache(cache_size)
-
-    def packed(self, pieces: list[str]) -> list[bytes]:
-        found = [self.cache.lookup(p) for p in pieces]
-        missing = [i for i, x in enumerate(found) if x is None]
-        for i, ids in zip(missing, self.encode_pieces([pieces[i] for i in missing]), strict=True):
-            found[i] = ids
-            if len(pieces[i]) <= LONGEST_KEPT:
-                self.cache.add(pieces[i], ids)
-        return found
+        self.encode_pieces, self.dtype, self.most = encode_pieces, np.dtype(dtype), cache_size
+        self.young, self.old = self._empty(), self._empty()
+
+    def _empty(self) -> _Store:
+        return _Store(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, self.dtype))
+
+    def _keep(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        self.young = self.young.with_rows(hashes, counts, flat)
+        if len(self.young.hashes) > self.YOUNG:
+            full = len(self.old.hashes) + len(self.young.hashes) > self.most
+            self.old = self.old.with_rows(self.young.hashes, *self.young.rows(np.arange(len(self.young.hashes))), self.old.used if full else None)
+            if len(self.old.hashes) > self.most:
+                # All of them were asked for: the store begins anew.
+                self.old = self._empty()
+            self.young = self._empty()
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and the offsets of the texts."""
@@ -41,15 +77,29 @@ class PieceEncoder:
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(codes))
-        one, place = distinct(piece_hashes(codes, starts, ends))
+        hashes = piece_hashes(codes, starts, ends)
+        one, place = distinct(hashes)
+        asked = hashes[one]
+        at_old, in_old = self.old.find(asked)
+        at_young, in_young = self.young.find(asked)
+        new = np.flatnonzero(~in_old & ~in_young)
         joined = "".join(texts)
-        values = self.packed([joined[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
-        counts = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(values), self.dtype)
+        found = self.encode_pieces([joined[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)]) if len(new) else []
+        counts_new = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        flat_new = np.frombuffer(b"".join(found), self.dtype)
+        # The distinct pieces' ids: those from the old store, those from the young one, the new ones.
+        rows = [np.flatnonzero(in_old), np.flatnonzero(in_young & ~in_old), new]
+        parts = [self.old.rows(at_old[rows[0]]), self.young.rows(at_young[rows[1]]), (counts_new, flat_new)]
+        counts, flat = np.concatenate([c for c, _ in parts]), np.concatenate([f for _, f in parts])
+        where = np.empty(len(one), np.int64)
+        where[np.concatenate(rows)] = np.arange(len(one))
         begin = np.cumsum(counts) - counts
-        each = counts[place]
-        ids = flat[expand(begin[place], each)]
-        upto = np.concatenate([[0], np.cumsum(each)])
+        each = where[place]
+        ids = flat[expand(begin[each], counts[each])]
+        upto = np.concatenate([[0], np.cumsum(counts[each])])
+        short = ends[one[new]] - starts[one[new]] <= LONGEST_KEPT
+        if short.any():
+            self._keep(asked[new][short], counts_new[short], flat_new[np.repeat(short, counts_new)])
         return ids, upto[np.searchsorted(starts, offsets)]
 
 

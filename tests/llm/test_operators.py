@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import math
 import random
 import re
@@ -15,6 +16,7 @@ import public_tokenizers as P
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 pytest.importorskip("notewell.llm")
@@ -101,10 +103,58 @@ def test_files_give_back_all_ids(spark, docs):
 
 @pytest.mark.parametrize("values", [[], [0], [5, 5, 9], list(range(0, 90000, 7)), sorted(random.Random(1).choices(range(1 << 40), k=3000))])
 def test_elias_fano(values):
-    coded, rest = token_files.EliasFano.load(token_files.EliasFano.of(np.array(values, np.int64)).dump() + b"rest")
-    assert rest == b"rest" and [coded.select(i) for i in range(0, len(values), 37)] == values[::37]
+    made = token_files.EliasFano.of(np.array(values, np.int64))
+    coded = token_files.EliasFano.load(made.dump() + b"rest", made.sizes())
+    assert [coded.select(i) for i in range(0, len(values), 37)] == values[::37]
     if len(values) > 600:
-        assert coded.stretch(511, 80).tolist() == values[511:591] and len(coded.dump()) < 8 * len(values)
+        assert coded.stretch(511, 80).tolist() == values[511:591] and len(made.dump()) < 8 * len(values)
+
+
+def test_select_reads_a_small_part_of_the_index():
+    values = np.cumsum(np.random.default_rng(2).integers(1, 5000, 400_000))
+    made = token_files.EliasFano.of(values)
+    read = []
+
+    class File(io.BytesIO):
+        def read(self, n=-1):
+            read.append(n)
+            return super().read(n)
+
+    raw = made.dump()
+    coded = token_files.EliasFano.open(File(b"head" + raw), 4, made.sizes())
+    assert not read and [coded.select(i) for i in (0, 123_456, 399_999)] == values[[0, 123_456, 399_999]].tolist()
+    assert sum(read) < len(raw) // 20 and len(raw) < 8 * len(values) // 4
+
+
+def test_shards_are_bounded_and_repeated_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_IDS", 500)
+    monkeypatch.setattr(token_files, "READ_IDS", 100)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [(7 if i % 3 else i, f"text number {i} " * (i % 50), 1) for i in range(400)] + [(None, "x", 2), (-5, "y" * 100_000, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids int").repartition(3)
+    folder = support.fresh_path(spark, "shards")
+    encoded = token_files.encoded(docs, P.path("byte_bpe_50k.json"))
+    manifest = token_files.write_shards(encoded.repartition(6), folder, 2, 2).collect()
+    assert len(manifest) >= 4 and sum(r.n_docs for r in manifest) == 402
+    got = token_files.through_files(docs, P.path("byte_bpe_50k.json"), 2).orderBy("start").collect()
+    keys = [r.doc_id for r in got]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0)) and [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    sums = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert ordered((r.doc_id, r.ids_crc32) for r in got) == ordered((k, sums(t)) for k, t, _ in rows)
+
+
+def test_a_small_cache_gives_the_same_ids(docs, ranks, monkeypatch):
+    from notewell.llm import pieces
+
+    monkeypatch.setattr(pieces.PieceEncoder, "YOUNG", 50)
+    draw = random.Random(4)
+    codec = byte_bpe.Codec(ranks)
+    small, large = pieces.PieceEncoder(codec.encode_pieces, codec.dtype, 120), pieces.PieceEncoder(codec.encode_pieces, codec.dtype, 100_000)
+    for _ in range(40):
+        made = [" ".join("".join(draw.choice("abcdeé") for _ in range(draw.randrange(1, 6))) for _ in range(60)) for _ in range(3)]
+        for one, two in zip(small(made), large(made), strict=True):
+            assert one.tolist() == two.tolist()
+    assert len(small.old.hashes) <= 120
 
 
 def test_nearest_agree_with_all_rows(spark, monkeypatch):
@@ -372,6 +422,23 @@ def test_archives_agree_with_sql(spark):
     assert warc.through_archives(pages.limit(0)).count() == 0
 
 
+def test_an_archive_of_another_attempt_is_never_read(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 40) for i in range(20)], "page_id long, url string, html string")
+    folder = support.fresh_path(spark, "warc")
+    index = warc.write(warc.classified(pages), folder)
+    # A second attempt over rows in another order leaves the committed index as it was.
+    warc.write(warc.classified(pages).orderBy(F.desc("page_id")).coalesce(1), folder)
+    assert ordered((r.page_id, bytes(r.payload).decode()) for r in warc.read(index, folder, with_payload=True).collect()) == ordered((i, f"page {i} " * 40) for i in range(20))
+
+
+def test_pages_that_repeat_or_have_no_key(spark):
+    long = "z" * 200_000
+    rows = [(None, "u", long), (4, "u", long), (4, "u", long), (2, "u", long), (2, "v", "ü" * 60), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = ordered((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.through_archives(pages).collect())
+    assert got == ordered([(None, 200_000, "response", None), (4, 200_000, "revisit", 2), (4, 200_000, "revisit", 2), (2, 200_000, "response", None), (2, 120, "response", None), (None, 0, "response", None)])
+
+
 def test_archives_are_read_by_chosen_ranges(spark):
     pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 40) for i in range(40)], "page_id long, url string, html string")
     folder = support.fresh_path(spark, "warc")
