@@ -2,19 +2,19 @@
 
 1. Fields: a token with a digit is a variable field at once, and reads as one sign, if no more than half of the line's
    tokens are such; a row of numbers stays as it is, since its signs alone would be every other row's.
-2. Tree: a line goes down by its number of tokens, then by its first LEAD tokens.  Lines that now read the same are one
-   leaf; a leaf that recurs in enough documents is a template.
-3. Generalisation: up to a WILD-th of a line's tokens, and MOST at most, may become variable fields too.  Cut in one
-   run more than that, lines of one template agree in a whole run, so the last level of the tree is a run of tokens at
-   its place.  The leaves of such a node are compared position by position: a token that stands at its place in fewer
-   than MIN_DOCS documents of the node is variable.  Leaves that agree in what is left are one template, if no more
-   tokens became variable than may and half of all tokens are still constant.
+2. Tree: a line goes down by its number of tokens, then by its first tokens, LEAD of them or, from LONGER tokens on,
+   twice as many.  Lines that now read the same are one leaf; a leaf that recurs in enough documents is a template.
+3. Generalisation: the leaves of a node are compared position by position.  Beyond the leading tokens, one that stands
+   at its place in fewer than MIN_DOCS documents of the node is a variable field too.  Leaves that agree in what is
+   left are one template, if no more than a WILD-th of the tokens became variable that way and half of all tokens are
+   still constant.
 4. Templates that recur are dropped from all documents but the first, so that what is repeated stays once.
 
 Enough documents are two for lines of LONG tokens, which recur by no chance, and MIN_DOCS for shorter ones and for
 generalised templates.  Lines of fewer than MIN_CHARS characters (brackets, bullets, "Yes.") are never dropped.
 
-All of it is column expressions.  Hashes of lines and tokens are shuffled, never texts, but for the last join.  Each
+All of it is column expressions.  Hashes of lines and tokens are shuffled; texts only in the last join, and those of
+lines in nodes of several leaves where these are too many to be found by a broadcast.  Each
 count is pre-aggregated.  A template or token that a large part of all lines share is joined by a broadcast whose size
 is bounded, as each of its rows stands for at least a fixed part of all lines.
 """
@@ -26,29 +26,28 @@ from pyspark.sql import functions as F
 
 from .support import written
 
-LEAD, MIN_DOCS, MIN_CHARS = 2, 3, 8
-#: Tokens from which a line is long, the part of the tokens that may become variable (one in so many), and the most.
-LONG, WILD, MOST = 50, 5, 3
-#: Rows up to which a table of nodes or leaves is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+LEAD, LONGER, MIN_DOCS, MIN_CHARS = 2, 10, 3, 8
+#: Tokens from which a line is long, and the part of the tokens that may become variable (one in so many).
+LONG, WILD = 50, 5
+#: Rows up to which a table of leaves is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: A row that is broadcast stands for at least this part of all lines (or tokens), so there are no more rows than that.
 HOT_LINES, HOT_TOKENS = 10_000, 100_000
 #: What has fewer lines is no hot row, however small the table.
 LEAST_HOT = 1_000
 #: A token with a digit in it, looked for at the starts of tokens only, and the sign that stands for it.
 FIELD, SIGN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", "<*>"
-#: White space that isn't one blank.
-WIDE = r"[\x09-\x0D][\x20\x09-\x0D]*+|\x20[\x20\x09-\x0D]++"
+#: White space within a line that isn't one blank.
+WIDE = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++"
 
 
-def plain(line: Column) -> Column:
-    """The tokens of a line joined by one blank."""
-    # Most lines need no replacement; a search for the first wide blank is much cheaper.
-    return F.trim(F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, WIDE, " ")).otherwise(line))
+def plain(text: Column) -> Column:
+    """A text, of one or more lines, with one blank between tokens; most need no replacement."""
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(text, WIDE, " ")).otherwise(text)
 
 
 def n_tokens(line: Column) -> Column:
-    return F.when(line != "", F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).otherwise(0)
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def general(line: Column) -> Column:
@@ -57,28 +56,18 @@ def general(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), masked).otherwise(line)
 
 
-def _wild(n: Column) -> Column:
-    """How many tokens of a line of n may become variable."""
-    return F.least(F.floor(n / WILD), F.lit(MOST)).cast("int")
+def _lead(n: Column) -> Column:
+    """How many leading tokens the tree looks at."""
+    return F.when(n < LONGER, LEAD).otherwise(2 * LEAD)
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, th, pos, n, path, leaf, toks) of each line with at least MIN_CHARS characters; toks only where fields are looked for."""
-    # Within the array of lines each step is made once, and only hashes leave the document's row.
-    lines = F.transform(F.transform(F.split(F.col(text), "\n", -1), plain), lambda line: F.struct(F.length(line).alias("chars"), general(line).alias("t")))
-
-    def walk(x: Column) -> Column:
-        t, n = x["t"], n_tokens(x["t"])
-        tokens = F.when((x["chars"] >= MIN_CHARS) & (n >= WILD), F.transform(F.split(t, " "), lambda w: F.hash(w)))
-        return F.struct(x["chars"].alias("chars"), n.cast("int").alias("n"), F.xxhash64(n, F.substring_index(t, " ", LEAD)).alias("path"), F.xxhash64(F.lit(7), t).alias("leaf"), tokens.alias("toks"))
-
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.transform(lines, walk)).alias("pos", "x"))
-    return rows.where(F.col("x.chars") >= MIN_CHARS).select("id", "th", "pos", "x.n", "x.path", "x.leaf", "x.toks")
-
-
-def _runs(path: str, n: str, tokens: str) -> Column:
-    """A hash of each of the runs that a line is cut in, one more than tokens may become variable."""
-    return F.expr(f"transform(sequence(0, least(floor({n} / {WILD}), {MOST})), b -> xxhash64({path}, b, slice({tokens}, cast(floor(b * {n} / (least(floor({n} / {WILD}), {MOST}) + 1)) as int) + 1, cast(floor((b + 1) * {n} / (least(floor({n} / {WILD}), {MOST}) + 1)) as int) - cast(floor(b * {n} / (least(floor({n} / {WILD}), {MOST}) + 1)) as int))))")
+    """(id, th, pos, n, path, leaf, t) of each line with at least MIN_CHARS characters."""
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), plain(F.col(text)).alias("text"), F.col(text).rlike("[0-9]").alias("digits"))
+    rows = rows.select("id", "th", "digits", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).where(F.length("line") >= MIN_CHARS)
+    rows = rows.withColumn("t", F.when(F.col("digits"), general(F.col("line"))).otherwise(F.col("line"))).withColumn("n", n_tokens(F.col("t")).cast("int"))
+    lead = F.when(F.col("n") < LONGER, F.substring_index("t", " ", LEAD)).otherwise(F.substring_index("t", " ", 2 * LEAD))
+    return rows.select("id", "th", "pos", "n", F.xxhash64("n", lead).alias("path"), F.xxhash64(F.lit(7), "t").alias("leaf"), "t")
 
 
 def _documents(in_docs: DataFrame, *by: str) -> DataFrame:
@@ -107,35 +96,33 @@ def _small(table: DataFrame) -> DataFrame:
 
 def _generalised(lines: DataFrame, leaves: DataFrame) -> DataFrame:
     """(path, leaf, grp, docs, low, no_id) of the leaves that recur only with further fields generalised."""
-    runs = lines.where(F.col("toks").isNotNull()).select("path", "leaf", F.explode(_runs("path", "n", "toks")).alias("node"))
-    nodes = runs.groupBy("node").agg(F.count("*").alias("c"), F.min("leaf").alias("x"), F.max("leaf").alias("y")).where((F.col("c") >= MIN_DOCS) & (F.col("x") != F.col("y")))
-    nodes = written(nodes.select("node"), "line-nodes")
-    there = written(runs.join(_small(nodes), "node").distinct(), "line-nodes")
-    members = written(leaves.join(_small(written(there.select("path", "leaf").distinct(), "line-members")), ["path", "leaf"]).withColumn("rare", F.col("docs") < _enough()), "line-members")
+    rare = F.col("docs") < _enough()
+    nodes = leaves.where(F.col("n") >= WILD).groupBy("path").agg(F.sum(F.when(rare, F.col("docs")).otherwise(0)).alias("d"), F.count(F.when(rare, 1)).alias("c")).where((F.col("d") >= MIN_DOCS) & (F.col("c") > 1))
+    members = written(leaves.where(F.col("n") >= WILD).join(_small(written(nodes.select("path"), "line-nodes")), "path").withColumn("rare", rare), "line-members")
     # A line of the first document speaks for its leaf.
-    one = lines.where(F.col("toks").isNotNull()).select("path", "leaf", F.col("id").alias("_id"), "toks").join(_small(members), ["path", "leaf"])
-    one = one.where(F.col("_id").eqNullSafe(_first())).select("path", "leaf", "n", "docs", "rare", "toks").dropDuplicates(["path", "leaf"])
-    one = written(one.join(there, ["path", "leaf"]), "line-leaf-tokens")
+    one = lines.where(F.col("n") >= WILD).select("path", "leaf", F.col("id").alias("_id"), "t").join(_small(members), ["path", "leaf"])
+    one = one.where(F.col("_id").eqNullSafe(_first())).select("path", "leaf", "n", "docs", "rare", F.transform(F.split("t", " "), lambda w: F.hash(w)).alias("toks"))
+    one = written(one.dropDuplicates(["path", "leaf"]), "line-leaf-tokens")
     total = one.agg(F.sum(F.col("n") * F.col("docs"))).first()[0] or 0
-    tokens = one.select("node", "leaf", "n", "docs", "rare", F.posexplode("toks").alias("i", "tok"))
-    support = tokens.where(F.col("i") >= LEAD).groupBy("node", "i", "tok").agg(F.sum("docs").alias("s")).where(F.col("s") >= MIN_DOCS)
+    tokens = one.select("path", "leaf", "n", "docs", "rare", F.posexplode("toks").alias("i", "tok"))
+    beyond = F.col("i") >= _lead(F.col("n"))
+    support = tokens.where(beyond).groupBy("path", "i", "tok").agg(F.sum("docs").alias("s")).where(F.col("s") >= MIN_DOCS)
     support = written(support, "line-tokens")
-    asked = tokens.where("rare").select("node", "leaf", "n", "docs", "i", "tok")
+    asked = tokens.where("rare").select("path", "leaf", "n", "docs", "i", "tok")
     field = F.col("tok") == F.hash(F.lit(SIGN))
-    given = asked.where((F.col("i") < LEAD) | field)
-    held = _with(asked.where((F.col("i") >= LEAD) & ~field), support, ["node", "i", "tok"], "s", max(LEAST_HOT, total // HOT_TOKENS)).select(*asked.columns)
+    given = asked.where(~beyond | field)
+    held = _with(asked.where(beyond & ~field), support, ["path", "i", "tok"], "s", max(LEAST_HOT, total // HOT_TOKENS)).select(*asked.columns)
     # What the constants leave out of a line's tokens is variable; the constants alone, in any order, name the template.
     constants = given.unionByName(held).withColumn("h", F.xxhash64("i", "tok")).withColumn("f", field.cast("int"))
-    pattern = constants.groupBy("node", "leaf").agg(F.max("n").alias("n"), F.max("docs").alias("docs"), F.count("*").alias("c"), F.sum("f").alias("f"), F.bit_xor("h").alias("g"))
-    pattern = pattern.where((F.col("c") < F.col("n")) & (F.col("n") - F.col("c") <= _wild(F.col("n"))) & (2 * (F.col("c") - F.col("f")) >= F.col("n")))
-    pattern = written(pattern.select("leaf", "docs", F.xxhash64(F.lit(9), "n", "g").alias("grp")).distinct(), "line-patterns")
-    many = pattern.groupBy("grp").agg(F.sum("docs").alias("d")).where(F.col("d") >= MIN_DOCS).select("grp")
-    some = written(pattern.join(many, "grp").select("leaf", "grp"), "line-patterns")
+    pattern = constants.groupBy("path", "leaf").agg(F.max("n").alias("n"), F.max("docs").alias("docs"), F.count("*").alias("c"), F.sum("f").alias("f"), F.bit_xor("h").alias("g"))
+    pattern = pattern.where((F.col("c") < F.col("n")) & (WILD * (F.col("n") - F.col("c")) <= F.col("n")) & (2 * (F.col("c") - F.col("f")) >= F.col("n")))
+    pattern = written(pattern.select("path", "leaf", "docs", F.xxhash64(F.lit(9), "n", "g").alias("grp")), "line-patterns")
+    many = pattern.groupBy("path", "grp").agg(F.sum("docs").alias("d")).where(F.col("d") >= MIN_DOCS).select("path", "grp")
+    some = written(pattern.join(many, ["path", "grp"]).select("path", "leaf", "grp"), "line-patterns")
     # Documents are counted by their ids: one document may hold many lines of a template.
-    in_docs = lines.select("path", "leaf", "id").join(_small(some), "leaf").select("path", "leaf", "grp", "id").distinct()
-    in_docs = written(in_docs, "line-documents")
-    found = _documents(in_docs.select("grp", "id").distinct(), "grp").where(F.col("docs") >= MIN_DOCS)
-    return in_docs.select("path", "leaf", "grp").distinct().join(found, "grp").select("path", "leaf", "grp", "docs", "low", "no_id")
+    in_docs = lines.select("path", "leaf", "id").join(_small(some), ["path", "leaf"]).select("path", "grp", "id").distinct()
+    found = _documents(in_docs, "path", "grp").where(F.col("docs") >= MIN_DOCS)
+    return some.join(found, ["path", "grp"]).select("path", "leaf", "grp", "docs", "low", "no_id")
 
 
 def _enough() -> Column:
@@ -159,7 +146,6 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     own = hit.where(there).select("path", "grp", "id", "th", "pos")
     kept = own.groupBy("path", "grp").agg(F.min(F.struct("th", "pos")).alias("kept"))
     more = own.join(kept, ["path", "grp"]).where(F.struct("th", "pos") != F.col("kept"))
-    # A line may be of several templates; it goes if it isn't the first of one of them.
     return hit.where(~there).select("id", "th", "pos").unionByName(more.select("id", "th", "pos")).groupBy("id", "th").agg(F.collect_set("pos").alias("drop"))
 
 
@@ -194,20 +180,15 @@ w as (select *, string_split(plain, ' ') as ws from p where length(plain) >= 8),
 t as (
   select doc_id, pos, len(ws) as n, case when 2 * len(list_filter(ws, lambda x: regexp_matches(x, '[0-9]'))) <= len(ws)
     then list_transform(ws, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) else ws end as ws from w),
-u as (select *, ws[1:2] as lead from t),
+u as (select *, ws[1:case when n < 10 then 2 else 4 end] as lead from t),
 d as (select ws, n, lead, count(distinct doc_id) as docs from u group by ws, n, lead),
-e as (select *, least(n // 5, 3) as v from d where n >= 5),
-q as (select *, unnest(range(v + 1)) as b from e),
-o as (select ws, n, lead, docs, v, struct_pack(n := n, lead := lead, b := b, run := ws[(b * n // (v + 1)) + 1 : (b + 1) * n // (v + 1)]) as node from q),
-k as (
-  select *, unnest(ws) as x, unnest(range(n)) as i from o
-  where node in (select node from o group by node having sum(docs) >= 3 and count(*) > 1)),
-s as (select node, i, x from k where i >= 2 group by node, i, x having sum(docs) >= 3),
+k as (select *, unnest(ws) as x, unnest(range(n)) as i from d where n >= 5),
+s as (select n, lead, i, x from k where i >= len(lead) group by n, lead, i, x having sum(docs) >= 3),
 c as (
-  select k.ws, k.n, k.v, k.node, list(struct_pack(i := k.i, x := k.x) order by k.i) as g, count(*) as c, count(*) filter (where k.x = '<*>') as f
-  from k left join s on k.node = s.node and k.i = s.i and k.x = s.x
-  where k.docs < case when k.n >= 50 then 2 else 3 end and (k.i < 2 or k.x = '<*>' or s.x is not null) group by k.ws, k.n, k.v, k.node),
-g as (select distinct ws, n, g from c where c < n and n - c <= v and 2 * (c - f) >= n),
+  select k.ws, k.n, list(struct_pack(i := k.i, x := k.x) order by k.i) as g, count(*) as c, count(*) filter (where k.x = '<*>') as f
+  from k left join s on k.n = s.n and k.lead = s.lead and k.i = s.i and k.x = s.x
+  where k.docs < case when k.n >= 50 then 2 else 3 end and (k.i < len(k.lead) or k.x = '<*>' or s.x is not null) group by k.ws, k.n),
+g as (select ws, n, g from c where c < n and 5 * (n - c) <= n and 2 * (c - f) >= n),
 h as (select n, g from g join u using (ws, n) group by n, g having count(distinct doc_id) >= 3),
 r as (
   select ws, n, null as g from d where docs >= case when n >= 50 then 2 else 3 end
@@ -218,6 +199,6 @@ m as (
 select d.doc_id, coalesce(max(s.n), 0)::bigint as n_lines, coalesce(max(s.k), 0)::bigint as n_dropped, sha256(coalesce(max(s.kept), '')) as kept_sha256
 from documents d left join (
   select l.doc_id, count(*) as n, count(*) filter (where m.dropped) as k, string_agg(line, chr(10) order by l.pos) filter (where m.dropped is not true) as kept
-  from l left join (select doc_id, pos, bool_or(dropped) as dropped from m group by doc_id, pos) m on l.doc_id = m.doc_id and l.pos = m.pos group by l.doc_id) s on d.doc_id = s.doc_id
+  from l left join m on l.doc_id = m.doc_id and l.pos = m.pos group by l.doc_id) s on d.doc_id = s.doc_id
 group by d.doc_id
 """
