@@ -32,10 +32,10 @@ LEAST_CHARS, LEAST_COMMON, LEAST_REFERENCE = 200, 30, 2000
 MIN_WORDS = 50
 
 
-def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common) of each row."""
+def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common, row) of each row; row holds the columns of ``carry``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(key).alias("id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), t.alias("t"))
+    base = docs.select(F.col(key).alias("id"), F.col(lang).alias("lang"), t.alias("t"), F.struct(*carry or [F.lit(0).alias("none")]).alias("row"))
     base = base.withColumn("words", F.filter(F.split("t", BLANKS), lambda w: w != ""))
     # Three words in a row as one hash; a window of the text is its place in this array.
     base = base.withColumn("h", F.when(F.size("words") >= 3, F.expr("transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2]))")).otherwise(F.expr("cast(array() as array<bigint>)")))
@@ -67,6 +67,7 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         repeat.alias("n_repeat_words"),
         F.col("classes"),
         F.transform(_words_of(F.col("lang")), lambda c: F.size(F.filter(F.col("spoken"), lambda w: w == c)).cast("long")).alias("common"),
+        F.col("row"),
     )
 
 
@@ -97,17 +98,27 @@ def references(counted: DataFrame) -> DataFrame:
     return summed.select("lang", F.coalesce("ref_words", F.lit(0)).alias("ref_words"), *lists)
 
 
+def kept_rows(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, as they are.  Each goes along with its counts, so no text is shuffled."""
+    return _judged(docs, docs.columns[0], text, lang, tuple(docs.columns)).where("kept").select("row.*")
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, js_classes, js_words, js_share).
 
-    A null text has no words and fails; a null language is one of its own.  Repeated rows give a row each; an empty
+    A null text has no words and fails; a null language is one of its own, apart from the empty one.  Repeated rows give a row each; an empty
     table gives an empty result; other columns are left out.  The counts are written once to the shared folder,
     since the references need all of them first.
     """
-    counted = counts(docs, key, text, lang).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return _judged(docs, key, text, lang, ()).select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_classes", "js_words", "js_share")
+
+
+def _judged(docs: DataFrame, key: str, text: str, lang: str, carry: tuple[str, ...]) -> DataFrame:
+    counted = counts(docs, key, text, lang, carry).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     counted = written(counted, "quality-counts")
     # One row a language: adaptive execution broadcasts it where it is small, and splits a hot language where not.
-    joined = counted.join(references(counted), "lang")
+    known = references(counted).withColumnRenamed("lang", "ref_lang")
+    joined = counted.join(known, F.col("lang").eqNullSafe(F.col("ref_lang")))
     total = lambda c: f"cast(aggregate({c}, 0L, (s, x) -> s + x) as double)"
     for c in ("classes", "common", "ref_classes", "ref_common"):
         joined = joined.withColumn(f"{c}_n", F.expr(total(c)))
@@ -120,4 +131,4 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     js_share = F.when(known & (F.col("n_words") >= MIN_WORDS), _distance("share", "ref_share", "words_n", "ref_words_n"))
     judged = joined.withColumn("js_classes", js_classes).withColumn("js_words", js_words).withColumn("js_share", js_share)
     far = (F.coalesce("js_classes", F.lit(0.0)) > LIMIT_CLASSES) | (F.coalesce("js_words", F.lit(0.0)) > LIMIT_WORDS) | (F.coalesce("js_share", F.lit(0.0)) > LIMIT_SHARE)
-    return judged.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "js_classes", "js_words", "js_share")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~far)

@@ -261,6 +261,103 @@ def test_quality_counts(docs):
     assert got.where("base_failed and kept").count() == 0 and quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def test_mix_of_many_sources_odd_rows_and_clashing_names(spark):
+    rows = [(i % 90 or None, "w " * (i % 7), f"s{i % 40:02}" if i % 40 else None, 5, "x") for i in range(300)] + [(1, "a b", "s01", 5, "x")] * 5 + [(2, "long " * 50_000, "s02", 5, "x"), (3, "", "only empty", 5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target string")
+    got = source_mix.mix(docs).collect()
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"]
+        sizes[r.source] += r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    want = dict.fromkeys(names, 0.0)
+    free = set(names)
+    while True:
+        left = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in names if s not in free)
+        want = {s: left * weight[s] / sum(weight[x] for x in free) if s in free else 2 * sizes[s] for s in names}
+        over = {s for s in free if want[s] > 2 * sizes[s]}
+        if not over:
+            break
+        free -= over
+    assert len(got) == len(rows) and sorted(r["size"] for r in got) == sorted(len((r[1] or "").split()) for r in rows)
+    assert all(target[s] == pytest.approx(want[s]) for s in names)
+    # All quotients ranked in plain Python give the blocks; a source of one shard takes them, or twice itself at most.
+    seats = round(sum(want.values()) / source_mix.BLOCK)
+    bids = sorted((-want[s] / (2 * k + 1), i) for i, s in enumerate(names) for k in range(int(want[s] / source_mix.BLOCK) + 40))[:seats]
+    quota = Counter(i for _, i in bids)
+    assert {s: taken[s] for s in names} == {s: min(quota[i] * source_mix.BLOCK, 2 * sizes[s]) for i, s in enumerate(names)}
+
+
+def test_ranges_count_like_one_window(spark):
+    draw = random.Random(8)
+    rows = [(draw.choice(["a", "b", None]), draw.randrange(50), i, float(draw.randrange(9))) for i in range(500)]
+    table = spark.createDataFrame(rows, "g string, x int, i int, v double")
+    got = {r.i: (r._n, r._upto_v) for r in source_mix.in_order(table, ["g"], [F.desc("x"), F.col("i").asc()], ["v"]).collect()}
+    for g in ("a", "b", None):
+        total = 0.0
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))):
+            total += r[3]
+            assert got[r[2]] == (n + 1, total)
+
+
+def test_verdicts_agree_with_plain_python(spark):
+    """Every distance, share and limit of the method's verdict, computed anew from the texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    own = spark.createDataFrame([(9001, "x y z " * 80, None), (9002, "the of and to in is was for on with are that " * 9, ""), (9003, None, "en"), (9004, "", "xx")], "doc_id long, text string, lang string")
+    docs = docs.union(own)
+    rows = docs.collect()
+    classes = [re.compile(f"[{c}]") for c in quality_rules.CLASSES]
+    every = list(dict.fromkeys(w for ws in quality_rules.COMMON.values() for w in ws))
+    base, ref = {}, {}
+    for r in rows:
+        text = r.text or ""
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        covered = {i + d for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for d in range(3)}
+        failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+        chars = re.sub("[\x20\x09-\x0d]", "", text)
+        hist = [len(c.findall(chars)) for c in classes]
+        hist.append(len(chars) - sum(hist))
+        listed = quality_rules.COMMON.get(r.lang, every)
+        common = [words.count(w) for w in listed]
+        base[r.doc_id] = failed, len(words), hist, common, r.lang
+        if not failed:
+            one = ref.setdefault(r.lang, [0, [0] * len(hist), [0] * len(common)])
+            one[0] += len(words)
+            one[1] = [a + b for a, b in zip(one[1], hist, strict=True)]
+            one[2] = [a + b for a, b in zip(one[2], common, strict=True)]
+
+    def far(p, q):
+        p, q = np.array(p) / sum(p), np.array(q) / sum(q)
+        m = (p + q) / 2
+        part = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a)
+        return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+    Q = quality_rules
+    got = {r.doc_id: r for r in Q.judge(docs).collect()}
+    seen = Counter()
+    for key, (failed, n, hist, common, lang) in base.items():
+        words, chars, listed = ref.get(lang, (0, [0], [0]))
+        js = [None] * 3
+        if words >= Q.LEAST_REFERENCE:
+            if sum(hist) >= Q.LEAST_CHARS:
+                js[0] = far(hist, chars)
+            if sum(common) >= Q.LEAST_COMMON and sum(listed):
+                js[1] = far(common, listed)
+            if n >= Q.MIN_WORDS:
+                js[2] = far([sum(common), n - sum(common)], [sum(listed), words - sum(listed)])
+        over = [x is not None and x > limit for x, limit in zip(js, (Q.LIMIT_CLASSES, Q.LIMIT_WORDS, Q.LIMIT_SHARE), strict=True)]
+        r = got[key]
+        assert (r.base_failed, r.kept) == (failed, not failed and not any(over))
+        for x, y in zip(js, (r.js_classes, r.js_words, r.js_share), strict=True):
+            assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, abs=1e-9))
+        seen[failed, r.kept] += 1
+    assert seen[False, True] > 50 and seen[True, False] > 5
+
+
 def test_distance_of_histograms(spark):
     one = spark.sql("select array(1L, 3L, 0L) as p, array(2L, 0L, 2L) as q, 4d as p_n, 4d as q_n, 0d as zero")
     got = one.select(quality_rules._distance("p", "q", "p_n", "q_n").alias("d"), quality_rules._distance("p", "q", "p_n", "zero").alias("n")).first()
