@@ -1,7 +1,9 @@
 """A corpus pipeline over ``documents``: quality rules, line dedup, near-duplicate join, source mix, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's result to the shared
-folder and reads it again as the next one's input.
+folder and reads it again as the next one's input.  Every stage but the last returns the columns of documents, in their
+order; other columns of its input are left out, so their names can't clash.  A stage on an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -9,23 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.llm import byte_bpe, jaccard_join, line_templates, quality_rules, queries, source_mix
+from notewell.llm import jaccard_join, line_templates, quality_rules, queries, source_mix
 from notewell.llm.support import WORD, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    judged = quality_rules.judge(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("th"))))
-    # Rows with one key and one text are judged alike; one verdict for each of them is enough.
-    kept = judged.where("kept").select("doc_id").distinct().select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.th").alias("_th"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th"))
-    return docs.join(kept, same, "left_semi").select(*COLUMNS)
+    """The rows that the quality rules keep, each judged by itself.
+
+    Null and empty texts fail; a null language has a reference of its own; a null doc_id doesn't matter; repeated rows
+    are kept or not alike.
+    """
+    return quality_rules.kept_rows(docs.select(*COLUMNS))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that recur across documents; those left without a word go."""
+    """Documents without the lines that recur across documents; those left without a word go.
+
+    Null and empty texts go.  Rows that repeat a doc_id and a text lose the same lines; rows without doc_id are one
+    document, the first.
+    """
     rest = line_templates.dedup(docs.select(*COLUMNS)).where(F.col("text").rlike(WORD))
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -34,9 +40,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near duplicates: the one with the smallest doc_id and, of its texts, text hash.
 
     A document is a doc_id with a text: rows that share only the doc_id are joined or not as others are.  Of rows
-    that repeat both, the one with the smallest other columns stays.  Rows without doc_id stay.
+    that repeat both, the one with the smallest other columns stays.  Rows without doc_id stay, as do null and empty
+    texts, one of each doc_id.
     """
-    rows = jaccard_join.rows_of(docs).where("doc_id is not null").groupBy("root", F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("_rows"))
+    rows = jaccard_join.rows_of(docs).where("doc_id is not null")
+    rows = rows.groupBy("root", F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("_rows"))
     rows = written(rows, "document-components")
     first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("_id", "_th", "_rows")).alias("x")).select("x.*")
     first = written(first.union(rows.where("root is null").select("_id", "_th", "_rows")), "kept-documents")
@@ -54,16 +62,22 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it.
 
     The mix counts words; at the ends of a run of blocks it takes part of a document, which is rounded here to the
-    document or nothing.  A document without words that the mix can't count stays once.
+    document or nothing.  A document without words that the mix can't count stays once.  Null sources are one source.
+    Documents are told apart by doc_id, text and source, nulls among them; of rows that repeat all three, each is taken
+    as often as the one that is taken most.
     """
-    mixed = source_mix.mix(docs).select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("copies"))
-    times = mixed.where("copies > 0").groupBy("_id").agg(F.max("copies").alias("copies"))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    taken = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    mixed = source_mix.mix(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("source").alias("_source"), taken.alias("copies"))
+    times = mixed.where("copies > 0").groupBy("_id", "_th", "_source").agg(F.max("copies").alias("copies"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th")) & docs["source"].eqNullSafe(F.col("_source"))
+    return docs.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded bytes, a row for each copy of a document."""
+    """doc_id, n_tokens and the digests of the ids and of the decoded bytes, a row for each copy of a document.
+
+    Null texts are empty ones; null doc_ids stay.
+    """
     return queries.encode_documents(docs)
 
 
