@@ -43,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     that repeat both, the one with the smallest other columns stays.  Rows without doc_id stay, as do null and empty
     texts, one of each doc_id.
     """
+    docs = docs.select(*COLUMNS)
     rows = jaccard_join.rows_of(docs).where("doc_id is not null")
     rows = rows.groupBy("root", F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("_rows"))
     rows = written(rows, "document-components")
@@ -66,6 +67,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents are told apart by doc_id, text and source, nulls among them; of rows that repeat all three, each is taken
     as often as the one that is taken most.
     """
+    docs = docs.select(*COLUMNS)
     taken = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     mixed = source_mix.mix(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("source").alias("_source"), taken.alias("copies"))
     times = mixed.where("copies > 0").groupBy("_id", "_th", "_source").agg(F.max("copies").alias("copies"))
