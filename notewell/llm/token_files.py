@@ -224,11 +224,22 @@ class ShardWriter:
         return {"shard": self.name, "n_docs": self.n_docs, "n_ids": self.n_ids, "low_id": int(keys[0])}
 
 
-def write_shards(rows: DataFrame, folder: str, id_bytes: int, end_id: int, key: str = "doc_id") -> DataFrame:
+def ranges_of(keys: DataFrame, key: str, parts: int) -> tuple[list[int], int]:
+    """Bounds of about ``parts`` ranges of the keys, as many as rows, and the ranges of rows without one.
+
+    A key that stands for many rows is the bound of several ranges; these are told apart by a hash.
+    """
+    rows, some = keys.agg(F.count("*"), F.count(key)).first()
+    share = max(1, round(parts * some / max(1, rows)))
+    found = keys.agg(F.percentile_approx(key, [i / share for i in range(1, share)], 20 * parts)).first()[0] if share > 1 and some else None
+    return list(found or []), -(-parts * (rows - some) // max(1, rows))
+
+
+def write_shards(rows: DataFrame, ranges: tuple[list[int], int], folder: str, id_bytes: int, end_id: int, key: str = "doc_id") -> DataFrame:
     """Writes the shards of (key, ids) below ``folder``; returns the manifest (shard, n_docs, n_ids, low_id), a row a shard.
 
     Null doc_ids come first; rows with one doc_id stand side by side, in the order of a hash of their ids.  The names of
-    shards ascend as their documents do.
+    shards ascend as their documents do.  The rows are computed once: the ranges come from the keys alone.
     """
     schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("low_id", T.LongType())])
     arrow = pa.schema([("shard", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("low_id", pa.int64())])
@@ -255,8 +266,16 @@ def write_shards(rows: DataFrame, folder: str, id_bytes: int, end_id: int, key:
         if shard:
             yield pa.RecordBatch.from_pylist([shard.close()], arrow)
 
+    bounds, nulls = ranges
+    bound = F.array(*[F.lit(x) for x in bounds]).cast("array<bigint>")
+    below = F.size(F.filter(bound, lambda x: x < F.col(key)))
+    equal = F.size(F.filter(bound, lambda x: x == F.col(key)))
+    # The hash as a part of 1, ascending as the hash does.
+    part = (F.shiftright(F.col("_h"), 11).cast("double") + float(1 << 52)) / float(1 << 53)
+    place = F.when(F.col(key).isNull(), F.floor(part * nulls)).otherwise(nulls + below + F.floor(part * equal))
     order = [F.col(key).asc_nulls_first(), F.col("_h").asc()]
-    dealt = rows.withColumn("_h", F.xxhash64("ids")).repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order, "ids")
+    dealt = rows.withColumn("_h", F.xxhash64("ids")).withColumn("_part", place.cast("int"))
+    dealt = dealt.repartitionById(nulls + len(bounds) + 1, F.col("_part")).sortWithinPartitions(*order, "ids")
     return written(dealt.select(key, "ids").mapInArrow(run, schema), "token-manifest")
 
 
@@ -338,5 +357,5 @@ def through_files(docs: DataFrame, tokenizer_path: str, end_id: int, key: str =
     rows = encoded(docs, tokenizer_path, key, text)
     with open(tokenizer_path, encoding="utf-8") as file:
         id_bytes = np.dtype(LibraryPieces(file.read()).dtype).itemsize
-    manifest = write_shards(written(rows, "token-ids"), folder, id_bytes, end_id, key)
-    return read_shards(spark, manifest, folder)
+    ranges = ranges_of(docs.select(F.col(key).cast("long").alias(key)), key, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return read_shards(spark, write_shards(rows, ranges, folder, id_bytes, end_id, key), folder)

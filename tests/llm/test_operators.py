@@ -134,8 +134,10 @@ def test_shards_are_bounded_and_repeated_keys_are_split(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int").repartition(3)
     folder = support.fresh_path(spark, "shards")
     encoded = token_files.encoded(docs, P.path("byte_bpe_50k.json"))
-    manifest = token_files.write_shards(encoded.repartition(6), folder, 2, 2).collect()
-    assert len(manifest) >= 4 and sum(r.n_docs for r in manifest) == 402
+    bounds, nulls = token_files.ranges_of(docs, "doc_id", 8)
+    assert len(bounds) == 7 and bounds.count(7) >= 4 and nulls == 1
+    manifest = token_files.write_shards(encoded, (bounds, nulls), folder, 2, 2).collect()
+    assert len(manifest) >= 8 and sum(r.n_docs for r in manifest) == 402 and max(r.n_docs for r in manifest) < 150
     got = token_files.through_files(docs, P.path("byte_bpe_50k.json"), 2).orderBy("start").collect()
     keys = [r.doc_id for r in got]
     assert keys == sorted(keys, key=lambda k: (k is not None, k or 0)) and [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
