@@ -22,6 +22,8 @@ WIKI = re.compile(r"\[\[([^\[\]\n|]+?)(?:\\?\|([^\[\]\n]*))?\]\]")
 CODE = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 LINK = re.compile(r"(!?)\[([^\[\]\n]*)\]\(\s*<?([^\s()<>]*(?:\([^\s()]*\)[^\s()<>]*)*)>?(?:\s+\"([^\"]*)\")?\s*\)")
 AUTO = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]*)>|(?<![\w\"(<\[])((?:https?://|www\.)[^\s<>]*[^\s<>.,;:!?\"')\]])")
+#: Runs of stars may begin and end within words, runs of low lines may not.
+EMPHASIS = re.compile(r"(?<![*\\])(\*\*)(?=[^\s*]).+?(?<=[^\s*])\*\*(?!\*)|(?<![\w\\])(__)(?=[^\s_]).+?(?<=[^\s_])__(?!\w)|(?<![*\\])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?!\*)|(?<![\w\\])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?!\w)")
 REGION = re.compile(r"<!--\s*(/?)\s*([A-Za-z][\w-]*)\s*(?::\s*(.*?))?\s*-->")
 
 
@@ -245,8 +247,8 @@ def _inlines(note: Note, lines: list[str], a: int, b: int, at, emphasis: bool, t
             add("Autolink", m.start(), m.end(), url=m[1] or m[2])
     if emphasis:
         bare = WIKI.sub(lambda m: " " * len(m[0]), plain)
-        for m in re.finditer(r"(?<![\w*\\])(\*\*|__)(?=\S)(.+?)(?<=\S)\1(?![\w*])|(?<![\w*_\\])([*_])(?=[^\s*_])([^*_\n]+?)(?<=\S)\3(?![\w*_])", bare):
-            add("Strong" if m[1] else "Emph", m.start(), m.end())
+        for m in EMPHASIS.finditer(bare):
+            add("Strong" if m[1] or m[2] else "Emph", m.start(), m.end())
     note.inlines.sort(key=lambda x: (x["span"]["start"], -x["span"]["end"]))
     for i, x in enumerate(note.inlines):
         x["seq"] = i

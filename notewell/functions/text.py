@@ -24,7 +24,7 @@ def shown(column: Column) -> Column:
 
 
 def truthy(display: Column) -> Column:
-    return ~F.trim(shown(display)).isin("", "false", "0")
+    return ~F.regexp_replace(shown(display), r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "").isin("", "false", "0")
 
 
 def number(display: Column) -> Column:

@@ -11,7 +11,9 @@ from notewell.operators import notes as N
 
 def backlinks(notes: DataFrame, keep_duplicates: bool = True) -> DataFrame:
     """(name, rel, src_name, src_rel, src_tier, line): a row for each body link to a note, duplicates kept."""
-    found = N.links(notes).where("surface = 'body'").select("link_key", F.col("rel").alias("src_rel"), "src_name", "line")
+    # The few columns that are asked for on three sides are dealt out once; the notes are parsed for that alone.
+    notes = notes.select("rel", "name", "tier", "links", "fm").repartition(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rel")
+    found = N.links(notes, frontmatter=False).select("link_key", F.col("rel").alias("src_rel"), "src_name", "line")
     if not keep_duplicates:
         found = found.dropDuplicates(["link_key", "src_rel"])
     named = N.with_key(notes).select("note_key", "name", "rel")
@@ -42,12 +44,17 @@ def resolve_many(notes: DataFrame, needles: DataFrame, needle: str = "needle") -
     return asked.join(suffixes, "_suffix").select("needle", "rel")
 
 
-def tag_counts(notes: DataFrame) -> DataFrame:
-    """(tag, n): occurrences; a tag that one file names twice counts twice."""
+def tag_counts(notes: DataFrame, by: str | None = None) -> DataFrame:
+    """(tag, n): occurrences; a tag that one file names twice counts twice.  In order ``by`` name, or count (then name)."""
+    counted = _tag_counts(notes)
+    return counted if by is None else counted.orderBy("tag") if by == "name" else counted.orderBy(F.desc("n"), "tag")
+
+
+def _tag_counts(notes: DataFrame) -> DataFrame:
     return notes.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-def listing(notes: DataFrame, kind: str, extra: str | None = None, drop_superseded: bool = False) -> DataFrame:
+def listing(notes: DataFrame, kind: str, extra: str | None = None, drop_superseded: bool = False, in_order: bool = False) -> DataFrame:
     """(rel, line): ``name — description [tags] (field: value)`` of the notes of a type, templates left out."""
     rows = notes.where((F.col("type") == kind) & ~F.col("is_template"))
     if drop_superseded:
@@ -57,7 +64,19 @@ def listing(notes: DataFrame, kind: str, extra: str | None = None, drop_supersed
     value = text.shown(F.col("fm")[extra]["display"]) if extra else F.lit("")
     more = F.when(value != "", F.concat(F.lit(f" ({extra}: "), value, F.lit(")"))).otherwise("")
     mark = F.when(F.col("tier") == "superseded", "[superseded] ").otherwise("")
-    return rows.select("rel", F.concat(mark, "name", desc, tags, more).alias("line"))
+    lines = rows.select("rel", F.concat(mark, "name", desc, tags, more).alias("line"), "name")
+    return (lines.orderBy("name", "rel") if in_order else lines).select("rel", "line")
+
+
+def files_by_tag(notes: DataFrame, tag: str) -> DataFrame:
+    """(rel) of the notes with a tag, by path."""
+    return notes.where(F.array_contains("tags", tag)).select("rel").orderBy("rel")
+
+
+def get(notes: DataFrame, slug: str, drop_superseded: bool = False) -> tuple[DataFrame, int]:
+    """The notes that a slug names, and the exit code: 1 if there is none.  Superseded ones go before they are counted."""
+    found = resolve(notes.where("tier <> 'superseded'") if drop_superseded else notes, slug)
+    return found, 0 if found.limit(1).count() else 1
 
 
 def projects(notes: DataFrame, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Notes as tables: each file crosses to Python once, as Arrow batches, and comes back parsed."""
+"""Notes as tables: each file crosses to Python once, as Arrow batches; only what was parsed comes back.
+
+The text of a note stays on the JVM: its body is a part of it, cut where the parser says that it begins.
+"""
 
 from __future__ import annotations
 
@@ -68,9 +71,10 @@ def parse_one(content: str, parts: tuple[str, ...]) -> dict:
             fm = yaml12.load(block)
         except (ValueError, IndexError, RecursionError) as e:
             fm, error = {}, str(e)
-    lines = content.removeprefix("﻿").split("\n")
-    body = content.removeprefix("﻿") if block is None else "".join("\n" + x for x in lines[first:])
-    out = {"fm": [(k, entry(v)) for k, v in sorted(fm.items())], "fm_error": error, "body": body, "body_start_line": first + 1}
+    # The body begins with the end of the line before it; what stands before that is left out, as is a byte order mark.
+    plain = content.removeprefix("\ufeff")
+    skipped = 0 if block is None else sum(len(x) + 1 for x in plain.split("\n", first)[:first]) - 1
+    out = {"fm": [(k, entry(v)) for k, v in sorted(fm.items())], "fm_error": error, "body_at": len(content) - len(plain) + skipped, "body_start_line": first + 1}
     if parts:
         note = markdown.structure(content, emphasis="inlines" in parts)
         out |= {p: getattr(note, p) for p in parts if p not in ("links", "unquoted")}
@@ -87,21 +91,22 @@ def parse(files: DataFrame, *parts: str) -> DataFrame:
     Only the parts that a query needs are computed.  What Catalyst can derive (folder, name, type, tier, tokens) is
     added as columns, so a query that doesn't read them doesn't pay for them.
     """
-    schema = _parse_datatype_string(f"rel string, content string, fm map<string,{VALUE}>, fm_error string, body string, body_start_line int" + "".join(f", {p} {PARTS[p]}" for p in parts))
+    schema = _parse_datatype_string(f"fm map<string,{VALUE}>, fm_error string, body_at int, body_start_line int" + "".join(f", {p} {PARTS[p]}" for p in parts))
     assert isinstance(schema, StructType)
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 512):
-                piece = batch.slice(a, 512)
-                contents = piece.column(1).to_pylist()
-                rows = [parse_one(c or "", parts) for c in contents]
-                columns = [piece.column(0).cast(pa.string()), piece.column(1).cast(pa.string())]
-                columns += [pa.array([r[f.name] for r in rows], f.type) for f in list(arrow)[2:]]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    notes = files.select("rel", "content").mapInArrow(run, schema)
+    def run(contents: pa.Array) -> pa.Array:
+        out = []
+        for a in range(0, len(contents), 512):
+            rows = [parse_one(c or "", parts) for c in contents.slice(a, 512).to_pylist()]
+            out.append(pa.StructArray.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in arrow], fields=list(arrow)))
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct(list(arrow)))
+
+    run.__annotations__ = {"contents": pa.Array, "return": pa.Array}
+    # Called deterministic, it would be evaluated again wherever a filter on its result is pushed down.
+    parsed = F.arrow_udf(run, schema).asNondeterministic()
+    notes = files.select("rel", "content", *(c for c in ("ctime",) if c in files.columns), parsed("content").alias("_p"))
+    notes = notes.select(*(c for c in notes.columns if c != "_p"), "_p.*").withColumn("body", F.substr("content", F.col("body_at") + 1)).drop("body_at")
     field = lambda key, part: F.col("fm")[key][part]
     is_template = F.coalesce(field("template", "bool"), F.lit(False))
     return (
@@ -117,10 +122,12 @@ def parse(files: DataFrame, *parts: str) -> DataFrame:
     )
 
 
-def links(notes: DataFrame) -> DataFrame:
+def links(notes: DataFrame, frontmatter: bool = True) -> DataFrame:
     """(rel, src_name, surface, ord, target, alias, line, embed, link_key): body links, then those of frontmatter."""
     body = notes.select("rel", F.col("name").alias("src_name"), F.lit("body").alias("surface"), F.posexplode("links").alias("ord", "l"))
     body = body.select("rel", "src_name", "surface", "ord", "l.target", "l.alias", "l.line", "l.embed")
+    if not frontmatter:
+        return body.withColumn("link_key", text.link_key(F.col("target")))
     front = notes.select("rel", F.col("name").alias("src_name"), F.lit("frontmatter").alias("surface"), F.posexplode(F.flatten(F.transform(F.map_values("fm"), lambda v: v["links"]))).alias("ord", "l"))
     front = front.select("rel", "src_name", "surface", "ord", "l.target", "l.alias", F.lit(None).cast("int").alias("line"), F.lit(False).alias("embed"))
     return body.unionByName(front).withColumn("link_key", text.link_key(F.col("target")))

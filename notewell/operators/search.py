@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewell.functions import text
+from notewell.functions.stem import stem as stem_word
 from notewell.functions.stem import stemmed
 
 BOOSTS = {"title": 1.0, "description": 1.5, "body": 1.0}
@@ -19,59 +23,118 @@ def tokens(column: Column, stem: bool) -> Column:
     return stemmed(words) if stem else words
 
 
-def fields(notes: DataFrame) -> DataFrame:
-    return notes.select("rel", F.col("name").alias("title"), "description", F.col("body"))
+def fields(notes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    return notes.select("rel", *carry, F.col("name").alias("_f_title"), F.col("description").alias("_f_description"), F.col("body").alias("_f_body"))
 
 
-def query_terms(query: str, stem: bool = True) -> list[str]:
-    """The distinct terms of a query; operators of the query language that are left without a side are an error."""
-    import re
+@dataclass(frozen=True)
+class Query:
+    """A query: terms that make a score, those that must and those that must not be there.
+
+    Terms side by side are alternatives.  ``a AND b`` asks for both sides, ``NOT a`` rules a term out, and ``OR`` says
+    what is meant anyway; AND binds closer than OR, so a query is a list of conjunctions.
+    """
+
+    groups: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...]
 
+    @property
+    def terms(self) -> list[str]:
+        return sorted({t for wanted, _ in self.groups for t in wanted})
+
+    def holds(self, has) -> Column:
+        """The condition, where ``has`` gives that of one term."""
+        parts = [reduce(and_, [*[has(t) for t in wanted], *[~has(t) for t in barred]]) for wanted, barred in self.groups]
+        return reduce(or_, parts) if parts else F.lit(False)
+
+
+def parse_query(query: str, stem: bool = True) -> Query:
+    """The query; an operator of the query language that is left without a side is an error."""
     words = re.findall(r"[^\W_]+", text.sanitize_query(query))
-    if {"AND", "OR", "NOT"} & set(words):
-        raise ValueError("AND, OR and NOT need terms on their sides")
-    lower = [w.lower() for w in words]
-    if stem:
-        from notewell.functions.stem import stem as one
 
-        lower = [one(w) for w in lower]
-    return sorted(set(lower))
+    def term(word: str) -> str:
+        return stem_word(word.lower()) if stem else word.lower()
+
+    groups: list[tuple[list[str], list[str]]] = []
+    at, join = 0, False
+    while at < len(words):
+        word, barred = words[at], False
+        if word in ("AND", "OR"):
+            if not groups or join or at + 1 == len(words) or words[at + 1] in ("AND", "OR"):
+                raise ValueError(f"{word} needs terms on its sides")
+            join = word == "AND"
+            at += 1
+            word = words[at]
+        if word == "NOT":
+            if at + 1 == len(words) or words[at + 1] in ("AND", "OR", "NOT"):
+                raise ValueError("NOT needs a term")
+            at, barred = at + 1, True
+            word = words[at]
+        if not join and not (barred and groups and not words[at - 2 : at - 1] == ["OR"]):
+            groups.append(([], []))
+        groups[-1][barred].append(term(word))
+        join = False
+        at += 1
+    if any(not wanted for wanted, _ in groups):
+        raise ValueError("NOT alone rules out without asking for anything")
+    return Query(tuple((tuple(dict.fromkeys(a)), tuple(dict.fromkeys(b))) for a, b in groups))
 
 
-def bm25(notes: DataFrame, terms: list[str], stem: bool = True, boosts: dict[str, float] | None = None) -> DataFrame:
-    """(rel, score) of the notes that hold a term: the sum over fields and terms of boost * idf * saturated tf.
+def query_terms(query: str, stem: bool = True) -> list[str]:
+    """The distinct terms that make a query's score."""
+    return parse_query(query, stem).terms
 
-    Only the query's terms leave a document: its terms are counted in its own row, so what is shuffled is three sums
-    a field, and no postings list is made.  Statistics are those of the notes given, so a scope narrows them first.
+
+CARRIED = ("name", "type", "tier", "tokens", "body")
+
+
+def _scored(notes: DataFrame, query: Query, stem: bool, boosts: dict[str, float] | None, carry: tuple[str, ...]) -> DataFrame:
+    """(rel, score, carry...) of the notes that a query holds for; the notes are parsed and cut into terms once.
+
+    Only the query's terms leave a document: its terms are counted in its own row, so what is shuffled is three sums a
+    field and, of those that hold, the columns that the caller carries on; no postings list is made.  The statistics
+    and the scores read the same shuffled rows.
     """
-    boosts = boosts or BOOSTS
-    if not terms:
-        return notes.select("rel", F.lit(0.0).alias("score")).limit(0)
-    counted = fields(notes).select("rel", *[tokens(F.col(f), stem).alias(f) for f in boosts])
-    count = lambda f, t: F.size(F.filter(f, lambda w: w == t))
-    rows = counted.select("rel", *[F.size(f).alias(f"len_{f}") for f in boosts], *[count(f, t).alias(f"tf_{f}_{i}") for f in boosts for i, t in enumerate(terms)])
-    stats = rows.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in boosts], *[F.sum((F.col(f"tf_{f}_{i}") > 0).cast("int")).alias(f"df_{f}_{i}") for f in boosts for i in range(len(terms))])
+    boosts, terms = boosts or BOOSTS, query.terms
+    asked = sorted({*terms, *(t for _, barred in query.groups for t in barred)})
+    counted = fields(notes, carry).select("rel", *carry, *[tokens(F.col(f"_f_{f}"), stem).alias(f"_t_{f}") for f in boosts])
+    count = lambda f, t: F.size(F.filter(f"_t_{f}", lambda w: w == t))
+    rows = counted.select("rel", *carry, *[F.size(f"_t_{f}").alias(f"len_{f}") for f in boosts], *[count(f, t).alias(f"tf_{f}_{i}") for f in boosts for i, t in enumerate(asked)])
+    has = lambda t: text.any_of([F.col(f"tf_{f}_{asked.index(t)}") > 0 for f in boosts])
+    rows = rows.withColumn("hit", query.holds(has)).select("rel", *[F.when(F.col("hit"), F.col(c)).alias(c) for c in carry], *[c for c in rows.columns if c not in ("rel", *carry)], "hit")
+    rows = rows.repartition(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rel")
+    stats = rows.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in boosts], *[F.sum((F.col(f"tf_{f}_{i}") > 0).cast("int")).alias(f"df_{f}_{i}") for f in boosts for i in range(len(asked))])
     score: Column = F.lit(0.0)
     for f, boost in boosts.items():
         norm = K1 * (1 - B + B * F.col(f"len_{f}") / F.col(f"avg_{f}"))
-        for i in range(len(terms)):
+        for t in terms:
+            i = asked.index(t)
             tf, df = F.col(f"tf_{f}_{i}"), F.col(f"df_{f}_{i}")
             idf = F.log1p((F.col("n") - df + 0.5) / (df + 0.5))
             score = score + F.when(tf > 0, boost * idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
-    hit = text.any_of([F.col(f"tf_{f}_{i}") > 0 for f in boosts for i in range(len(terms))])
     # One row of statistics: a broadcast of constant size.
-    return rows.join(F.broadcast(stats)).where(hit).select("rel", score.alias("score"))
+    return rows.join(F.broadcast(stats)).where("hit").select("rel", score.alias("score"), *carry)
+
+
+def bm25(notes: DataFrame, terms: list[str] | Query, stem: bool = True, boosts: dict[str, float] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(rel, score, carry...) of the notes that hold a term: the sum over fields and terms of boost * idf * saturated tf.
+
+    Statistics are those of the notes given, so a scope narrows them first.
+    """
+    query = terms if isinstance(terms, Query) else Query(tuple(((t,), ()) for t in terms))
+    if not query.groups:
+        return notes.select("rel", F.lit(0.0).alias("score"), *carry).limit(0)
+    return _scored(notes, query, stem, boosts, carry)
 
 
 def search(notes: DataFrame, query: str, limit: int = 10, types: tuple[str, ...] = (), drop_superseded: bool = False, stem: bool = True) -> DataFrame:
     """(rel, title, type, score, tokens, superseded, snippet): scores are scaled by trust before the limit."""
     rows = notes.where(F.col("type").isin(*types)) if types else notes
-    terms = query_terms(query, stem)
-    hits = bm25(rows, terms, stem).join(rows, "rel")
+    asked = parse_query(query, stem)
+    hits = bm25(rows, asked, stem, carry=CARRIED)
     if drop_superseded:
         hits = hits.where("tier <> 'superseded'")
     scaled = hits.withColumn("score", F.col("score") * text.multiplier(F.col("tier")))
-    return scaled.orderBy(F.desc("score"), "rel").limit(limit).select("rel", F.col("name").alias("title"), "type", "score", "tokens", (F.col("tier") == "superseded").alias("superseded"), snippet(F.regexp_replace("body", r"^\n+", ""), terms).alias("snippet"))
+    return scaled.orderBy(F.desc("score"), "rel").limit(limit).select("rel", F.col("name").alias("title"), "type", "score", "tokens", (F.col("tier") == "superseded").alias("superseded"), snippet(F.regexp_replace("body", r"^\n+", ""), asked.terms).alias("snippet"))
 
 
 def snippet(body: Column, terms: list[str], width: int = 150) -> Column:
@@ -123,10 +186,11 @@ def consult_hits(notes: DataFrame, query: str, scope: tuple[str, ...] = (), incl
     rows = notes.where(~F.col("is_template"))
     rows = rows.where(F.col("type").isin(*scope)) if scope else rows
     rows = rows if include_superseded else rows.where("tier <> 'superseded'")
-    terms = query_terms(query, stem)
-    top = bm25(rows, terms, stem).orderBy(F.desc("score"), "rel").limit(DEPTH)
+    asked = parse_query(query, stem)
+    terms = asked.terms
+    top = bm25(rows, asked, stem, carry=CARRIED).orderBy(F.desc("score"), "rel").limit(DEPTH)
     body = F.regexp_replace("body", r"^\n+", "")
-    hits = top.join(rows, "rel").select("rel", "type", (F.col("score") * text.multiplier(F.col("tier"))).alias("score"), coverage(terms, F.col("body"), stem).alias("coverage"), text.tokens(body).alias("tokens"), body.alias("body"))
+    hits = top.select("rel", "type", (F.col("score") * text.multiplier(F.col("tier"))).alias("score"), coverage(terms, F.col("body"), stem).alias("coverage"), text.tokens(body).alias("tokens"), body.alias("body"))
     # At most DEPTH rows are left; one window over them is of constant size.
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "rel")))
 

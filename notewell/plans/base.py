@@ -194,10 +194,15 @@ class Formula:
                 if sign == " != ":
                     return a.show != b.show
                 more = a.num > b.num if sign == " > " else a.num < b.num
-                # A side that is no number leaves the text to be looked up as a whole, and no property has such a name.
-                return F.coalesce(more, F.lit(False))
+                # A side that is no number leaves the text to be read as a whole: a literal, or a property of that name.
+                return F.coalesce(more, text.truthy(self.whole(s)))
         return text.truthy(self.expression(s).show)
 
+    @staticmethod
+    def whole(s: str) -> Column:
+        """What a text shows that is no comparison: what stands between its outermost quotes, or a property."""
+        return F.lit(s[1:-1]) if len(s) > 1 and s[0] == s[-1] == '"' else prop(s)
+
     @staticmethod
     def depths(s: str):
         depth, quoted = 0, False
@@ -242,20 +247,36 @@ def header(base: Base, name: str) -> str:
 
 
 def run(base: Base, view_name: str, notes: DataFrame, extra: Column | None = None) -> DataFrame:
-    """A view's rows: its columns c0, c1, ... as texts, ``_group`` and ``_rel``, in order.
+    """A view's rows: its columns c0, c1, ... as texts, ``_group``, ``_rel`` and the sort keys ``_k0``, ...
 
-    Filters come first, so they are pushed below everything else; sort keys are texts compared byte by byte, with
-    the path last, so the order is total.  The result carries headers in the columns' metadata.
+    Filters come first, so they are pushed below everything else.  The rows are in no order: ``ordered`` puts them in
+    the view's, and the renderers do.  The result carries headers and directions in the columns' metadata.
     """
     view = base.view(view_name)
     kept = notes.where(compile_set(base.filters) & compile_set(view.filters) & (extra if extra is not None else F.lit(True)))
     formulas = {k: Formula().expression(v).show for k, v in base.formulas.items()}
-    keys = [(column(c, formulas).asc() if up else column(c, formulas).desc()) for c, up in view.sort]
+    keys = [(column(c, formulas), up) for c, up in view.sort]
     out = [column(c, formulas).alias(f"c{i}", metadata={"header": header(base, c), "source": c}) for i, c in enumerate(view.order)]
     group = column(view.group[0], formulas) if view.group else F.lit(None).cast("string")
     if view.group:
-        keys.insert(0, group.asc() if view.group[1] else group.desc())
-    return kept.orderBy(*keys, "rel").select(*out, group.alias("_group"), F.col("rel").alias("_rel"))
+        keys.insert(0, (group, view.group[1]))
+    return kept.select(*out, group.alias("_group"), F.col("rel").alias("_rel"), *[k.alias(f"_k{i}", metadata={"up": up}) for i, (k, up) in enumerate(keys)])
+
+
+def sort_keys(rows: DataFrame) -> list[Column]:
+    """The order of a view's rows: texts compared byte by byte, with the path last, so the order is total."""
+    keys = [F.col(f.name).asc() if f.metadata["up"] else F.col(f.name).desc() for f in rows.schema.fields if "up" in f.metadata]
+    return [*keys, F.col("_rel").asc()]
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """A view's rows in order, without the sort keys.
+
+    An order over all rows samples them first; dealing the few finished columns out before keeps the notes from being
+    parsed for the sample and again for the result.
+    """
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_rel")
+    return dealt.orderBy(*sort_keys(rows)).select(*[f.name for f in rows.schema.fields if "up" not in f.metadata])
 
 
 def summaries(base: Base, view_name: str, rows: DataFrame) -> DataFrame:
@@ -287,7 +308,7 @@ def render_table(rows: DataFrame, summary: list[str] | None = None) -> str:
     heads = _headers(rows)
     out: list[str] = []
     now: object = out
-    for r in rows.toLocalIterator():
+    for r in ordered(rows).toLocalIterator():
         if r["_group"] != now:
             _close(out, summary, bool(now is not out))
             now = r["_group"]
@@ -311,14 +332,14 @@ def render_json(rows: DataFrame) -> str:
 
     heads = _headers(rows)
     grouped = lambda r: {} if r["_group"] is None else {"_group": r["_group"]}
-    return json.dumps([grouped(r) | {h: r[c] for c, h in heads} for r in rows.toLocalIterator()], ensure_ascii=False, indent=2)
+    return json.dumps([grouped(r) | {h: r[c] for c, h in heads} for r in ordered(rows).toLocalIterator()], ensure_ascii=False, indent=2)
 
 
 def render_tsv(rows: DataFrame) -> str:
     heads = _headers(rows)
     clean = lambda s: re.sub(r"[\t\r\n]+", " ", s)
     lines, grouped = [], False
-    for r in rows.toLocalIterator():
+    for r in ordered(rows).toLocalIterator():
         grouped = r["_group"] is not None
         lines.append("\t".join(([clean(r["_group"])] if grouped else []) + [clean(r[c]) for c, _ in heads]))
     return "\n".join(["\t".join((["group"] if grouped else []) + [h for _, h in heads]), *lines]) + "\n"

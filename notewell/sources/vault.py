@@ -67,7 +67,7 @@ def _try_texts(spark: SparkSession, root: str, pattern: str) -> list[tuple[str,
 
 
 def scan(spark: SparkSession, root: str, sub: str | None = None, use_ignore: bool = True) -> DataFrame:
-    """(rel, content, ctime) of the notes: files that end in ``.md``; those that aren't UTF-8 are left out.
+    """(rel, content, ctime) of the notes: files that end in ``.md``; those that aren't UTF-8 are left out (see ``unreadable``).
 
     Path rules are filters on the path alone, so the bytes of files that they exclude aren't decoded.
     """
@@ -75,6 +75,12 @@ def scan(spark: SparkSession, root: str, sub: str | None = None, use_ignore: boo
     return rows.where(F.is_valid_utf8("bytes")).select("rel", F.decode("bytes", "utf-8").alias("content"), F.col("modified").alias("ctime"))
 
 
+def unreadable(spark: SparkSession, root: str, sub: str | None = None, use_ignore: bool = True) -> DataFrame:
+    """(rel) of the files that ``scan`` leaves out, for a message to the user."""
+    rows = files(spark, root, "*.md", sub).where(~ignored(F.col("rel"), read_patterns(spark, root, use_ignore)))
+    return rows.where(~F.is_valid_utf8("bytes")).select("rel")
+
+
 def assets(spark: SparkSession, root: str, use_ignore: bool = True) -> DataFrame:
     """(rel, name, ext) of the assets; their bytes aren't read."""
     ext = F.lower(F.regexp_extract("rel", r"\.([^./]+)$", 1))
@@ -130,15 +136,25 @@ class VaultReader(DataSourceReader):
 
     BATCH = 256
 
-    def __init__(self, root: str):
-        self.root = root.rstrip("/")
+    def __init__(self, root: str, use_ignore: bool = True):
+        self.root, self.use_ignore = root.rstrip("/"), use_ignore
+
+    def _patterns(self, system, base: str) -> list[str]:
+        if not self.use_ignore:
+            return list(ALWAYS)
+        try:
+            with system.open_input_stream(posixpath.join(base, ".vaultignore")) as file:
+                return ALWAYS + parse_ignore(file.read().decode("utf-8"))
+        except FileNotFoundError:
+            return list(ALWAYS)
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
         found = [(i.path, posixpath.relpath(i.path, base)) for i in system.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File and i.path.endswith(".md")]
-        found = sorted(x for x in found if not any(x[1] == p or x[1].startswith(p + "/") for p in ALWAYS))
+        patterns = self._patterns(system, base)
+        found = sorted(x for x in found if not any(x[1].endswith(p[1:]) if p.startswith("*.") else x[1] == p.rstrip("/") or x[1].startswith(p.rstrip("/") + "/") for p in patterns))
         return [FilePart(found[i : i + self.BATCH]) for i in range(0, len(found), self.BATCH)] or [FilePart([])]
 
     def read(self, partition: FilePart) -> Iterator[tuple]:
@@ -154,7 +170,7 @@ class VaultReader(DataSourceReader):
 
 
 class VaultSource(DataSource):
-    """``spark.read.format("vault").load(folder)``: (rel, content) of the notes of a folder."""
+    """``spark.read.format("vault").load(folder)``: (rel, content) of the notes of a folder; ``ignore=false`` reads all of them."""
 
     @classmethod
     def name(cls) -> str:
@@ -164,4 +180,4 @@ class VaultSource(DataSource):
         return "rel string, content string"
 
     def reader(self, schema) -> VaultReader:
-        return VaultReader(self.options["path"])
+        return VaultReader(self.options["path"], self.options.get("ignore", "true").lower() != "false")
