@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewell.functions import text
@@ -83,3 +83,17 @@ def projects(notes: DataFrame, root: str, exclude: tuple[str, ...] = ()) -> Data
     """Notes at most two folders below ``root``, by the depth of their path."""
     depth = F.size(F.split("rel", "/")) - len(root.split("/"))
     return notes.where(text.in_folder(F.col("rel"), root) & (depth <= 2) & ~F.col("name").isin(*exclude))
+
+
+def ticket_owner() -> Column:
+    """The slug of the track that a ticket's first track link names."""
+    return F.regexp_replace(text.resolve_name(F.get(F.col("fm")["track"]["links"], F.lit(0))["target"]), "^track-", "")
+
+
+def roster_check(notes: DataFrame) -> DataFrame:
+    """(rel, slug, near): tickets of tracks that no note is, with the tracks whose slug has the same first part."""
+    known = notes.where("type = 'track'").select(F.col("fm")["slug"]["display"].alias("slug"))
+    first = lambda c: F.substring_index(c, "-", 1)
+    near = known.groupBy(first("slug").alias("_first")).agg(F.array_sort(F.collect_set("slug")).alias("near"))
+    lost = notes.where("type = 'ticket'").select("rel", ticket_owner().alias("slug")).where("slug is not null").join(known, "slug", "left_anti")
+    return lost.withColumn("_first", first("slug")).join(near, "_first", "left").select("rel", "slug", F.coalesce("near", F.array().cast("array<string>")).alias("near"))

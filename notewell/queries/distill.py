@@ -33,10 +33,11 @@ def fuzzy_names(spark, sf_dir):
 
 
 def snap_overlap(spark, sf_dir):
-    """Quotes are the starts of part names with a brand; blocks are all names of a brand."""
+    """Quotes name a brand, every other one as a block does; blocks are the brands."""
     parts = _table(spark, sf_dir, "part")
-    quotes = parts.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("quote_id"), F.concat(F.lit("missing "), F.regexp_replace("p_brand", "#", "")).alias("quote"))
-    blocks = parts.groupBy("p_brand").agg(F.min("p_partkey").alias("n")).select("n", F.concat(F.lit("All of "), F.regexp_replace("p_brand", "#", "")).alias("block"))
+    brand = F.regexp_replace("p_brand", "#", "")
+    quotes = parts.select(F.col("p_partkey").alias("quote_id"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("of  "), F.upper(brand))).otherwise(F.concat(F.lit("missing "), brand)).alias("quote"))
+    blocks = parts.groupBy("p_brand").agg(F.min("p_partkey").alias("n")).select("n", F.concat(F.lit("All of "), F.regexp_replace("p_brand", "#", ""), F.lit(" here")).alias("block"))
     return D.snap(quotes, blocks)
 
 
@@ -46,7 +47,7 @@ def word_caps(spark, sf_dir):
 
 
 def bench_stats(spark, sf_dir):
-    return D.run_stats(_table(spark, sf_dir, "lineitem").where("l_orderkey < 2000"), "l_returnflag", "l_quantity", "l_discount")
+    return D.run_stats(_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "l_discount")
 
 
 def trigger_rate(spark, sf_dir):
@@ -79,10 +80,10 @@ SQL = {
     "fuzzy_names": """with c as (select distinct replace(c_name, 'Customer#0000', 'Cust0mer ') as name from customer), s as (select replace(s_name, 'Supplier#0000', 'Customer ') as match, s_suppkey as ord from supplier),
       p as (select name, match, ord, levenshtein(name, match) as distance from c, s), q as (select *, row_number() over (partition by name order by distance, ord) as r from p where distance <= least(3, greatest(length(name), length(match)) // 3))
       select name, match, distance from q where r = 1""",
-    "snap_overlap": """select p_partkey as quote_id, n, 'overlap' as how from part join (select p_brand, min(p_partkey) as n from part group by p_brand) b using (p_brand) where p_partkey % 10 = 0""",
+    "snap_overlap": """select p_partkey as quote_id, n, case when p_partkey % 2 = 0 then 'contains' else 'overlap' end as how from part join (select p_brand, min(p_partkey) as n from part group by p_brand) b using (p_brand)""",
     "word_caps": """with t as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '[^a-zA-Z. \\n]', '', 'g'), '([.])\\s+', '\\1' || chr(1), 'g'), chr(1))) as s from documents),
       w as (select doc_id, len(regexp_extract_all(s, '\\S+')) as words from t) select doc_id, count(*) as n, max(words)::bigint as longest from w where words > 20 group by doc_id""",
-    "bench_stats": """with m as (select l_returnflag, unnest(['l_quantity', 'l_discount']) as measure, unnest([l_quantity, l_discount]) as x from lineitem where l_orderkey < 2000)
+    "bench_stats": """with m as (select l_returnflag, unnest(['l_quantity', 'l_discount']) as measure, unnest([l_quantity, l_discount]) as x from lineitem)
       select l_returnflag, measure, round(avg(x), 4) as mean, round(coalesce(stddev_samp(x), 0), 4) as stddev, round(min(x), 4) as min, round(max(x), 4) as max from m group by all""",
     "trigger_rate": "select doc_id % 7 as g, round(avg((quality = 1)::int), 9) as rate, avg((quality = 1)::int) >= 0.5 as passes from labels group by 1",
     "stratified_split": """with r as (select c_custkey, c_mktsegment, row_number() over (partition by c_mktsegment order by md5('42:' || c_custkey), c_custkey) as r, count(*) over (partition by c_mktsegment) as n from customer)

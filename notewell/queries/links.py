@@ -33,11 +33,11 @@ def list_live_tickets(spark, sf_dir):
 
 
 def backlinks_count(spark, sf_dir):
-    return graph.backlinks(_notes(spark, sf_dir, "ticket", "track", parts=("links",)).persist()).groupBy("name", "src_tier").agg(F.count("*").alias("n"))
+    return graph.backlinks(_notes(spark, sf_dir, "ticket", "track", parts=("links",))).groupBy("name", "src_tier").agg(F.count("*").alias("n"))
 
 
 def card_backlinks(spark, sf_dir):
-    return graph.backlinks(_notes(spark, sf_dir, "ticket", "card", parts=("links",)).persist()).where("name like 'card-%' and src_name like 'ticket-%'").select("name", "src_name", "line")
+    return graph.backlinks(_notes(spark, sf_dir, "ticket", "card", parts=("links",))).where("name like 'card-%' and src_name like 'ticket-%'").select("name", "src_name", "line")
 
 
 def link_targets(spark, sf_dir):
@@ -65,10 +65,8 @@ def ticket_by_track(spark, sf_dir):
 
 def track_roster(spark, sf_dir):
     """Tickets of tracks that the vault doesn't have, with near matches by the slug's first part."""
-    notes = _notes(spark, sf_dir, "ticket", "track").persist()
-    roster = notes.where("type = 'track' and fm['slug'].num % 3 <> 0").select(F.col("fm")["slug"]["display"].alias("slug"))
-    owner = F.regexp_replace(text.resolve_name(F.get(F.col("fm")["track"]["links"], F.lit(0))["target"]), "^track-", "")
-    return notes.where("type = 'ticket'").select("rel", owner.alias("slug")).join(roster, "slug", "left_anti")
+    notes = _notes(spark, sf_dir, "ticket", "track")
+    return graph.roster_check(notes).select("rel", "slug", F.array_join("near", ",").alias("near"))
 
 
 def projects_listing(spark, sf_dir):
@@ -96,14 +94,14 @@ SQL = {
     "list_live_tickets": T + "select rel, name || ' — Order ' || k || ' of customer ' || o_custkey || ' [' || kind || ', ' || lower(seg) || case when k % 5 = 0 then ', once-' || k else '' end || ']' as line from v where tier <> 'superseded'",
     "backlinks_count": T + "select 'track-' || c_nationkey as name, tier as src_tier, count(*) as n from t group by all",
     "card_backlinks": CT + """, l as (select name as src_name, o_custkey, k, 0 as again from t union all select name, o_custkey, k, 1 from t where k % 3 = 0)
-      select c.name, l.src_name, (3 + 13 + case when l.k % 11 = 0 then -1 else 0 end + (l.k % 17 = 0)::int + (l.k % 101 = 0)::int + (l.k % 19 = 0)::int + (l.k % 23 = 0)::int - (l.k % 31 = 0)::int + case when l.k % 14 = 0 then 3 when l.k % 7 = 0 then 2 else 0 end + 2 + again * 13)::int as line
+      select c.name, l.src_name, (3 + 13 + case when l.k % 11 = 0 then -1 else 0 end + (l.k % 17 = 0)::int + (l.k % 101 = 0)::int + (l.k % 19 = 0)::int + (l.k % 23 = 0)::int - (l.k % 31 = 0)::int + (l.k % 101 = 0 or l.k % 37 = 0)::int + (l.k % 101 <> 0 and l.k % 43 = 0)::int + case when l.k % 14 = 0 then 3 when l.k % 7 = 0 then 2 else 0 end + 2 + again * 13)::int as line
       from l join c on c.k = l.o_custkey""",
-    "link_targets": "with " + C + "select rel, 3 + case when k % 6 = 0 then 0 else 1 end + case when k * 3 = k + 1 then -1 else 0 end as n, 'card-' || k * 3 as first_target from c",
+    "link_targets": "with " + C + "select rel, 3 + case when k % 6 = 0 then 0 else 1 end + case when k * 3 = case when k % 25 = 24 then k else k + 1 end then -1 else 0 end as n, 'card-' || k * 3 as first_target from c",
     "resolve_slug": "select '41 projects/tracks/track-7.md' as rel from nation where n_nationkey = 7",
     "resolve_many": "select 'Track ' || n_nationkey as needle, '41 projects/tracks/track-' || n_nationkey || '.md' as rel from nation",
     "in_folder_boundary": "select '41 projects/tracks/track-' || n_nationkey || '.md' as rel from nation",
-    "ticket_by_track": T + "select cast(c_nationkey as varchar) as slug, count(*) as n from t group by 1",
-    "track_roster": T + "select cast(c_nationkey as varchar) as slug, rel from t where c_nationkey % 3 = 0",
+    "ticket_by_track": T + "select c_nationkey || case when k % 59 = 0 then '-old' else '' end as slug, count(*) as n from t group by 1",
+    "track_roster": T + "select c_nationkey || '-old' as slug, rel, cast(c_nationkey as varchar) as near from t where k % 59 = 0",
     "projects_listing": T + "select '41 projects/' || seg as folder, count(*) as n from t group by 1 union all select '41 projects/tracks', count(*) from nation where n_nationkey <> 1",
     "fm_entry_kinds": T + """select key, kind, count(*) as n, sum(s) as seq_len from (
       select unnest(['type', 'description', 'project', 'kind', 'track', 'created']) as key, 'string' as kind, 0 as s from t
@@ -111,6 +109,8 @@ SQL = {
       union all select 'status', case when k % 13 = 0 then 'null' else 'string' end, 0 from t union all select 'tags', 'list', 2 + (k % 5 = 0)::int from t
       union all select 'cost', 'number', 0 from t where k % 11 <> 0 union all select 'superseded', 'bool', 0 from t where k % 17 = 0
       union all select 'template', 'bool', 0 from t where k % 101 = 0 union all select 'epistemic_status', 'string', 0 from t where k % 19 = 0
+      union all select 'stage', case when k % 101 = 0 then 'list' else 'string' end, case when k % 101 = 0 then 2 else 0 end from t where k % 101 = 0 or k % 37 = 0
+      union all select 'smell', 'string', 0 from t where k % 101 <> 0 and k % 43 = 0
       union all select 'colour', 'string', 0 from t where k % 23 = 0 union all select 'updated', 'string', 0 from t where k % 31 <> 0
       union all select 'requires', 'list', 1 + (k % 14 = 0)::int from t where k % 7 = 0) group by key, kind""",
 }

@@ -21,10 +21,9 @@ def _rule(name: str, *kinds: str, parts: tuple[str, ...] = (), cap: int = L.CAP)
 
 
 def lint_summary(spark, sf_dir):
-    notes = N.parse(synth.vault(spark, sf_dir, "ticket", "track", "card", "reference"), *L.PARTS).persist()
-    on = {"slug-filename-mismatch", "untagged-card", "dangling-requires-target", "missing-required-field", "unknown-rel", "reference-not-wikilink"}
-    found = L.findings(L.Vault(notes), overrides={r: "off" for r in L.RULES if r not in on})
-    return L.summary(found)
+    """All rules over cards and references."""
+    notes = N.parse(synth.vault(spark, sf_dir, "card", "reference"), *L.PARTS).persist()
+    return L.summary(L.findings(L.Vault(notes)))
 
 
 def relation_edges(spark, sf_dir):
@@ -59,23 +58,24 @@ CLIVE = "with " + C + ", x as (select * from c where not superseded)"
 SQL = {
     "lint_broken_wikilink": CLIVE + """, n as (select count(*) as cards from part), s as (select count(*) as refs from supplier), l as (
         select rel, 'card-' || k * 3 as target, k * 3 >= cards as gone from x, n
-        union select rel, 'card-' || k + 1, k + 1 >= cards from x, n
+        union select rel, 'card-' || nxt, nxt >= cards from (select *, case when k % 25 = 24 then k else k + 1 end as nxt from x), n
         union select rel, 'ref-' || k % 120, k % 120 >= refs from x, s
         union select rel, '30 references/ref-' || k % 150, k % 150 >= refs from x, s where k % 6 <> 0
-        union select '30 references/ref-' || s_suppkey || '.md', 'nation-' || s_nationkey, true from supplier)
+        union select '30 references/ref-' || s_suppkey || '.md', 'nation-' || s_nationkey, true from supplier
+        union select '30 references/ref-' || s_suppkey || '.md', 'card-' || s_suppkey, s_suppkey >= cards from supplier, n where s_suppkey % 5 = 0)
       select rel as file, 'broken wikilink [[' || target || ']]' as message from l where gone""",
     "lint_dangling_reference": "select '30 references/ref-' || s_suppkey || '.md' as file, 'reference ''ref-' || s_suppkey || ''' is not used by any card' as message from supplier where s_suppkey % 8 <> 0 and not exists (select 1 from part where p_partkey % 6 <> 0 and p_partkey % 150 = s_suppkey)",
     "lint_dangling_requires": LIVE + """, r as (select rel, 'ticket-' || k + 1 as target from x where k % 7 = 0 union all select rel, 'ticket-gone-' || k from x where k % 14 = 0)
       select rel as file, 'requires [[' || target || ']], which is no ticket' as message from r where target not in (select name from t)""",
-    "lint_orphan_cards": CLIVE + "select rel as file, 'card ''' || name || ''' has no inbound wikilinks' as message from x where k not in (select k * 3 from c) and k not in (select k + 1 from c)",
-    "lint_reference_vault_link": "select '' as file, '' as message where false",
+    "lint_orphan_cards": CLIVE + "select rel as file, 'card ''' || name || ''' has no inbound wikilinks' as message from x where k not in (select k * 3 from c) and k not in (select case when k % 25 = 24 then k else k + 1 end from c)",
+    "lint_reference_vault_link": "select '30 references/ref-' || s_suppkey || '.md' as file, 'reference links to vault entry [[card-' || s_suppkey || ']]' as message from supplier where s_suppkey % 5 = 0 and s_suppkey % 8 <> 0 and s_suppkey in (select p_partkey from part)",
     "lint_reference_wrong_type": CLIVE + "select rel as file, 'reference [[30 references/ref-' || k % 150 || ']] has type ''note''' as message from x join supplier on s_suppkey = k % 150 where k % 6 <> 0 and s_suppkey % 8 = 0",
     "lint_reference_not_wikilink": CLIVE + "select rel as file, 'reference is no wikilink: plain text' as message from x where k % 6 = 0",
     "lint_ticket_links": LIVE + "select rel as file, 'ticket links outward to [[' || unnest(['track-' || c_nationkey, 'card-' || o_custkey || '#Notes']) || ']]' as message from x",
     "lint_unknown_field": LIVE + """, a as (select bool_or(k % 11 <> 0) as cost, bool_or(k % 19 = 0) as epistemic_status, bool_or(k % 23 = 0) as colour, bool_or(k % 7 = 0) as requires from t where template),
-      f as (select rel, unnest(list_filter([case when k % 11 <> 0 and not a.cost then 'cost' end, case when k % 19 = 0 and not a.epistemic_status then 'epistemic_status' end, case when k % 23 = 0 and not a.colour then 'colour' end, case when k % 7 = 0 and not a.requires then 'requires' end], lambda y: y is not null)) as key from x, a where a.cost is not null)
+      f as (select rel, unnest(list_filter([case when k % 11 <> 0 and not a.cost then 'cost' end, case when k % 19 = 0 and not a.epistemic_status then 'epistemic_status' end, case when k % 23 = 0 and not a.colour then 'colour' end, case when k % 7 = 0 and not a.requires then 'requires' end, case when k % 43 = 0 then 'smell' end], lambda y: y is not null)) as key from x, a where a.cost is not null)
       select rel as file, 'unknown field ''' || key || ''' for type ''ticket''' as message from f""",
-    "lint_invalid_enum": "select '' as file, '' as message where false",
+    "lint_invalid_enum": LIVE + "select rel as file, '''rough'' is no option of ''stage''' as message from x where k % 37 = 0 and exists (select 1 from t where template)",
     "lint_missing_required": CT + """, m as (select rel, 'updated' as key, 'ticket' as type from v where tier <> 'superseded' and k % 31 = 0 union all select rel, 'tags', 'card' from c where not superseded and k % 9 = 0
         union all select '50 logs/' || w || '.md', unnest(['start', 'end']), 'weekly-log' from (select distinct strftime(ts, '%G-W%V') as w from events))
       select rel as file, 'missing required field ''' || key || ''' for type ''' || type || '''' as message from m""",
@@ -87,12 +87,22 @@ SQL = {
     "lint_untagged_card": CLIVE + "select rel as file, 'card ''' || name || ''' has no tags' as message from x where k % 9 = 0",
     "lint_unknown_rel": CLIVE + "select rel as file, 'unknown relation ''likes''' as message from x where k % 10 = 0",
     "lint_dangling_relation": CLIVE + "select rel as file, 'relation label ''Gamma'' is no local node' as message from x where k % 4 = 0",
-    "lint_summary": CT + """, x as (select * from v where tier <> 'superseded'), y as (select * from c where not superseded), f as (
-        select 'slug-filename-mismatch' as rule from x where k % 29 = 0 union all select 'untagged-card' from y where k % 9 = 0
-        union all select 'dangling-requires-target' from x where k % 14 = 0 union all select 'dangling-requires-target' from x where k % 7 = 0 and k + 1 not in (select k from t)
-        union all select 'missing-required-field' from x where k % 31 = 0 union all select 'missing-required-field' from y where k % 9 = 0
-        union all select 'unknown-rel' from y where k % 10 = 0 union all select 'reference-not-wikilink' from y where k % 6 = 0)
-      select rule, count(*) as n from f group by rule""",
     "relation_edges": "with " + C + """, e as (select 'subsumes' as rel_token, 'local' as endpoint_kind, null as predicate from c union all select case when k % 10 = 0 then 'likes' else 'part-of' end, 'file', 'always' from c)
       select rel_token, endpoint_kind, predicate, count(*) as n from e group by all""",
 }
+
+#: What single rules find among cards and references; a reference also links to some cards, and has tags of its own.
+SUMMED = {
+    "broken-wikilink": SQL["lint_broken_wikilink"],
+    "dangling-reference": SQL["lint_dangling_reference"],
+    "dangling-relation-label": SQL["lint_dangling_relation"],
+    "missing-required-field": CLIVE + "select rel as file, '' as message from x where k % 9 = 0",
+    "orphan-card": SQL["lint_orphan_cards"] + " and k not in (select s_suppkey from supplier where s_suppkey % 5 = 0)",
+    "reference-not-wikilink": SQL["lint_reference_not_wikilink"],
+    "reference-vault-link": SQL["lint_reference_vault_link"],
+    "reference-wrong-type": SQL["lint_reference_wrong_type"],
+    "singleton-tag": "with " + C + ", g as (select t1 as tag from c where k % 9 <> 0 union all select t2 from c where k % 9 <> 0 union all select 'supplier' from supplier) select tag as file, '' as message from g group by tag having count(*) = 1",
+    "unknown-rel": SQL["lint_unknown_rel"],
+    "untagged-card": SQL["lint_untagged_card"],
+}
+SQL["lint_summary"] = "select * from (" + " union all ".join(f"select '{rule}' as rule, count(*) as n from ({sql})" for rule, sql in SUMMED.items()) + ") where n > 0"

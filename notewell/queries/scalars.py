@@ -24,8 +24,9 @@ def endings_lf(spark, sf_dir):
 
 
 def lang_detect(spark, sf_dir):
-    mixed = F.concat(F.substring("text", 1, 20), F.when(F.col("doc_id") % 3 == 0, "привет мир снова и опять").otherwise(""))
-    return _docs(spark, sf_dir).select("doc_id", text.language(mixed).alias("lang"))
+    """Every third text with its small Latin letters as Cyrillic ones."""
+    cyrillic = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")
+    return _docs(spark, sf_dir).select("doc_id", text.language(F.when(F.col("doc_id") % 3 == 0, cyrillic).otherwise(F.col("text"))).alias("lang"))
 
 
 def word_counts(spark, sf_dir):
@@ -67,7 +68,7 @@ SQL = {
     "tokens_estimate": "select doc_id, (length(text) // 4)::int as tokens from documents",
     "sha_bytes": "select doc_id, sha256(text) as sha, octet_length(encode(text))::int as n_bytes from documents",
     "endings_lf": "select doc_id, md5(text) as digest from documents",
-    "lang_detect": "select doc_id, case when doc_id % 3 = 0 then 'ru' else 'en' end as lang from documents",
+    "lang_detect": r"select doc_id, case when doc_id % 3 = 0 and length(regexp_replace(text, '[^a-z]', '', 'g')) > 0.3 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) then 'ru' else 'en' end as lang from documents",
     "word_counts": "select doc_id, len(regexp_extract_all(text, '\\S+'))::bigint as words from documents",
     "slugs": "select p_partkey, replace(p_name, ' ', '-') || '-q-' || p_partkey || '-c-' || lower(replace(p_brand, '#', '-')) as slug, '41-projects/' || lower(replace(p_brand, '#', '-')) as path from part",
     "link_keys": "select p_partkey, '\"' || p_name || '\"' as link_key, 'x “' || upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] || '” Z' as shown from part",

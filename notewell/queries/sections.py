@@ -32,7 +32,7 @@ def heading_addresses(spark, sf_dir):
 
 def section_own_prose(spark, sf_dir):
     notes = _tickets(spark, sf_dir, "headings")
-    return sections.own_prose(notes, sections.ranges(notes)).where("address <> '1'").groupBy("address", "tokens", "own_tokens").agg(F.count("*").alias("n"))
+    return sections.own_prose(notes, sections.ranges(notes)).groupBy("address", "tokens", "own_tokens").agg(F.count("*").alias("n"))
 
 
 def block_stats(spark, sf_dir):
@@ -50,17 +50,17 @@ def blocks_tile(spark, sf_dir):
 
 
 def disjoint_sections(spark, sf_dir):
-    return distill.disjoint_sections(_tickets(spark, sf_dir, "headings")).where("seq > 0").select("rel", "seq", "heading", F.octet_length("text").alias("n_bytes"))
+    return distill.disjoint_sections(_tickets(spark, sf_dir, "headings")).select("rel", "seq", "heading", F.octet_length("text").alias("n_bytes"))
 
 
 def density_route(spark, sf_dir):
     cards = N.parse(synth.vault(spark, sf_dir, "card"), "headings")
-    routed = distill.route(distill.disjoint_sections(cards).where("seq > 0"))
+    routed = distill.route(distill.disjoint_sections(cards))
     return routed.groupBy("heading", "preserve").agg(F.count("*").alias("n"))
 
 
 def harvest_lanes(spark, sf_dir):
-    return distill.harvest(N.parse(synth.vault(spark, sf_dir, "card")), "rel", "body").where("lane in ('wikilink', 'row')").groupBy("lane").agg(F.count("*").alias("n"))
+    return distill.harvest(N.parse(synth.vault(spark, sf_dir, "card")), "rel", "body").groupBy("lane").agg(F.count("*").alias("n"))
 
 
 def format_departures(spark, sf_dir):
@@ -71,22 +71,23 @@ def format_departures(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (section_ranges, line_owner, heading_addresses, section_own_prose, block_stats, inline_stats, blocks_tile, disjoint_sections, density_route, harvest_lanes, format_departures)}
 
 #: f: the lines of a ticket's frontmatter.
-FRONT = T + """, l as (select *, 15 - (k % 11 = 0)::int + (k % 17 = 0)::int + (k % 101 = 0)::int + (k % 19 = 0)::int + (k % 23 = 0)::int - (k % 31 = 0)::int + case when k % 14 = 0 then 3 when k % 7 = 0 then 2 else 0 end as f from t)"""
+FRONT = T + """, l as (select *, 15 - (k % 11 = 0)::int + (k % 17 = 0)::int + (k % 101 = 0)::int + (k % 19 = 0)::int + (k % 23 = 0)::int - (k % 31 = 0)::int + (k % 101 = 0 or k % 37 = 0)::int + (k % 101 <> 0 and k % 43 = 0)::int + case when k % 14 = 0 then 3 when k % 7 = 0 then 2 else 0 end as f from t)"""
 SQL = {
     "section_ranges": FRONT + """ select rel, '1' as address, 1 as level, f + 1 as start, f + 20 as "end", 'order-' || k as slug from l union all select rel, '1.1', 2, f + 10, f + 17, 'notes' from l
         union all select rel, '1.1.1', 3, f + 14, f + 17, 'detail' from l union all select rel, '1.2', 2, f + 18, f + 20, 'tasks' from l""",
     "line_owner": FRONT + " select rel, f + 3 as line, '1' as address from l union all select rel, f + 20, '1.2' from l union all select rel, f + 16, '1.1.1' from l where k % 3 <> 0",
     "heading_addresses": "select '1.1' as address, count(*) as n from orders",
-    "section_own_prose": """with x as (select unnest(['1.1', '1.1.1', '1.2']) as address, o_orderkey as k, o_custkey as c from orders),
-        y as (select address, case when k % 3 = 0 then length('Again [[Card-' || c || '.md]].') else 13 end as a from x)
-      select address, (case address when '1.1' then 36 + a when '1.1.1' then 13 + a else 22 end) // 4 as tokens, (case address when '1.1' then 22 when '1.1.1' then 13 + a else 22 end) // 4 as own_tokens, count(*) as n from y group by all""",
+    "section_own_prose": T + """, x as (select *, '## Notes' || e || e || 'First line.' || e || e as notes, '### Detail' || e || e || case when k % 3 = 0 then 'Again [[Card-' || o_custkey || '.md]].' else 'Nothing more.' end || e as detail, '## Tasks' || e || e || '- [ ] ship' as tasks,
+          '# Order ' || k || e || e || 'See [[track-' || c_nationkey || ']] and [[card-' || o_custkey || '#Notes|card]].' || e || '`[[not-a-link]]` stays.' || e || e || '```' || e || '[[nor-this]]' || e || '```' || e as intro from (select *, chr(10) as e from t)),
+        y as (select unnest(['1', '1.1', '1.1.1', '1.2']) as address, unnest([length(intro || e || notes || detail || e || tasks), length(notes || detail), length(detail), length(tasks)]) as a, unnest([length(intro), length(notes) - 1, length(detail), length(tasks)]) as b from x)
+      select address, (a // 4)::int as tokens, (b // 4)::int as own_tokens, count(*) as n from y group by all""",
     "block_stats": "select unnest(['Paragraph', 'CodeBlock', 'List', 'ListItem']) as type, unnest([count(*) * 3, count(*), count(*), count(*)]) as n from orders",
     "inline_stats": "select 'Wikilink' as type, count(*) * 2 + count(*) filter (where o_orderkey % 3 = 0) as n from orders union all select 'CodeSpan', count(*) from orders",
     "blocks_tile": "select '' as rel, '' as type, 0 as start, 0 as \"end\" where false",
-    "disjoint_sections": T + """ select rel, unnest([1, 2, 3, 4]) as seq, unnest(['Order ' || k, 'Notes', 'Detail', 'Tasks']) as heading, unnest([
+    "disjoint_sections": T + """ select rel, unnest([0, 1, 2, 3, 4]) as seq, unnest(['', 'Order ' || k, 'Notes', 'Detail', 'Tasks']) as heading, unnest([0,
         length('# Order ' || k) + 2 + length('See [[track-' || c_nationkey || ']] and [[card-' || o_custkey || '#Notes|card]].') + 1 + length('`[[not-a-link]]` stays.') + 2 + 3 + 1 + 12 + 1 + 3 + 1,
         22, 12 + case when k % 3 = 0 then length('Again [[Card-' || o_custkey || '.md]].') else 13 end + 1, 20]) as n_bytes from t""",
-    "density_route": "select 'Glossary' as heading, true as preserve, count(*) as n from part union all select 'Relations', false, count(*) from part",
-    "harvest_lanes": "select 'wikilink' as lane, 3 * count(*) as n from part union all select 'row', 3 * count(*) from part",
+    "density_route": "select '' as heading, false as preserve, count(*) as n from part union all select 'Glossary' as heading, true as preserve, count(*) as n from part union all select 'Relations', false, count(*) from part",
+    "harvest_lanes": "select 'wikilink' as lane, 3 * count(*) as n from part union all select 'row', 3 * count(*) from part union all select 'number', 2 * count(*) from part",
     "format_departures": "select 'endings' as rule, count(*) as n from orders",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notewell.operators import notes as N
@@ -98,6 +98,12 @@ def _view(view: str, names: list[str], kinds: tuple[str, ...] = ("ticket",)):
     return query
 
 
+def base_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each open ticket of a project in the order of the view."""
+    rows = B.run(B.parse(TICKETS), "Open", N.parse(synth.vault(spark, sf_dir, "ticket")))
+    return rows.select(F.col("c0").alias("name"), F.row_number().over(Window.partitionBy("c2").orderBy(*B.sort_keys(rows))).alias("place"))
+
+
 def base_groupby(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.run(B.parse(TICKETS), "Grouped", N.parse(synth.vault(spark, sf_dir, "ticket")))
     return rows.groupBy(F.col("_group").alias("label")).agg(F.count("*").alias("n"), F.min("c0").alias("first_name"))
@@ -126,6 +132,7 @@ QUERIES = {
     "base_formula_compare": _view("Sizes", ["name", "size"]),
     "base_formula_arithmetic": _view("Sums", ["name", "doubled"]),
     "base_groupby": base_groupby,
+    "base_sorted": base_sorted,
     "base_summary_sum_avg": base_summary,
     "file_count": file_count,
 }
@@ -155,6 +162,7 @@ SQL = {
     "base_formula_divzero": T + f", n as (select name, {PER.format(s='1000.0')} as x, cost from v) select name, case when cost is null then '' else {NUM.format(x='x')} end as ratio from n",
     "base_formula_compare": T + "select name, case when cost > 250000 then 'large' when cost < 50000 then 'small' else 'medium' end as size from v",
     "base_formula_arithmetic": T + f", n as (select name, cost * 2 - items as x from v) select name, {NUM.format(x='x')} as doubled from n",
+    "base_sorted": T + "select name, row_number() over (partition by seg order by created, name, rel)::int as place from v where status = 'open'",
     "base_groupby": T + "select status as label, count(*) as n, min(name) as first_name from v group by status",
     "base_summary_sum_avg": T + "select cast(cast(sum(items) as bigint) as varchar) as items_sum, '' as status_avg, '' as kind_other from v",
     "file_count": "select 'ticket' as type, count(*) as n from orders union all select 'track', count(*) from nation",

@@ -29,7 +29,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
       case when {k} % 13 = 0 then 'status:\\n' else concat('status: ', case o_orderstatus when 'F' then 'done' when 'O' then 'open' else 'abandoned' end, '\\n') end,
       'project: "[[', c_mktsegment, ']]"\\n',
       'kind: ', lower(regexp_replace(substr(o_orderpriority, 3), ' ', '-')), '\\n',
-      'track: "[[41 projects/tracks/track-', c_nationkey, '|track ', c_nationkey, ']]"\\n',
+      'track: "[[41 projects/tracks/track-', c_nationkey, if({k} % 59 = 0, '-old', ''), '|track ', c_nationkey, ']]"\\n',
       'tags: [', lower(regexp_replace(substr(o_orderpriority, 3), ' ', '-')), ', "', lower(c_mktsegment), '"', if({k} % 5 = 0, concat(', once-', {k}), ''), ']\\n',
       case when {k} % 11 = 0 then '' else concat('cost: ', cast(cast(o_totalprice as decimal(18,2)) as string), '\\n') end,
       'items: ', {k} % 4, '\\n',
@@ -38,6 +38,8 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
       case when {k} % 101 = 0 then 'template: true\\n' else '' end,
       case when {k} % 19 = 0 then 'epistemic_status: provisional\\n' else '' end,
       case when {k} % 23 = 0 then 'colour: red\\n' else '' end,
+      case when {k} % 101 = 0 then 'stage: [draft, final]\\n' when {k} % 37 = 0 then 'stage: rough\\n' else '' end,
+      case when {k} % 101 <> 0 and {k} % 43 = 0 then 'smell: none\\n' else '' end,
       'created: ', date_format(o_orderdate, 'yyyy-MM-dd'), '\\n',
       case when {k} % 31 = 0 then '' else concat('updated: ', date_format(o_orderdate, 'yyyy-MM-dd'), '\\n') end,
       case when {k} % 7 = 0 then concat('requires:\\n  - "[[ticket-', {k} + 1, ']]"\\n', if({k} % 14 = 0, concat('  - "[[ticket-gone-', {k}, ']]"\\n'), '')) else '' end,
@@ -61,7 +63,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text(f"concat('20 cards/card-', {k}, '.md')").alias("rel"),
         _text(f"""concat('---\\ntype: card\\ndescription: ', p_name, '\\n', if({k} % 9 = 0, '', concat('tags: [', lower(p_type), ', ', lower(regexp_replace(p_brand, '#', '-')), ']\\n')),
           'reference: ', if({k} % 6 = 0, '"plain text"', concat('"[[30 references/ref-', {k} % 150, ']]"')), '\\n', if({k} % 21 = 0, 'superseded: true\\n', ''), 'size: ', p_size, '\\n---\\n',
-          'A ', p_name, ' links to [[card-', {k} * 3, ']] and [[ref-', {k} % 120, '|its source]].\\n\\n## Glossary\\n\\n| Term | Meaning |\\n| --- | --- |\\n| Alpha ', {k}, ' | first |\\n| Beta | second |\\n\\n## Relations\\n\\n- Beta subsumes:: Alpha ', {k}, '\\n- ', if({k} % 4 = 0, 'Gamma', 'Beta'), ' ', if({k} % 10 = 0, 'likes', 'part-of'), ':: [[card-', {k} + 1, ']] (always)\\n')""").alias("content"),
+          'A ', p_name, ' links to [[card-', {k} * 3, ']] and [[ref-', {k} % 120, '|its source]].\\n\\n## Glossary\\n\\n| Term | Meaning |\\n| --- | --- |\\n| Alpha ', {k}, ' | first |\\n| Beta | second |\\n\\n## Relations\\n\\n- Beta subsumes:: Alpha ', {k}, '\\n- ', if({k} % 4 = 0, 'Gamma', 'Beta'), ' ', if({k} % 10 = 0, 'likes', 'part-of'), ':: [[card-', if({k} % 25 = 24, {k}, {k} + 1), ']] (always)\\n')""").alias("content"),
     )
 
 
@@ -69,7 +71,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "s_suppkey"
     return _table(spark, sf_dir, "supplier").select(
         _text(f"concat('30 references/ref-', {k}, '.md')").alias("rel"),
-        _text(f"concat('---\\ntype: ', if({k} % 8 = 0, 'note', 'reference'), '\\ndescription: ', s_name, '\\ntags: [supplier]\\n---\\nSupplier [[nation-', s_nationkey, ']].\\n')").alias("content"),
+        _text(f"concat('---\\ntype: ', if({k} % 8 = 0, 'note', 'reference'), '\\ndescription: ', s_name, '\\ntags: [supplier]\\n---\\nSupplier [[nation-', s_nationkey, ']].', if({k} % 5 = 0, concat(' Sells [[card-', {k}, ']].'), ''), '\\n')").alias("content"),
     )
 
 
@@ -89,10 +91,13 @@ def weekly_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lambda kinds: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("event_type").isin(kinds), F.struct("event_id", line.alias("line"))))), lambda x: x["line"]), "\n")
     days = events.groupBy("week", "day").agg(F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).alias("clicks"))
     sleep = days.where("clicks % 5 <> 0").groupBy("week").agg(F.array_join(F.array_sort(F.collect_list("day")), ", ").alias("sleep"))
-    weeks = events.groupBy("week").agg(lines(["purchase", "signup"]).alias("tasks"), lines(["error"]).alias("backlog")).join(sleep, "week", "left")
+    first = F.min_by(F.when(F.col("event_type").isin("purchase", "signup"), F.col("user_id")), F.when(F.col("event_type").isin("purchase", "signup"), F.col("event_id")))
+    weeks = events.groupBy("week").agg(lines(["purchase", "signup"]).alias("tasks"), lines(["error"]).alias("backlog"), first.alias("user")).join(sleep, "week", "left")
+    # Even weeks name a project that is done, odd ones also one that isn't.
+    project = F.when(F.col("user").isNull(), "").otherwise(F.concat(F.lit("- [[user-"), F.col("user").cast("string"), F.lit("]]\n"), F.when(F.substring("week", 7, 2).cast("int") % 2 == 1, "- [[user-none]]\n").otherwise("")))
     return weeks.select(
         F.concat(F.lit("50 logs/"), "week", F.lit(".md")).alias("rel"),
-        F.concat(F.lit("---\ntype: weekly-log\nweek: "), "week", F.lit("\nsleep: ["), F.coalesce("sleep", F.lit("")), F.lit("]\n---\n\n## Tasks\n\n"), "tasks", F.lit("\n\n## Backlog\n\n"), "backlog", F.lit("\n")).alias("content"),
+        F.concat(F.lit("---\ntype: weekly-log\nweek: "), "week", F.lit("\nsleep: ["), F.coalesce("sleep", F.lit("")), F.lit("]\n---\n\n## Tasks\n\n"), "tasks", F.lit("\n\n## Backlog\n\n"), "backlog", F.lit("\n\n## Projects\n\n"), project).alias("content"),
     )
 
 
