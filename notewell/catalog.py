@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from notewell.queries import distill, links, lint, logs, scalars, search, sections, views
+from notewell.queries import distill, links, lint, logs, reading, scalars, search, sections, views
 
-MODULES = (views, links, lint, sections, search, logs, distill, scalars)
+MODULES = (views, links, lint, sections, search, logs, reading, distill, scalars)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}

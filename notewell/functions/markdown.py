@@ -2,7 +2,7 @@
 
 A subset of CommonMark with GFM tables and task items, plus wikilinks: ATX and setext headings, fenced and indented
 code, block quotes, lists, tables, thematic breaks, HTML blocks, paragraphs; code spans, links, images, autolinks,
-emphasis, wikilinks and their embeds; ``<!-- label -->`` regions.
+emphasis, wikilinks and their embeds; links by the name of a definition; ``<!-- label -->`` regions.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ LINK = re.compile(r"(!?)\[([^\[\]\n]*)\]\(\s*<?([^\s()<>]*(?:\([^\s()]*\)[^\s()<
 AUTO = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]*)>|(?<![\w\"(<\[])((?:https?://|www\.)[^\s<>]*[^\s<>.,;:!?\"')\]])")
 #: Runs of stars may begin and end within words, runs of low lines may not.
 EMPHASIS = re.compile(r"(?<![*\\])(\*\*)(?=[^\s*]).+?(?<=[^\s*])\*\*(?!\*)|(?<![\w\\])(__)(?=[^\s_]).+?(?<=[^\s_])__(?!\w)|(?<![*\\])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?!\*)|(?<![\w\\])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?!\w)")
+#: A definition of a link's target, and links by the name of one.
+DEFINITION = re.compile(r" {0,3}\[([^\[\]^][^\[\]]*)\]:[ \t]*<?([^\s<>]+)>?(?:[ \t]+(?:\"([^\"]*)\"|'([^']*)'|\(([^()]*)\)))?[ \t]*\Z")
+BY_NAME = re.compile(r"(?<![\[!\]\\])\[([^\[\]\n]+)\](?:\[([^\[\]\n]*)\])?(?![\[(:])")
 REGION = re.compile(r"<!--\s*(/?)\s*([A-Za-z][\w-]*)\s*(?::\s*(.*?))?\s*-->")
 
 
@@ -87,6 +90,8 @@ def block_lines(lines: list[str], first: int = 0) -> list[str]:
             kind = "item"
         elif before == "table" and "|" in line or "|" in line and i + 1 < len(lines) and DELIMITER.match(lines[i + 1]) and "|" in lines[i + 1] and before != "text":
             kind = "table"
+        elif before != "text" and DEFINITION.match(line):
+            kind = "definition"
         elif HTML.match(line) and before != "text":
             kind = "html"
         else:
@@ -151,7 +156,7 @@ def structure(content: str, emphasis: bool = True) -> Note:
             runs.append(("list", i, i))
         else:
             runs.append((kind, i, i))
-    names = {"open": "CodeBlock", "fence": "CodeBlock", "code": "CodeBlock", "quote": "BlockQuote", "list": "List", "table": "Table", "break": "ThematicBreak", "html": "HtmlBlock", "text": "Paragraph"}
+    names = {"open": "CodeBlock", "fence": "CodeBlock", "code": "CodeBlock", "quote": "BlockQuote", "list": "List", "table": "Table", "break": "ThematicBreak", "html": "HtmlBlock", "text": "Paragraph", "definition": "LinkReferenceDefinition"}
     seq = 0
     for kind, a, b in runs:
         if kind in ("atx", "setext"):
@@ -178,6 +183,12 @@ def structure(content: str, emphasis: bool = True) -> Note:
             note.nodes.append({"seq": seq, "parent_seq": node["seq"], "depth": 1, "type": name, "span": span(x, 0, y, len(lines[y])), "start_line": x + 1, "end_line": y + 1})
             seq += 1
     _sections(note.headings, len(lines))
+    named: dict[str, tuple[str, str | None]] = {}
+    for i, kind in enumerate(kinds):
+        if kind == "definition":
+            m = DEFINITION.match(lines[i])
+            # The first definition of a name counts.
+            named.setdefault(" ".join(m[1].split()).casefold(), (m[2], m[3] or m[4] or m[5]))
     text_kinds = {"text", "item", "quote", "table", "atx", "setext"}
     i = first
     while i < len(lines):
@@ -187,7 +198,7 @@ def structure(content: str, emphasis: bool = True) -> Note:
         j = i
         while j + 1 < len(lines) and kinds[j + 1] in ("text", "setext") and kinds[j] in ("text", "quote", "item"):
             j += 1
-        _inlines(note, lines, i, j, at, emphasis, kinds[i] == "table")
+        _inlines(note, lines, i, j, at, emphasis, kinds[i] == "table", named)
         i = j + 1
     _regions(note, lines, kinds, at, first)
     return note
@@ -212,7 +223,7 @@ def _sections(headings: list[dict], total: int) -> None:
         stack.append([h["level"], h["address"], 0, i])
 
 
-def _inlines(note: Note, lines: list[str], a: int, b: int, at, emphasis: bool, table: bool) -> None:
+def _inlines(note: Note, lines: list[str], a: int, b: int, at, emphasis: bool, table: bool, named: dict) -> None:
     text = "\n".join(lines[a : b + 1])
     breaks = [0]
     for line in lines[a : b + 1]:
@@ -243,6 +254,9 @@ def _inlines(note: Note, lines: list[str], a: int, b: int, at, emphasis: bool, t
     if not table:
         for m in LINK.finditer(plain):
             add("Image" if m[1] else "Link", m.start(), m.end(), url=m[3], title=m[4])
+        for m in BY_NAME.finditer(WIKI.sub(lambda m: " " * len(m[0]), plain)) if named else ():
+            if target := named.get(" ".join((m[2] or m[1]).split()).casefold()):
+                add("Link", m.start(), m.end(), url=target[0], title=target[1])
         for m in AUTO.finditer(plain):
             add("Autolink", m.start(), m.end(), url=m[1] or m[2])
     if emphasis:

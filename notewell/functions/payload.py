@@ -119,3 +119,54 @@ def fold(name: str) -> str:
 def display_width(text: str) -> int:
     """Columns that a text takes: wide characters two, combining ones none."""
     return sum(0 if unicodedata.combining(c) or unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+#: A bullet, a number or a letter that begins a list item, and the headings below a title.
+LIST_ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)]|[A-FА-Я]\d*[.)])\s+(.*\S)\s*\Z")
+LIST_HEAD = re.compile(r"(#{2,6})\s+(.*)\Z")
+#: Characters from which an item can be a claim.
+THIN = 12
+
+
+def for_containment(text: str) -> str:
+    """A text as it is looked for in another: plain signs, no marks of emphasis, lower case, single blanks."""
+    return _words(re.sub(r"[*_`]", "", typography(text))).lower()
+
+
+def _says_something(item: str) -> bool:
+    """Whether words are left without links, images, code, rows, citations and numbers."""
+    rest = mask(re.sub(r"!\[\[[^\]]+\]\]|!\[[^\]]*\]\([^)]*\)|\[[@^][^\]]*\]|^\s*\|.*$", " ", item))[0]
+    return bool(re.search(r"[^\W\d_]{2}", re.sub(r"⟦\d+⟧", " ", rest)))
+
+
+def list_items(text: str) -> list[tuple[str, int, str, str]]:
+    """(heading, depth, item, form for containment) of the list items below headings that say something."""
+    out: list[tuple[str, int, str, str]] = []
+    heading, fence, item = None, None, None
+
+    def close() -> None:
+        nonlocal item
+        if item is not None and _says_something(item) and len(for_containment(item)) >= THIN:
+            out.append((heading[1], heading[0], item, for_containment(item)))
+        item = None
+
+    for line in text.split("\n"):
+        mark = FENCE.match(line)
+        if fence is not None or mark:
+            close()
+            if fence is None:
+                fence = mark[1]
+            elif mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence):
+                fence = None
+        elif m := LIST_HEAD.match(line):
+            close()
+            heading = len(m[1]), m[2]
+        elif heading and (m := LIST_ITEM.match(line)):
+            close()
+            item = m[1]
+        elif item is not None and re.match(r"\s+\S", line):
+            item += " " + line.strip()
+        else:
+            close()
+    close()
+    return out

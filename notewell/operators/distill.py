@@ -141,12 +141,12 @@ def locate(content: Column, quote: Column) -> Column:
 
 
 def disjoint_sections(notes: DataFrame) -> DataFrame:
-    """(rel, seq, heading, text): the intro and each heading's own lines, none nested in another."""
+    """(rel, seq, heading, depth, text): the intro, of depth 0, and each heading's own lines, none nested in another."""
     rows = notes.select("rel", "headings", text.lines(F.col("content")).alias("lines"), (F.col("body_start_line") - 1).alias("skip"))
-    starts = F.concat(F.array(F.struct(F.lit("").alias("h"), (F.col("skip") + 1).alias("at"))), F.transform("headings", lambda h: F.struct(h["text"].alias("h"), h["line"].alias("at"))))
+    starts = F.concat(F.array(F.struct(F.lit("").alias("h"), F.lit(0).alias("depth"), (F.col("skip") + 1).alias("at"))), F.transform("headings", lambda h: F.struct(h["text"].alias("h"), h["level"].alias("depth"), h["line"].alias("at"))))
     rows = rows.withColumn("s", starts).select("rel", "lines", "s", F.posexplode("s").alias("seq", "x"))
     end = F.coalesce(F.get("s", F.col("seq") + 1)["at"] - 1, F.size("lines"))
-    return rows.select("rel", "seq", F.col("x.h").alias("heading"), F.array_join(F.slice("lines", F.greatest(F.lit(1), F.col("x.at")), F.greatest(F.lit(0), end - F.col("x.at") + 1)), "\n").alias("text"))
+    return rows.select("rel", "seq", F.col("x.h").alias("heading"), "x.depth", F.array_join(F.slice("lines", F.greatest(F.lit(1), F.col("x.at")), F.greatest(F.lit(0), end - F.col("x.at") + 1)), "\n").alias("text"))
 
 
 def route(sections: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
@@ -136,7 +137,7 @@ def template_schema(v: Vault) -> DataFrame:
 def template_enums(v: Vault) -> DataFrame:
     """(type, key, options): the pickers of each type's templates, lists of scalars that aren't empty."""
     entries = v.notes.where("is_template and type <> ''").select("type", F.explode("fm").alias("key", "v")).where(F.size("v.items") > 0).where("v.kind = 'list'")
-    return entries.groupBy("type", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("v.items")))).alias("options"))
+    return entries.groupBy("type", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("v.items")))).alias("options"))
 
 
 def unknown_field(v: Vault) -> DataFrame:
@@ -330,3 +331,22 @@ def summary(found: DataFrame) -> DataFrame:
 def exit_code(found: DataFrame) -> int:
     """1 if there is a finding that is an error."""
     return int(bool(found.where("severity = 'error'").take(1)))
+
+
+def render(found: DataFrame, form: str = "text") -> str:
+    """Findings as lines, as markdown by file, as JSON, or a count a rule; they stream to the driver."""
+    if form == "summary":
+        return "".join(f"{r.n:6d}  {r.rule}\n" for r in summary(found).orderBy(F.desc("n"), "rule").collect())
+    rows = found.toLocalIterator()
+    if form == "json":
+        return json.dumps([r.asDict() for r in rows], ensure_ascii=False, indent=2)
+    out, now = [], None
+    for r in rows:
+        if form == "markdown":
+            if r.file != now:
+                out += ["", f"### {r.file}", ""] if out else [f"### {r.file}", ""]
+                now = r.file
+            out.append(f"- **{r.rule}** ({r.severity}): {r.message}")
+        else:
+            out.append(f"{r.file}: {r.severity} [{r.rule}] {r.message}")
+    return "\n".join(out) + "\n" if out else ""

@@ -5,8 +5,10 @@ The text of a note stays on the JVM: its body is a part of it, cut where the par
 
 from __future__ import annotations
 
+import json
 import posixpath
 import re
+import textwrap
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +29,11 @@ PARTS = {
     "regions": f"array<struct<label:string,info:string,span:{SPAN},body_span:{SPAN},start_line:int,end_line:int>>",
     "dangling": "array<struct<kind:string,label:string,line:int>>",
     "unquoted": "array<struct<target:string,line:int>>",
+    "fm_json": "string",
+    "fields": "array<struct<key:string,value:string,line:int>>",
 }
+#: Parts that the frontmatter alone gives.
+FRONT = ("unquoted", "fm_json", "fields")
 _UNQUOTED = re.compile(r"(?:^|[\s\[,:-])\[\[([^\[\]\n]+)\]\](?!['\"])")
 
 
@@ -75,13 +81,32 @@ def parse_one(content: str, parts: tuple[str, ...]) -> dict:
     plain = content.removeprefix("\ufeff")
     skipped = 0 if block is None else sum(len(x) + 1 for x in plain.split("\n", first)[:first]) - 1
     out = {"fm": [(k, entry(v)) for k, v in sorted(fm.items())], "fm_error": error, "body_at": len(content) - len(plain) + skipped, "body_start_line": first + 1}
-    if parts:
+    if set(parts) - set(FRONT):
         note = markdown.structure(content, emphasis="inlines" in parts)
-        out |= {p: getattr(note, p) for p in parts if p not in ("links", "unquoted")}
+        out |= {p: getattr(note, p) for p in parts if p not in ("links", *FRONT)}
         if "links" in parts:
             out["links"] = [{k: x[k] for k in ("target", "alias")} | {"line": x["start_line"], "embed": x["embed"]} for x in note.inlines if x["type"] == "Wikilink"]
-        if "unquoted" in parts:
-            out["unquoted"] = [{"target": m[1], "line": i + 2} for i, line in enumerate((block or "").split("\n")) if not re.search(r"""["'][^"']*\[\[""", line) for m in _UNQUOTED.finditer(line)]
+    if "fm_json" in parts:
+        out["fm_json"] = json.dumps(fm, ensure_ascii=False, default=str)
+    if "fields" in parts:
+        out["fields"] = fields_of(block or "")
+    if "unquoted" in parts:
+        out["unquoted"] = [{"target": m[1], "line": i + 2} for i, line in enumerate((block or "").split("\n")) if not re.search(r"""["'][^"']*\[\[""", line) for m in _UNQUOTED.finditer(line)]
+    return out
+
+
+def fields_of(block: str) -> list[dict]:
+    """The top-level fields of a frontmatter block in the order of its text, with their text, without its indent, and line."""
+    out: list[dict] = []
+    for i, line in enumerate(block.split("\n")):
+        m = re.match(r"""("[^"]*"|'[^']*'|[^\s#:\-][^:]*?)\s*:(?:\s+(.*))?$""", line)
+        if m:
+            out.append({"key": m[1].strip("\"'"), "value": [(m[2] or "").strip()], "line": i + 2})
+        elif out:
+            out[-1]["value"].append(line)
+    for f in out:
+        rest = textwrap.dedent("\n".join(f["value"][1:])).rstrip()
+        f["value"] = "\n".join(x for x in (f["value"][0], rest) if x)
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -224,6 +225,21 @@ def pack(hits: DataFrame, mode: Mode) -> DataFrame:
     return listed.select(F.explode(fold["kept"]).alias("h")).select("h.rel", "h.score", "h.tokens", "h.rank")
 
 
+def best_sections(notes: DataFrame, terms: list[str], stem: bool = True) -> DataFrame:
+    """(rel, section): the section whose own lines hold most of the terms; of several the deepest, then the first.
+
+    ``notes`` have their headings; a line counts for the deepest section that holds it.  Notes without a section, or
+    without a term in one, have no row.
+    """
+    from notewell.operators import sections
+
+    ranges = sections.ranges(sections.strict(notes))
+    lines = notes.select("rel", F.posexplode(text.lines(F.col("content"))).alias("i", "t")).select("rel", (F.col("i") + 1).alias("line"), F.size(F.filter(tokens(F.col("t"), stem), lambda w: w.isin(*terms))).alias("n")).where("n > 0")
+    owned = sections.owners(lines, ranges).join(lines, ["rel", "line"]).groupBy("rel", "address").agg(F.sum("n").alias("n"))
+    ranked = owned.join(ranges.select("rel", "address", "level", "start"), ["rel", "address"])
+    return ranked.groupBy("rel").agg(F.max_by("address", F.struct("n", "level", -F.col("start"))).alias("section"))
+
+
 @dataclass
 class Outcome:
     """Selected documents with pointers to the candidates left out, or the near misses and a reason."""
@@ -232,6 +248,8 @@ class Outcome:
     docs: DataFrame | None
     pointers: DataFrame | None
     near_misses: DataFrame | None
+    diagnostics: dict
+    query: str = ""
 
     @property
     def exit_code(self) -> int:
@@ -239,16 +257,82 @@ class Outcome:
 
 
 def consult(notes: DataFrame, query: str, mode: Mode = MODES["deliberate"], scope: tuple[str, ...] = (), include_superseded: bool = False) -> Outcome:
+    """Whole documents that fit the budget, or none; a query that can't be read is none, with its error as the reason."""
     try:
         hits = consult_hits(notes, query, scope, include_superseded)
     except ValueError as e:
-        return Outcome(str(e), None, None, None)
-    reason = gate(hits, mode).first()["abstain_reason"]
-    if reason:
-        return Outcome(reason, None, None, near_misses(hits, query))
+        return Outcome(str(e), None, None, None, {"query_error": str(e)}, query)
+    state = gate(hits, mode).first()
+    diagnostics = {"top_score": state.top, "median_score": state.median, "coverage": mode.coverage, "max_top3_coverage": state.max_top3, "elbow_ratio": state.elbow_ratio, "num_returned": state.n, "query_error": None}
+    if state.abstain_reason:
+        return Outcome(state.abstain_reason, None, None, near_misses(hits, query), diagnostics, query)
     chosen = candidates(hits, mode)
     docs = pack(chosen, mode)
-    return Outcome(None, docs, chosen.join(docs.select("rel"), "rel", "left_anti"), None)
+    left = chosen.join(docs.select("rel"), "rel", "left_anti")
+    if "headings" in notes.columns:
+        # At most DEPTH notes are left over; only their lines are looked at.
+        near = best_sections(notes.join(F.broadcast(left.select("rel")), "rel", "left_semi"), query_terms(query))
+        left = left.join(near, "rel", "left")
+    return Outcome(None, chosen.join(docs.select("rel"), "rel", "left_semi"), left, None, diagnostics, query)
+
+
+def _rows(df: DataFrame | None) -> list[dict]:
+    """The rows of an outcome's tables, DEPTH at most, best first."""
+    return sorted((r.asDict() for r in df.collect()), key=lambda r: (-r["score"], r["rel"])) if df is not None else []
+
+
+def _title(rel: str) -> str:
+    return rel.rsplit("/", 1)[-1].removesuffix(".md")
+
+
+def record(outcome: Outcome, mode: str, form: str, duration_ms: int, timestamp_ms: int) -> dict:
+    """What a call leaves in the log: when, how long, what was asked, what the gate saw, and what came of it."""
+    docs, pointers, misses = _rows(outcome.docs), _rows(outcome.pointers), _rows(outcome.near_misses)
+    seen = dict.fromkeys(("top_score", "median_score", "coverage", "max_top3_coverage", "elbow_ratio", "num_returned", "query_error")) | outcome.diagnostics
+    return {
+        "timestamp_ms": timestamp_ms, "duration_ms": duration_ms, "query": outcome.query, "mode": mode, "format": form,
+        "outcome": "abstain" if outcome.reason else "selected", "reason": outcome.reason, **seen, "num_selected": len(docs),
+        "total_tokens": sum(d["tokens"] for d in docs), "selected_paths": [d["rel"] for d in docs], "num_pointers": len(pointers),
+        "pointer_paths": [d["rel"] for d in pointers], "near_miss_titles": [_title(m["rel"]) for m in misses], "near_miss_scores": [m["score"] for m in misses],
+    }
+
+
+LOG_SCHEMA = """timestamp_ms long, duration_ms long, query string, mode string, format string, outcome string, reason string, top_score double, median_score double, coverage double,
+  max_top3_coverage double, elbow_ratio double, num_returned long, query_error string, num_selected long, total_tokens long, selected_paths array<string>, num_pointers long,
+  pointer_paths array<string>, near_miss_titles array<string>, near_miss_scores array<double>"""
+
+
+def render_consult(outcome: Outcome, form: str = "markdown") -> str:
+    """An outcome as markdown, whole documents one after the other, or as JSON."""
+    docs, pointers, misses = _rows(outcome.docs), _rows(outcome.pointers), _rows(outcome.near_misses)
+    if form == "json":
+        doc = lambda d: {"title": _title(d["rel"]), "path": d["rel"], "score": d["score"], "tokens": d["tokens"], "body": d["body"]}
+        point = lambda d: {"title": _title(d["rel"]), "path": d["rel"], "tokens": d["tokens"], "coverage": d["coverage"], "section": d.get("section")}
+        miss = lambda d: {"title": _title(d["rel"]), "path": d["rel"], "score": d["score"], "matched": d["matched"]}
+        head = {"status": "abstain" if outcome.reason else "selected", "query": outcome.query}
+        rest = {"reason": outcome.reason, "near_misses": [miss(d) for d in misses]} if outcome.reason else {"total_tokens": sum(d["tokens"] for d in docs), "docs": [doc(d) for d in docs], "pointers": [point(d) for d in pointers]}
+        return json.dumps(head | rest, ensure_ascii=False, indent=2)
+    if outcome.reason:
+        lines = [f"<!-- consult: nothing is sure enough ({outcome.reason}) -->", ""]
+        lines += [f"- {_title(d['rel'])} ({d['rel']}): {', '.join(d['matched']) or 'no term'}" for d in misses] or ["Nothing comes near; ask in broader terms."]
+        return "\n".join(lines) + "\n"
+    lines = [f"<!-- consult: {len(docs)} documents, about {sum(d['tokens'] for d in docs)} tokens -->"]
+    for d in docs:
+        lines += ["", f"## {_title(d['rel'])} ({d['rel']})", "", d["body"].rstrip()]
+    if pointers:
+        lines += ["", "Left out for their size; read them where they are:", ""]
+        lines += [f"- {_title(d['rel'])}: read \"{d['rel']}\"{' ' + d['section'] if d.get('section') else ''} (about {d['tokens']} tokens, coverage {d['coverage']:.2f})" for d in pointers]
+    return "\n".join(lines) + "\n"
+
+
+def render_search(hits: DataFrame, form: str = "text") -> str:
+    """Hits as text, as paths alone, or as JSON; there are no more of them than the search's limit."""
+    rows = [r.asDict() for r in hits.collect()]
+    if form == "paths":
+        return "".join(f"{r['rel']}\n" for r in rows)
+    if form == "json":
+        return json.dumps(rows, ensure_ascii=False, indent=2)
+    return "".join(f"{r['score']:.2f}  {'[superseded] ' if r['superseded'] else ''}{r['title']} ({r['rel']})\n      {' '.join(r['snippet'].split())}\n" for r in rows)
 
 
 def near_misses(hits: DataFrame, query: str, stem: bool = True) -> DataFrame:
@@ -258,7 +342,7 @@ def near_misses(hits: DataFrame, query: str, stem: bool = True) -> DataFrame:
 
 
 def append_log(record: DataFrame, path: str) -> bool:
-    """Appends a record; a log that can't be written never changes a call's result."""
+    """Appends a record, a row of LOG_SCHEMA; a log that can't be written never changes a call's result."""
     try:
         record.write.mode("append").json(path)
     except Exception as e:  # noqa: BLE001
