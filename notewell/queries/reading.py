@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from notewell.operators import decisions
 from notewell.operators import lint as L
 from notewell.operators import notes as N
 from notewell.operators import reading as R
@@ -170,7 +171,27 @@ def trust_default(spark, sf_dir):
     return notes.groupBy(F.regexp_count("c", F.lit("(?m)^epistemic_status: provisional$")).alias("marks"), (F.length("c") - F.col("n")).alias("more")).agg(F.count("*").alias("n"))
 
 
+def _decided(spark, sf_dir):
+    """A note a part with decisions: some with two ticks where one may be, an unknown verb, or a block that never ends."""
+    k = F.col("p_partkey")
+    tick = lambda c: F.when(c, F.lit("x")).otherwise(F.lit(" "))
+    content = F.concat(
+        F.lit("# Part\n\n<!-- interact: pick-one id=a -->\n\n- [x] keep "), "p_name", F.lit("\n- ["), tick(k % 3 == 0), F.lit("] drop it\n\n<!-- /interact -->\n\n<!-- interact: confirm-all id=b -->\n- [X] "),
+        F.when(k % 5 == 0, F.lit("eat")).otherwise(F.lit("move")), F.lit(" all\n<!-- /interact -->\n"), F.when(k % 7 == 0, F.lit("\n<!-- interact: pick-any id=c -->\n- [ ] drop more\n")).otherwise(F.lit("")),
+    )
+    return N.parse(_table(spark, sf_dir, "part").select(F.concat(F.lit("p/"), k.cast("string"), F.lit(".md")).alias("rel"), content.alias("content")), "regions", "dangling")
+
+
+def decision_errors(spark, sf_dir):
+    return decisions.errors(_decided(spark, sf_dir), ("keep", "drop", "move"))
+
+
+def decision_fired(spark, sf_dir):
+    return decisions.fired(_decided(spark, sf_dir), ("keep", "drop", "move"))
+
+
 QUERIES = {f.__name__: f for f in (
+    decision_errors, decision_fired,
     fm_path, fm_fields, overview_tree, unfolded, address_outcomes, structure_checks, read_target, ndjson_lines, consult_sections, unit_partition, prose_items, prose_verdicts, edge_residue, relation_attach,
     edge_endpoints, neighbour_notes, spell_checks, apply_gate, span_notation, headwords, edge_grammars, capital_names, capital_runs, trust_default,
 )}
@@ -185,6 +206,9 @@ SQL = {
       select key, count(*) as n, sum(line)::bigint as lines from l where has = 1 group by key""",
     "overview_tree": X + " select 4 as headings, 'Detail' as third, count(*) as n, sum(length(intro || e || notes || detail || e || tasks) // 4)::bigint as tokens from x",
     "unfolded": X + " select rel, md5(intro || e || case when length(notes || detail) // 4 <= 12 then notes || detail else '1.1 Notes (' || length(notes || detail) // 4 || ')' end || e || tasks) as digest from x",
+    "decision_errors": """select 'p/' || p_partkey || '.md' as rel, 3 as line, 'not one' as code from part where p_partkey % 3 = 0 union all select 'p/' || p_partkey || '.md', 11, 'unknown verb' from part where p_partkey % 5 = 0
+      union all select 'p/' || p_partkey || '.md', 14, 'never closed' from part where p_partkey % 7 = 0""",
+    "decision_fired": "select 'p/' || p_partkey || '.md' as rel, unnest(['a', 'b']) as id, unnest(['pick-one', 'confirm-all']) as kind, unnest(['keep', 'move']) as verb, unnest([p_name, 'all']) as target from part where p_partkey % 3 <> 0 and p_partkey % 5 <> 0 and p_partkey % 7 <> 0",
     "address_outcomes": "select asked, outcome, count(*) as n from (select unnest(['1.1', '9.9', 'Detail', 'no such', 'links', 'fm.cost', 'NOTES']) as asked, unnest(['found', 'out of range', 'found', 'no match', 'reserved', 'reserved', 'found']) as outcome from orders) group by all",
     "structure_checks": "select unnest(['order', 'gap', 'nesting', 'known']) as \"check\", unnest([8 * count(*), 8 * count(*), count(*), 6 * count(*)])::bigint as n, 0::bigint as bad from orders",
     "read_target": "select '20 cards/card-12.md' as rel, '2' as address from part where p_partkey = 12",

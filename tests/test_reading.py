@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewell.functions import markdown, payload
-from notewell.operators import lint, reading, review, search, sections
+from notewell.operators import decisions, lint, reading, review, search, sections, starter
+from notewell.plans import base as B
 from notewell.operators import notes as N
 
 NOTE = """---
@@ -195,3 +196,44 @@ def test_edges_endpoints_and_quotes(spark):
     assert spark.range(1).select(review.same_items(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(1))).alias("x")).first().x
     edge = spark.createDataFrame([(" Part  Of ", "“B”", " "), (" ", "b", None), ("r", "", None)], "rel string, to string, predicate string")
     assert [tuple(r) for r in review.normal_edges(edge).collect()] == [("part-of", '"B"', None)]
+
+
+def test_decisions_that_nest_or_repeat(spark):
+    inner = "<!-- interact: pick-any id=a -->\n- [x] keep it\n<!-- interact: pick-any id=b -->\n- [x] drop it\n<!-- /interact -->\n<!-- /interact -->\n"
+    files = [("nested.md", inner), ("bad.md", "<!-- interact: guess id=a -->\n<!-- /interact -->\n<!-- interact: pick-one -->\n<!-- /interact -->\n"), ("stray.md", "<!-- /interact -->\n"), ("plain.md", "<!-- interact: pick-any id=z -->\n- [ ] keep one\n- [x] keep two\n<!-- /interact -->\n")]
+    notes = N.parse(spark.createDataFrame(files, "rel string, content string"), "regions", "dangling")
+    got = {(r.rel, r.line, r.code) for r in decisions.errors(notes, ("keep", "drop")).collect()}
+    assert got == {("nested.md", 3, "nested"), ("bad.md", 1, "bad anchor"), ("bad.md", 3, "bad anchor"), ("stray.md", 1, "never opened")}
+    assert [tuple(r) for r in decisions.fired(notes, ("keep", "drop")).collect()] == [("plain.md", "z", "pick-any", "keep", "two")]
+
+
+def test_starter_files(tmp_path):
+    root = str(tmp_path)
+    path = starter.init_views(root, "41 projects/own", "Tickets.base")
+    base = B.parse(open(path).read())
+    assert [v.name for v in base.views] == ["Open", "Backlog", "Done"] and base.view("Open").order[0] == "file.name"
+    with pytest.raises(starter.StarterError):
+        starter.init_views(root, "41 projects/own", "Tickets.base")
+    today = datetime.date(2026, 1, 1)
+    with pytest.raises(starter.StarterError):
+        starter.week_log(root, "logs", today, today)
+    (tmp_path / "templates").mkdir()
+    (tmp_path / "templates/Weekly Log.md").write_text("---\ntype: weekly-log\nweek:\nstart:\nend: kept\n---\n## Tasks\n")
+    made = starter.week_log(root, "logs", today, today)
+    assert made.endswith("logs/2026-w01.md") and open(made).read() == "---\ntype: weekly-log\nweek: 2026-W01\nstart: 2025-12-29\nend: kept\n---\n## Tasks\n"
+    assert starter.week_log(root, "logs", today, datetime.date(2027, 1, 1)) == made
+    with pytest.raises(starter.StarterError):
+        starter.week_log(root, "logs", datetime.date(2025, 1, 1), today)
+    with pytest.raises(starter.StarterError):
+        starter.context(root)
+    (tmp_path / "Context.md").write_text("about")
+    assert starter.context(root) == "about"
+
+
+def test_a_year_of_points(spark):
+    days = spark.createDataFrame([("2024-01-01", 0), ("2024-01-02", 20), ("2024-02-29", 4), ("2024-03-09", 99), ("2023-05-05", 7)], "day string, xp long")
+    grid = starter.calendar_grid(days, 2024, 3, datetime.date(2024, 3, 1))
+    lines = grid.splitlines()
+    assert len(lines) == 10 and lines[-1] == "streak 3 · level 0 · 24 points" and lines[0].split()[:3] == ["Jan", "Feb", "Mar"]
+    assert lines[1].startswith("Mon \x1b[48;5;236m  ") and lines[2].startswith("Tue \x1b[48;5;46m  ") and grid.count("()") == 1 and "()" in lines[5]
+    assert starter.calendar_grid(days, 2024, 0, datetime.date(2024, 3, 1), dark=False).splitlines()[2].startswith("Tue \x1b[48;5;28m")
