@@ -70,29 +70,41 @@ def tally(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.greatest(F.lit(0), F.col("_a") - F.col("_b")).alias("dropped"), F.greatest(F.lit(0), F.col("_b") - F.col("_a")).alias("invented"))
 
 
+def _edits(length: Column, most: int) -> Column:
+    """How many edits may part a name of this length from another within a third of the longer one's length.
+
+    Lengths differ by no more than the edits, so it is half of the length at most; a name has at least as many
+    characters as pieces, and no piece is empty.
+    """
+    return F.least(F.lit(most), F.floor(length / 2)).cast("int")
+
+
+def _cut(length: Column, i: Column, most: int) -> Column:
+    return F.floor(length * i / (_edits(length, most) + 1)).cast("int")
+
+
 def _bands(rows: DataFrame, name: str, most: int = 3) -> DataFrame:
-    """Keys on which names within ``most`` edits meet: name's length, and those near it, with one of its most + 1 parts.
+    """Keys on which names within ``most`` edits meet: the length, and each of the pieces, one more than the edits.
 
-    A name cut in most + 1 parts keeps one of them whole under ``most`` edits, moved by at most ``most`` places, so
-    both sides meet on (length of the cut name, part, its place); nothing is compared with everything.
+    A name cut in one more piece than there are edits keeps one of them whole, moved by at most as many places, so
+    both sides meet on (length of the cut name, piece, its place); nothing is compared with everything.
     """
     n = F.length(name)
-    parts = most + 1
-    cut = lambda length, i: F.floor(length * i / parts)
-    own = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(n.cast("int").alias("len"), i.cast("int").alias("part"), F.substr(name, cut(n, i) + 1, cut(n, i + 1) - cut(n, i)).alias("piece")))
-    return rows.withColumn("_band", F.explode(F.array_distinct(own)))
+    own = F.transform(F.sequence(F.lit(0), _edits(n, most)), lambda i: F.struct(n.cast("int").alias("len"), i.cast("int").alias("part"), F.substr(name, _cut(n, i, most) + 1, _cut(n, i + 1, most) - _cut(n, i, most)).alias("piece")))
+    return rows.where(n > 0).withColumn("_band", F.explode(own))
 
 
 def _probes(rows: DataFrame, name: str, most: int = 3) -> DataFrame:
-    parts = most + 1
     n = F.length(name)
     lengths = F.sequence(F.greatest(F.lit(1), n - most), n + most)
 
     def pieces(length: Column) -> Column:
-        cut = lambda i: F.floor(length * i / parts)
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d: F.struct(length.cast("int").alias("len"), i.cast("int").alias("part"), F.when((cut(i) + d >= 0) & (cut(i) + d <= n), F.substr(name, (cut(i) + d + 1), cut(i + 1) - cut(i))).alias("piece")))))
+        edits = _edits(length, most)
+        at = lambda i, d: _cut(length, i, most) + d
+        size = lambda i: _cut(length, i + 1, most) - _cut(length, i, most)
+        return F.flatten(F.transform(F.sequence(F.lit(0), edits), lambda i: F.transform(F.sequence(-edits, edits), lambda d: F.struct(length.cast("int").alias("len"), i.cast("int").alias("part"), F.when((at(i, d) >= 0) & (at(i, d) + size(i) <= n), F.substr(name, at(i, d) + 1, size(i))).alias("piece")))))
 
-    return rows.withColumn("_band", F.explode(F.array_distinct(F.filter(F.flatten(F.transform(lengths, pieces)), lambda x: x["piece"].isNotNull()))))
+    return rows.where(n > 0).withColumn("_band", F.explode(F.array_distinct(F.filter(F.flatten(F.transform(lengths, pieces)), lambda x: x["piece"].isNotNull()))))
 
 
 def near_names(names: DataFrame, known: DataFrame, name: str = "name", order: str = "ord") -> DataFrame:
@@ -174,9 +186,13 @@ def trigger_rate(runs: DataFrame, by: str, fired: str, threshold: float = 0.5) -
 def stratified_split(rows: DataFrame, by: str, key: str, part: float, seed: int) -> DataFrame:
     """(key, by, held_out): a drawn part of each class, one row at least.  The draw is the order of a digest.
 
-    Ranks within a class need its rows in order; the order is over digests alone, and the window spills to disk.
+    Ranks are counted within stretches of the digest and shifted by the counts of those before, so a large class is
+    no single task; only a row a stretch, 4,096 of a class at most, is in one place.
     """
-    w = Window.partitionBy(by)
-    drawn = rows.select(key, by, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("_d"))
-    n = F.greatest(F.lit(1), F.floor(F.count("*").over(w) * part))
-    return drawn.select(key, by, (F.row_number().over(w.orderBy("_d", key)) <= n).alias("held_out"))
+    drawn = rows.select(key, by, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("_d")).withColumn("_s", F.substring("_d", 1, 3))
+    counts = drawn.groupBy(by, "_s").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(by)
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select(F.col(by).alias("_by"), F.col("_s").alias("_t"), before.alias("_before"), F.greatest(F.lit(1), F.floor(F.sum("_c").over(whole) * part)).alias("_n"))
+    placed = drawn.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_s").orderBy("_d", key))).join(shifts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_s") == F.col("_t")))
+    return placed.select(key, by, (F.col("_before") + F.col("_r") <= F.col("_n")).alias("held_out"))
