@@ -245,3 +245,15 @@ def test_stream_of_notes(spark, root, tmp_path):
     query.awaitTermination(60)
     table = ingest.latest(spark.read.parquet(str(tmp_path / "out")))
     assert table.where("type = 'bake'").count() == 5
+
+
+def test_blocks_partition_a_note_and_each_signature_sees_its_own():
+    text = "---\na: 1\n---\n# H\n\nwords\nmore\n\nUnder\n===\n\n* x\n* y\n\n```py\n1\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n> q\n"
+    assert fmt.check_partition(text) == []
+    kinds = [k for k, _, _ in fmt.block_spans(text)]
+    assert kinds == ["FrontMatter", "Heading", "Paragraph", "Heading", "List", "CodeBlock", "Table", "BlockQuote"]
+    change = {"kinds": ("> q", "q"), "rich": ("# H", "## H"), "text": ("words", "wordy"), "tables": ("| 1 | 2 |", "| 1 | 3 |"), "markers": ("* x\n* y", "- x\n- y")}
+    for name, (old, new) in change.items():
+        assert name in fmt.differences(text, text.replace(old, new))
+    assert fmt.differences(text, text.replace("* ", "- "), "markers") == [] and fmt.differences(text, text) == []
+    assert fmt.differences(text, text.replace("py\n1", "py\n2")) == ["text"]
