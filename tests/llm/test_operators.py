@@ -498,6 +498,71 @@ def test_windows_lose_no_license():
         assert (name is None) == (score == 0.0)
 
 
+def test_scan_agrees_with_plain_cosines(spark):
+    """Tokens, weights, cosines, lines, windows and whole texts computed anew, without hashes, bounds or matrices."""
+    split = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    named = [(name, split(x)) for name, group in license_scan.TEMPLATES.items() for x in group]
+    df = Counter(t for _, ws in named for t in set(ws))
+    weight = lambda t: math.log((1 + len(named)) / (1 + df.get(t, 0))) + 1
+
+    def vector(ws):
+        v = {t: n * weight(t) for t, n in Counter(ws).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()} if norm else {}
+
+    vectors = [vector(ws) for _, ws in named]
+    cosine = lambda v, k: sum(x * vectors[k].get(t, 0.0) for t, x in v.items())
+    draw = random.Random(11)
+    statements = [x for group in license_scan.TEMPLATES.values() for x in group]
+    texts = [None, "", "licence", "the the the"]
+    for _ in range(60):
+        ws = draw.choice(statements).split()
+        for _ in range(draw.randrange(0, 6)):
+            ws[draw.randrange(len(ws))] = draw.choice(["foo", "version", "the", "naïve"])
+        texts.append(draw.choice(["", "A sentence before. ", "x\n"]) + draw.choice([" ", "\n"]).join(ws) + draw.choice(["", " and after it", "\ny"]))
+    got = {r.k: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k", "text").collect()}
+    seen = 0
+    for i, text in enumerate(texts):
+        tokens = split(text or "")
+        units = [split(x) for x in (text or "").split("\n")] + [tokens]
+        every = [(cosine(v, k), k) for v in map(vector, units) for k in range(len(named))]
+        # A window is compared with the template of its own length at least, and with no more than all.
+        windows = [(len(ws), vector(tokens[a : a + len(ws)])) for ws in {tuple(ws) for _, ws in named} for a in range(len(tokens) - len(ws) + 1)]
+        least = max([c for c, _ in every] + [cosine(v, k) for n, v in windows for k in range(len(named)) if len(named[k][1]) == n], default=0.0)
+        most = max([c for c, _ in every] + [cosine(v, k) for _, v in windows for k in range(len(named))], default=0.0)
+        if least >= license_scan.LEAST:
+            assert least - 1e-9 <= got[i].own_score <= most + 1e-9
+            best = {named[k][0] for v in [vector(u) for u in units] + [v for _, v in windows] for k in range(len(named)) if cosine(v, k) >= got[i].own_score - 1e-9}
+            assert got[i].own_license in best
+            seen += 1
+        elif most < license_scan.LEAST:
+            assert got[i].own_license is None and got[i].own_score == 0.0
+    assert seen > 40
+
+
+def test_inheritance_agrees_with_a_walk_up_the_path(spark):
+    draw = random.Random(12)
+    rows = []
+    for i in range(300):
+        folder = "/".join(draw.choice("abc") for _ in range(draw.randrange(0, 4)))
+        rows.append(((folder + "/" if folder else "") + f"f{i}", draw.random() < 0.2, draw.choice(["MIT", "ISC", None, None]), round(draw.random(), 1)))
+    said: dict = {}
+    for path, speaks, name, score in sorted(rows, key=lambda r: (-r[3], r[0])):
+        if speaks and name:
+            said.setdefault(path.rpartition("/")[0], name)
+
+    def walk(path):
+        folder = path.rpartition("/")[0]
+        while folder and folder not in said:
+            folder = folder.rpartition("/")[0]
+        return said.get(folder), (folder + "/" if folder in said else None)
+
+    table = spark.createDataFrame(rows, "path string, is_license_file boolean, own_license string, own_score double")
+    for r in license_scan.inherit(table).collect():
+        name, folder = walk(r.path)
+        assert (r.license, r.inherited_from) == ((r.own_license, None) if r.own_license else (name, folder))
+
+
 def _unit(templates, hashes):
     count = Counter(hashes.tolist())
     at = {h: i for i, h in enumerate(templates.vocabulary.tolist())}
