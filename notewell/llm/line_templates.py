@@ -11,7 +11,9 @@
 4. Templates that recur are dropped from all documents but the first, so that what is repeated stays once.
 
 Enough documents are two for lines of LONG tokens, which recur by no chance, and MIN_DOCS for shorter ones and for
-generalised templates.  Lines of fewer than MIN_CHARS characters (brackets, bullets, "Yes.") are never dropped.
+generalised templates.  Two documents that are copies of each other keep even their long lines: a join of whole
+documents finds them, and fragments of one would not be found.  They are copies if half of the tokens that the second
+has in lines of no third document are in lines of these two.  Lines of fewer than MIN_CHARS characters (brackets, bullets, "Yes.") are never dropped.
 
 All of it is column expressions.  Hashes of lines and tokens are shuffled; texts only in the last join, and those of
 lines in nodes of several leaves where these are too many to be found by a broadcast.  Each
@@ -129,14 +131,26 @@ def _enough() -> Column:
     return F.when(F.col("n") >= LONG, 2).otherwise(MIN_DOCS)
 
 
+def _copies(leaves: DataFrame) -> DataFrame:
+    """(_one, _two): pairs of documents, the first one null if it has no id, of which the second is a copy of the first."""
+    one, two = F.when(~F.col("no_id"), F.col("low")), F.when(F.col("no_id"), F.col("low")).otherwise(F.col("high"))
+    shared = leaves.where("docs = 2").groupBy(one.alias("_one"), two.alias("_two")).agg(F.sum("n").alias("shared"))
+    ids = F.when((F.col("docs") == 2) & ~F.col("no_id"), F.array("low", "high")).otherwise(F.array("low"))
+    own = leaves.where("docs <= 2").select(F.explode(ids).alias("_id"), "n").groupBy("_id").agg(F.sum("n").alias("own"))
+    return shared.join(own, F.col("_two") == F.col("_id")).where(F.col("shared") * 2 >= F.col("own")).select("_one", "_two")
+
+
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, th, drop array<int>): for each document that loses lines, their places; th is the hash of its text."""
     lines = written(_lines(docs, key, text), "lines")
     in_docs = lines.select("path", "leaf", "id", "n").distinct()
-    leaves = in_docs.groupBy("path", "leaf").agg(F.max("n").alias("n"), F.count("*").alias("docs"), F.min("id").alias("low"), F.max(F.col("id").isNull()).alias("no_id"))
+    leaves = in_docs.groupBy("path", "leaf").agg(F.max("n").alias("n"), F.count("*").alias("docs"), F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("id").isNull()).alias("no_id"))
     leaves = written(leaves, "line-leaves")
     total = leaves.agg(F.sum("docs")).first()[0] or 0
-    exact = leaves.where(F.col("docs") >= _enough()).select("path", "leaf", F.col("leaf").alias("grp"), "docs", "low", "no_id")
+    enough = leaves.where(F.col("docs") >= _enough())
+    same = F.when(~F.col("no_id"), F.col("low")).eqNullSafe(F.col("_one")) & (F.when(F.col("no_id"), F.col("low")).otherwise(F.col("high")) == F.col("_two"))
+    apart = enough.where("docs = 2").join(_copies(leaves), same, "left_anti")
+    exact = enough.where("docs > 2").unionByName(apart).select("path", "leaf", F.col("leaf").alias("grp"), "docs", "low", "no_id")
     targets = written(exact.unionByName(_generalised(lines, leaves)), "line-templates")
     # A generalised leaf is rare by itself, but carries its template's documents: it may only be broadcast as what it is.
     weighed = targets.withColumn("weight", F.when(F.col("leaf") == F.col("grp"), F.col("docs")).otherwise(0))
@@ -181,7 +195,11 @@ t as (
   select doc_id, pos, len(ws) as n, case when 2 * len(list_filter(ws, lambda x: regexp_matches(x, '[0-9]'))) <= len(ws)
     then list_transform(ws, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) else ws end as ws from w),
 u as (select *, ws[1:case when n < 10 then 2 else 4 end] as lead from t),
-d as (select ws, n, lead, count(distinct doc_id) as docs from u group by ws, n, lead),
+d as (select ws, n, lead, count(distinct doc_id) as docs, min(doc_id) as lo, max(doc_id) as hi from u group by ws, n, lead),
+cp as (
+  select lo, hi from (select lo, hi, sum(n) as shared from d where docs = 2 group by lo, hi)
+  join (select id, sum(n) as own from (select lo as id, n from d where docs <= 2 union all select hi, n from d where docs = 2) group by id) on id = hi
+  where 2 * shared >= own),
 k as (select *, unnest(ws) as x, unnest(range(n)) as i from d where n >= 5),
 s as (select n, lead, i, x from k where i >= len(lead) group by n, lead, i, x having sum(docs) >= 3),
 c as (
@@ -191,7 +209,7 @@ c as (
 g as (select ws, n, g from c where c < n and 5 * (n - c) <= n and 2 * (c - f) >= n),
 h as (select n, g from g join u using (ws, n) group by n, g having count(distinct doc_id) >= 3),
 r as (
-  select ws, n, null as g from d where docs >= case when n >= 50 then 2 else 3 end
+  select ws, n, null as g from d where docs >= 3 or n >= 50 and docs = 2 and not exists (select 1 from cp where cp.lo = d.lo and cp.hi = d.hi)
   union all select g.ws, g.n, g.g from g join h on g.n = h.n and g.g = h.g),
 m as (
   select u.doc_id, u.pos, row_number() over (partition by r.n, case when r.g is null then r.ws end, r.g order by u.doc_id, u.pos) > 1 as dropped

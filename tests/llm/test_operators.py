@@ -417,7 +417,12 @@ def test_lines_of_one_token_long_lines_and_short_ones(spark):
     one = [(i, f"Advertisement\n}}\n{'abc'[i]}" * 1) for i in range(3)]
     assert dropped_places(spark, one) == {(1, 0), (2, 0)}
     passage = " ".join(f"word{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'xyz'[i % 3]}" for i in range(60))
-    assert dropped_places(spark, [(0, "mine\n" + passage), (1, passage + "\n")]) == {(1, 0)}
+    other = " ".join("".join(chr(97 + (7 * i + 3 * j) % 26) for j in range(5)) for i in range(70))
+    assert dropped_places(spark, [(0, "mine\n" + passage), (1, passage + "\n" + other)]) == {(1, 0)}
+    # Copies keep their lines, whichever is longer; a third document of them makes all lines recur.
+    assert dropped_places(spark, [(0, passage + "\n" + other), (1, passage + "\n" + other)]) == set()
+    assert dropped_places(spark, [(None, passage), (1, passage)]) == set() and dropped_places(spark, [(None, passage), (1, passage + "\n" + other)]) == {(1, 0)}
+    assert dropped_places(spark, [(i, passage + "\n" + other) for i in range(3)]) == {(1, 0), (1, 1), (2, 0), (2, 1)}
     assert dropped_places(spark, [(0, " ".join(passage.split()[:20])), (1, " ".join(passage.split()[:20]))]) == set()
 
 
