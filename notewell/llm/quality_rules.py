@@ -30,6 +30,8 @@ LIMIT_SHARE = 0.2
 #: Characters and common words that a document must have to be compared, and words that a reference must have.
 LEAST_CHARS, LEAST_COMMON, LEAST_REFERENCE = 200, 30, 2000
 MIN_WORDS = 50
+#: Languages up to which their references (about 400 bytes each) are broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -116,8 +118,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 def _judged(docs: DataFrame, key: str, text: str, lang: str, carry: tuple[str, ...]) -> DataFrame:
     counted = counts(docs, key, text, lang, carry).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     counted = written(counted, "quality-counts")
-    # One row a language: adaptive execution broadcasts it where it is small, and splits a hot language where not.
-    known = references(counted).withColumnRenamed("lang", "ref_lang")
+    # One row a language: few enough are broadcast, so that the documents stay where they are; for more of them
+    # adaptive execution splits a hot language.
+    known = written(references(counted).withColumnRenamed("lang", "ref_lang"), "quality-references")
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     joined = counted.join(known, F.col("lang").eqNullSafe(F.col("ref_lang")))
     total = lambda c: f"cast(aggregate({c}, 0L, (s, x) -> s + x) as double)"
     for c in ("classes", "common", "ref_classes", "ref_common"):
