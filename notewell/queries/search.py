@@ -93,5 +93,10 @@ SQL = {
       select rel, round(n / 3.0, 6) as coverage from c where n > 0""",
     "consult_gate": TOP + """select count(*) as n, round(max(score), 6) as top, round(median(score), 6) as median, round(max(coverage) filter (where rank <= 3), 6) as max_top3,
       case when count(*) = 0 then 'no hits' when max(coverage) filter (where rank <= 3) < 0.45 then 'low coverage' when count(*) > 1 and max(score) < 1.5 * median(score) then 'no score elbow' else '' end as abstain_reason from r""",
+    "consult_pack": "with recursive " + TOP.removeprefix("with ") + """, g as (select median(score) as med from r), c as (select r.*, score >= med as above from r, g where coverage >= 0.3),
+      o as (select rel, tokens, row_number() over (order by rank) as i from c where above or rank <= 3 and not (select bool_or(above) from c)),
+      f(i, used, rel, tokens, taken) as (select 0::bigint, 0::bigint, '', 0::bigint, false
+        union all select o.i, f.used + case when o.tokens <= 900 and f.used + o.tokens <= 2000 then o.tokens else 0 end, o.rel, o.tokens, o.tokens <= 900 and f.used + o.tokens <= 2000 from f join o on o.i = f.i + 1)
+      select rel, tokens::int as tokens from f where taken""",
     "tier_counts": D + "select tier, count(*) as n, round(sum(mult), 1) as weight from m group by tier",
 }

@@ -1,10 +1,14 @@
 import datetime
 import json
+import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from notewell.functions import markdown, payload
+from notewell.functions.stem import stem
 from notewell.operators import decisions, lint, reading, review, search, sections, starter
 from notewell.plans import base as B
 from notewell.operators import notes as N
@@ -154,6 +158,27 @@ def test_consult_output_and_log(spark, tmp_path):
     assert search.render_search(hits, "paths").splitlines()[0] in ("Dough.md", "Far.md") and len(json.loads(search.render_search(hits, "json"))) == 3
 
 
+def test_stemmed_search_agrees_with_plain_scores(spark):
+    words = ["running", "runs", "hopping", "skies", "sky", "nation", "nationally", "stone", "river"]
+    draw = random.Random(6)
+    files = [(f"n{i}.md", f"---\ndescription: {draw.choice(words)} {draw.choice(words)}\n---\n" + " ".join(draw.choice(words) for _ in range(draw.randrange(3, 40)))) for i in range(40)]
+    query = "Runs nationally skies"
+    terms = sorted({stem(w.lower()) for w in query.split()})
+    cut = lambda t: [stem(w.lower()) for w in re.findall(r"[^\W_]+", t)]
+    fields = [{"title": cut(rel[:-3]), "description": cut(c.split("description: ")[1].split("\n")[0]), "body": cut(c.split("---\n")[2])} for rel, c in files]
+    want = {}
+    for (rel, _), f in zip(files, fields, strict=True):
+        for name, boost in search.BOOSTS.items():
+            for t in terms:
+                df = sum(t in x[name] for x in fields)
+                norm = search.K1 * (1 - search.B + search.B * len(f[name]) / (sum(len(x[name]) for x in fields) / len(fields)))
+                if tf := f[name].count(t):
+                    want[rel] = want.get(rel, 0.0) + boost * math.log1p((len(fields) - df + 0.5) / (df + 0.5)) * tf * (search.K1 + 1) / (tf + norm)
+    notes = N.parse(spark.createDataFrame(files, "rel string, content string"))
+    got = [(r.rel, r.score) for r in search.search(notes, query, limit=100).collect()]
+    assert {rel: pytest.approx(s) for rel, s in got} == want and [s for _, s in got] == sorted((s for _, s in got), reverse=True)
+
+
 def test_lint_output(notes):
     found = lint.findings(lint.Vault(notes))
     lines = lint.render(found).splitlines()
