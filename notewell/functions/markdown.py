@@ -107,9 +107,10 @@ def masked(text: str) -> str:
     return CODE.sub(lambda m: " " * len(m[0]), text)
 
 
-def structure(content: str, emphasis: bool = True) -> Note:
-    """All structure of a note; positions are those of ``content``."""
+def structure(content: str, emphasis: bool = True, parts: tuple[str, ...] | None = None) -> Note:
+    """The structure of a note, or the named parts of it; positions are those of ``content``."""
     note = Note()
+    asked = lambda *names: parts is None or any(n in parts for n in names)
     starts, ends = [0], []
     for m in re.finditer(r"\r\n|\n|\r", content):
         ends.append(m.start())
@@ -165,6 +166,8 @@ def structure(content: str, emphasis: bool = True) -> Note:
             level = len(m[1]) if m else (1 if lines[b].strip()[0] == "=" else 2)
             note.headings.append({"level": level, "line": a + 1, "text": text, "setext": kind == "setext", "start_col": len(lines[a]) - len(lines[a].lstrip(" ")) + 1, "span": span(a, 0, b, len(lines[b]))})
             continue
+        if not asked("nodes"):
+            continue
         node = {"seq": seq, "parent_seq": None, "depth": 0, "type": names[kind], "span": span(a, 0, b, len(lines[b])), "start_line": a + 1, "end_line": b + 1}
         note.nodes.append(node)
         seq += 1
@@ -190,7 +193,7 @@ def structure(content: str, emphasis: bool = True) -> Note:
             # The first definition of a name counts.
             named.setdefault(" ".join(m[1].split()).casefold(), (m[2], m[3] or m[4] or m[5]))
     text_kinds = {"text", "item", "quote", "table", "atx", "setext"}
-    i = first
+    i = first if asked("inlines", "links") else len(lines)
     while i < len(lines):
         if kinds[i] not in text_kinds:
             i += 1
@@ -200,7 +203,8 @@ def structure(content: str, emphasis: bool = True) -> Note:
             j += 1
         _inlines(note, lines, i, j, at, emphasis, kinds[i] == "table", named)
         i = j + 1
-    _regions(note, lines, kinds, at, first)
+    if asked("regions", "dangling"):
+        _regions(note, lines, kinds, at, first)
     return note
 
 

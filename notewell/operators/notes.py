@@ -82,7 +82,7 @@ def parse_one(content: str, parts: tuple[str, ...]) -> dict:
     skipped = 0 if block is None else sum(len(x) + 1 for x in plain.split("\n", first)[:first]) - 1
     out = {"fm": [(k, entry(v)) for k, v in sorted(fm.items())], "fm_error": error, "body_at": len(content) - len(plain) + skipped, "body_start_line": first + 1}
     if set(parts) - set(FRONT):
-        note = markdown.structure(content, emphasis="inlines" in parts)
+        note = markdown.structure(content, emphasis="inlines" in parts, parts=parts)
         out |= {p: getattr(note, p) for p in parts if p not in ("links", *FRONT)}
         if "links" in parts:
             out["links"] = [{k: x[k] for k in ("target", "alias")} | {"line": x["start_line"], "embed": x["embed"]} for x in note.inlines if x["type"] == "Wikilink"]

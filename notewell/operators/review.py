@@ -280,3 +280,44 @@ def name_runs(docs: DataFrame, key: str, column: str) -> DataFrame:
     island = F.col("i") - F.row_number().over(Window.partitionBy(key, "sentence").orderBy("i"))
     runs = names.withColumn("_island", island).groupBy(key, "sentence", "_island").agg(F.min("i").alias("first"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("i", "w"))).alias("ws"))
     return runs.where("n > 1").select(key, "sentence", "first", F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias("run"))
+
+
+def guard(pairs: DataFrame, key: str, cap: int = 20) -> DataFrame:
+    """(key, masks, code, names, words, lists, ok): five ways in which a simpler wording must not differ from its original.
+
+    ``pairs`` has (key, before, after).  The same masks and code, each as often; no name that the original hasn't; no
+    sentence of more than ``cap`` words; as many items of each kind of list.
+    """
+    found = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    both = lambda pattern: same_items(found("before", pattern), found("after", pattern))
+    # A capital within a sentence tells a name; the original may have it anywhere.
+    inner = F.regexp_extract_all("after", F.lit(r"(?<=[\p{L}\p{N},;:] )\p{Lu}\p{Ll}[\p{L}'’-]*"), F.lit(0))
+    known = found("before", r"\p{Lu}\p{Ll}[\p{L}'’-]*")
+    long = F.exists(text.sentences(F.col("after")), lambda s: text.word_count(s) > cap)
+    bullets, numbers = r"(?m)^\s*[-*+]\s", r"(?m)^\s*\d+[.)]\s"
+    same = lambda pattern: F.regexp_count("before", F.lit(pattern)) == F.regexp_count("after", F.lit(pattern))
+    rows = pairs.select(key, both(r"⟦\d+⟧").alias("masks"), both(r"`[^`\n]+`").alias("code"), (F.size(F.array_except(inner, known)) == 0).alias("names"), (~long).alias("words"), (same(bullets) & same(numbers)).alias("lists"))
+    return rows.withColumn("ok", F.col("masks") & F.col("code") & F.col("names") & F.col("words") & F.col("lists"))
+
+
+def assemble(parts: DataFrame, drafts: DataFrame) -> DataFrame:
+    """(rel, text): a note put together again: kept units as they were, the others by their drafts, in order.
+
+    ``parts`` are ``units``, ``drafts`` has (rel, unit, draft).  A unit without a draft stays as it was, so that nothing
+    is lost by silence; the title comes first.
+    """
+    rows = parts.join(drafts, ["rel", "unit"], "left")
+    piece = F.when(F.col("preserve") | F.col("draft").isNull(), F.col("text")).otherwise(F.col("draft"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("unit", piece.alias("piece")))), lambda x: x["piece"])
+    out = rows.groupBy("rel").agg(F.max("title").alias("title"), ordered.alias("pieces"))
+    return out.select("rel", F.array_join(F.when(F.col("title") == "", F.col("pieces")).otherwise(F.concat(F.array("title"), F.col("pieces"))), "\n").alias("text"))
+
+
+def staged(found: DataFrame, verdicts: DataFrame, key: str, registry: list[str]) -> DataFrame:
+    """(key, term, rel, to, off_registry, verdict, inconclusive): edges of concepts as they wait for a decision.
+
+    ``found`` is what ``attach`` gives, ``verdicts`` has (key, term, verdict).  A relation that isn't registered is
+    marked; an edge is inconclusive exactly if its concept has no verdict.
+    """
+    rows = found.join(verdicts, [key, "term"], "left")
+    return rows.select(key, "term", "rel", "to", (~F.col("rel").isin(registry)).alias("off_registry"), "verdict", F.col("verdict").isNull().alias("inconclusive"))

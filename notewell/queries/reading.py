@@ -171,6 +171,29 @@ def trust_default(spark, sf_dir):
     return notes.groupBy(F.regexp_count("c", F.lit("(?m)^epistemic_status: provisional$")).alias("marks"), (F.length("c") - F.col("n")).alias("more")).agg(F.count("*").alias("n"))
 
 
+def wording_guard(spark, sf_dir):
+    """A sentence a part, changed on each axis in turn."""
+    k = F.col("p_partkey")
+    before = F.concat(F.lit("Yesterday Anna met ⟦0⟧ at `"), "p_name", F.lit("`.\n- one\n"))
+    after = F.when(k % 6 == 1, F.regexp_replace(before, "⟦0⟧", "it")).when(k % 6 == 2, F.regexp_replace(before, "`", "")).when(k % 6 == 3, F.concat(before, F.lit("Then came Bert."))).when(k % 6 == 4, F.regexp_replace(before, "- one", "1. one")).when(k % 6 == 5, F.concat(before, F.lit("\n"), F.repeat(F.lit("and so on "), F.lit(8)), F.lit("."))).otherwise(before)
+    rows = V.guard(_table(spark, sf_dir, "part").select("p_partkey", before.alias("before"), after.alias("after")), "p_partkey")
+    return rows.groupBy("masks", "code", "names", "words", "lists", "ok").agg(F.count("*").alias("n"))
+
+
+def assembled_notes(spark, sf_dir):
+    parts = V.units(_notes(spark, sf_dir, "card", "headings"))
+    drafts = parts.where("unit <> 1").select("rel", "unit", F.concat(F.lit("draft "), F.col("unit").cast("string")).alias("draft"))
+    return V.assemble(parts.where("unit <> 1"), drafts).select("rel", F.md5("text").alias("digest"))
+
+
+def staged_edges(spark, sf_dir):
+    notes = _notes(spark, sf_dir, "card", "headings")
+    k = F.regexp_extract("file", K, 1).cast("long")
+    verdicts = _concepts(notes).where(k % 2 == 0).select("file", "term", F.lit("new").alias("verdict"))
+    rows = V.staged(V.attach(_concepts(notes), _edges(notes), "file"), verdicts, "file", L.RELATIONS)
+    return rows.groupBy("rel", "off_registry", "verdict", "inconclusive").agg(F.count("*").alias("n"))
+
+
 def _decided(spark, sf_dir):
     """A note a part with decisions: some with two ticks where one may be, an unknown verb, or a block that never ends."""
     k = F.col("p_partkey")
@@ -191,7 +214,7 @@ def decision_fired(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    decision_errors, decision_fired,
+    decision_errors, decision_fired, wording_guard, assembled_notes, staged_edges,
     fm_path, fm_fields, overview_tree, unfolded, address_outcomes, structure_checks, read_target, ndjson_lines, consult_sections, unit_partition, prose_items, prose_verdicts, edge_residue, relation_attach,
     edge_endpoints, neighbour_notes, spell_checks, apply_gate, span_notation, headwords, edge_grammars, capital_names, capital_runs, trust_default,
 )}
@@ -206,6 +229,10 @@ SQL = {
       select key, count(*) as n, sum(line)::bigint as lines from l where has = 1 group by key""",
     "overview_tree": X + " select 4 as headings, 'Detail' as third, count(*) as n, sum(length(intro || e || notes || detail || e || tasks) // 4)::bigint as tokens from x",
     "unfolded": X + " select rel, md5(intro || e || case when length(notes || detail) // 4 <= 12 then notes || detail else '1.1 Notes (' || length(notes || detail) // 4 || ')' end || e || tasks) as digest from x",
+    "wording_guard": "select p_partkey % 6 <> 1 as masks, p_partkey % 6 <> 2 as code, p_partkey % 6 <> 3 as names, p_partkey % 6 <> 5 as words, p_partkey % 6 <> 4 as lists, p_partkey % 6 = 0 as ok, count(*) as n from part group by all",
+    "assembled_notes": "with " + C + """select rel, md5('## Glossary' || e || e || '| Term | Meaning |' || e || '| --- | --- |' || e || '| Alpha ' || k || ' | first |' || e || '| Beta | second |' || e || e || 'draft 3') as digest from (select *, chr(10) as e from c)""",
+    "staged_edges": "with " + C + """, s as (select k, 'subsumes' as rel from c union all select k, case when k % 10 = 0 then 'likes' else 'part-of' end from c where k % 4 <> 0)
+      select rel, rel = 'likes' as off_registry, case when k % 2 = 0 then 'new' end as verdict, k % 2 <> 0 as inconclusive, count(*) as n from s group by all""",
     "decision_errors": """select 'p/' || p_partkey || '.md' as rel, 3 as line, 'not one' as code from part where p_partkey % 3 = 0 union all select 'p/' || p_partkey || '.md', 11, 'unknown verb' from part where p_partkey % 5 = 0
       union all select 'p/' || p_partkey || '.md', 14, 'never closed' from part where p_partkey % 7 = 0""",
     "decision_fired": "select 'p/' || p_partkey || '.md' as rel, unnest(['a', 'b']) as id, unnest(['pick-one', 'confirm-all']) as kind, unnest(['keep', 'move']) as verb, unnest([p_name, 'all']) as target from part where p_partkey % 3 <> 0 and p_partkey % 5 <> 0 and p_partkey % 7 <> 0",
