@@ -11,14 +11,13 @@ from notewell.operators import notes as N
 
 def backlinks(notes: DataFrame, keep_duplicates: bool = True) -> DataFrame:
     """(name, rel, src_name, src_rel, src_tier, line): a row for each body link to a note, duplicates kept."""
-    # The few columns that are asked for on three sides are dealt out once; the notes are parsed for that alone.
-    notes = notes.select("rel", "name", "tier", "links", "fm").repartition(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rel")
-    found = N.links(notes, frontmatter=False).select("link_key", F.col("rel").alias("src_rel"), "src_name", "line")
+    # A link's row carries its source's trust, and names come from paths alone, so that the notes are parsed once.
+    found = notes.select(F.col("rel").alias("src_rel"), F.col("name").alias("src_name"), F.col("tier").alias("src_tier"), F.explode("links").alias("l"))
+    found = found.select(text.link_key(F.col("l.target")).alias("link_key"), "src_rel", "src_name", "src_tier", "l.line")
     if not keep_duplicates:
         found = found.dropDuplicates(["link_key", "src_rel"])
     named = N.with_key(notes).select("note_key", "name", "rel")
-    tiers = notes.select(F.col("rel").alias("src_rel"), F.col("tier").alias("src_tier"))
-    return found.join(named, found.link_key == named.note_key).join(tiers, "src_rel", "left").select("name", "rel", "src_name", "src_rel", "src_tier", "line")
+    return found.join(named, found.link_key == named.note_key).select("name", "rel", "src_name", "src_rel", "src_tier", "line")
 
 
 def link_targets(notes: DataFrame) -> DataFrame:
