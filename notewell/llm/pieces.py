@@ -9,26 +9,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textcodes import code_points, distinct, expand, piece_hashes, pretokens
+from .textcodes import code_points, distinct, equal_pieces, expand, piece_hashes, pretokens
 
 #: Pieces longer than this are encoded whenever they come, so that no cache holds long texts.
 LONGEST_KEPT = 64
 
 
 class _Store:
-    """Ids of pieces by the pieces' hashes: sorted arrays and one buffer of ids."""
+    """Ids of pieces, found by the pieces' hashes and then compared: sorted arrays, a buffer of ids, one of the pieces."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray):
-        begin, order = np.cumsum(counts) - counts, np.argsort(hashes)
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray):
+        begin, at, order = np.cumsum(counts) - counts, np.cumsum(lengths) - lengths, np.argsort(hashes)
         self.hashes, self.counts, self.begin, self.flat = hashes[order], counts[order], begin[order], flat
+        self.lengths, self.at, self.codes = lengths[order], at[order], codes
         self.used = np.zeros(len(order), bool)
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the hashes, and which of them are there."""
+    def find(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pieces, and which of them are there."""
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes
+        hit = (self.hashes[at] == hashes) & (self.lengths[at] == lengths)
+        near = np.flatnonzero(hit)
+        hit[near] = equal_pieces(codes, starts[near], self.codes, self.at[at[near]], lengths[near])
         self.used[at[hit]] = True
         return at, hit
 
@@ -37,10 +40,15 @@ class _Store:
         counts = self.counts[at]
         return counts, self.flat[expand(self.begin[at], counts)]
 
-    def with_rows(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray, keep: np.ndarray | None = None) -> _Store:
+    def pieces(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and codes of the pieces at some places."""
+        lengths = self.lengths[at]
+        return lengths, self.codes[expand(self.at[at], lengths)]
+
+    def with_rows(self, hashes: np.ndarray, rows: tuple[np.ndarray, np.ndarray], pieces: tuple[np.ndarray, np.ndarray], keep: np.ndarray | None = None) -> _Store:
         at = np.arange(len(self.hashes)) if keep is None else np.flatnonzero(keep)
-        own, ids = self.rows(at)
-        return _Store(np.concatenate([self.hashes[at], hashes]), np.concatenate([own, counts]), np.concatenate([ids, flat]))
+        both = [np.concatenate(x) for x in zip((*self.rows(at), *self.pieces(at)), (*rows, *pieces), strict=True)]
+        return _Store(np.concatenate([self.hashes[at], hashes]), *both)
 
 
 class PieceEncoder:
@@ -58,13 +66,14 @@ class PieceEncoder:
         self.young, self.old = self._empty(), self._empty()
 
     def _empty(self) -> _Store:
-        return _Store(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, self.dtype))
+        return _Store(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
-    def _keep(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
-        self.young = self.young.with_rows(hashes, counts, flat)
+    def _keep(self, hashes: np.ndarray, rows: tuple[np.ndarray, np.ndarray], pieces: tuple[np.ndarray, np.ndarray]) -> None:
+        self.young = self.young.with_rows(hashes, rows, pieces)
         if len(self.young.hashes) > self.YOUNG:
             full = len(self.old.hashes) + len(self.young.hashes) > self.most
-            self.old = self.old.with_rows(self.young.hashes, *self.young.rows(np.arange(len(self.young.hashes))), self.old.used if full else None)
+            every = np.arange(len(self.young.hashes))
+            self.old = self.old.with_rows(self.young.hashes, self.young.rows(every), self.young.pieces(every), self.old.used if full else None)
             if len(self.old.hashes) > self.most:
                 # All of them were asked for: the store begins anew.
                 self.old = self._empty()
@@ -78,10 +87,10 @@ class PieceEncoder:
             return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(codes))
         hashes = piece_hashes(codes, starts, ends)
-        one, place = distinct(hashes)
-        asked = hashes[one]
-        at_old, in_old = self.old.find(asked)
-        at_young, in_young = self.young.find(asked)
+        one, place = distinct(codes, starts, ends, hashes)
+        asked, lengths = hashes[one], ends[one] - starts[one]
+        at_old, in_old = self.old.find(asked, codes, starts[one], lengths)
+        at_young, in_young = self.young.find(asked, codes, starts[one], lengths)
         new = np.flatnonzero(~in_old & ~in_young)
         joined = "".join(texts)
         found = self.encode_pieces([joined[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)]) if len(new) else []
@@ -97,9 +106,10 @@ class PieceEncoder:
         each = where[place]
         ids = flat[expand(begin[each], counts[each])]
         upto = np.concatenate([[0], np.cumsum(counts[each])])
-        short = ends[one[new]] - starts[one[new]] <= LONGEST_KEPT
+        short = lengths[new] <= LONGEST_KEPT
         if short.any():
-            self._keep(asked[new][short], counts_new[short], flat_new[np.repeat(short, counts_new)])
+            kept = new[short]
+            self._keep(asked[kept], (counts_new[short], flat_new[np.repeat(short, counts_new)]), (lengths[kept], codes[expand(starts[one[kept]], lengths[kept])]))
         return ids, upto[np.searchsorted(starts, offsets)]
 
 

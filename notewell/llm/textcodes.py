@@ -1,7 +1,9 @@
 """Whole batches of texts as numpy code arrays: word and pre-token boundaries, and 64-bit hashes of the pieces.
 
 Every function takes all texts of a batch at once, so that the cost a document is a few vector steps, not a loop
-over its words.  Hashes are polynomial modulo 2**64 over the codes of a piece, then mixed with its length.
+over its words.  A piece's hash is the sum of a mixed value of each code with its place in the piece, then mixed with
+the length: no letter's weight at one place is a multiple of that at another, as it is in a polynomial.  Where a result
+must be exact, equal hashes are only a hint: ``distinct`` and the stores compare the pieces themselves.
 """
 
 from __future__ import annotations
@@ -14,22 +16,9 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = U(pow(int(BASE), -1, 1 << 64))
 MIX_A, MIX_B = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-_powers = {BASE: np.ones(1, U), _INVERSE: np.ones(1, U)}
-
-
-def _power_table(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1); grown by doubling and kept."""
-    table = _powers[base]
-    while len(table) < n:
-        step = U(pow(int(base), len(table), 1 << 64))
-        table = np.concatenate([table, table * step])
-    _powers[base] = table
-    return table[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -40,11 +29,23 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def piece_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of codes[starts[i]:ends[i]] for each i, whatever its position."""
+    """The hash of codes[starts[i]:ends[i]] for each i, whatever its position; the pieces follow one another."""
     total = np.zeros(len(codes) + 1, U)
-    np.cumsum(codes.astype(U) * _power_table(BASE, len(codes)), out=total[1:])
-    inverse = _power_table(_INVERSE, len(codes) + 1)
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U) * MIX_B)
+    lengths = (ends - starts).astype(U)
+    if len(starts):
+        # Places count from the start of the piece; codes between two pieces belong to none and are not summed.
+        place = np.arange(len(codes), dtype=U)
+        place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(codes)))).astype(U)
+        np.cumsum(mix((place + U(1)) << U(21) | codes.astype(U)), out=total[1:])
+    return mix(total[ends] - total[starts] + lengths * MIX_B)
+
+
+def equal_pieces(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether a[a_starts[i]:][:lengths[i]] and b[b_starts[i]:][:lengths[i]] are the same codes, for each i."""
+    same = np.ones(len(lengths), bool)
+    differ = np.flatnonzero(a[expand(a_starts, lengths)] != b[expand(b_starts, lengths)])
+    same[np.searchsorted(np.cumsum(lengths), differ, "right")] = False
+    return same
 
 
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,15 +131,31 @@ def pretokens(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The index of one piece for each hash, and each piece's place among these."""
+def distinct(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index of one piece of each kind, and each piece's place among these; pieces with equal hashes are compared."""
     order = np.argsort(hashes)
     ordered = hashes[order]
     new = np.ones(len(ordered), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     place = np.empty(len(hashes), np.int64)
     place[order] = np.cumsum(new) - 1
-    return order[new], place
+    one, lengths = order[new], ends - starts
+    same = lengths == lengths[one[place]]
+    at = np.flatnonzero(same)
+    same[at] = equal_pieces(codes, starts[at], codes, starts[one[place[at]]], lengths[at])
+    if not same.all():
+        # Pieces that share a hash and no more: each kind of them gets a place of its own.
+        more: dict[bytes, int] = {}
+        odd = np.flatnonzero(~same)
+        first = []
+        for i in odd.tolist():
+            name = codes[starts[i] : ends[i]].tobytes()
+            if name not in more:
+                more[name] = len(one) + len(more)
+                first.append(i)
+            place[i] = more[name]
+        one = np.concatenate([one, np.array(first, one.dtype)])
+    return one, place
 
 
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pieces import LONGEST_KEPT, like, texts_of
-from .textcodes import TwoAgeCache, code_points, distinct, piece_hashes, slices
+from .textcodes import TwoAgeCache, code_points, distinct, equal_pieces, piece_hashes, slices
 
-#: Documents of the sample and entries of the broadcast table (16 bytes each), at most.
+#: Documents of the sample and entries of the broadcast table (20 bytes and the pre-token each), at most.
 SAMPLE_DOCS, FREQUENT = 4_000, 65_536
-#: Entries that all tasks send of the sample, and that one sends at least (20 bytes each).
-SENT, LEAST_SENT = 1 << 21, 512
+#: Entries that all tasks send of the sample, and that one sends at least (20 bytes and the pre-token each).
+SENT, LEAST_SENT = 1 << 20, 512
 CACHE = 1_000_000
 BLANK = 0x2581
 
@@ -55,8 +55,8 @@ class PieceModel:
         self.proto = proto
         self._open()
 
-    def pieces(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The marked texts joined, starts, ends and hashes of their pre-tokens, and the first one of each text."""
+    def pieces(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The marked texts joined and as codes, starts, ends and hashes of their pre-tokens, and the first one of each text."""
         marked = ["▁" + t.replace(" ", "▁") if t else "" for t in texts]
         codes, offsets = code_points(marked)
         codes = codes.astype(np.int64)
@@ -74,7 +74,7 @@ class PieceModel:
         start[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(codes))[: len(starts)]
-        return "".join(marked), starts, ends, piece_hashes(codes, starts, ends), np.searchsorted(starts, offsets)
+        return "".join(marked), codes, starts, ends, piece_hashes(codes, starts, ends), np.searchsorted(starts, offsets)
 
     def small(self) -> np.ndarray:
         """The table of pairs below 1024, with the mark of a blank as 0 (texts may hold the code 0: it is no piece)."""
@@ -93,24 +93,30 @@ class PieceModel:
 
 
 class Frequent:
-    """Lengths of frequent pre-tokens by their 64-bit hash: two sorted arrays."""
+    """Lengths of frequent pre-tokens: found by a 64-bit hash in sorted arrays, then compared with the pre-token kept there."""
 
-    def __init__(self, hashes: np.ndarray, lengths: np.ndarray):
+    def __init__(self, pieces: list[str], lengths: np.ndarray):
+        codes, offsets = code_points(pieces)
+        hashes = piece_hashes(codes, offsets[:-1], offsets[1:])
         order = np.argsort(hashes)
         self.hashes, self.lengths = hashes[order], lengths[order].astype(np.int32)
+        self.codes, self.starts, self.sizes = codes, offsets[:-1][order].astype(np.int32), np.diff(offsets)[order].astype(np.int16)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
+    def find(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The lengths, or -1."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.lengths[at], -1).astype(np.int64)
+        found = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            near = np.flatnonzero((self.hashes[at] == hashes) & (self.sizes[at] == ends - starts))
+            near = near[equal_pieces(codes, starts[near], self.codes, self.starts[at[near]], (ends - starts)[near])]
+            found[near] = self.lengths[at[near]]
+        return found
 
 
 def frequent_pieces(docs: DataFrame, model: PieceModel, key: str, text: str) -> Frequent:
     """The most frequent pre-tokens of at most about SAMPLE_DOCS documents, chosen by the hash of their key.
 
-    Each task sends one row, its own most frequent hashes with their counts and lengths; the rows are added up on the
+    Each task sends one row, its own most frequent pre-tokens with their counts and lengths; the rows are added up on the
     driver, and a task sends the fewer the more tasks there are.  No pre-token is shuffled.
     """
     rows, tasks = docs.select(F.spark_partition_id().alias("task")).groupBy("task").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -122,25 +128,27 @@ def frequent_pieces(docs: DataFrame, model: PieceModel, key: str, text: str) ->
         counts: Counter[str] = Counter()
         for batch in batches:
             for a, b in slices(batch.column(0)):
-                joined, starts, ends, hashes, _ = shared.value.pieces(texts_of(batch.column(0).slice(a, b - a)))
+                joined, codes, starts, ends, hashes, _ = shared.value.pieces(texts_of(batch.column(0).slice(a, b - a)))
                 if len(starts):
-                    one, place = distinct(hashes)
+                    one, place = distinct(codes, starts, ends, hashes)
                     for s, e, n in zip(starts[one].tolist(), ends[one].tolist(), np.bincount(place).tolist(), strict=True):
                         if e - s <= LONGEST_KEPT:
                             counts[joined[s:e]] += n
         if counts:
             top = counts.most_common(most)
             pieces = [p for p, _ in top]
-            codes, offsets = code_points(pieces)
-            packed = [piece_hashes(codes.astype(np.int64), offsets[:-1], offsets[1:]), np.array([n for _, n in top], np.int64), np.array(shared.value.lengths(pieces), np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["hashes", "counts", "lengths"])
+            packed = [np.array([n for _, n in top], np.int64).tobytes(), np.array(shared.value.lengths(pieces), np.int32).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([pieces]), *[pa.array([x], pa.binary()) for x in packed]], ["pieces", "counts", "lengths"])
 
-    sent = chosen.select(text).mapInArrow(run, "hashes binary, counts binary, lengths binary").collect()
-    hashes, counts, lengths = (np.frombuffer(b"".join(r[i] for r in sent), kind) for i, kind in enumerate((np.uint64, np.int64, np.int32)))
-    one, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-    total = np.bincount(place, counts, len(one))
-    top = np.lexsort((one, -total))[:FREQUENT]
-    return Frequent(one[top], lengths[first[top]])
+    sent = chosen.select(text).mapInArrow(run, "pieces array<string>, counts binary, lengths binary").collect()
+    total: Counter[str] = Counter()
+    length: dict[str, int] = {}
+    for row in sent:
+        for piece, n, size in zip(row.pieces, np.frombuffer(row.counts, np.int64).tolist(), np.frombuffer(row.lengths, np.int32).tolist(), strict=True):
+            total[piece] += n
+            length[piece] = size
+    top = sorted(total, key=lambda p: (-total[p], p))[:FREQUENT]
+    return Frequent(top, np.array([length[p] for p in top], np.int32))
 
 
 _caches: dict[str, TwoAgeCache] = {}
@@ -166,11 +174,11 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int, key: str = "doc_i
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 texts = texts_of(batch.column(1).slice(a, b - a))
-                joined, starts, ends, hashes, first = model.pieces(texts)
+                joined, codes, starts, ends, hashes, first = model.pieces(texts)
                 counts = np.zeros(len(texts), np.int64)
                 if len(starts):
-                    one, place = distinct(hashes)
-                    lengths = frequent.find(hashes[one])
+                    one, place = distinct(codes, starts, ends, hashes)
+                    lengths = frequent.find(hashes[one], codes, starts[one], ends[one])
                     left = np.flatnonzero(lengths < 0)
                     pieces = [joined[s:e] for s, e in zip(starts[one[left]].tolist(), ends[one[left]].tolist(), strict=True)]
                     found = [cache.lookup(p) for p in pieces]
