@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, jaccard_join, license_scan, line_templates, multi_index, quality_rules, source_mix, token_counts, token_files, warc
+from . import byte_bpe, embedding_dedup, jaccard_join, license_scan, line_templates, multi_index, quality_rules, ranked_search, source_mix, token_counts, token_files, warc
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("NOTEWELL_TOKENIZERS", os.path.dirname(public_tokenizers.path("x")))
@@ -65,6 +65,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(_table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -76,6 +84,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_embedding_dedup": op12_embedding_dedup,
 }
 
-SQL: dict[str, str] = {"op1_jaccard_join": jaccard_join.SQL, "op5_line_templates": line_templates.SQL, "op10_warc": warc.SQL}
+SQL: dict[str, str] = {"op1_jaccard_join": jaccard_join.SQL, "op5_line_templates": line_templates.SQL, "op10_warc": warc.SQL, "op11_ranked_search": ranked_search.SQL, "op12_embedding_dedup": embedding_dedup.SQL}
