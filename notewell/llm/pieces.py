@@ -56,13 +56,14 @@ class PieceEncoder:
 
     ``encode_pieces`` gets pieces and returns for each its ids as packed little-endian integers of ``dtype``.  What it
     returned is kept for up to about ``cache_size`` pieces, in arrays that a whole batch is looked up in at once: new
-    pieces in a young store, older ones in an old store, from which those not asked for lately go first.
+    pieces in a young store, older ones in an old store, from which those not asked for lately go first.  ``split`` gives
+    the starts of the pieces of texts, which no token may cross.
     """
 
     YOUNG = 1 << 15
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], dtype: str, cache_size: int):
-        self.encode_pieces, self.dtype, self.most = encode_pieces, np.dtype(dtype), cache_size
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], dtype: str, cache_size: int, split: Callable[[np.ndarray, np.ndarray], np.ndarray] = pretokens):
+        self.encode_pieces, self.dtype, self.most, self.split = encode_pieces, np.dtype(dtype), cache_size, split
         self.young, self.old = self._empty(), self._empty()
 
     def _empty(self) -> _Store:
@@ -82,7 +83,7 @@ class PieceEncoder:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and the offsets of the texts."""
         codes, offsets = code_points(texts)
-        starts = pretokens(codes, offsets)
+        starts = self.split(codes, offsets)
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(codes))

@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, jaccard_join, license_scan, line_templates, multi_index, quality_rules, ranked_search, source_mix, token_counts, token_files, warc
+from . import byte_bpe, embedding_dedup, jaccard_join, license_scan, line_templates, multi_index, quality_rules, ranked_search, source_mix, token_alignment, token_counts, token_files, warc
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("NOTEWELL_TOKENIZERS", os.path.dirname(public_tokenizers.path("x")))
@@ -73,6 +73,10 @@ def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.links(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.summaries(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -86,6 +90,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_ranked_search": op11_ranked_search,
     "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {"op1_jaccard_join": jaccard_join.SQL, "op5_line_templates": line_templates.SQL, "op10_warc": warc.SQL, "op11_ranked_search": ranked_search.SQL, "op12_embedding_dedup": embedding_dedup.SQL}

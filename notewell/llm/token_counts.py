@@ -57,9 +57,19 @@ class PieceModel:
 
     def pieces(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The marked texts joined and as codes, starts, ends and hashes of their pre-tokens, and the first one of each text."""
-        marked = ["▁" + t.replace(" ", "▁") if t else "" for t in texts]
+        marked = self.marked(texts)
         codes, offsets = code_points(marked)
         codes = codes.astype(np.int64)
+        starts = self.starts(codes, offsets)
+        ends = np.append(starts[1:], len(codes))[: len(starts)]
+        return "".join(marked), codes, starts, ends, piece_hashes(codes, starts, ends), np.searchsorted(starts, offsets)
+
+    def marked(self, texts: list[str]) -> list[str]:
+        return ["▁" + t.replace(" ", "▁") if t else "" for t in texts]
+
+    def starts(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts of the pre-tokens of marked texts."""
+        codes = codes.astype(np.int64)
         start = np.ones(len(codes), bool)
         if len(codes):
             a, b = codes[:-1], codes[1:]
@@ -72,9 +82,7 @@ class PieceModel:
             bound[rest] = np.isin(codes[:-1][rest] << 21 | codes[1:][rest], self.pairs)
             start[1:] = ~bound
         start[offsets[:-1][np.diff(offsets) > 0]] = True
-        starts = np.flatnonzero(start)
-        ends = np.append(starts[1:], len(codes))[: len(starts)]
-        return "".join(marked), codes, starts, ends, piece_hashes(codes, starts, ends), np.searchsorted(starts, offsets)
+        return np.flatnonzero(start)
 
     def small(self) -> np.ndarray:
         """The table of pairs below 1024, with the mark of a blank as 0 (texts may hold the code 0: it is no piece)."""
@@ -87,9 +95,12 @@ class PieceModel:
             self._small = table
         return self._small
 
-    def lengths(self, pieces: list[str]) -> list[int]:
+    def ids(self, pieces: list[str]) -> list[list[int]]:
         """Tokens of each pre-token: encoded after a newline, which nothing merges with, so that no blank is put before it."""
-        return [len(x) - 2 for x in self.processor.encode(["\n" + p for p in pieces], num_threads=1)] if pieces else []
+        return [x[2:] for x in self.processor.encode(["\n" + p for p in pieces], num_threads=1)] if pieces else []
+
+    def lengths(self, pieces: list[str]) -> list[int]:
+        return [len(x) for x in self.ids(pieces)]
 
 
 class Frequent:
