@@ -1,32 +1,25 @@
-"""The structure of a markdown note in one pass: blocks, headings, inlines, wikilinks and regions, in UTF-8 byte spans.
+"""The structure of a note in one pass: blocks, headings, inlines, wikilinks and regions, in UTF-8 byte spans.
 
-A subset of CommonMark with GFM tables and task items, plus wikilinks: ATX and setext headings, fenced and indented
-code, block quotes, lists, tables, thematic breaks, HTML blocks, paragraphs; code spans, links, images, autolinks,
-emphasis, wikilinks and their embeds; links by the name of a definition; ``<!-- label -->`` regions.
+Blocks (``blocks``) and inlines (``inlines``) are those of CommonMark with GFM tables, task items, strikethrough and bare
+addresses, plus wikilinks and their embeds; footnotes are text.  Here they are put into rows: headings of the top level
+with their sections, other blocks with what they stand in, inlines in the order of the text, ``<!-- label -->`` regions.
+What no block claims is a node too: link definitions, and anything else as ``Unknown``.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*\Z")
-SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*\Z")
-FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)\Z")
-BREAK = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})\Z")
-ITEM = re.compile(r"( {0,3})([-*+]|\d{1,9}[.)])(?:([ \t]+)(.*)|)\Z")
-QUOTE = re.compile(r" {0,3}> ?")
-DELIMITER = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*\Z")
-HTML = re.compile(r" {0,3}<(?:!--|/?[A-Za-z][A-Za-z0-9-]*[\s/>]|[?!])")
-WIKI = re.compile(r"\[\[([^\[\]\n|]+?)(?:\\?\|([^\[\]\n]*))?\]\]")
-CODE = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
-LINK = re.compile(r"(!?)\[([^\[\]\n]*)\]\(\s*<?([^\s()<>]*(?:\([^\s()]*\)[^\s()<>]*)*)>?(?:\s+\"([^\"]*)\")?\s*\)")
-AUTO = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]*)>|(?<![\w\"(<\[])((?:https?://|www\.)[^\s<>]*[^\s<>.,;:!?\"')\]])")
-#: Runs of stars may begin and end within words, runs of low lines may not.
-EMPHASIS = re.compile(r"(?<![*\\])(\*\*)(?=[^\s*]).+?(?<=[^\s*])\*\*(?!\*)|(?<![\w\\])(__)(?=[^\s_]).+?(?<=[^\s_])__(?!\w)|(?<![*\\])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?!\*)|(?<![\w\\])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?!\w)")
-#: A definition of a link's target, and links by the name of one.
-DEFINITION = re.compile(r" {0,3}\[([^\[\]^][^\[\]]*)\]:[ \t]*<?([^\s<>]+)>?(?:[ \t]+(?:\"([^\"]*)\"|'([^']*)'|\(([^()]*)\)))?[ \t]*\Z")
-BY_NAME = re.compile(r"(?<![\[!\]\\])\[([^\[\]\n]+)\](?:\[([^\[\]\n]*)\])?(?![\[(:])")
+import numpy as np
+
+from notewell.functions.blocks import Block, Reader
+from notewell.functions.inlines import WIKI, inlines
+
+__all__ = ["WIKI", "Note", "block_lines", "body_of", "split_lines", "structure"]
+
 REGION = re.compile(r"<!--\s*(/?)\s*([A-Za-z][\w-]*)\s*(?::\s*(.*?))?\s*-->")
 
 
@@ -57,155 +50,153 @@ def body_of(content: str) -> tuple[str | None, int]:
     return None, 0
 
 
-def block_lines(lines: list[str], first: int = 0) -> list[str]:
-    """For each line its kind: code, fence, blank, atx, setext, break, item, quote, table, html or text."""
-    kinds, fence, before, html = [], None, "blank", False
-    for i, line in enumerate(lines):
-        if i < first:
-            kinds.append("front")
-            continue
-        if fence:
-            m = FENCE.match(line)
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not m[2].strip():
-                fence, kind = None, "fence"
-            else:
-                kind = "code"
-        elif html and line.strip():
-            kind = "html"
-        elif (m := FENCE.match(line)) and not (m[1][0] == "`" and "`" in m[2]):
-            fence, kind = m[1], "fence"
-        elif not line.strip():
-            kind = "blank"
-        elif re.match(r" {4}|\t", line) and before in ("blank", "code", "front", "atx", "fence") and not any(k == "item" for k in kinds[-8:]):
-            kind = "code"
-        elif ATX.match(line):
-            kind = "atx"
-        elif before == "text" and SETEXT.match(line) and not ITEM.match(kinds and lines[i - 1] or ""):
-            kind = "setext"
-        elif BREAK.match(line):
-            kind = "break"
-        elif QUOTE.match(line):
-            kind = "quote"
-        elif ITEM.match(line) and not (before == "text" and not ITEM.match(line)[4]):
-            kind = "item"
-        elif before == "table" and "|" in line or "|" in line and i + 1 < len(lines) and DELIMITER.match(lines[i + 1]) and "|" in lines[i + 1] and before != "text":
-            kind = "table"
-        elif before != "text" and DEFINITION.match(line):
-            kind = "definition"
-        elif HTML.match(line) and before != "text":
-            kind = "html"
-        else:
-            kind = "text"
-        html = kind == "html" and not ("-->" in line and "<!--" in line)
-        kinds.append(kind)
-        before = kind
-    return kinds
+#: Lines that can make a heading.
+HEADING = re.compile(r"(?m)^ {0,3}(?:#{1,6}(?:[ \t]|\r?$)|(?:=+|-+)[ \t]*\r?$)")
 
 
-def masked(text: str) -> str:
-    """``text`` with code spans blanked out, of the same length."""
-    return CODE.sub(lambda m: " " * len(m[0]), text)
-
-
-def structure(content: str, emphasis: bool = True, parts: tuple[str, ...] | None = None) -> Note:
-    """The structure of a note, or the named parts of it; positions are those of ``content``."""
-    note = Note()
-    asked = lambda *names: parts is None or any(n in parts for n in names)
+def _lines_of(content: str) -> tuple[list[str], list[int]]:
+    """The lines without their ends and a byte order mark, and where each begins."""
     starts, ends = [0], []
     for m in re.finditer(r"\r\n|\n|\r", content):
         ends.append(m.start())
         starts.append(m.end())
     ends.append(len(content))
+    if content.startswith("\ufeff"):
+        starts[0] = 1
     lines = [content[a:b] for a, b in zip(starts, ends, strict=True)]
     if len(lines) > 1 and lines[-1] == "":
         lines.pop()
-    if lines and lines[0].startswith("﻿"):
-        lines[0] = lines[0][1:]
-        starts[0] = 1
-    _, first = body_of(content)
-    kinds = block_lines(lines, first)
-    # Bytes before each line, so that a span costs one encoding of a line's part.
-    upto = [0]
-    for i in range(len(lines)):
-        end = starts[i + 1] if i + 1 < len(starts) else len(content)
-        upto.append(upto[-1] + len(content[starts[i] : end].encode("utf-8", "surrogatepass")))
-    if starts[0]:
-        upto = [x + 3 for x in upto]
-
-    def at(line: int, column: int) -> int:
-        return upto[line] + len(lines[line][:column].encode("utf-8", "surrogatepass"))
-
-    def span(line: int, a: int, last: int, b: int) -> dict:
-        return {"start": at(line, a), "end": at(last, b)}
-
-    runs: list[tuple[str, int, int]] = []
-    for i, kind in enumerate(kinds):
-        if kind in ("blank", "front"):
-            continue
-        joins = runs and runs[-1][2] == i - 1
-        if joins and (kind == runs[-1][0] and kind in ("code", "quote", "table", "html", "text")):
-            runs[-1] = (kind, runs[-1][1], i)
-        elif joins and kind == "setext":
-            runs[-1] = ("setext", runs[-1][1], i)
-        elif joins and kind in ("code", "fence") and runs[-1][0] == "open":
-            runs[-1] = ("fence" if kind == "fence" else "open", runs[-1][1], i)
-        elif kind == "fence":
-            runs.append(("open", i, i))
-        elif joins and runs[-1][0] == "list" and kind in ("item", "text"):
-            runs[-1] = ("list", runs[-1][1], i)
-        elif kind == "item":
-            runs.append(("list", i, i))
-        else:
-            runs.append((kind, i, i))
-    names = {"open": "CodeBlock", "fence": "CodeBlock", "code": "CodeBlock", "quote": "BlockQuote", "list": "List", "table": "Table", "break": "ThematicBreak", "html": "HtmlBlock", "text": "Paragraph", "definition": "LinkReferenceDefinition"}
-    seq = 0
-    for kind, a, b in runs:
-        if kind in ("atx", "setext"):
-            m = ATX.match(lines[a]) if kind == "atx" else None
-            text = (m[2] or "").strip() if m else " ".join(x.strip() for x in lines[a:b])
-            level = len(m[1]) if m else (1 if lines[b].strip()[0] == "=" else 2)
-            note.headings.append({"level": level, "line": a + 1, "text": text, "setext": kind == "setext", "start_col": len(lines[a]) - len(lines[a].lstrip(" ")) + 1, "span": span(a, 0, b, len(lines[b]))})
-            continue
-        if not asked("nodes"):
+    return lines, starts
+
+
+def _walk(root: Block) -> Iterator[tuple[Block, int, Block | None]]:
+    """All blocks but the root in the order of the text: block, depth, and the block that it stands in."""
+    todo = [(c, 0, None) for c in reversed(root.children)]
+    while todo:
+        block, depth, parent = todo.pop()
+        yield block, depth, parent
+        todo.extend((c, depth + 1, block) for c in reversed(block.children))
+
+
+def block_lines(lines: list[str], first: int = 0) -> list[str]:
+    """For each line its kind: front, code, fence, blank, atx, setext, break, item, quote, table, html, definition or text."""
+    starts, at = [], 0
+    for line in lines:
+        starts.append(at)
+        at += len(line) + 1
+    kinds = ["front"] * first + ["definition" if x.strip() else "blank" for x in lines[first:]]
+
+    def mark(a: int, b: int, kind: str) -> None:
+        kinds[a : b + 1] = [kind if kind == "code" or lines[i].strip() else "blank" for i in range(a, b + 1)]
+
+    quoted = 0
+    for block, _, _ in _walk(Reader("\n".join(lines), lines, starts, first).root):
+        if block.start < quoted:
             continue
-        node = {"seq": seq, "parent_seq": None, "depth": 0, "type": names[kind], "span": span(a, 0, b, len(lines[b])), "start_line": a + 1, "end_line": b + 1}
-        note.nodes.append(node)
-        seq += 1
-        inner = []
-        if kind == "list":
-            for i in range(a, b + 1):
-                if kinds[i] == "item":
-                    inner.append(["ListItem", i, i])
-                elif inner:
-                    inner[-1][2] = i
-        elif kind == "table":
-            inner = [["TableRow", i, i] for i in range(a, b + 1) if i != a + 1]
-        elif kind == "quote":
-            inner = [["Paragraph", a, b]]
-        for name, x, y in inner:
-            note.nodes.append({"seq": seq, "parent_seq": node["seq"], "depth": 1, "type": name, "span": span(x, 0, y, len(lines[y])), "start_line": x + 1, "end_line": y + 1})
-            seq += 1
+        kind = {"Table": "table", "ThematicBreak": "break", "HtmlBlock": "html", "BlockQuote": "quote", "Paragraph": "text"}.get(block.type)
+        if block.type == "Heading":
+            mark(block.first, block.last, "text" if block.data["setext"] else "atx")
+            if block.data["setext"]:
+                kinds[block.last] = "setext"
+        elif block.type == "CodeBlock":
+            mark(block.first, block.last, "code")
+            if block.data["fenced"]:
+                kinds[block.first] = "fence"
+                if "closed" in block.data:
+                    kinds[block.last] = "fence"
+        elif kind and not (block.type in ("TableRow", "TableCell")):
+            mark(block.first, block.last, kind)
+        if block.type == "BlockQuote":
+            quoted = block.end
+    for block, _, _ in _walk(Reader("\n".join(lines), lines, starts, first).root):
+        if block.type == "ListItem" and kinds[block.first] != "quote":
+            kinds[block.first] = "item"
+    return kinds
+
+
+def structure(content: str, emphasis: bool = True, parts: tuple[str, ...] | None = None) -> Note:
+    """The structure of a note, or the named parts of it; positions are those of ``content``."""
+    note = Note()
+    asked = lambda *names: parts is None or any(n in parts for n in names)
+    wanted = asked("nodes", "inlines") or (asked("headings") and HEADING.search(content)) or (asked("links") and "[[" in content) or (asked("regions", "dangling") and "<!--" in content)
+    if not wanted:
+        return note
+    lines, starts = _lines_of(content)
+    _, first = body_of(content)
+    reader = Reader(content, lines, starts, first)
+    places = None if content.isascii() else np.concatenate([[0], np.cumsum(_widths(content))])
+    at = (lambda x: x) if places is None else (lambda x: int(places[x]))
+    span = lambda a, b: {"start": at(a), "end": at(b)}
+    line_of = lambda x: bisect.bisect_right(starts, x)
+    blocks = list(_walk(reader.root))
+    for block, depth, _ in blocks:
+        if block.type == "Heading" and depth == 0:
+            text = " ".join(content[a:b].strip() for a, b in block.pieces)
+            column = block.start - starts[block.first] + 1
+            note.headings.append({"level": block.data["level"], "line": block.first + 1, "text": text, "setext": block.data["setext"], "start_col": column, "span": span(block.start, block.end)})
     _sections(note.headings, len(lines))
-    named: dict[str, tuple[str, str | None]] = {}
-    for i, kind in enumerate(kinds):
-        if kind == "definition":
-            m = DEFINITION.match(lines[i])
-            # The first definition of a name counts.
-            named.setdefault(" ".join(m[1].split()).casefold(), (m[2], m[3] or m[4] or m[5]))
-    text_kinds = {"text", "item", "quote", "table", "atx", "setext"}
-    i = first if asked("inlines", "links") else len(lines)
+    if asked("nodes"):
+        _nodes(note, blocks, lines, starts, first, span)
+    only_links = not asked("inlines", "regions", "dangling")
+    if not only_links or asked("links"):
+        in_table = {id(c) for row, _, _ in blocks if row.type == "TableRow" for c in row.children}
+        for block, _, _ in blocks:
+            if block.pieces and block.type in ("Paragraph", "Heading", "TableCell") and not (only_links and content.find("[[", block.pieces[0][0], block.pieces[-1][1]) < 0):
+                _inlines(note, content, block, id(block) in in_table, reader.names, emphasis, span, line_of)
+        note.inlines.sort(key=lambda x: (x["span"]["start"], -x["span"]["end"]))
+        for i, x in enumerate(note.inlines):
+            x["seq"] = i
+    if asked("regions", "dangling"):
+        _regions(note, content, blocks, starts, span, line_of)
+    return note
+
+
+def _widths(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+
+
+def _nodes(note: Note, blocks: list, lines: list[str], starts: list[int], first: int, span) -> None:
+    """Blocks but headings, and what none of them claims."""
+    rows, claimed = [], set(range(first))
+    for block, depth, parent in blocks:
+        if depth == 0:
+            claimed.update(range(block.first, block.last + 1))
+        if block.type != "Heading":
+            rows.append((block.start, depth, block, parent))
+    i = first
     while i < len(lines):
-        if kinds[i] not in text_kinds:
+        if i in claimed or not lines[i].strip(" \t"):
             i += 1
             continue
         j = i
-        while j + 1 < len(lines) and kinds[j + 1] in ("text", "setext") and kinds[j] in ("text", "quote", "item"):
+        while j + 1 < len(lines) and j + 1 not in claimed and lines[j + 1].strip(" \t"):
             j += 1
-        _inlines(note, lines, i, j, at, emphasis, kinds[i] == "table", named)
+        lead = len(lines[i]) - len(lines[i].lstrip(" \t"))
+        kind = "LinkReferenceDefinition" if lines[i].lstrip(" \t").startswith("[") and "]:" in lines[i] else "Unknown"
+        gap = Block(kind, starts[i] + lead, starts[j] + len(lines[j].rstrip(" \t")), i)
+        gap.last = j
+        rows.append((gap.start, 0, gap, None))
         i = j + 1
-    if asked("regions", "dangling"):
-        _regions(note, lines, kinds, at, first)
-    return note
+    rows.sort(key=lambda r: (r[0], r[1]))
+    number = {id(r[2]): n for n, r in enumerate(rows)}
+    for seq, (_, depth, block, parent) in enumerate(rows):
+        data = block.data
+        node = {"seq": seq, "parent_seq": None if parent is None else number[id(parent)], "depth": depth, "type": block.type, "span": span(block.start, block.end), "start_line": block.first + 1, "end_line": block.last + 1}
+        if block.type == "CodeBlock":
+            body = (block.start, block.end)
+            if data["fenced"]:
+                begin = min(starts[block.first + 1] if block.first + 1 < len(starts) else block.end, block.end)
+                before = block.last - 1 if "closed" in data else block.last
+                body = (begin, max(begin, starts[before] + len(lines[before])))
+            node |= {"info": data.get("info"), "body_span": span(*body)}
+        elif block.type == "List":
+            node |= {"ordered": data["ordered"], "tight": data["tight"], "marker": data["marker"], "number": data["number"]}
+        elif block.type == "ListItem":
+            node["task"] = data["task"]
+        elif block.type == "TableRow":
+            node["header"] = data["header"]
+        note.nodes.append(node)
 
 
 def _sections(headings: list[dict], total: int) -> None:
@@ -213,11 +204,9 @@ def _sections(headings: list[dict], total: int) -> None:
     stack: list[list] = []
     roots = 0
     for i, h in enumerate(headings):
-        h["seq"] = i
-        h["sec_start"] = h["line"]
-        h["sec_end"] = next((x["line"] - 1 for x in headings[i + 1 :] if x["level"] <= h["level"]), total)
+        h["seq"], h["sec_start"], h["sec_end"] = i, h["line"], total
         while stack and stack[-1][0] >= h["level"]:
-            stack.pop()
+            headings[stack.pop()[3]]["sec_end"] = h["line"] - 1
         if stack:
             stack[-1][2] += 1
             h["address"], h["parent_seq"] = f"{stack[-1][1]}.{stack[-1][2]}", stack[-1][3]
@@ -227,66 +216,56 @@ def _sections(headings: list[dict], total: int) -> None:
         stack.append([h["level"], h["address"], 0, i])
 
 
-def _inlines(note: Note, lines: list[str], a: int, b: int, at, emphasis: bool, table: bool, named: dict) -> None:
-    text = "\n".join(lines[a : b + 1])
-    breaks = [0]
-    for line in lines[a : b + 1]:
-        breaks.append(breaks[-1] + len(line) + 1)
-
-    def place(offset: int) -> tuple[int, int]:
-        import bisect
-
-        row = bisect.bisect_right(breaks, offset) - 1
-        row = min(row, b - a)
-        return a + row, offset - breaks[row]
-
-    def add(kind: str, x: int, y: int, **more) -> None:
-        (r1, c1), (r2, c2) = place(x), place(y)
-        note.inlines.append({"seq": len(note.inlines), "type": kind, "span": {"start": at(r1, c1), "end": at(r2, c2)}, "start_line": r1 + 1, **more})
-
-    for m in CODE.finditer(text):
-        if not table:
-            add("CodeSpan", m.start(), m.end())
-    plain = masked(text)
-    plain = re.sub(r"\\[\\`*_{}\[\]()#+.!|<>-]", "  ", plain) if "\\" in plain and not table else plain
-    for m in WIKI.finditer(plain):
-        embed = m.start() > 0 and plain[m.start() - 1] == "!"
-        target, alias = m[1].strip(), m[2].strip() if m[2] is not None else None
-        if target:
-            page, _, rest = target.partition("#")
-            add("Wikilink", m.start() - embed, m.end(), target=target, alias=alias, embed=embed, page=page, heading=rest if rest and not rest.startswith("^") else None, block=rest[1:] if rest.startswith("^") else None)
-    if not table:
-        for m in LINK.finditer(plain):
-            add("Image" if m[1] else "Link", m.start(), m.end(), url=m[3], title=m[4])
-        for m in BY_NAME.finditer(WIKI.sub(lambda m: " " * len(m[0]), plain)) if named else ():
-            if target := named.get(" ".join((m[2] or m[1]).split()).casefold()):
-                add("Link", m.start(), m.end(), url=target[0], title=target[1])
-        for m in AUTO.finditer(plain):
-            add("Autolink", m.start(), m.end(), url=m[1] or m[2])
-    if emphasis:
-        bare = WIKI.sub(lambda m: " " * len(m[0]), plain)
-        for m in EMPHASIS.finditer(bare):
-            add("Strong" if m[1] or m[2] else "Emph", m.start(), m.end())
-    note.inlines.sort(key=lambda x: (x["span"]["start"], -x["span"]["end"]))
-    for i, x in enumerate(note.inlines):
-        x["seq"] = i
-
-
-def _regions(note: Note, lines: list[str], kinds: list[str], at, first: int) -> None:
-    """Anchors pair per label, the last opened first; those without a partner are left over."""
+def _inlines(note: Note, content: str, block: Block, cell: bool, names: dict, emphasis: bool, span, line_of) -> None:
+    """The inlines of a leaf; in a table's cell those alone that don't depend on exact places."""
+    pieces = block.pieces
+    text = "\n".join(content[a:b] for a, b in pieces)
+    begins, at = [], 0
+    for a, b in pieces:
+        begins.append(at)
+        at += b - a + 1
+
+    def place(x: int) -> int:
+        k = bisect.bisect_right(begins, x) - 1
+        return pieces[k][0] + x - begins[k]
+
+    for x in inlines(text, names, emphasis):
+        if cell and x.kind not in ("Wikilink", "Emph", "Strong"):
+            continue
+        a, b = place(x.start), place(x.end - 1) + 1
+        row = {"type": x.kind, "span": span(a, b), "start_line": line_of(a), **x.more, "in_cell": cell}
+        if "inner" in x.more:
+            i, j = x.more["inner"]
+            row["inner"] = span(place(i), place(j))
+        if x.kind in ("Emph", "Strong"):
+            row["before"], row["after"] = content[a - 1 : a] or None, content[b : b + 1] or None
+        note.inlines.append(row)
+
+
+def _regions(note: Note, content: str, blocks: list, starts: list[int], span, line_of) -> None:
+    """Anchors pair per label, the last opened first; those without a partner are left over.  Code has no anchors."""
+    mask = [(b.start, b.end) for b, _, _ in blocks if b.type == "CodeBlock" or (b.type == "HtmlBlock" and b.last > b.first and content.startswith("<!--", b.start))]
+    inert = sorted((span(a, b)["start"], span(a, b)["end"]) for a, b in mask)
+    inert += [(x["span"]["start"], x["span"]["end"]) for x in note.inlines if x["type"] == "CodeSpan"]
+    inert.sort()
+    begins, ends, most = [a for a, _ in inert], [], 0
+    for _, b in inert:
+        most = max(most, b)
+        ends.append(most)
     open_by: dict[str, list[dict]] = {}
-    for i in range(first, len(lines)):
-        if kinds[i] in ("code", "fence"):
+    for m in REGION.finditer(content):
+        place, label = span(m.start(), m.end()), m[2]
+        k = bisect.bisect_right(begins, place["start"]) - 1
+        if (k >= 0 and place["start"] < ends[k]) or "\n" in m[0] or "\r" in m[0]:
             continue
-        for m in REGION.finditer(masked(lines[i])):
-            label = m[2]
-            if not m[1]:
-                open_by.setdefault(label, []).append({"label": label, "info": m[3] or None, "start": at(i, m.start()), "body_start": at(i, m.end()), "start_line": i + 1})
-            elif open_by.get(label):
-                o = open_by[label].pop()
-                note.regions.append({"label": label, "info": o["info"], "span": {"start": o["start"], "end": at(i, m.end())}, "body_span": {"start": o["body_start"], "end": at(i, m.start())}, "start_line": o["start_line"], "end_line": i + 1})
-            else:
-                note.dangling.append({"kind": "close", "label": label, "line": i + 1})
+        line = line_of(m.start())
+        if not m[1]:
+            open_by.setdefault(label, []).append({"label": label, "info": m[3] or None, "start": place["start"], "body_start": place["end"], "start_line": line})
+        elif open_by.get(label):
+            o = open_by[label].pop()
+            note.regions.append({"label": label, "info": o["info"], "span": {"start": o["start"], "end": place["end"]}, "body_span": {"start": o["body_start"], "end": place["start"]}, "start_line": o["start_line"], "end_line": line})
+        else:
+            note.dangling.append({"kind": "close", "label": label, "line": line})
     for stack in open_by.values():
         note.dangling += [{"kind": "open", "label": o["label"], "line": o["start_line"]} for o in stack]
     note.regions.sort(key=lambda r: r["span"]["start"])
