@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewell.functions import text
@@ -121,23 +122,52 @@ def at_path(document: Column, path: str) -> Column:
     return F.struct(F.when(error.isNull(), F.to_json(value)).alias("value"), error.alias("error"))
 
 
-def check_structure(notes: DataFrame) -> DataFrame:
-    """(rel, check, n, bad): how many places were looked at, and how many are wrong.
+#: What the text of each kind of inline looks like, whatever reader found it.
+SHAPES = {
+    "Link": r"(?s)\[.*[)\]]", "Image": r"(?s)!\[.*[)\]]", "Wikilink": r"(?s)!?\[\[.*\]\]", "CodeSpan": r"(?s)`.*`", "Emph": r"(?s)[*_].*[*_]", "Strong": r"(?s)\*\*.*\*\*|__.*__",
+    "Autolink": r"(?s)<.*>|.*(?:://|@).*|www\..*",
+}
+
 
-    ``order``: blocks and headings of a file begin after the one before has ended.  ``gap``: only white space stands
-    between them.  ``nesting``: what is inside a block stands within its span.  ``known``: every block has a type.
+def check_structure(notes: DataFrame) -> DataFrame:
+    """(rel, check, n, bad): how many places of a note were looked at, and how many are wrong.
+
+    ``order``: blocks and headings of the top level begin after the one before has ended.  ``gap``: only white space
+    stands between them, before the first and behind the last.  ``nesting``: what is inside a block stands within its
+    span.  ``known``: every block has a type.  ``body``: the inside of a code block stands within it.  ``inline``: the
+    text of each inline has the shape of its kind; in a table's cell, where places aren't exact, that isn't asked of
+    links to notes and emphasis.  ``inner``: a link's text stands within it.  ``region``: a region stands between its
+    anchors.  Checks of parts that ``notes`` doesn't have are left out.  All of it is one pass over the rows.
     """
-    top = notes.select("rel", "content", F.explode(F.concat(F.transform("headings", lambda h: h["span"]), F.transform(F.filter("nodes", lambda x: x["depth"] == 0), lambda x: x["span"]))).alias("s")).select("rel", "content", "s.*")
-    w = Window.partitionBy("rel").orderBy("start", "end")
-    pairs = top.withColumn("before", F.lag("end").over(w)).where("before is not null")
-    gap = text.byte_slice(F.col("content"), F.col("before"), F.col("start"))
-    tiled = pairs.select("rel", F.explode(F.array(F.struct(F.lit("order").alias("check"), (F.col("start") < F.col("before")).alias("bad")), F.struct(F.lit("gap").alias("check"), ((F.col("start") >= F.col("before")) & ~gap.rlike(r"^\s*$")).alias("bad")))).alias("x")).select("rel", "x.*")
-    nodes = N.part(notes, "nodes")
-    outer = nodes.select("rel", F.col("seq").alias("parent_seq"), F.col("span").alias("outer"))
-    nested = nodes.join(outer, ["rel", "parent_seq"]).select("rel", F.lit("nesting").alias("check"), ((F.col("span.start") < F.col("outer.start")) | (F.col("span.end") > F.col("outer.end"))).alias("bad"))
-    known = nodes.select("rel", F.lit("known").alias("check"), (F.col("type") == "Unknown").alias("bad"))
-    every = tiled.unionByName(nested).unionByName(known)
-    return every.groupBy("rel", "check").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("bad"))
+    has = set(notes.columns)
+    # The text is encoded once; each check takes its slices from it.
+    rows = notes.withColumn("_raw", F.encode("content", "utf-8")).withColumn("_front", (F.octet_length("content") - F.octet_length("body")).cast("bigint"))
+    cut = lambda a, b: F.decode(F.substring("_raw", (a + 1).cast("int"), (b - a).cast("int")), "utf-8")
+    within = lambda inner, outer: (inner["start"] >= outer["start"]) & (inner["end"] <= outer["end"])
+    checks: dict[str, tuple[Column, Column]] = {}
+
+    def look(name: str, items: Column, right) -> None:
+        checks[name] = (F.size(items), F.size(F.filter(items, lambda x: ~right(x))))
+
+    if {"headings", "nodes"} <= has:
+        tops = F.concat(F.transform("headings", lambda h: h["span"]), F.transform(F.filter("nodes", lambda x: x["depth"] == 0), lambda x: x["span"]))
+        rows = rows.withColumn("_tops", F.array_sort(tops)).withColumn("_ends", F.concat(F.array("_front"), F.transform("_tops", lambda s: s["end"])))
+        pairs = F.arrays_zip(F.slice("_tops", 2, F.greatest(F.size("_tops") - 1, F.lit(0))).alias("s"), F.slice("_ends", 2, F.greatest(F.size("_tops") - 1, F.lit(0))).alias("e"))
+        gaps = F.arrays_zip(F.concat(F.transform("_tops", lambda s: s["start"]), F.array(F.octet_length("content").cast("bigint"))).alias("s"), F.col("_ends").alias("e"))
+        look("order", pairs, lambda x: x["s"]["start"] >= x["e"])
+        look("gap", gaps, lambda x: (x["s"] < x["e"]) | cut(x["e"], x["s"]).rlike(r"^\ufeff?\s*$"))
+    if "nodes" in has:
+        look("nesting", F.filter("nodes", lambda x: x["parent_seq"].isNotNull()), lambda x: within(x["span"], F.get("nodes", x["parent_seq"])["span"]))
+        look("known", F.col("nodes"), lambda x: x["type"] != "Unknown")
+        look("body", F.filter("nodes", lambda x: x["body_span"].isNotNull()), lambda x: within(x["body_span"], x["span"]))
+    if "inlines" in has:
+        shape = lambda x: reduce(lambda other, kind: F.when(x["type"] == kind, cut(x["span"]["start"], x["span"]["end"]).rlike("^(?:" + SHAPES[kind] + ")$")).otherwise(other), SHAPES, F.lit(True))
+        look("inline", F.filter("inlines", lambda x: ~x["in_cell"]), shape)
+        look("inner", F.filter("inlines", lambda x: x["inner"].isNotNull()), lambda x: within(x["inner"], x["span"]))
+    if "regions" in has:
+        look("region", F.col("regions"), lambda x: within(x["body_span"], x["span"]) & cut(x["span"]["start"], x["span"]["end"]).rlike(r"(?s)^<!--.*-->$"))
+    found = F.array(*[F.struct(F.lit(name).alias("check"), n.alias("n"), F.coalesce(bad, F.lit(0)).alias("bad")) for name, (n, bad) in checks.items()])
+    return rows.select("rel", F.inline(found))
 
 
 def as_lines(notes: DataFrame, *parts: str) -> DataFrame:

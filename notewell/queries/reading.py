@@ -237,7 +237,7 @@ SQL = {
       union all select 'p/' || p_partkey || '.md', 14, 'never closed' from part where p_partkey % 7 = 0""",
     "decision_fired": "select 'p/' || p_partkey || '.md' as rel, unnest(['a', 'b']) as id, unnest(['pick-one', 'confirm-all']) as kind, unnest(['keep', 'move']) as verb, unnest([p_name, 'all']) as target from part where p_partkey % 3 <> 0 and p_partkey % 5 <> 0 and p_partkey % 7 <> 0",
     "address_outcomes": "select asked, outcome, count(*) as n from (select unnest(['1.1', '9.9', 'Detail', 'no such', 'links', 'fm.cost', 'NOTES']) as asked, unnest(['found', 'out of range', 'found', 'no match', 'reserved', 'reserved', 'found']) as outcome from orders) group by all",
-    "structure_checks": "select unnest(['order', 'gap', 'nesting', 'known']) as \"check\", unnest([8 * count(*), 8 * count(*), count(*), 6 * count(*)])::bigint as n, 0::bigint as bad from orders",
+    "structure_checks": "select unnest(['order', 'gap', 'nesting', 'known', 'body']) as \"check\", unnest([8 * count(*), 10 * count(*), 2 * count(*), 7 * count(*), count(*)])::bigint as n, 0::bigint as bad from orders",
     "read_target": "select '20 cards/card-12.md' as rel, '2' as address from part where p_partkey = 12",
     "ndjson_lines": "with " + C + "select rel, 2 as headings from c",
     "consult_sections": "select '41 projects/' || c_mktsegment || '/ticket-' || o_orderkey || '.md' as rel, '1.2' as section from orders join customer on o_custkey = c_custkey",

@@ -81,7 +81,7 @@ SQL = {
           '# Order ' || k || e || e || 'See [[track-' || c_nationkey || ']] and [[card-' || o_custkey || '#Notes|card]].' || e || '`[[not-a-link]]` stays.' || e || e || '```' || e || '[[nor-this]]' || e || '```' || e as intro from (select *, chr(10) as e from t)),
         y as (select unnest(['1', '1.1', '1.1.1', '1.2']) as address, unnest([length(intro || e || notes || detail || e || tasks), length(notes || detail), length(detail), length(tasks)]) as a, unnest([length(intro), length(notes) - 1, length(detail), length(tasks)]) as b from x)
       select address, (a // 4)::int as tokens, (b // 4)::int as own_tokens, count(*) as n from y group by all""",
-    "block_stats": "select unnest(['Paragraph', 'CodeBlock', 'List', 'ListItem']) as type, unnest([count(*) * 3, count(*), count(*), count(*)]) as n from orders",
+    "block_stats": "select unnest(['Paragraph', 'CodeBlock', 'List', 'ListItem']) as type, unnest([count(*) * 4, count(*), count(*), count(*)]) as n from orders",
     "inline_stats": "select 'Wikilink' as type, count(*) * 2 + count(*) filter (where o_orderkey % 3 = 0) as n from orders union all select 'CodeSpan', count(*) from orders",
     "blocks_tile": "select '' as rel, '' as type, 0 as start, 0 as \"end\" where false",
     "disjoint_sections": T + """ select rel, unnest([0, 1, 2, 3, 4]) as seq, unnest(['', 'Order ' || k, 'Notes', 'Detail', 'Tasks']) as heading, unnest([0,
