@@ -167,27 +167,16 @@ def located_graph(units_: DataFrame, quotes: DataFrame, found: DataFrame, key: s
     return nodes, resolve_endpoints(found, nodes.where("error is null"), key)
 
 
-def neighbours(notes: DataFrame, candidates: DataFrame, k: int = 3, stem: bool = False) -> DataFrame:
+def neighbours(notes: DataFrame, candidates: DataFrame, path: str, k: int = 3, stem: bool = False) -> DataFrame:
     """(candidate, rank, rel, score): for each candidate's text its ``k`` best notes, superseded ones left out.
 
-    All candidates are one batch: their terms meet the notes' terms on equality, scores are sums by (candidate, note).
-    Terms that more than a tenth of the notes have say little and would meet everything; they are no terms here, unless
-    there are fewer than a hundred notes.
+    The live notes are indexed at ``path`` as one field of name, description and body; another batch of candidates can
+    be asked of that index by ``index.neighbours``.
     """
-    from notewell.operators import search
-
-    live = notes.where("tier <> 'superseded'").select("rel", search.tokens(F.concat_ws(" ", "name", "description", "body"), stem).alias("ws"))
-    live = live.select("rel", F.size("ws").alias("len"), "ws").repartition(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rel")
-    stats = live.agg(F.count("*").alias("docs"), F.avg("len").alias("avg"))
-    postings = live.select("rel", "len", F.explode("ws").alias("term")).groupBy("rel", "len", "term").agg(F.count("*").alias("tf"))
-    asked = candidates.select("candidate", F.explode(F.array_distinct(search.tokens(F.col("text"), stem))).alias("term"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats)).where("df <= greatest(docs / 10, 10)")
-    hits = asked.join(df, "term").join(postings, "term")
-    norm = search.K1 * (1 - search.B + search.B * F.col("len") / F.col("avg"))
-    score = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (search.K1 + 1) / (F.col("tf") + norm)
-    scored = hits.groupBy("candidate", "rel").agg(F.sum(score).alias("score"))
-    best = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc(F.round("score", 9)), "rel"))
-    return scored.withColumn("rank", best).where(F.col("rank") <= k).select("candidate", "rank", "rel", "score")
+    from notewell.operators import index
+
+    live = notes.where("tier <> 'superseded'")
+    return index.neighbours(index.build(live, path, {"text": ("name", "description", "body")}, stem, carry=()), candidates, k)
 
 
 def same_items(a: Column, b: Column) -> Column:

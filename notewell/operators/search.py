@@ -128,22 +128,53 @@ def bm25(notes: DataFrame, terms: list[str] | Query, stem: bool = True, boosts:
 
 
 def search(notes: DataFrame, query: str, limit: int = 10, types: tuple[str, ...] = (), drop_superseded: bool = False, stem: bool = True) -> DataFrame:
-    """(rel, title, type, score, tokens, superseded, snippet): scores are scaled by trust before the limit."""
+    """(rel, title, type, score, tokens, superseded, body, snippet, links): scores are scaled by trust before the limit.
+
+    ``links``, the distinct targets of body and frontmatter, are there if the notes have their links.
+    """
     rows = notes.where(F.col("type").isin(*types)) if types else notes
+    if "links" in rows.columns:
+        rows = rows.withColumn("_links", F.array_sort(F.array_distinct(F.concat(F.transform("links", lambda x: x["target"]), F.transform(F.flatten(F.transform(F.map_values("fm"), lambda v: v["links"])), lambda x: x["target"])))))
     asked = parse_query(query, stem)
-    hits = bm25(rows, asked, stem, carry=CARRIED)
+    hits = bm25(rows, asked, stem, carry=(*CARRIED, *(c for c in ("_links",) if c in rows.columns)))
     if drop_superseded:
         hits = hits.where("tier <> 'superseded'")
     scaled = hits.withColumn("score", F.col("score") * text.multiplier(F.col("tier")))
-    return scaled.orderBy(F.desc("score"), "rel").limit(limit).select("rel", F.col("name").alias("title"), "type", "score", "tokens", (F.col("tier") == "superseded").alias("superseded"), snippet(F.regexp_replace("body", r"^\n+", ""), asked.terms).alias("snippet"))
+    return described(scaled.orderBy(F.desc("score"), "rel").limit(limit), asked.terms)
 
 
-def snippet(body: Column, terms: list[str], width: int = 150) -> Column:
-    """About ``width`` characters around the first place where a term begins a word."""
+def described(hits: DataFrame, terms: list[str]) -> DataFrame:
+    """What a search says of its hits, a row a note; there are no more of them than its limit."""
+    body = F.regexp_replace("body", r"^\n+", "")
+    more = [F.col("_links").alias("links")] if "_links" in hits.columns else []
+    rows = hits.select("rel", F.col("name").alias("title"), "type", "score", "tokens", (F.col("tier") == "superseded").alias("superseded"), body.alias("body"), *more)
+    return rows.join(snippets(rows.select("rel", "body"), terms), "rel").orderBy(F.desc("score"), "rel")
+
+
+def snippets(hits: DataFrame, terms: list[str], width: int = 150) -> DataFrame:
+    """(rel, snippet): of each body (rel, body) the ``width`` characters that hold the most distinct terms.
+
+    Windows begin at words that begin with a term; of those with as many distinct terms the one with the most matches
+    counts, then the first.  The snippet begins a third of the width before it where the window leaves room, else as
+    far as it does; a body without a match gives its beginning.  Windows slide over the matches of one body, as ranges
+    of characters.
+    """
+    start = F.substring("body", 1, width)
     if not terms:
-        return F.substring(body, 1, width)
-    first = F.regexp_instr(F.lower(body), F.lit(r"(?<![\p{L}\p{N}])(" + "|".join(terms) + ")"))
-    return F.substring(body, F.greatest(F.lit(1), first - width // 3), F.lit(width))
+        return hits.select("rel", start.alias("snippet"))
+    pieces = hits.select("rel", F.posexplode(F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))).alias("i", "piece"))
+    ahead = Window.partitionBy("rel").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(ahead), F.lit(0)))
+    term = F.get(F.filter(F.array(*map(F.lit, terms)), lambda t: F.startswith(F.lower("piece"), t)), F.lit(0))
+    matches = placed.select("rel", "at", (F.col("at") + F.length("piece")).alias("stop"), term.alias("term")).where("term is not null")
+    # A match counts if it ends within the window, so windows are over the places of the ends.
+    near = Window.partitionBy("rel").orderBy("at").rangeBetween(0, width - 1)
+    inside = F.filter(F.collect_list(F.struct("at", "stop", "term")).over(near), lambda m: m["stop"] <= F.col("at") + width)
+    counted = matches.withColumn("inside", inside)
+    ranked = counted.select("rel", "at", F.size(F.array_distinct(F.transform("inside", lambda m: m["term"]))).alias("distinct"), F.size("inside").alias("n"), F.coalesce(F.array_max(F.transform("inside", lambda m: m["stop"])), F.col("stop")).alias("last"))
+    best = ranked.groupBy("rel").agg(F.max_by(F.struct("at", "last"), F.struct("distinct", "n", -F.col("at"))).alias("w"))
+    room = F.least(F.lit(width // 3), F.greatest(F.lit(0), F.col("w.at") + width - F.col("w.last")))
+    return hits.join(best, "rel", "left").select("rel", F.coalesce(F.substring("body", (F.greatest(F.lit(0), F.col("w.at") - room) + 1).cast("int"), F.lit(width)), start).alias("snippet"))
 
 
 def regex_lines(notes: DataFrame, pattern: str, context: int = 0) -> DataFrame:
@@ -191,7 +222,7 @@ def consult_hits(notes: DataFrame, query: str, scope: tuple[str, ...] = (), incl
     terms = asked.terms
     top = bm25(rows, asked, stem, carry=CARRIED).orderBy(F.desc("score"), "rel").limit(DEPTH)
     body = F.regexp_replace("body", r"^\n+", "")
-    hits = top.select("rel", "type", (F.col("score") * text.multiplier(F.col("tier"))).alias("score"), coverage(terms, F.col("body"), stem).alias("coverage"), text.tokens(body).alias("tokens"), body.alias("body"))
+    hits = top.select("rel", "type", (F.col("score") * text.multiplier(F.col("tier"))).alias("score"), coverage(terms, F.col("body"), stem).alias("coverage"), text.tokens(body).alias("tokens"), (F.col("tier") == "superseded").alias("superseded"), body.alias("body"))
     # At most DEPTH rows are left; one window over them is of constant size.
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "rel")))
 
@@ -318,7 +349,7 @@ def render_consult(outcome: Outcome, form: str = "markdown") -> str:
         return "\n".join(lines) + "\n"
     lines = [f"<!-- consult: {len(docs)} documents, about {sum(d['tokens'] for d in docs)} tokens -->"]
     for d in docs:
-        lines += ["", f"## {_title(d['rel'])} ({d['rel']})", "", d["body"].rstrip()]
+        lines += ["", f"## {_title(d['rel'])}{' [superseded]' if d.get('superseded') else ''} ({d['rel']})", "", d["body"].rstrip()]
     if pointers:
         lines += ["", "Left out for their size; read them where they are:", ""]
         lines += [f"- {_title(d['rel'])}: read \"{d['rel']}\"{' ' + d['section'] if d.get('section') else ''} (about {d['tokens']} tokens, coverage {d['coverage']:.2f})" for d in pointers]

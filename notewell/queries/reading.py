@@ -16,6 +16,7 @@ from notewell.queries.search import D
 from notewell.queries.sections import SQL as SECTIONS
 from notewell.queries.views import T
 from notewell.sources import synth
+from notewell.sources.shared import fresh_path
 
 #: The number that ends the name of a rendered note.
 K = r"(\d+)\.md$"
@@ -120,7 +121,7 @@ def edge_endpoints(spark, sf_dir):
 def neighbour_notes(spark, sf_dir):
     """The notes nearest to each passage of the benchmark."""
     passages = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("candidate"), "text")
-    return V.neighbours(_notes(spark, sf_dir, "note"), passages, k=3).select("candidate", "rank", F.round("score", 6).alias("score"))
+    return V.neighbours(_notes(spark, sf_dir, "note"), passages, fresh_path(spark, "neighbours"), k=3).select("candidate", "rank", F.round("score", 6).alias("score"))
 
 
 def spell_checks(spark, sf_dir):
@@ -252,7 +253,7 @@ SQL = {
     "edge_endpoints": "with " + C + "select rel as file, 1 as from_id, 'subsumes' as rel, 0 as to_id from c",
     "neighbour_notes": D + r""", n as (select rel, regexp_extract_all(lower(title || ' ' || description || ' ' || body), '[\p{L}\p{N}]+') as ws from d where tier <> 'superseded'),
       p as (select rel, len(ws) as len, unnest(ws) as term from n), f as (select rel, len, term, count(*) as tf from p group by all),
-      s as (select count(*) as docs, avg(len(ws)) as a from n), g as (select term, count(*) as df, any_value(docs) as docs, any_value(a) as a from f, s group by term having count(*) <= greatest(any_value(docs) / 10, 10)),
+      s as (select count(*) as docs, avg(len(ws)) as a from n), g as (select term, count(*) as df, any_value(docs) as docs, any_value(a) as a from f, s group by term),
       q as (select distinct item_id as candidate, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as term from benchmark),
       r as (select candidate, rel, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) as score from q join g using (term) join f using (term) group by candidate, rel),
       z as (select candidate, row_number() over (partition by candidate order by round(score, 9) desc, rel) as rank, score from r)

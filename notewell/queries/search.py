@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from notewell.functions import text
 from notewell.operators import notes as N
+from notewell.operators import index
 from notewell.operators import search as S
 from notewell.sources import synth
+from notewell.sources.shared import fresh_path
 
 QUERY = "thand ereat inon"
 
@@ -59,7 +61,27 @@ def tier_counts(spark, sf_dir):
     return _notes(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("n"), F.sum(text.multiplier(F.col("tier"))).cast("decimal(18,1)").cast("double").alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_tier_rerank, search_stemmed, search_regex_lines, coverage_topk, consult_gate, consult_pack, tier_counts)}
+def index_topk(spark, sf_dir):
+    """The best notes by an index, of which each query reads its terms' blocks alone."""
+    made = index.build(_notes(spark, sf_dir), fresh_path(spark, "index"), stem=False)
+    hits = index.top(made, S.parse_query(QUERY, stem=False), 20, S.BOOSTS)
+    return hits.select("rel", F.round("score", 6).alias("score"))
+
+
+def index_boolean(spark, sf_dir):
+    """Conditions and trust, by an index: scores are scaled before the cut."""
+    made = index.build(_notes(spark, sf_dir), fresh_path(spark, "index"), stem=False)
+    hits = index.top(made, S.parse_query("es NOT el", stem=False), 20, S.BOOSTS, F.col("tier") != "superseded", scaled=True)
+    return hits.select("rel", "tier", F.round("score", 6).alias("score"))
+
+
+def best_windows(spark, sf_dir):
+    """The window of each body that holds most of the terms."""
+    notes = _notes(spark, sf_dir).where("rlike(lower(body), 'thand|ereat|inon')")
+    return S.snippets(notes.select("rel", "body"), S.query_terms(QUERY, stem=False), width=60)
+
+
+QUERIES = {f.__name__: f for f in (index_topk, index_boolean, best_windows, bm25_topk, bm25_tier_rerank, search_stemmed, search_regex_lines, coverage_topk, consult_gate, consult_pack, tier_counts)}
 
 D = """with d as (
   select doc_id, '10 notes/' || lang || '/note-' || doc_id || '.md' as rel, case when toxic = 1 then 'superseded' when quality = 0 then 'provisional' else 'certified' end as tier, chr(10) || text as body,
@@ -69,10 +91,10 @@ m as (select *, case tier when 'superseded' then 0.3 when 'provisional' then 0.6
 """
 
 
-def _scores(where: str = "true") -> str:
+def _scores(where: str = "true", terms: str = "'thand', 'ereat', 'inon'") -> str:
     return D + f""", w as (select rel, tier, mult, body, field, boost, regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+') as ws from (
     select rel, tier, mult, body, unnest(['title', 'description', 'body']) as field, unnest([1.0, 1.5, 1.0]::double[]) as boost, unnest([title, description, body]) as x from m where {where})),
-  q as (select unnest(['thand', 'ereat', 'inon']) as term),
+  q as (select unnest([{terms}]) as term),
   tf as (select rel, tier, mult, body, field, boost, term, len(ws) as n, len(list_filter(ws, lambda y: y = term)) as tf from w, q),
   st as (select field, term, count(*) as docs, avg(n) as avg_n, count(*) filter (where tf > 0) as df from tf group by field, term),
   s as (select rel, tier, mult, any_value(body) as body, sum(boost * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_n))) as score from tf join st using (field, term) where tf > 0 group by rel, tier, mult)
@@ -84,6 +106,16 @@ TOP = _scores("tier <> 'superseded'") + """, h as (select rel, score * mult as s
   r as (select *, row_number() over (order by score desc, rel) as rank from h)
 """
 SQL = {
+    "index_topk": _scores() + "select rel, round(score, 6) as score from s order by round(score, 9) desc, rel limit 20",
+    "index_boolean": _scores(terms="'es', 'el'") + """, t as (select rel, tier, mult, sum(boost * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_n))) as score from tf join st using (field, term) where tf > 0 and term = 'es' group by all),
+      no as (select distinct rel from tf where term = 'el' and tf > 0)
+      select rel, tier, round(score * mult, 6) as score from t where tier <> 'superseded' and rel not in (select rel from no) order by round(score * mult, 9) desc, rel limit 20""",
+    "best_windows": D + r""", b as (select rel, body, regexp_extract_all(body, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') as ps from d where regexp_matches(lower(body), 'thand|ereat|inon')),
+      p as (select rel, unnest(ps) as piece, generate_subscripts(ps, 1) as i from b), o as (select rel, piece, coalesce(sum(length(piece)) over (partition by rel order by i rows between unbounded preceding and 1 preceding), 0)::int as a from p),
+      mt as (select rel, a, a + length(piece) as z, case when starts_with(lower(piece), 'ereat') then 'ereat' when starts_with(lower(piece), 'inon') then 'inon' else 'thand' end as term from o where regexp_matches(lower(piece), '^(ereat|inon|thand)')),
+      w as (select x.rel, x.a, any_value(x.z) as own, count(distinct y.term) as u, count(y.term) as n, max(y.z) as last from mt x left join mt y on x.rel = y.rel and y.a >= x.a and y.z <= x.a + 60 group by x.rel, x.a),
+      r as (select *, row_number() over (partition by rel order by u desc, n desc, a) as k from w)
+      select rel, substring(body, coalesce(greatest(0, a - least(20, greatest(0, a + 60 - coalesce(last, own)))), 0)::int + 1, 60) as snippet from b left join (select * from r where k = 1) r using (rel)""",
     "bm25_topk": _scores() + "select rel, round(score, 6) as score from s order by round(score, 6) desc, rel limit 20",
     "bm25_tier_rerank": _scores() + "select rel, tier, round(score * mult, 6) as score from s order by round(score * mult, 6) desc, rel limit 20",
     "search_regex_lines": D + """, n as (select rel, string_split('---' || chr(10) || 'type: note' || chr(10) || 'description: ' || description || chr(10) || 'x' || chr(10) || case when tier = 'superseded' or doc_id in (select doc_id from labels where toxic = 1) then 'x' || chr(10) else '' end || case when doc_id in (select doc_id from labels where quality = 0) then 'x' || chr(10) else '' end || '---' || body, chr(10)) as ls from d),
