@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 
 from notewell.functions import format as fmt
 from notewell.functions import payload, text
+from notewell.sources.shared import written
 
 LANE = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("lane", "markup", "key")]))
 
@@ -70,78 +73,156 @@ def tally(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.greatest(F.lit(0), F.col("_a") - F.col("_b")).alias("dropped"), F.greatest(F.lit(0), F.col("_b") - F.col("_a")).alias("invented"))
 
 
-def _edits(length: Column, most: int) -> Column:
-    """How many edits may part a name of this length from another within a third of the longer one's length.
+#: Edits that may part two names, and the length from which names meet on pieces instead of on what deletions leave.
+MOST, LONG = 3, 25
+
 
-    Lengths differ by no more than the edits, so it is half of the length at most; a name has at least as many
-    characters as pieces, and no piece is empty.
+def _deleted(name: Column, most: int) -> Column:
+    """Hashes of what is left of a name when up to ``most`` characters are deleted, each way once.
+
+    Two names within ``most`` edits have such a rest in common: each edit deletes a character of one side or of both.
+    Names that share a rest have all but ``most`` characters in common, in order, so they meet few others, however
+    much all names have in common.
     """
-    return F.least(F.lit(most), F.floor(length / 2)).cast("int")
+    level = F.array(F.struct(F.lit(1).alias("at"), name.alias("s")))
+    levels = [level]
+    for _ in range(most):
+        # The next deletion stands behind the last one, or a rest would be made in several orders.
+        level = F.flatten(F.transform(level, lambda x: F.when(x["at"] <= F.length(x["s"]), F.transform(F.sequence(x["at"], F.length(x["s"])), lambda i: F.struct(i.alias("at"), F.concat(F.substr(x["s"], F.lit(1), i - 1), F.substr(x["s"], i + 1)).alias("s")))).otherwise(F.array().cast("array<struct<at:int,s:string>>"))))
+        levels.append(level)
+    return F.array_distinct(F.transform(F.flatten(F.array(*levels)), lambda x: F.xxhash64(x["s"])))
 
 
-def _cut(length: Column, i: Column, most: int) -> Column:
-    return F.floor(length * i / (_edits(length, most) + 1)).cast("int")
+def _cut(length: Column, i: Column) -> Column:
+    return F.floor(length * i / (2 * MOST + 2)).cast("int")
 
 
-def _bands(rows: DataFrame, name: str, most: int = 3) -> DataFrame:
-    """Keys on which names within ``most`` edits meet: the length, and each of the pieces, one more than the edits.
+def _bands(rows: DataFrame, name: str) -> DataFrame:
+    """The rarest pieces of long names: of 2 MOST + 2 pieces those MOST + 1 that the fewest names of the length have.
 
-    A name cut in one more piece than there are edits keeps one of them whole, moved by at most as many places, so
-    both sides meet on (length of the cut name, piece, its place); nothing is compared with everything.
+    MOST edits leave MOST + 2 pieces whole, moved by at most as many places, and only MOST + 1 are left out here: one
+    of those kept is whole.  What most names have in common, up to half of each, is no key.
     """
     n = F.length(name)
-    own = F.transform(F.sequence(F.lit(0), _edits(n, most)), lambda i: F.struct(n.cast("int").alias("len"), i.cast("int").alias("part"), F.substr(name, _cut(n, i, most) + 1, _cut(n, i + 1, most) - _cut(n, i, most)).alias("piece")))
-    return rows.where(n > 0).withColumn("_band", F.explode(own))
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(2 * MOST + 1)), lambda i: F.struct(n.cast("int").alias("len"), i.cast("int").alias("part"), F.substr(name, _cut(n, i) + 1, _cut(n, i + 1) - _cut(n, i)).alias("piece")))
+    banded = rows.where(n >= LONG).withColumn("_band", F.explode(pieces))
+    count = banded.groupBy("_band").agg(F.count("*").alias("_names"))
+    # A window over the few pieces of one name.
+    place = F.row_number().over(Window.partitionBy(name).orderBy("_names", "_band"))
+    return banded.join(count, "_band").withColumn("_place", place).where(F.col("_place") <= MOST + 1).drop("_names", "_place")
 
 
-def _probes(rows: DataFrame, name: str, most: int = 3) -> DataFrame:
+def _probes(rows: DataFrame, name: str) -> DataFrame:
+    """The pieces of all names of about this length that stand here, each at most MOST places from its own."""
     n = F.length(name)
-    lengths = F.sequence(F.greatest(F.lit(1), n - most), n + most)
 
     def pieces(length: Column) -> Column:
-        edits = _edits(length, most)
-        at = lambda i, d: _cut(length, i, most) + d
-        size = lambda i: _cut(length, i + 1, most) - _cut(length, i, most)
-        return F.flatten(F.transform(F.sequence(F.lit(0), edits), lambda i: F.transform(F.sequence(-edits, edits), lambda d: F.struct(length.cast("int").alias("len"), i.cast("int").alias("part"), F.when((at(i, d) >= 0) & (at(i, d) + size(i) <= n), F.substr(name, at(i, d) + 1, size(i))).alias("piece")))))
+        at = lambda i, d: _cut(length, i) + d
+        size = lambda i: _cut(length, i + 1) - _cut(length, i)
+        whole = lambda i, d: F.when((at(i, d) >= 0) & (at(i, d) + size(i) <= n), F.substr(name, at(i, d) + 1, size(i)))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2 * MOST + 1)), lambda i: F.transform(F.sequence(F.lit(-MOST), F.lit(MOST)), lambda d: F.struct(length.cast("int").alias("len"), i.cast("int").alias("part"), whole(i, d).alias("piece")))))
+
+    lengths = F.sequence(F.greatest(F.lit(LONG), n - MOST), n + MOST)
+    return rows.where(n >= LONG - MOST).withColumn("_band", F.explode(F.array_distinct(F.filter(F.flatten(F.transform(lengths, pieces)), lambda x: x["piece"].isNotNull()))))
 
-    return rows.where(n > 0).withColumn("_band", F.explode(F.array_distinct(F.filter(F.flatten(F.transform(lengths, pieces)), lambda x: x["piece"].isNotNull()))))
+
+def candidates(names: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
+    """(a, b): the pairs of ``names`` (a) and ``known`` (b) that are compared, all those within ``most`` edits among them."""
+    rest = lambda rows, name: rows.withColumn("_rest", F.explode(_deleted(F.col(name), most)))
+    short = rest(names.where(F.length("a") < LONG + most), "a").join(rest(known.where(F.length("b") < LONG), "b"), "_rest").select("a", "b")
+    long = _probes(names, "a").join(_bands(known, "b"), "_band").select("a", "b")
+    return short.union(long).distinct()
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= text.corruption_cap(F.col("a"), F.col("b")))
 
 
 def near_names(names: DataFrame, known: DataFrame, name: str = "name", order: str = "ord") -> DataFrame:
-    """(name, match, distance): each name's nearest known name within a third of its length, at most 3 edits."""
-    a, b = _probes(names.select(F.col(name).alias("name")).distinct(), "name"), _bands(known.select(F.col(name).alias("match"), F.col(order).alias("ord")), "match")
-    pairs = a.join(b, "_band").select("name", "match", "ord").distinct()
-    d = F.levenshtein("name", "match")
-    near = pairs.withColumn("distance", d).where(F.col("distance") <= text.corruption_cap(F.col("name"), F.col("match")))
-    best = near.groupBy("name").agg(F.min(F.struct("distance", "ord", "match")).alias("m"))
-    return best.select("name", F.col("m.match").alias("match"), F.col("m.distance").alias("distance"))
+    """(name, match, distance): each name's nearest known name within a third of its length, at most 3 edits.
+
+    Names look for a match at no distance, then at one edit, and so on; those that have one look no further, so that a
+    name isn't compared with the many that are only about as near.
+    """
+    left = written(names.select(F.col(name).alias("a")).where("a <> ''").distinct(), "names")
+    given = written(known.select(F.col(name).alias("b"), F.col(order).alias("ord")).where("b <> ''").groupBy("b").agg(F.min("ord").alias("ord")), "known-names")
+    found = []
+    for edits in range(MOST + 1):
+        near = _compared(candidates(left, given.select("b"), edits)).where(F.col("distance") == edits).join(given, "b")
+        found.append(written(near.groupBy("a").agg(F.min(F.struct("ord", "b")).alias("m")).select("a", F.col("m.b").alias("match"), F.lit(edits).alias("distance")), f"names-at-{edits}"))
+        left = left.join(found[-1], "a", "left_anti")
+    return reduce(DataFrame.union, found).withColumnRenamed("a", "name")
 
 
 def near_pairs(names: DataFrame, name: str = "name") -> DataFrame:
     """(a, b, distance): pairs of different names within the cap of each other."""
-    one = names.select(F.col(name).alias("n")).distinct()
-    a, b = _probes(one.select(F.col("n").alias("a")), "a"), _bands(one.select(F.col("n").alias("b")), "b")
-    pairs = a.join(b, "_band").where("a < b").select("a", "b").distinct()
-    return pairs.withColumn("distance", F.levenshtein("a", "b")).where((F.col("distance") > 0) & (F.col("distance") <= text.corruption_cap(F.col("a"), F.col("b"))))
+    one = names.select(F.col(name).alias("a")).where("a <> ''").distinct()
+    return _compared(candidates(one, one.withColumnRenamed("a", "b")).where("a < b"))
 
 
 def words_of(column: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
-def snap(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(quote_id, n, how): the shortest block that holds a quote, else the one that shares most of its words.
+def plain_words(column: Column) -> Column:
+    """A text as its words, in small letters, with one blank between them; links are their texts."""
+    shown = F.regexp_replace(F.regexp_replace(column, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"!?\[\[([^\]]*)\]\]", "$1")
+    return F.trim(F.regexp_replace(F.lower(shown), r"[^\p{L}\p{N}]+", " "))
+
+
+def _holds() -> Column:
+    """Whether the words of block b hold those of quote q one after the other."""
+    return F.contains(F.concat(F.lit(" "), "b", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" ")))
+
 
-    Quotes and blocks meet on their words, so only blocks that share one are looked at; a quote without any is left
-    out: it can't be placed.
+def _keys(q: DataFrame, b: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Words of quotes with their place, the rarest first, and words of blocks; words that no block has are left out."""
+    held = b.select(*by, "n", F.size("bw").alias("size"), F.explode("bw").alias("w"))
+    df = held.groupBy(*by, "w").agg(F.count("*").alias("df"))
+    asked = q.select(*by, "quote_id", F.explode("qw").alias("w")).join(df, [*by, "w"])
+    # A window over the words of one quote.
+    return asked.withColumn("place", F.row_number().over(Window.partitionBy(*by, "quote_id").orderBy("df", "w"))), held
+
+
+def snap_candidates(quotes: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, quote_id, n, q, b, shared): the quotes and blocks that are compared, a quote's best block among them.
+
+    A block that holds a quote has its rarest word, and the blocks with that word give a first count of shared words,
+    at least 1.  To have as many, a block must have one of the words before the last ``count - 1``, in the order of
+    rarity, and be no shorter than the count.  So words that nearly all blocks have join nothing, unless a quote shares
+    nothing else with any block.
+    """
+    q = quotes.select(*by, "quote_id", plain_words(F.col("quote")).alias("q")).where("q <> ''").withColumn("qw", F.array_distinct(F.split("q", " ")))
+    b = blocks.select(*by, "n", plain_words(F.col("block")).alias("b")).where("b <> ''").withColumn("bw", F.array_distinct(F.split("b", " ")))
+    asked, held = _keys(q, b, by)
+    keys = [*by, "w"]
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(q, [*by, "quote_id"]).join(b, [*by, "n"])
+        return both.withColumn("shared", F.size(F.array_intersect("qw", "bw"))).select(*by, "quote_id", "n", "q", "b", "shared", F.size("qw").alias("words"))
+
+    first = written(counted(asked.where("place = 1").join(held, keys).select(*by, "quote_id", "n")), "snap-first")
+    so_far = first.groupBy(*by, "quote_id").agg(F.max("shared").alias("count"), F.max(_holds().cast("int")).alias("holds"))
+    present = asked.groupBy(*by, "quote_id").agg(F.max("place").alias("last"))
+    open_ = so_far.where("holds = 0").join(present, [*by, "quote_id"])
+    more = asked.where("place > 1").join(open_, [*by, "quote_id"]).where(F.col("place") <= F.col("last") - F.col("count") + 1)
+    pairs = more.join(held, keys).where(F.col("size") >= F.col("count")).select(*by, "quote_id", "n").distinct()
+    return first.union(counted(pairs.join(first.select(*by, "quote_id", "n"), [*by, "quote_id", "n"], "left_anti")))
+
+
+def snap(quotes: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, quote_id, n, how, score, error): the shortest block that holds a quote, else the first that shares most words.
+
+    Quotes are placed among the blocks with equal ``by``, by words without regard to case, marks or links; ``score`` is
+    the part of its words that the block has.  A block holds whole words, not parts of one.  A quote that shares no word with any block has no place but an error, as
+    has one without any word.
     """
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    q = quotes.select("quote_id", plain(F.col("quote")).alias("q"), words_of(F.col("quote")).alias("qw"))
-    b = blocks.select("n", plain(F.col("block")).alias("b"), words_of(F.col("block")).alias("bw"))
-    shared = q.select("quote_id", F.explode("qw").alias("w")).join(b.select("n", F.explode("bw").alias("w")), "w").groupBy("quote_id", "n").agg(F.count("*").alias("shared"))
-    rows = shared.join(q.select("quote_id", "q"), "quote_id").join(b.select("n", "b"), "n").withColumn("holds", F.contains("b", F.col("q")))
-    best = rows.groupBy("quote_id").agg(F.min(F.struct((~F.col("holds")).alias("no"), F.when(F.col("holds"), F.length("b")).otherwise(-F.col("shared")).alias("cost"), "n")).alias("x"))
-    return best.select("quote_id", "x.n", F.when(F.col("x.no"), "overlap").otherwise("contains").alias("how"))
+    rows = snap_candidates(quotes, blocks, by).withColumn("holds", _holds())
+    order = F.struct((~F.col("holds")).alias("no"), F.when(F.col("holds"), F.length("b")).otherwise(-F.col("shared")).alias("cost"), "n")
+    best = rows.groupBy(*by, "quote_id").agg(F.min(F.struct(order.alias("o"), (F.col("shared") / F.col("words")).alias("s"))).alias("x"))
+    best = best.select(*by, "quote_id", "x.o.n", F.when(F.col("x.o.no"), "overlap").otherwise("contains").alias("how"), F.when(F.col("x.o.no"), F.col("x.s")).otherwise(1.0).alias("score"))
+    error = F.when(plain_words(F.coalesce("quote", F.lit(""))) == "", "no words").when(F.col("n").isNull(), "no block shares a word")
+    return quotes.select(*by, "quote_id", "quote").join(best, [*by, "quote_id"], "left").select(*by, "quote_id", "n", "how", "score", error.alias("error"))
 
 
 def locate(content: Column, quote: Column) -> Column:

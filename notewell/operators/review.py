@@ -143,28 +143,40 @@ def attach(concepts: DataFrame, relations: DataFrame, key: str) -> DataFrame:
     return named.select(key, "term", "rel", "to").unionByName(bare.select(key, "term", "rel", "to"))
 
 
-def resolve_endpoints(found: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """(key, from_id, rel, to_id): edges between nodes, by slug; an endpoint that no node has drops its edge.
+def resolve_endpoints(found: DataFrame, nodes: DataFrame, key: str, *carry: str) -> DataFrame:
+    """(key, from_id, rel, to_id, carry...): edges between nodes, by slug; an endpoint that no node has drops its edge.
 
     ``found`` has (key, source, rel, to), ``nodes`` (key, id, term); of nodes with one slug the smallest id counts.
     """
     ids = nodes.groupBy(key, text.slug_segment(F.col("term")).alias("slug")).agg(F.min("id").alias("id"))
     a, b = ids.select(key, F.col("slug").alias("_a"), F.col("id").alias("from_id")), ids.select(key, F.col("slug").alias("_b"), F.col("id").alias("to_id"))
     rows = found.withColumn("_a", text.slug_segment(F.col("source"))).withColumn("_b", text.slug_segment(F.col("to")))
-    return rows.join(a, [key, "_a"]).join(b, [key, "_b"]).select(key, "from_id", "rel", "to_id")
+    return rows.join(a, [key, "_a"]).join(b, [key, "_b"]).select(key, "from_id", "rel", "to_id", *carry)
 
 
-def located_graph(units_: DataFrame, quotes: DataFrame, found: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): quotes with the byte span at which they stand once in their text, and the edges between them.
+#: Kinds of blocks that a quote can be placed in.
+PLACES = ("Paragraph", "CodeBlock", "BlockQuote", "ListItem", "Table")
 
-    ``units_`` has (key, text), ``quotes`` (key, id, term, quote).  A quote that isn't there, or stands twice, keeps
-    its node with an error instead of a span.
+
+def located_graph(notes: DataFrame, quotes: DataFrame, found: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): quotes with the span of the block they are placed in, and the edges between them with theirs.
+
+    ``notes`` has (key, content, nodes), ``quotes`` (key, id, term, quote), ``found`` (key, source, rel, to, quote).  A
+    quote is placed in a block of its own note, so it may be worded anew; one that can't be placed keeps its node or
+    edge with an error instead of a span.  Edges one of whose ends names no node are dropped, whatever their quote.
     """
-    rows = quotes.join(units_.select(key, "text"), key)
-    span = distill.locate(F.col("text"), F.col("quote"))
-    error = F.when(span.isNull(), F.when(F.instr("text", F.col("quote")) > 0, "ambiguous").otherwise("not found"))
-    nodes = rows.select(key, "id", "term", span.alias("span"), error.alias("error"))
-    return nodes, resolve_endpoints(found, nodes.where("error is null"), key)
+    node = notes.select(key, "content", F.explode(F.filter("nodes", lambda x: x["type"].isin(*PLACES))).alias("x"))
+    blocks = node.select(key, F.col("x.seq").alias("n"), text.byte_slice(F.col("content"), F.col("x.span.start"), F.col("x.span.end")).alias("block"))
+    spans = node.select(key, F.col("x.seq").alias("n"), "x.span")
+
+    def placed(rows: DataFrame, name: str) -> DataFrame:
+        snapped = distill.snap(rows.select(key, F.col(name).alias("quote_id"), "quote"), blocks, (key,))
+        return snapped.join(spans, [key, "n"], "left").withColumnRenamed("quote_id", name)
+
+    nodes = quotes.select(key, "id", "term").join(placed(quotes, "id").select(key, "id", "span", "how", "error"), [key, "id"])
+    kept = resolve_endpoints(found, quotes, key, "quote").withColumn("edge", F.xxhash64("from_id", "rel", "to_id", "quote"))
+    edges = kept.drop("quote").join(placed(kept.dropDuplicates([key, "edge"]), "edge").select(key, "edge", "span", "error"), [key, "edge"]).drop("edge")
+    return nodes, edges
 
 
 def neighbours(notes: DataFrame, candidates: DataFrame, path: str, k: int = 3, stem: bool = False) -> DataFrame:

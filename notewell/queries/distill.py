@@ -33,12 +33,12 @@ def fuzzy_names(spark, sf_dir):
 
 
 def snap_overlap(spark, sf_dir):
-    """Quotes name a brand, every other one as a block does; blocks are the brands."""
-    parts = _table(spark, sf_dir, "part")
+    """Quotes name a brand as a block does, with another word, or nothing that a block has; blocks are the brands."""
+    parts, k = _table(spark, sf_dir, "part"), F.col("p_partkey")
     brand = F.regexp_replace("p_brand", "#", "")
-    quotes = parts.select(F.col("p_partkey").alias("quote_id"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("of  "), F.upper(brand))).otherwise(F.concat(F.lit("missing "), brand)).alias("quote"))
+    quote = F.when(k % 7 == 0, F.concat(F.lit("nowhere "), "p_partkey")).when(k % 11 == 0, F.lit(" -- ")).when(k % 2 == 0, F.concat(F.lit("of  [["), F.upper(brand), F.lit("]]"))).otherwise(F.concat(F.lit("missing here, "), brand))
     blocks = parts.groupBy("p_brand").agg(F.min("p_partkey").alias("n")).select("n", F.concat(F.lit("All of "), F.regexp_replace("p_brand", "#", ""), F.lit(" here")).alias("block"))
-    return D.snap(quotes, blocks)
+    return D.snap(parts.select(k.alias("quote_id"), quote.alias("quote")), blocks).select("quote_id", "n", "how", F.round("score", 6).alias("score"), "error")
 
 
 def word_caps(spark, sf_dir):
@@ -80,7 +80,9 @@ SQL = {
     "fuzzy_names": """with c as (select distinct replace(c_name, 'Customer#0000', 'Cust0mer ') as name from customer), s as (select replace(s_name, 'Supplier#0000', 'Customer ') as match, s_suppkey as ord from supplier),
       p as (select name, match, ord, levenshtein(name, match) as distance from c, s), q as (select *, row_number() over (partition by name order by distance, ord) as r from p where distance <= least(3, greatest(length(name), length(match)) // 3))
       select name, match, distance from q where r = 1""",
-    "snap_overlap": """select p_partkey as quote_id, n, case when p_partkey % 2 = 0 then 'contains' else 'overlap' end as how from part join (select p_brand, min(p_partkey) as n from part group by p_brand) b using (p_brand)""",
+    "snap_overlap": """with x as (select p_partkey as k, n from part join (select p_brand, min(p_partkey) as n from part group by p_brand) b using (p_brand))
+      select k as quote_id, case when k % 7 <> 0 and k % 11 <> 0 then n end as n, case when k % 7 <> 0 and k % 11 <> 0 then case when k % 2 = 0 then 'contains' else 'overlap' end end as how,
+        case when k % 7 <> 0 and k % 11 <> 0 then case when k % 2 = 0 then 1.0 else round(2 / 3.0, 6) end end::double as score, case when k % 7 = 0 then 'no block shares a word' when k % 11 = 0 then 'no words' end as error from x""",
     "word_caps": """with t as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '[^a-zA-Z. \\n]', '', 'g'), '([.])\\s+', '\\1' || chr(1), 'g'), chr(1))) as s from documents),
       w as (select doc_id, len(regexp_extract_all(s, '\\S+')) as words from t) select doc_id, count(*) as n, max(words)::bigint as longest from w where words > 20 group by doc_id""",
     "bench_stats": """with m as (select l_returnflag, unnest(['l_quantity', 'l_discount']) as measure, unnest([l_quantity, l_discount]) as x from lineitem)

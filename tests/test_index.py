@@ -110,5 +110,5 @@ def test_snippets_take_the_best_window(spark):
 def test_search_by_index_describes_hits(notes, tmp_path):
     found = index.build(notes, str(tmp_path / "index"))
     rows = index.search(found, "w39 w38", limit=5, types=("card",), drop_superseded=True).collect()
-    assert len(rows) == 5 and all(r.type == "card" and not r.superseded and ("w39" in r.snippet or "w38" in r.snippet) for r in rows)
+    assert len(rows) == 5 and all(r.type == "card" and not r.superseded and any(w in r.snippet or w in r.title for w in ("w38", "w39")) for r in rows)
     assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)

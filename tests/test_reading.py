@@ -212,12 +212,14 @@ def test_trust_and_fences(spark):
 
 
 def test_edges_endpoints_and_quotes(spark):
-    texts = spark.createDataFrame([(1, "é One stands here. Twice, twice.")], "k int, text string")
-    quotes = spark.createDataFrame([(1, 0, "One thing", "One stands"), (1, 1, "Two", "wice"), (1, 2, "Three", "absent"), (1, 3, "one Thing", "here")], "k int, id int, term string, quote string")
-    found = spark.createDataFrame([(1, "one thing", "part-of", "Two"), (1, "One thing", "refines", "one-thing")], "k int, source string, rel string, to string")
-    nodes, edges = review.located_graph(texts, quotes, found, "k")
-    assert {(r.id, tuple(r.span) if r.span else None, r.error) for r in nodes.collect()} == {(0, (3, 13), None), (1, None, "ambiguous"), (2, None, "not found"), (3, (14, 18), None)}
-    assert [tuple(r) for r in edges.collect()] == [(1, 0, "refines", 0)]
+    files = spark.createDataFrame([("1", "# Head\n\né *One* stands [here](u).\n\n> Two is quoted, and\n> One [[links|to it]].\n")], "rel string, content string")
+    notes = N.parse(files, "nodes")
+    quotes = spark.createDataFrame([("1", 0, "One thing", "ONE stands here"), ("1", 1, "Two", "as quoted two says"), ("1", 2, "Three", "absent"), ("1", 3, "one Thing", " -- "), ("1", 4, "Four", "One links|to it")], "rel string, id int, term string, quote string")
+    found = spark.createDataFrame([("1", "one thing", "part-of", "Five", "absent"), ("1", "One thing", "refines", "two", "One stands"), ("1", "Two", "refines", "four", "absent")], "rel string, source string, kind string, to string, quote string")
+    nodes, edges = review.located_graph(notes.withColumnRenamed("rel", "k"), quotes.withColumnRenamed("rel", "k"), found.select(F.col("rel").alias("k"), "source", F.col("kind").alias("rel"), "to", "quote"), "k")
+    # Links and marks don't matter; a quote falls into the shortest block that holds it, of blocks as long into the first.
+    assert {(r.id, tuple(r.span) if r.span else None, r.error) for r in nodes.collect()} == {(0, (8, 34), None), (1, (36, 79), None), (2, None, "no block shares a word"), (3, None, "no words"), (4, (36, 79), None)}
+    assert {(r.from_id, r.rel, r.to_id, tuple(r.span) if r.span else None, r.error) for r in edges.collect()} == {(0, "refines", 1, (8, 34), None), (1, "refines", 4, None, "no block shares a word")}
     assert spark.range(1).select(review.same_items(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(1))).alias("x")).first().x
     edge = spark.createDataFrame([(" Part  Of ", "“B”", " "), (" ", "b", None), ("r", "", None)], "rel string, to string, predicate string")
     assert [tuple(r) for r in review.normal_edges(edge).collect()] == [("part-of", '"B"', None)]
