@@ -11,9 +11,10 @@
 4. Templates that recur are dropped from all documents but the first, so that what is repeated stays once.
 
 Enough documents are two for lines of LONG tokens, which recur by no chance, and MIN_DOCS for shorter ones and for
-generalised templates.  Two documents that are copies of each other keep even their long lines: a join of whole
-documents finds them, and fragments of one would not be found.  They are copies if half of the tokens that the second
-has in lines of no third document are in lines of these two.  Lines of fewer than MIN_CHARS characters (brackets, bullets, "Yes.") are never dropped.
+generalised templates.  All lines take part.  A caller may leave two kinds alone: lines of fewer than ``min_chars``
+characters (brackets, bullets, "Yes."), and with ``keep_copies`` the long lines that two documents share which are copies
+of each other, where a join of whole documents comes later and would not find fragments.  Documents are copies if half of
+the tokens that the second has in lines of no third document are in lines of these two.
 
 All of it is column expressions.  Hashes of lines and tokens are shuffled; texts only in the last join, and those of
 lines in nodes of several leaves where these are too many to be found by a broadcast.  Each
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .support import written
 
-LEAD, LONGER, MIN_DOCS, MIN_CHARS = 2, 10, 3, 8
+LEAD, LONGER, MIN_DOCS = 2, 10, 3
 #: Tokens from which a line is long, and the part of the tokens that may become variable (one in so many).
 LONG, WILD = 50, 5
 #: Rows up to which a table of leaves is broadcast; beyond, it is joined by a shuffle.
@@ -63,10 +64,10 @@ def _lead(n: Column) -> Column:
     return F.when(n < LONGER, LEAD).otherwise(2 * LEAD)
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, th, pos, n, path, leaf, t) of each line with at least MIN_CHARS characters."""
+def _lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
+    """(id, th, pos, n, path, leaf, t) of each line with at least ``min_chars`` characters, and one at least."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), plain(F.col(text)).alias("text"), F.col(text).rlike("[0-9]").alias("digits"))
-    rows = rows.select("id", "th", "digits", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).where(F.length("line") >= MIN_CHARS)
+    rows = rows.select("id", "th", "digits", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).where(F.length("line") >= max(1, min_chars))
     rows = rows.withColumn("t", F.when(F.col("digits"), general(F.col("line"))).otherwise(F.col("line"))).withColumn("n", n_tokens(F.col("t")).cast("int"))
     lead = F.when(F.col("n") < LONGER, F.substring_index("t", " ", LEAD)).otherwise(F.substring_index("t", " ", 2 * LEAD))
     return rows.select("id", "th", "pos", "n", F.xxhash64("n", lead).alias("path"), F.xxhash64(F.lit(7), "t").alias("leaf"), "t")
@@ -140,17 +141,18 @@ def _copies(leaves: DataFrame) -> DataFrame:
     return shared.join(own, F.col("_two") == F.col("_id")).where(F.col("shared") * 2 >= F.col("own")).select("_one", "_two")
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 1, keep_copies: bool = False) -> DataFrame:
     """(id, th, drop array<int>): for each document that loses lines, their places; th is the hash of its text."""
-    lines = written(_lines(docs, key, text), "lines")
+    lines = written(_lines(docs, key, text, min_chars), "lines")
     in_docs = lines.select("path", "leaf", "id", "n").distinct()
     leaves = in_docs.groupBy("path", "leaf").agg(F.max("n").alias("n"), F.count("*").alias("docs"), F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("id").isNull()).alias("no_id"))
     leaves = written(leaves, "line-leaves")
     total = leaves.agg(F.sum("docs")).first()[0] or 0
     enough = leaves.where(F.col("docs") >= _enough())
-    same = F.when(~F.col("no_id"), F.col("low")).eqNullSafe(F.col("_one")) & (F.when(F.col("no_id"), F.col("low")).otherwise(F.col("high")) == F.col("_two"))
-    apart = enough.where("docs = 2").join(_copies(leaves), same, "left_anti")
-    exact = enough.where("docs > 2").unionByName(apart).select("path", "leaf", F.col("leaf").alias("grp"), "docs", "low", "no_id")
+    if keep_copies:
+        same = F.when(~F.col("no_id"), F.col("low")).eqNullSafe(F.col("_one")) & (F.when(F.col("no_id"), F.col("low")).otherwise(F.col("high")) == F.col("_two"))
+        enough = enough.where("docs > 2").unionByName(enough.where("docs = 2").join(_copies(leaves), same, "left_anti"))
+    exact = enough.select("path", "leaf", F.col("leaf").alias("grp"), "docs", "low", "no_id")
     targets = written(exact.unionByName(_generalised(lines, leaves)), "line-templates")
     # A generalised leaf is rare by itself, but carries its template's documents: it may only be broadcast as what it is.
     weighed = targets.withColumn("weight", F.when(F.col("leaf") == F.col("grp"), F.col("docs")).otherwise(0))
@@ -163,7 +165,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return hit.where(~there).select("id", "th", "pos").unionByName(more.select("id", "th", "pos")).groupBy("id", "th").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 1, keep_copies: bool = False) -> DataFrame:
     """``docs`` with ``text`` without its dropped lines, and ``n_lines`` and ``n_dropped`` put at the end.
 
     A null text stays null and has no lines.  The first document is the one with the smallest key, and of its rows and
@@ -171,7 +173,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     with a null key count as one document, the first.  Columns of docs named n_lines or n_dropped are replaced.  An
     empty table gives an empty result.
     """
-    drops = dropped_lines(docs, key, text).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("drop").alias("_drop"))
+    drops = dropped_lines(docs, key, text, min_chars, keep_copies).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("drop").alias("_drop"))
     joined = docs.join(drops, docs[key].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
     lines = F.split(docs[text], "\n", -1)
     rest = F.when(F.col("_drop").isNull(), docs[text]).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
@@ -190,16 +192,12 @@ with l as (
   select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
 p as (
   select *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) as plain from l),
-w as (select *, string_split(plain, ' ') as ws from p where length(plain) >= 8),
+w as (select *, string_split(plain, ' ') as ws from p where plain <> ''),
 t as (
   select doc_id, pos, len(ws) as n, case when 2 * len(list_filter(ws, lambda x: regexp_matches(x, '[0-9]'))) <= len(ws)
     then list_transform(ws, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) else ws end as ws from w),
 u as (select *, ws[1:case when n < 10 then 2 else 4 end] as lead from t),
 d as (select ws, n, lead, count(distinct doc_id) as docs, min(doc_id) as lo, max(doc_id) as hi from u group by ws, n, lead),
-cp as (
-  select lo, hi from (select lo, hi, sum(n) as shared from d where docs = 2 group by lo, hi)
-  join (select id, sum(n) as own from (select lo as id, n from d where docs <= 2 union all select hi, n from d where docs = 2) group by id) on id = hi
-  where 2 * shared >= own),
 k as (select *, unnest(ws) as x, unnest(range(n)) as i from d where n >= 5),
 s as (select n, lead, i, x from k where i >= len(lead) group by n, lead, i, x having sum(docs) >= 3),
 c as (
@@ -209,7 +207,7 @@ c as (
 g as (select ws, n, g from c where c < n and 5 * (n - c) <= n and 2 * (c - f) >= n),
 h as (select n, g from g join u using (ws, n) group by n, g having count(distinct doc_id) >= 3),
 r as (
-  select ws, n, null as g from d where docs >= 3 or n >= 50 and docs = 2 and not exists (select 1 from cp where cp.lo = d.lo and cp.hi = d.hi)
+  select ws, n, null as g from d where docs >= 3 or n >= 50 and docs = 2
   union all select g.ws, g.n, g.g from g join h on g.n = h.n and g.g = h.g),
 m as (
   select u.doc_id, u.pos, row_number() over (partition by r.n, case when r.g is null then r.ws end, r.g order by u.doc_id, u.pos) > 1 as dropped

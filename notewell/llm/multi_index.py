@@ -4,6 +4,10 @@ Vectors are cut in two halves, and each half is quantised by a codebook of its o
 its two centroids.  A query looks at pairs of centroids in the order of their summed distance, kept in a heap, until
 the cells looked at hold enough vectors; those are reranked by the exact inner product of the original vectors.
 
+How many vectors are enough is measured: for queries drawn from the fitted sample, against all of it, the part of the
+vectors that must be looked at to meet TARGET of the true neighbours.  Within a task rows are sorted by their cell, and a
+query is multiplied with the rows of the cells that it visits and no others.
+
 Nearness is the inner product, so the distance of a half from a centroid is minus their inner product, less SLACK
 times the length of the half and the spread of the vectors around that centroid: long vectors and wide cells, which
 may hold large products, come earlier.  It needs no vectors of length one, and it is the same at every table size.
@@ -27,8 +31,8 @@ from pyspark.sql import functions as F
 from .support import written
 
 SAMPLE, CODES, ROUNDS = 20_000, 128, 12
-#: The part of all vectors that a query looks at.
-REACH = 0.4
+#: The part of the true neighbours that the measured reach meets, and the queries that it is measured with.
+TARGET, PROBES = 0.95, 256
 SLACK = 0.4
 PART = 16_384
 
@@ -68,6 +72,21 @@ class Book:
         return -(half @ self.centroids.T) - SLACK * np.linalg.norm(half, axis=1)[:, None] * self.spread
 
 
+def products(x: np.ndarray, vectors: np.ndarray, cells: np.ndarray, visited: np.ndarray) -> tuple[np.ndarray, int]:
+    """Inner products of queries with the rows of the cells that they visit, minus infinity elsewhere; and how many.
+
+    Rows are sorted by their cell, so each cell is one slice, and only the queries that visit it are multiplied with it.
+    """
+    out, made = np.full((len(x), len(vectors)), -np.inf), 0
+    bounds = np.searchsorted(cells, np.arange(visited.shape[1] + 1))
+    for j in np.flatnonzero(np.diff(bounds)).tolist():
+        some, a, b = np.flatnonzero(visited[:, j]), bounds[j], bounds[j + 1]
+        if len(some):
+            out[some, a:b] = x[some] @ vectors[a:b].T
+            made += len(some) * (b - a)
+    return out, made
+
+
 def traverse(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, enough: int) -> float:
     """The summed distance of the last cell that a query visits.
 
@@ -91,6 +110,29 @@ def traverse(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, enough: int) -
     return last
 
 
+def measured_reach(fitted: np.ndarray, books: tuple[Book, Book], k: int) -> float:
+    """The part of all vectors that a query has to look at, by drawn queries against the fitted vectors."""
+    cut, n = books[0].centroids.shape[1], len(fitted)
+    if n <= k + 1:
+        return 1.0
+    picks = np.random.default_rng(3).choice(n, min(PROBES, n), replace=False)
+    cell = books[0].assign(fitted[:, :cut]) * len(books[1].centroids) + books[1].assign(fitted[:, cut:])
+    sizes = np.bincount(cell, minlength=len(books[0].centroids) * len(books[1].centroids))
+    needed = []
+    for a in range(0, len(picks), 32):
+        asked = fitted[picks[a : a + 32]]
+        near = asked @ fitted.T
+        near[np.arange(len(asked)), picks[a : a + 32]] = -np.inf
+        best = np.argpartition(-near, k, 1)[:, :k]
+        far = (books[0].far(asked[:, :cut])[:, :, None] + books[1].far(asked[:, cut:])[:, None, :]).reshape(len(asked), -1)
+        for q in range(len(asked)):
+            order = np.argsort(far[q], kind="stable")
+            upto = np.empty(len(order), np.int64)
+            upto[order] = np.cumsum(sizes[order])
+            needed.append(upto[cell[best[q]]])
+    return float(np.quantile(np.concatenate(needed), TARGET)) / n
+
+
 def _usable(table: DataFrame, key: str, vector: str) -> DataFrame:
     """Rows with a key whose vector has only finite components and not only zeros."""
     v = F.col("v")
@@ -103,9 +145,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def search(table: DataFrame, queries_divide: int, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(table: DataFrame, queries_divide: int, k: int = 20, key: str = "vec_id", vector: str = "embedding", reach: float | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its ``k`` nearest of those looked at, by largest inner product.
 
+    ``reach`` is the part of all vectors that a query looks at; it is measured if it isn't given.
     Queries are the rows whose key is divisible by ``queries_divide``; a row is no candidate of its own.  Rows with a
     null key, and vectors that are null, empty, zero or hold null or non-finite components take no part; rows that
     repeat a key are candidates each, but no query repeats (the row with the smallest vector asks).  Keys are read as
@@ -127,7 +170,9 @@ def search(table: DataFrame, queries_divide: int, k: int = 20, key: str = "vec_i
     fitted = _matrix(sample)
     cut = fitted.shape[1] // 2
     codes = max(1, min(CODES, len(fitted) // 8))
-    books = spark.sparkContext.broadcast((Book(fitted[:, :cut], codes, 1), Book(fitted[:, cut:], codes, 2)))
+    pair = (Book(fitted[:, :cut], codes, 1), Book(fitted[:, cut:], codes, 2))
+    reach = measured_reach(fitted, pair, k) if reach is None else reach
+    books = spark.sparkContext.broadcast(pair)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
@@ -145,7 +190,7 @@ def search(table: DataFrame, queries_divide: int, k: int = 20, key: str = "vec_i
     for r in index.groupBy("i", "j").agg(F.count("*").alias("c")).collect():
         sizes[r.i, r.j] = r.c
     parts = np.maximum(1, -(-sizes.sum(1) // PART))
-    enough = min(total, max(k + 1, int(np.ceil(REACH * total))))
+    enough = min(total, max(k + 1, int(np.ceil(reach * total))))
     shared = spark.sparkContext.broadcast((sizes, parts, enough))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,10 +240,10 @@ def search(table: DataFrame, queries_divide: int, k: int = 20, key: str = "vec_i
         cells = books.value[0].far(x[:, :cut])[:, [i]] + books.value[1].far(x[:, cut:])
         longest = np.sqrt((vectors**2).sum(1).max())
         for a in range(0, len(x), 256):
-            rough = x[a : a + 256] @ vectors.T
-            # Cells that the query doesn't visit, and the query's own row.
             visited = cells[a : a + 256] <= cutoffs[a : a + 256, None]
-            rough[~visited[:, second] | (asks[a : a + 256, None] == ids[None, :])] = -np.inf
+            rough, _ = products(x[a : a + 256], vectors, second, visited)
+            # The query's own row.
+            rough[asks[a : a + 256, None] == ids[None, :]] = -np.inf
             for q in range(len(rough)):
                 row = rough[q]
                 least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
@@ -217,7 +262,7 @@ def search(table: DataFrame, queries_divide: int, k: int = 20, key: str = "vec_i
     from pyspark.sql import Window
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored.union(probes).repartition(width, "i", "part").sortWithinPartitions("i", "part", "query")
+    dealt = stored.union(probes).repartition(width, "i", "part").sortWithinPartitions("i", "part", "query", "j")
     scored = dealt.mapInArrow(rerank, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

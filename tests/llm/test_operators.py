@@ -159,14 +159,13 @@ def test_a_small_cache_gives_the_same_ids(docs, ranks, monkeypatch):
     assert len(small.old.hashes) <= 120
 
 
-def test_nearest_agree_with_all_rows(spark, monkeypatch):
-    monkeypatch.setattr(multi_index, "REACH", 1.0)
+def test_nearest_agree_with_all_rows(spark):
     draw = np.random.default_rng(0)
     rows = [(i, draw.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
     rows += [(300, rows[7][1]), (301, rows[7][1]), (302, None), (303, [0.0] * 8), (304, [float("nan")] * 8), (305, [None] * 8), (306, rows[7][1][:7] + [None]), (307, []), (7, rows[7][1]), (20, rows[20][1]), (None, rows[1][1])]
     table = spark.createDataFrame([(a, b, 1, 2.0) for a, b in rows], "vec_id long, embedding array<float>, rank int, score double")
     got = {}
-    for r in multi_index.search(table, 20).collect():
+    for r in multi_index.search(table, 20, reach=1.0).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     good = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and i < 302]
     assert sorted(got) == list(range(0, 301, 20))
@@ -201,7 +200,35 @@ def test_recall_where_the_index_prunes(spark, spread):
         assert len(found) == 20 and all(s == pytest.approx(products[i]) for i, s in found.items())
         right += sum(s >= least - 1e-12 for s in found.values())
     assert right >= 0.9 * 20 * len(got)
-    assert multi_index.REACH <= 0.5
+
+
+@pytest.mark.parametrize(("centres", "most"), [(0, 0.5), (200, 0.1)])
+def test_only_visited_cells_are_multiplied(centres, most):
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(8_000, 32))
+    if centres:
+        x = draw.normal(size=(centres, 32))[draw.integers(0, centres, len(x))] + 0.3 * x
+    books = (multi_index.Book(x[:, :16], 64, 1), multi_index.Book(x[:, 16:], 64, 2))
+    reach = multi_index.measured_reach(x, books, 20)
+    i, j = books[0].assign(x[:, :16]), books[1].assign(x[:, 16:])
+    sizes = np.zeros((64, 64), np.int64)
+    np.add.at(sizes, (i, j), 1)
+    asked = x[::40]
+    one, two = books[0].far(asked[:, :16]), books[1].far(asked[:, 16:])
+    cutoff = np.array([multi_index.traverse(a, b, sizes, int(np.ceil(reach * len(x)))) for a, b in zip(one, two, strict=True)])
+    made, found = 0, np.full((len(asked), len(x)), -np.inf)
+    for a in range(64):
+        rows = np.flatnonzero(i == a)
+        rows = rows[np.argsort(j[rows], kind="stable")]
+        out, n = multi_index.products(asked, x[rows], j[rows], one[:, [a]] + two <= cutoff[:, None])
+        found[:, rows] = out
+        made += n
+    assert made <= (reach * len(x) + sizes.max()) * len(asked) and reach <= most
+    true = asked @ x.T
+    assert np.allclose(found[found > -np.inf], true[found > -np.inf])
+    # Each query finds itself; the reach was measured for the others.
+    met = [len({*np.argsort(-t)[1:21]} & {*np.flatnonzero(f > -np.inf)}) for t, f in zip(true, found, strict=True)]
+    assert sum(met) >= 0.92 * 20 * len(asked)
 
 
 def test_traverse_visits_in_order_of_summed_distance():
@@ -392,8 +419,8 @@ def test_recurring_templates_stay_once(spark):
     assert line_templates.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def dropped_places(spark, rows):
-    drops = line_templates.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+def dropped_places(spark, rows, **how):
+    drops = line_templates.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string"), **how)
     return {(r.id, p) for r in drops.collect() for p in r["drop"]}
 
 
@@ -415,14 +442,17 @@ def test_differing_tokens_become_fields_at_the_leaves(spark):
 
 def test_lines_of_one_token_long_lines_and_short_ones(spark):
     one = [(i, f"Advertisement\n}}\n{'abc'[i]}" * 1) for i in range(3)]
-    assert dropped_places(spark, one) == {(1, 0), (2, 0)}
+    assert dropped_places(spark, one, min_chars=8) == {(1, 0), (2, 0)}
+    assert dropped_places(spark, one) == {(1, 0), (2, 0), (1, 1), (2, 1)}
     passage = " ".join(f"word{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'xyz'[i % 3]}" for i in range(60))
     other = " ".join("".join(chr(97 + (7 * i + 3 * j) % 26) for j in range(5)) for i in range(70))
     assert dropped_places(spark, [(0, "mine\n" + passage), (1, passage + "\n" + other)]) == {(1, 0)}
-    # Copies keep their lines, whichever is longer; a third document of them makes all lines recur.
-    assert dropped_places(spark, [(0, passage + "\n" + other), (1, passage + "\n" + other)]) == set()
-    assert dropped_places(spark, [(None, passage), (1, passage)]) == set() and dropped_places(spark, [(None, passage), (1, passage + "\n" + other)]) == {(1, 0)}
-    assert dropped_places(spark, [(i, passage + "\n" + other) for i in range(3)]) == {(1, 0), (1, 1), (2, 0), (2, 1)}
+    # Copies may keep their lines, whichever is longer; a third document of them makes all lines recur.
+    copies = [(0, passage + "\n" + other), (1, passage + "\n" + other)]
+    assert dropped_places(spark, copies, keep_copies=True) == set() and dropped_places(spark, copies) == {(1, 0), (1, 1)}
+    assert dropped_places(spark, [(None, passage), (1, passage)], keep_copies=True) == set() and dropped_places(spark, [(None, passage), (1, passage)]) == {(1, 0)}
+    assert dropped_places(spark, [(None, passage), (1, passage + "\n" + other)], keep_copies=True) == {(1, 0)}
+    assert dropped_places(spark, [(i, passage + "\n" + other) for i in range(3)], keep_copies=True) == {(1, 0), (1, 1), (2, 0), (2, 1)}
     assert dropped_places(spark, [(0, " ".join(passage.split()[:20])), (1, " ".join(passage.split()[:20]))]) == set()
 
 
