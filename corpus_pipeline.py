@@ -29,10 +29,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that recur across documents; those left without a word go.
 
-    Null and empty texts go.  Rows that repeat a doc_id and a text lose the same lines; rows without doc_id are one
+    Lines of fewer than 8 characters stay, as do long lines that only two copies of each other share: the next stage
+    finds such copies, and wouldn't find their fragments.  Null and empty texts go.  Rows that repeat a doc_id and a text lose the same lines; rows without doc_id are one
     document, the first.
     """
-    rest = line_templates.dedup(docs.select(*COLUMNS)).where(F.col("text").rlike(WORD))
+    rest = line_templates.dedup(docs.select(*COLUMNS), min_chars=8, keep_copies=True).where(F.col("text").rlike(WORD))
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
