@@ -238,7 +238,7 @@ def _inlines(note: Note, content: str, block: Block, cell: bool, names: dict, em
             i, j = x.more["inner"]
             row["inner"] = span(place(i), place(j))
         if x.kind in ("Emph", "Strong"):
-            row["before"], row["after"] = content[a - 1 : a] or None, content[b : b + 1] or None
+            row["before"], row["after"], row["after_next"] = content[max(0, a - 1) : a] or None, content[b : b + 1] or None, content[b + 1 : b + 2] or None
         note.inlines.append(row)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from notewell.functions import text
 from notewell.operators import notes as N
+from notewell.sources.shared import written
 
 #: Fields that each type must have.
 REQUIRED = {
@@ -68,6 +69,11 @@ class Vault:
         return self.note_keys.union(self.assets.select(text.normalized(F.col("rel")).alias("link_key"))).union(self.assets.select(text.normalized(F.element_at(F.split("rel", "/"), -1)).alias("link_key"))).distinct()
 
 
+def parsed_once(files: DataFrame, *parts: str) -> DataFrame:
+    """Parsed notes as a table in the shared folder: rules look at them from several sides, and nothing stays in memory."""
+    return written(N.parse(files, *parts), "linted-notes")
+
+
 def _found(rows: DataFrame, message) -> DataFrame:
     return rows.select(F.col("rel").alias("file"), message.alias("message"))
 
@@ -199,9 +205,10 @@ def filename_hygiene(v: Vault) -> DataFrame:
 
 
 def duplicate_h1(v: Vault) -> DataFrame:
-    """The body begins with a level-1 heading that repeats the name."""
+    """The body begins with a level-1 heading, before any other block, that repeats the name."""
     first = F.get("headings", F.lit(0))
-    rows = v.curated.where((first["level"] == 1) & (first["text"] == F.col("name")) & (F.trim(F.get(F.split(F.regexp_replace("body", r"^\s+", ""), r"\r?\n"), F.lit(0))).rlike("^# ")))
+    opens = F.forall(F.filter("nodes", lambda n: n["depth"] == 0), lambda n: n["span"]["start"] > first["span"]["start"])
+    rows = v.curated.where((first["level"] == 1) & (first["text"] == F.col("name")) & opens)
     return _found(rows, F.concat(F.lit("heading repeats the name '"), "name", F.lit("'")))
 
 
@@ -211,21 +218,39 @@ def unquoted_frontmatter_link(v: Vault) -> DataFrame:
 
 
 def callout_missing_separator(v: Vault) -> DataFrame:
-    """A callout's head runs on into its text: the quote's first paragraph goes past its first line."""
-    lines = text.lines(F.col("content"))
-    quotes = v.curated.select("rel", F.explode("nodes").alias("n"), lines.alias("lines")).where("n.type = 'BlockQuote' and n.end_line > n.start_line")
-    head, second = F.get("lines", F.col("n.start_line") - 1), F.get("lines", F.col("n.start_line"))
-    return _found(quotes.where(head.rlike(r"^ {0,3}> ?\[![\w-]+\]") & ~second.rlike(r"^ {0,3}>\s*$")), F.concat(F.lit("no separator after the callout in line "), F.col("n.start_line").cast("string")))
+    """A callout's head runs on into its text: the first paragraph of a quote, at any depth, goes past its first line."""
+    # Nodes are numbered in the order of the text, so a block's first child is the next one.
+    leads = F.filter("nodes", lambda n: (n["type"] == "Paragraph") & (n["parent_seq"] == n["seq"] - 1) & (n["end_line"] > n["start_line"]) & (F.get("nodes", n["parent_seq"])["type"] == "BlockQuote"))
+    rows = v.curated.where(F.col("content").contains("[!")).select("rel", "content", F.explode(leads).alias("n"))
+    head = text.byte_slice(F.col("content"), F.col("n.span.start"), F.col("n.span.end"))
+    return _found(rows.where(head.rlike(r"^\s*\[![^\]\r\n]*[^\]\s][^\]\r\n]*\]")), F.concat(F.lit("no separator after the callout in line "), F.col("n.start_line").cast("string")))
 
 
 def unintended_emphasis(v: Vault) -> DataFrame:
-    """Emphasis within or across words, where the signs were meant as such; the outermost of nested runs."""
-    source = F.encode("content", "utf-8")
-    runs = v.curated.select("rel", "content", F.explode("inlines").alias("i")).where("i.type in ('Emph', 'Strong')")
-    before = F.decode(F.substring(source, F.col("i.span.start"), F.lit(1)), "utf-8")
-    after = F.decode(F.substring(source, F.col("i.span.end") + 1, F.lit(1)), "utf-8")
-    inside = text.byte_slice(F.col("content"), F.col("i.span.start"), F.col("i.span.end"))
-    return _found(runs.where(before.rlike(r"[\w/]") | after.rlike(r"[\w/]") | inside.rlike(r"^[*_]{1,2}[^\p{L}\p{N}]+[*_]{1,2}$")), F.concat(F.lit("emphasis may be unintended: "), inside))
+    """Emphasis whose signs look as if they stood for themselves; the widest of nested runs.
+
+    Either both ends are part of a path or pattern (a dot or slash beside them, one that ends no sentence), or the run
+    has three signs and more, or doubled low lines hold a bare identifier.
+    """
+    raw = F.encode("content", "utf-8")
+    runs = F.filter("inlines", lambda i: i["type"].isin("Emph", "Strong"))
+    rows = v.curated.where(F.exists("inlines", lambda i: i["type"].isin("Emph", "Strong"))).select("rel", raw.alias("raw"), runs.alias("runs"))
+    cut = lambda i: F.decode(F.substring("raw", (i["span"]["start"] + 1).cast("int"), (i["span"]["end"] - i["span"]["start"]).cast("int")), "utf-8")
+    rows = rows.withColumn("runs", F.transform("runs", lambda i: i.withField("text", cut(i))))
+
+    def literal(i):
+        width = F.when(i["type"] == "Strong", 2).otherwise(1)
+        inner = F.substr(i["text"], width + 1, F.length(i["text"]) - 2 * width)
+        beside = lambda name: F.coalesce(i[name], F.lit(""))
+        opens = beside("before").isin(".", "/") | inner.rlike(r"^[./]")
+        closes = inner.rlike(r"/$") | (beside("after") == "/") | ((beside("after") == ".") & beside("after_next").rlike(r"^[\p{L}\p{N}]"))
+        return (opens & closes) | i["text"].rlike(r"^(\*{3}|_{3})") | (i["text"].rlike(r"^__") & inner.rlike(r"^[A-Za-z0-9_]+$"))
+
+    rows = rows.select("rel", F.filter("runs", literal).alias("runs"))
+    inside = lambda i, o: (o["span"]["start"] <= i["span"]["start"]) & (i["span"]["end"] <= o["span"]["end"]) & (o["span"] != i["span"])
+    rows = rows.select("rel", F.explode(F.filter("runs", lambda i: ~F.exists("runs", lambda o: inside(i, o)))).alias("i"))
+    shown = F.when(F.length("i.text") <= 60, F.col("i.text")).otherwise(F.concat(F.substring("i.text", 1, 60), F.lit("…")))
+    return _found(rows, F.concat(F.lit("line "), F.col("i.start_line").cast("string"), F.lit(": emphasis may be unintended: "), shown))
 
 
 def relations(notes: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ PARTS = {
     "links": "array<struct<target:string,alias:string,line:int,embed:boolean>>",
     "headings": f"array<struct<seq:int,level:int,line:int,text:string,setext:boolean,start_col:int,span:{SPAN},address:string,parent_seq:int,sec_start:int,sec_end:int>>",
     "nodes": f"array<struct<seq:int,parent_seq:int,depth:int,type:string,span:{SPAN},start_line:int,end_line:int,info:string,body_span:{SPAN},ordered:boolean,tight:boolean,marker:string,number:int,task:boolean,header:boolean>>",
-    "inlines": f"array<struct<seq:int,type:string,span:{SPAN},start_line:int,target:string,alias:string,embed:boolean,page:string,heading:string,block:string,url:string,title:string,inner:{SPAN},before:string,after:string,in_cell:boolean>>",
+    "inlines": f"array<struct<seq:int,type:string,span:{SPAN},start_line:int,target:string,alias:string,embed:boolean,page:string,heading:string,block:string,url:string,title:string,inner:{SPAN},before:string,after:string,after_next:string,in_cell:boolean>>",
     "regions": f"array<struct<label:string,info:string,span:{SPAN},body_span:{SPAN},start_line:int,end_line:int>>",
     "dangling": "array<struct<kind:string,label:string,line:int>>",
     "unquoted": "array<struct<target:string,line:int>>",

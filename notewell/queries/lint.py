@@ -13,19 +13,23 @@ from notewell.sources import synth
 
 def _rule(name: str, *kinds: str, parts: tuple[str, ...] = (), cap: int = L.CAP):
     def query(spark, sf_dir):
-        # Rules look at the notes from several sides; they are parsed once.
-        notes = N.parse(synth.vault(spark, sf_dir, *kinds), *parts).persist()
+        notes = L.parsed_once(synth.vault(spark, sf_dir, *kinds), *parts)
         return L.RULES[name][1](L.Vault(notes, cap=cap)).select("file", "message")
 
     return query
 
 
 def lint_summary(spark, sf_dir):
-    """All rules over cards and references."""
-    notes = N.parse(synth.vault(spark, sf_dir, "card", "reference"), *L.PARTS).persist()
+    """All rules over tickets, tracks, cards and references."""
+    notes = L.parsed_once(synth.vault(spark, sf_dir, "ticket", "track", "card", "reference"), *L.PARTS)
     return L.summary(L.findings(L.Vault(notes)))
 
 
+def lint_invalid_frontmatter(spark, sf_dir):
+    """The drafts whose frontmatter can't be read; what the reader says of it is its own wording."""
+    return _rule("invalid-frontmatter", "draft")(spark, sf_dir).select("file", F.startswith("message", F.lit("invalid frontmatter: ")).alias("said"))
+
+
 def relation_edges(spark, sf_dir):
     notes = N.parse(synth.vault(spark, sf_dir, "card"), "headings")
     return L.relations(notes).groupBy("rel_token", "endpoint_kind", "predicate").agg(F.count("*").alias("n"))
@@ -49,6 +53,14 @@ QUERIES = {
     "lint_untagged_card": _rule("untagged-card", "card"),
     "lint_unknown_rel": _rule("unknown-rel", "card", parts=("headings",)),
     "lint_dangling_relation": _rule("dangling-relation-label", "card", parts=("headings",)),
+    "lint_callout_separator": _rule("callout-missing-separator", "draft", parts=("nodes",)),
+    "lint_duplicate_h1": _rule("duplicate-h1", "draft", parts=("headings", "nodes")),
+    "lint_filename_hygiene": _rule("filename-hygiene", "draft"),
+    "lint_invalid_frontmatter": lint_invalid_frontmatter,
+    "lint_singleton_filename": _rule("singleton-filename-mismatch", "draft"),
+    "lint_unintended_emphasis": _rule("unintended-emphasis", "draft", parts=("inlines",)),
+    "lint_unquoted_link": _rule("unquoted-frontmatter-link", "draft", parts=("unquoted",)),
+    "lint_untyped": _rule("untyped-entry", "draft"),
     "lint_summary": lint_summary,
     "relation_edges": relation_edges,
 }
@@ -91,17 +103,38 @@ SQL = {
       select rel_token, endpoint_kind, predicate, count(*) as n from e group by all""",
 }
 
-#: What single rules find among cards and references; a reference also links to some cards, and has tags of its own.
+W = "with w as (select c_custkey as k, '60 drafts/draft' || case when c_custkey % 16 = 3 then '  ' when c_custkey % 16 = 11 then '’' else '-' end || c_custkey || '.md' as file, 'draft-' || c_custkey as name from customer) "
+SQL |= {
+    "lint_callout_separator": W + "select file, 'no separator after the callout in line 8' as message from w where k % 8 = 1",
+    "lint_duplicate_h1": W + "select file, 'heading repeats the name ''' || name || '''' as message from w where k % 8 = 2",
+    "lint_filename_hygiene": W + "select file, case when k % 16 = 3 then 'double-space' else 'smart-quote' end as message from w where k % 8 = 3",
+    "lint_invalid_frontmatter": W + "select file, true as said from w where k % 8 = 4",
+    "lint_singleton_filename": W + "select file, 'file should be named ''Scratchpad''' as message from w where k % 8 = 5",
+    "lint_unintended_emphasis": W + "select file, 'line 6: emphasis may be unintended: ' || unnest(['*.ts and dist/*', '__init__', '___x___']) as message from w where k % 8 = 6",
+    "lint_unquoted_link": W + "select file, 'quote [[card-' || k || ']] in frontmatter' as message from w where k % 8 = 7",
+    "lint_untyped": W + "select file, '''' || name || ''' has no type field' as message from w where k % 4 = 0",
+}
+
+#: What single rules find among tickets, tracks, cards and references together.
 SUMMED = {
-    "broken-wikilink": SQL["lint_broken_wikilink"],
+    "broken-wikilink": "select * from (" + SQL["lint_broken_wikilink"] + ") union all select * from (" + LIVE + """, n as (select count(*) as cards from part), l as (
+        select rel, 'card-' || o_custkey || '#Notes' as target, o_custkey >= cards as gone from x, n union all select rel, 'Card-' || o_custkey || '.md', o_custkey >= cards from x, n where k % 3 = 0
+        union all select rel, 'the project', true from x union all select rel, 'an old track', true from x where k % 59 = 0
+        union all select rel, 'ticket-' || k + 1, 'ticket-' || k + 1 not in (select name from t) from x where k % 7 = 0 union all select rel, 'ticket-gone-' || k, true from x where k % 14 = 0)
+      select rel as file, target as message from l where gone) union all select n_name, unnest(['its project', 'its region']) from nation""",
     "dangling-reference": SQL["lint_dangling_reference"],
     "dangling-relation-label": SQL["lint_dangling_relation"],
-    "missing-required-field": CLIVE + "select rel as file, '' as message from x where k % 9 = 0",
-    "orphan-card": SQL["lint_orphan_cards"] + " and k not in (select s_suppkey from supplier where s_suppkey % 5 = 0)",
+    "dangling-requires-target": SQL["lint_dangling_requires"],
+    "invalid-enum-value": SQL["lint_invalid_enum"],
+    "missing-required-field": CT + ", m as (select rel from v where tier <> 'superseded' and k % 31 = 0 union all select rel from c where not superseded and k % 9 = 0) select rel as file, '' as message from m",
+    "orphan-card": SQL["lint_orphan_cards"] + " and k not in (select s_suppkey from supplier where s_suppkey % 5 = 0) and k not in (select o_custkey from orders join customer on o_custkey = c_custkey)",
     "reference-not-wikilink": SQL["lint_reference_not_wikilink"],
     "reference-vault-link": SQL["lint_reference_vault_link"],
     "reference-wrong-type": SQL["lint_reference_wrong_type"],
-    "singleton-tag": "with " + C + ", g as (select t1 as tag from c where k % 9 <> 0 union all select t2 from c where k % 9 <> 0 union all select 'supplier' from supplier) select tag as file, '' as message from g group by tag having count(*) = 1",
+    "singleton-tag": SQL["lint_singleton_tags"].replace(") select min(rel)", " union all select 'supplier', 'a reference' from supplier) select min(rel)").replace(")\n      select min(rel)", " union all select 'supplier', 'a reference' from supplier) select min(rel)"),
+    "slug-filename-mismatch": SQL["lint_slug_mismatch"],
+    "ticket-outward-only": SQL["lint_ticket_links"],
+    "unknown-field": SQL["lint_unknown_field"],
     "unknown-rel": SQL["lint_unknown_rel"],
     "untagged-card": SQL["lint_untagged_card"],
 }

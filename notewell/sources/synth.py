@@ -101,7 +101,17 @@ def weekly_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-KINDS = {"ticket": tickets, "track": tracks, "card": cards, "reference": references, "note": documents, "weekly-log": weekly_logs}
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draft a customer, each with one of eight faults, by the key's remainder."""
+    k = "c_custkey"
+    return _table(spark, sf_dir, "customer").select(
+        _text(f"concat('60 drafts/draft', case when {k} % 16 = 3 then '  ' when {k} % 16 = 11 then '’' else '-' end, {k}, '.md')").alias("rel"),
+        _text(f"""concat('---\\n', case {k} % 8 when 0 then '' when 5 then 'type: scratchpad\\n' else 'type: note\\n' end, 'description: draft\\ntags: ', if({k} % 8 = 4, '[open', '[draft]'), '\\n', if({k} % 8 = 7, concat('related: [[card-', {k}, ']]\\n'), ''), '---\\n',
+          case {k} % 8 when 1 then '- item\\n\\n  > [!Note] Title\\n  > runs on\\n\\n> [!Tip] Apart\\n>\\n> text\\n' when 2 then concat('# draft-', {k}, '\\n\\nText.\\n') when 6 then 'See src/*.ts and dist/*.js, __init__ or ___x___, **fine**, not *this*.\\n' else 'Text.\\n\\n# Later\\n' end)""").alias("content"),
+    )
+
+
+KINDS = {"ticket": tickets, "track": tracks, "card": cards, "reference": references, "note": documents, "weekly-log": weekly_logs, "draft": drafts}
 
 
 def vault(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
