@@ -4,17 +4,36 @@ from __future__ import annotations
 
 import json
 import posixpath
+import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    DataSourceWriter,
+    EqualTo,
+    Filter,
+    In,
+    InputPartition,
+    IsNotNull,
+    Not,
+    StringContains,
+    StringEndsWith,
+    StringStartsWith,
+    WriterCommitMessage,
+)
 
 #: Extensions that count as assets.
 ASSETS = ["png", "jpeg", "jpg", "gif", "svg", "pdf", "canvas", "base", "tldraw"]
 #: Ignored whatever the vault says.
 ALWAYS = [".git", ".vaultignore"]
+#: What the names of folders begin with in which a writer keeps what isn't in its place yet.
+STAGED = ".vault-staged-"
 
 
 def parse_ignore(text: str) -> list[str]:
@@ -131,15 +150,20 @@ class FilePart(InputPartition):
     paths: list[tuple[str, str]]
 
 
-class VaultReader(DataSourceReader):
-    """Lists the folder once on the driver; each task reads a batch of files."""
+class Folder:
+    """A vault's folder as tasks and the driver see it: listed level by level, without what rules exclude."""
 
-    BATCH = 256
+    def __init__(self, options: dict[str, str]):
+        self.root = options["path"].rstrip("/")
+        self.use_ignore = options.get("ignore", "true").lower() != "false"
+
+    def open(self):
+        """The file system, and the folder's path in it."""
+        from pyarrow import fs
 
-    def __init__(self, root: str, use_ignore: bool = True):
-        self.root, self.use_ignore = root.rstrip("/"), use_ignore
+        return fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
 
-    def _patterns(self, system, base: str) -> list[str]:
+    def patterns(self, system, base: str) -> list[str]:
         if not self.use_ignore:
             return list(ALWAYS)
         try:
@@ -148,19 +172,29 @@ class VaultReader(DataSourceReader):
         except FileNotFoundError:
             return list(ALWAYS)
 
-    def partitions(self) -> list[InputPartition]:
+    def notes(self, prefix: str = "", wanted=lambda rel: True) -> list[tuple[int, str, str]]:
+        """(modified, path, rel) of the notes whose path begins with ``prefix``; folders that can't hold one aren't listed."""
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
-        found = [(i.path, posixpath.relpath(i.path, base)) for i in system.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File and i.path.endswith(".md")]
-        patterns = self._patterns(system, base)
-        found = sorted(x for x in found if not any(x[1].endswith(p[1:]) if p.startswith("*.") else x[1] == p.rstrip("/") or x[1].startswith(p.rstrip("/") + "/") for p in patterns))
-        return [FilePart(found[i : i + self.BATCH]) for i in range(0, len(found), self.BATCH)] or [FilePart([])]
+        system, base = self.open()
+        patterns = self.patterns(system, base)
+        hidden = lambda rel: any(rel.endswith(p[1:]) if p.startswith("*.") else rel == p.rstrip("/") or rel.startswith(p.rstrip("/") + "/") for p in patterns)
+        first = posixpath.dirname(prefix)
+        todo, found = [posixpath.join(base, first) if first else base], []
+        while todo:
+            for info in system.get_file_info(fs.FileSelector(todo.pop(), allow_not_found=True)):
+                rel = posixpath.relpath(info.path, base)
+                if hidden(rel) or posixpath.basename(rel).startswith(STAGED):
+                    continue
+                if info.type == fs.FileType.Directory:
+                    if (rel + "/").startswith(prefix) or prefix.startswith(rel + "/"):
+                        todo.append(info.path)
+                elif rel.endswith(".md") and rel.startswith(prefix) and wanted(rel):
+                    found.append((info.mtime_ns or 0, info.path, rel))
+        return sorted(found, key=lambda x: x[2])
 
     def read(self, partition: FilePart) -> Iterator[tuple]:
-        from pyarrow import fs
-
-        system = fs.FileSystem.from_uri(self.root)[0] if "://" in self.root else fs.LocalFileSystem()
+        system, _ = self.open()
         for path, rel in partition.paths:
             try:
                 with system.open_input_stream(path) as file:
@@ -169,8 +203,170 @@ class VaultReader(DataSourceReader):
                 print(f"left out {rel}: {e}")
 
 
+def _parts(found: list[tuple[int, str, str]], batch: int) -> list[InputPartition]:
+    paths = [(path, rel) for _, path, rel in found]
+    return [FilePart(paths[i : i + batch]) for i in range(0, len(paths), batch)] or [FilePart([])]
+
+
+class VaultReader(DataSourceReader):
+    """Lists the folder once on the driver; each task reads a batch of files.
+
+    Conditions on ``rel`` alone are taken over, with ``spark.sql.python.filterPushdown.enabled``: what a path begins
+    with decides which folders are listed at all, the rest which files are read.
+    """
+
+    BATCH = 256
+
+    def __init__(self, folder: Folder):
+        self.folder, self.prefix, self.tests = folder, "", []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if (test := self._test(f)) is None:
+                yield f
+            else:
+                self.tests.append(test)
+                start = f.value if isinstance(f, (EqualTo, StringStartsWith)) else posixpath.commonprefix(list(f.value)) if isinstance(f, In) else ""
+                # Of two beginnings the longer one holds, or no path has both.
+                self.prefix = max(self.prefix, start, key=len)
+
+    def _test(self, f: Filter):
+        """The condition on a path, or None if it isn't one that is taken over."""
+        if isinstance(f, Not):
+            inner = self._test(f.child)
+            return None if inner is None else lambda rel: not inner(rel)
+        if getattr(f, "attribute", None) != ("rel",):
+            return None
+        value = getattr(f, "value", None)
+        if isinstance(f, EqualTo):
+            return lambda rel: rel == value
+        if isinstance(f, In):
+            return set(value).__contains__
+        if isinstance(f, StringStartsWith):
+            return lambda rel: rel.startswith(value)
+        if isinstance(f, StringEndsWith):
+            return lambda rel: rel.endswith(value)
+        if isinstance(f, StringContains):
+            return lambda rel: value in rel
+        return (lambda rel: True) if isinstance(f, IsNotNull) else None
+
+    def partitions(self) -> list[InputPartition]:
+        return _parts(self.folder.notes(self.prefix, lambda rel: all(test(rel) for test in self.tests)), self.BATCH)
+
+    def read(self, partition: FilePart) -> Iterator[tuple]:
+        return self.folder.read(partition)
+
+
+class VaultStream(DataSourceStreamReader):
+    """Notes as they come and change: an offset is the time of the last change taken, and the path that it was in.
+
+    A file is taken once it has been left alone for ``settle`` milliseconds (1000), so that no other change with its
+    time can come later; a note that changes again comes again.
+    """
+
+    def __init__(self, folder: Folder, settle: int):
+        self.folder, self.settle = folder, settle
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"at": 0, "rel": ""}
+
+    def _settled(self) -> list[tuple[int, str, str]]:
+        latest = time.time_ns() - self.settle * 1_000_000
+        return [x for x in self.folder.notes() if x[0] <= latest]
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        at, rel = max(((m, rel) for m, _, rel in self._settled()), default=(0, ""))
+        return {"at": at, "rel": rel}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        low, high = (start["at"], start["rel"]), (end["at"], end["rel"])
+        return _parts([x for x in self._settled() if low < (x[0], x[2]) <= high], VaultReader.BATCH)
+
+    def read(self, partition: FilePart) -> Iterator[tuple]:
+        return self.folder.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The folder in which a task has put its notes aside, and how many they are."""
+
+    folder: str
+    notes: int
+
+
+class VaultWriter(DataSourceWriter):
+    """Writes notes (rel, content) below the folder.
+
+    Tasks put their notes aside, each attempt in a folder of its own; when all are done, those of the attempts that
+    count are moved to their places, and a job that fails before has changed nothing.  A note that is there already is
+    an error, unless the mode is overwrite, which replaces the notes written and leaves others alone; a path that is
+    written twice is an error in any mode.
+    """
+
+    def __init__(self, folder: Folder, overwrite: bool):
+        self.folder, self.overwrite = folder, overwrite
+        self.aside = f"{STAGED}{uuid.uuid4().hex}"
+
+    def _there(self, system, path: str) -> bool:
+        from pyarrow import fs
+
+        return system.get_file_info(path).type != fs.FileType.NotFound
+
+    def write(self, iterator: Iterator) -> Written:
+        system, base = self.folder.open()
+        own = posixpath.join(base, self.aside, uuid.uuid4().hex)
+        system.create_dir(own, recursive=True)
+        notes = 0
+        for row in iterator:
+            rel = posixpath.normpath(row.rel or "")
+            if rel.startswith(("../", "/")) or not rel.endswith(".md"):
+                raise ValueError(f"{row.rel!r} is no path of a note in the vault")
+            path = posixpath.join(own, rel)
+            if self._there(system, path):
+                raise ValueError(f"{rel!r} is written twice")
+            if not self.overwrite and self._there(system, posixpath.join(base, rel)):
+                raise ValueError(f"{rel!r} is there already")
+            system.create_dir(posixpath.dirname(path), recursive=True)
+            with system.open_output_stream(path) as file:
+                file.write((row.content or "").encode("utf-8"))
+            notes += 1
+        return Written(own, notes)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
+        system, base = self.folder.open()
+        staged: dict[str, str] = {}
+        for own in [m.folder for m in messages if m is not None]:
+            for info in system.get_file_info(fs.FileSelector(own, recursive=True)):
+                if info.type == fs.FileType.File:
+                    rel = posixpath.relpath(info.path, own)
+                    if rel in staged:
+                        raise ValueError(f"{rel!r} is written twice")
+                    staged[rel] = info.path
+        for folder in {posixpath.dirname(rel) for rel in staged}:
+            system.create_dir(posixpath.join(base, folder), recursive=True)
+        for rel, path in staged.items():
+            system.move(path, posixpath.join(base, rel))
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        """Removes what stands aside; what a task of a failed job still puts there is no note of the vault."""
+        system, base = self.folder.open()
+        if self._there(system, posixpath.join(base, self.aside)):
+            system.delete_dir(posixpath.join(base, self.aside))
+
+
 class VaultSource(DataSource):
-    """``spark.read.format("vault").load(folder)``: (rel, content) of the notes of a folder; ``ignore=false`` reads all of them."""
+    """``spark.read.format("vault").load(folder)``: (rel, content) of the notes of a folder; ``ignore=false`` reads all of them.
+
+    ``readStream`` gives notes as they change, ``write`` puts notes into the folder.  With filter push-down on (it is off
+    unless a session asks for it) load the folder anew for each query: Spark 4.1 keeps what the first query with a
+    pushed filter has listed, and reads it again for others of the same DataFrame.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -180,4 +376,10 @@ class VaultSource(DataSource):
         return "rel string, content string"
 
     def reader(self, schema) -> VaultReader:
-        return VaultReader(self.options["path"], self.options.get("ignore", "true").lower() != "false")
+        return VaultReader(Folder(dict(self.options)))
+
+    def streamReader(self, schema) -> VaultStream:  # noqa: N802
+        return VaultStream(Folder(dict(self.options)), int(self.options.get("settle", "1000")))
+
+    def writer(self, schema, overwrite: bool) -> VaultWriter:
+        return VaultWriter(Folder(dict(self.options)), overwrite)
