@@ -6,6 +6,8 @@ import re
 import unicodedata
 from urllib.parse import unquote
 
+from notewell.functions.blocks import ATX
+
 FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 
 
@@ -121,16 +123,17 @@ def display_width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) or unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-#: A bullet, a number or a letter that begins a list item, and the headings below a title.
-LIST_ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)]|[A-FА-Я]\d*[.)])\s+(.*\S)\s*\Z")
-LIST_HEAD = re.compile(r"(#{2,6})\s+(.*)\Z")
+BULLET, NUMBER = r"[-*+]", r"\d+[.)]"
+#: The letters that number items, the first six Latin capitals and all Russian ones.
+LETTERS = "ABCDEF" + "".join(map(chr, range(ord("А"), ord("Я") + 1)))
+LIST_ITEM = re.compile(rf"\s*(?:{BULLET}|{NUMBER}|[{LETTERS}]\d*[.)])\s+(?P<said>\S.*)")
 #: Characters from which an item can be a claim.
 THIN = 12
 
 
 def for_containment(text: str) -> str:
-    """A text as it is looked for in another: plain signs, no marks of emphasis, lower case, single blanks."""
-    return _words(re.sub(r"[*_`]", "", typography(text))).lower()
+    """A text as it is looked for in another: without marks, lower case, single blanks."""
+    return _words(re.sub(r"[`*_>#|\[\]()!~-]+", " ", text.lower()))
 
 
 def _says_something(item: str) -> bool:
@@ -158,12 +161,12 @@ def list_items(text: str) -> list[tuple[str, int, str, str]]:
                 fence = mark[1]
             elif mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence):
                 fence = None
-        elif m := LIST_HEAD.match(line):
+        elif (m := ATX.match(line)) and len(m[1]) > 1 and m.end() < len(line):
             close()
-            heading = len(m[1]), m[2]
+            heading = len(m[1]), line[m.end() :]
         elif heading and (m := LIST_ITEM.match(line)):
             close()
-            item = m[1]
+            item = m["said"].rstrip()
         elif item is not None and re.match(r"\s+\S", line):
             item += " " + line.strip()
         else:

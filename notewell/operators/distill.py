@@ -260,6 +260,17 @@ def run_stats(runs: DataFrame, by: str, *measures: str) -> DataFrame:
     return rows.groupBy(by, "measure").agg(r(F.avg("x")).alias("mean"), r(F.coalesce(F.stddev_samp("x"), F.lit(0.0))).alias("stddev"), r(F.min("x")).alias("min"), r(F.max("x")).alias("max"))
 
 
+def run_deltas(runs: DataFrame, by: str, base: str, other: str, *measures: str) -> DataFrame:
+    """(measure, base, other, delta): the means of two configurations, and how far the second lies above the first.
+
+    A configuration without a run has no mean, and then there is no delta.
+    """
+    stats = run_stats(runs.where(F.col(by).isin(base, other)), by, *measures)
+    mean = lambda which: F.max(F.when(F.col(by) == which, F.col("mean")))
+    rows = stats.groupBy("measure").agg(mean(base).alias("base"), mean(other).alias("other"))
+    return rows.withColumn("delta", F.round(F.col("other") - F.col("base"), 4))
+
+
 def trigger_rate(runs: DataFrame, by: str, fired: str, threshold: float = 0.5) -> DataFrame:
     return runs.groupBy(by).agg(F.avg(F.col(fired).cast("int")).alias("rate")).withColumn("passes", F.col("rate") >= threshold)
 

@@ -256,22 +256,29 @@ def unintended_emphasis(v: Vault) -> DataFrame:
 def relations(notes: DataFrame) -> DataFrame:
     """(rel, line, from_label, rel_token, endpoint_kind, endpoint, predicate): edges of the Relations section.
 
-    Sections come from the headings by a forward fill over the lines; an edge is ``from rel:: to (predicate)``.
+    Sections come from the headings by a forward fill over the lines; an edge is ``from rel:: to (predicate)`` or
+    ``from — rel → to (predicate)``, and a place that ends the line belongs to neither side.
     """
     found = F.get(F.filter("headings", lambda h: (h["level"] == 2) & (F.lower(F.trim(h["text"])) == "relations")), F.lit(0))
     rows = notes.select("rel", found.alias("h"), text.lines(F.col("content")).alias("lines")).where("h is not null")
     rows = rows.select("rel", "h", F.posexplode(F.slice("lines", F.col("h.line") + 1, F.greatest(F.lit(0), F.col("h.sec_end") - F.col("h.line")))).alias("i", "text"))
-    item = F.regexp_extract("text", r"^\s*(?:[-*+]|\d+[.)])\s+(.*)$", 1)
-    rows = rows.select("rel", (F.col("h.line") + 1 + F.col("i")).alias("line"), F.trim(item).alias("edge")).where("instr(edge, '::') > 0")
+    item = F.trim(F.regexp_extract("text", r"^\s*(?:[-*+]|\d+[.)])\s+(.*)$", 1))
+    edge = F.trim(F.regexp_replace(item, r"\s+(?:\[\d+\.\.\d+\]|\d+\.\.\d+)$", ""))
+    arrow = r"^(.*?)\s*[—–]\s*([^—–→]+?)\s*→\s*(.*)$"
+    rows = rows.select("rel", (F.col("h.line") + 1 + F.col("i")).alias("line"), edge.alias("edge"))
+    rows = rows.withColumn("arrow", F.col("edge").rlike(arrow) & (F.instr("edge", "::") == 0)).where("arrow or instr(edge, '::') > 0")
+    part = lambda i: F.regexp_extract("edge", arrow, i)
     left, right = F.trim(F.substring_index("edge", "::", 1)), F.trim(F.expr("substr(edge, instr(edge, '::') + 2)"))
-    rows = rows.select("rel", "line", left.alias("left"), right.alias("right")).where("left <> '' and right <> ''")
-    words = F.split("left", r"\s+")
+    words = F.split(left, r"\s+")
+    source = F.when(F.col("arrow"), F.trim(part(1))).otherwise(F.array_join(F.slice(words, 1, F.size(words) - 1), " "))
+    token = F.when(F.col("arrow"), F.regexp_replace(F.trim(part(2)), r"\s+", "-")).otherwise(F.element_at(words, -1))
+    rows = rows.select("rel", "line", source.alias("source"), token.alias("token"), F.when(F.col("arrow"), F.trim(part(3))).otherwise(right).alias("right")).where("token <> '' and right <> ''")
     has = F.col("right").rlike(r"\([^(]*\)$")
     end = F.when(has, F.trim(F.regexp_replace("right", r"\([^(]*\)$", ""))).otherwise(F.col("right"))
     predicate = F.nullif(F.trim(F.regexp_extract("right", r"\(([^(]*)\)$", 1)), F.lit(""))
     inner = F.trim(F.get(F.split(F.regexp_extract(end, r"^\[\[(.*)\]\]$", 1), r"\|"), F.lit(0)))
     is_file = end.rlike(r"^\[\[.*\]\]$")
-    out = rows.select("rel", "line", F.nullif(F.array_join(F.slice(words, 1, F.size(words) - 1), " "), F.lit("")).alias("from_label"), F.element_at(words, -1).alias("rel_token"), F.when(is_file, "file").otherwise("local").alias("endpoint_kind"), F.when(is_file, inner).otherwise(end).alias("endpoint"), predicate.alias("predicate"))
+    out = rows.select("rel", "line", F.nullif("source", F.lit("")).alias("from_label"), F.col("token").alias("rel_token"), F.when(is_file, "file").otherwise("local").alias("endpoint_kind"), F.when(is_file, inner).otherwise(end).alias("endpoint"), predicate.alias("predicate"))
     return out.where("endpoint <> ''")
 
 

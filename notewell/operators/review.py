@@ -18,10 +18,9 @@ def _items(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: [{"heading": h, "depth": d, "item": x, "norm": n} for h, d, x, n in payload.list_items(s or "")])
 
 
-@F.pandas_udf(T.StringType())
-def containment(texts: pd.Series) -> pd.Series:
-    """Texts in the form in which one is looked for in another: plain signs, lower case, single blanks."""
-    return texts.map(lambda s: None if s is None else payload.for_containment(s))
+def containment(column: str | Column) -> Column:
+    """Texts in the form in which one is looked for in another: without marks, lower case, single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(column), r"[`*_>#|\[\]()!~-]+", " "), r"\s+", " "))
 
 
 def units(notes: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -283,11 +282,18 @@ def name_runs(docs: DataFrame, key: str, column: str) -> DataFrame:
     return runs.where("n > 1").select(key, "sentence", "first", F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias("run"))
 
 
+def _fences() -> str:
+    """A pattern for fenced blocks: a fence, and all up to one of the same sign or the end."""
+    one = lambda sign: rf"^ {{0,3}}{sign}{{3,}}[^\n]*(?:\n.*?)??(?:\n {{0,3}}{sign}{{3,}}[^\n]*$|\z)"
+    return f"(?ms){one('`')}|{one('~')}"
+
+
 def guard(pairs: DataFrame, key: str, cap: int = 20) -> DataFrame:
     """(key, masks, code, names, words, lists, ok): five ways in which a simpler wording must not differ from its original.
 
-    ``pairs`` has (key, before, after).  The same masks and code, each as often; no name that the original hasn't; no
-    sentence of more than ``cap`` words; as many items of each kind of list.
+    ``pairs`` has (key, before, after).  The same masks and fenced blocks, each as often; no name that the original
+    hasn't; no sentence of more than ``cap`` words; no kind of list, bullets or numbers, of which nothing is left.  Lists
+    may grow or shrink, and code within a line is a matter of masks.
     """
     found = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     both = lambda pattern: same_items(found("before", pattern), found("after", pattern))
@@ -295,9 +301,12 @@ def guard(pairs: DataFrame, key: str, cap: int = 20) -> DataFrame:
     inner = F.regexp_extract_all("after", F.lit(r"(?<=[\p{L}\p{N},;:] )\p{Lu}\p{Ll}[\p{L}'’-]*"), F.lit(0))
     known = found("before", r"\p{Lu}\p{Ll}[\p{L}'’-]*")
     long = F.exists(text.sentences(F.col("after")), lambda s: text.word_count(s) > cap)
-    bullets, numbers = r"(?m)^\s*[-*+]\s", r"(?m)^\s*\d+[.)]\s"
-    same = lambda pattern: F.regexp_count("before", F.lit(pattern)) == F.regexp_count("after", F.lit(pattern))
-    rows = pairs.select(key, both(r"⟦\d+⟧").alias("masks"), both(r"`[^`\n]+`").alias("code"), (F.size(F.array_except(inner, known)) == 0).alias("names"), (~long).alias("words"), (same(bullets) & same(numbers)).alias("lists"))
+    # A rule of three stars or hyphens looks like a bullet and is none.
+    lines = lambda c: F.filter(F.split(F.regexp_replace(c, _fences(), ""), "\n"), lambda x: ~x.rlike(r"^\s*([-*_])(\s*\1){2,}\s*$"))
+    any_of = lambda c, pattern: F.exists(lines(c), lambda x: x.rlike(pattern))
+    vanished = lambda pattern: any_of("before", pattern) & ~any_of("after", pattern)
+    lists = ~vanished(r"^\s*[-*+]\s") & ~vanished(r"^\s*\d{1,9}[.)]\s")
+    rows = pairs.select(key, both(r"⟦\d+⟧").alias("masks"), both(_fences()).alias("code"), (F.size(F.array_except(inner, known)) == 0).alias("names"), (~long).alias("words"), lists.alias("lists"))
     return rows.withColumn("ok", F.col("masks") & F.col("code") & F.col("names") & F.col("words") & F.col("lists"))
 
 
@@ -314,6 +323,33 @@ def assemble(parts: DataFrame, drafts: DataFrame) -> DataFrame:
     return out.select("rel", F.array_join(F.when(F.col("title") == "", F.col("pieces")).otherwise(F.concat(F.array("title"), F.col("pieces"))), "\n").alias("text"))
 
 
+def backstop(notes: DataFrame, assembled: DataFrame) -> DataFrame:
+    """(rel, lane, markup, item): what whole notes carry that the notes put together of their parts don't.
+
+    The last look before a note is replaced: each unit may have been checked, and something between them be lost.
+    ``assembled`` has (rel, text); a note that isn't there has lost all it carried.
+    """
+    before, after = distill.harvest(notes, "rel", "body"), distill.harvest(assembled, "rel", "text")
+    return distill.residue(before, after.select("rel", "lane", "item").distinct(), ["rel", "lane", "item"]).select("rel", "lane", "markup", "item")
+
+
+def residue_blocks(left: DataFrame, key: str) -> DataFrame:
+    """(key, text): what is left of each note as one block of choices, an item an entry in its order, none ticked.
+
+    ``left`` has (key, ord, kind, label, reason, steps), where steps are the places of a procedure's lost steps, from 0.
+    An entry that no gate could judge offers to keep it, any other to recover it.  A definition is named by its term in
+    code, a step by its procedure and place, and anything else by its label.
+    """
+    plain = handle(F.col("label"))
+    places = F.array_join(F.transform("steps", lambda i: (i + 1).cast("string")), ",")
+    steps = F.concat(F.lit("procedure:"), plain, F.when(F.size("steps") > 0, F.concat(F.lit(":"), places)).otherwise(""))
+    target = F.when(F.col("kind") == "def", F.concat(F.lit("`"), plain, F.lit("`"))).when(F.col("kind") == "steps", steps).when(F.col("kind") == "thesis", "thesis").otherwise(plain)
+    verb = F.when(F.col("reason") == "gate-inconclusive", "keep").otherwise("recover")
+    rows = left.select(key, "ord", F.concat(F.lit("- [ ] "), verb, F.lit(" "), target, F.lit(" — "), "reason").alias("item"))
+    listed = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "item"))), lambda x: x["item"]), "\n").alias("items"))
+    return listed.select(key, F.concat(F.lit("<!-- interact: pick-any id=residue -->\n\n"), "items", F.lit("\n\n<!-- /interact -->\n")).alias("text"))
+
+
 def staged(found: DataFrame, verdicts: DataFrame, key: str, registry: list[str]) -> DataFrame:
     """(key, term, rel, to, off_registry, verdict, inconclusive): edges of concepts as they wait for a decision.
 

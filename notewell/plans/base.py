@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from notewell.functions import text, yaml12
@@ -295,6 +295,40 @@ def summaries(base: Base, view_name: str, rows: DataFrame) -> DataFrame:
     return rows.agg(*out)
 
 
+class PrecheckError(ValueError):
+    """A condition that some note of the whole scan must meet, and none does."""
+
+
+class Precheck:
+    """Conditions that some note must meet, gathered in the same pass as a view.
+
+    A view that filters its notes down to none can't tell a name that nothing has from one whose notes are all done; the
+    conditions are counted over all notes, before any filter, while the view is computed, and ``verify`` fails the call
+    afterwards.  ``must`` gives a condition for each message.
+    """
+
+    def __init__(self, must: dict[str, Column]):
+        self.must, self.seen = must, Observation()
+
+    def over(self, notes: DataFrame) -> DataFrame:
+        """The same notes; what is computed from them gathers the conditions."""
+        return notes.observe(self.seen, *[F.coalesce(F.max(F.coalesce(c, F.lit(False))), F.lit(False)).alias(f"c{i}") for i, c in enumerate(self.must.values())])
+
+    def verify(self) -> None:
+        """After the view was computed: an error with the messages of all conditions that no note meets."""
+        got = self.seen.get
+        if missing := [message for i, message in enumerate(self.must) if not got[f"c{i}"]]:
+            raise PrecheckError("; ".join(missing))
+
+
+def render_checked(base: Base, view_name: str, notes: DataFrame, must: dict[str, Column], extra: Column | None = None) -> str:
+    """A view as a table, or an error if some condition of ``must`` holds for no note; the notes are read once."""
+    check = Precheck(must)
+    table = render_table(run(base, view_name, check.over(notes), extra))
+    check.verify()
+    return table
+
+
 def _headers(rows: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.metadata["header"]) for f in rows.schema.fields if "header" in f.metadata]
 

@@ -88,8 +88,8 @@ def prose_verdicts(spark, sf_dir):
     items = V.list_items(notes, "rel", "body")
     k = F.regexp_extract("rel", K, 1).cast("long")
     said = items.where("n = 0").withColumn("grade", F.when(k % 4 == 0, "dropped").when(k % 4 < 3, "covered")).where("grade is not null")
-    said = said.select("rel", "n", "grade", F.when(k % 4 == 1, F.concat(F.lit("that Beta subsumes: Alpha "), k)).otherwise("it stands nowhere in there").alias("anchor"))
-    outputs = notes.select("rel", F.concat(F.lit("We know **that Beta subsumes: Alpha "), k, F.lit("** and more.")).alias("output"))
+    said = said.select("rel", "n", "grade", F.when(k % 4 == 1, F.concat(F.lit("that (Beta) | subsumes: Alpha "), k)).otherwise("it stands nowhere in there").alias("anchor"))
+    outputs = notes.select("rel", F.concat(F.lit("We know **that Beta #subsumes: [Alpha] "), k, F.lit("** and more.")).alias("output"))
     return V.prose_residue(items, said, outputs, "rel")
 
 
@@ -173,18 +173,19 @@ def trust_default(spark, sf_dir):
 
 
 def wording_guard(spark, sf_dir):
-    """A sentence a part, changed on each axis in turn."""
+    """A sentence a part with code and lists, changed on each axis in turn, and in ways that are no difference."""
     k = F.col("p_partkey")
-    before = F.concat(F.lit("Yesterday Anna met ⟦0⟧ at `"), "p_name", F.lit("`.\n- one\n"))
-    after = F.when(k % 6 == 1, F.regexp_replace(before, "⟦0⟧", "it")).when(k % 6 == 2, F.regexp_replace(before, "`", "")).when(k % 6 == 3, F.concat(before, F.lit("Then came Bert."))).when(k % 6 == 4, F.regexp_replace(before, "- one", "1. one")).when(k % 6 == 5, F.concat(before, F.lit("\n"), F.repeat(F.lit("and so on "), F.lit(8)), F.lit("."))).otherwise(before)
+    before = F.concat(F.lit("Yesterday Anna met ⟦0⟧ at `x`.\n\n- one\n- - -\n\n~~~\ncode "), "p_name", F.lit("\n1. no list\n~~~\n"))
+    after = F.when(k % 8 == 1, F.regexp_replace(before, "⟦0⟧", "it")).when(k % 8 == 2, F.regexp_replace(before, "code", "cod")).when(k % 8 == 3, F.concat(before, F.lit("\nThen came Bert."))).when(k % 8 == 4, F.regexp_replace(before, "- one", "1. one")).when(k % 8 == 5, F.concat(before, F.lit("\n"), F.repeat(F.lit("and so on "), F.lit(8)), F.lit(".")))
+    after = after.when(k % 8 == 6, F.regexp_replace(before, "- one", "- one\n- two\n1. three")).when(k % 8 == 7, F.regexp_replace(before, "`x`", "y")).otherwise(before)
     rows = V.guard(_table(spark, sf_dir, "part").select("p_partkey", before.alias("before"), after.alias("after")), "p_partkey")
     return rows.groupBy("masks", "code", "names", "words", "lists", "ok").agg(F.count("*").alias("n"))
 
 
 def assembled_notes(spark, sf_dir):
     parts = V.units(_notes(spark, sf_dir, "card", "headings"))
-    drafts = parts.where("unit <> 1").select("rel", "unit", F.concat(F.lit("draft "), F.col("unit").cast("string")).alias("draft"))
-    return V.assemble(parts.where("unit <> 1"), drafts).select("rel", F.md5("text").alias("digest"))
+    drafts = parts.select("rel", "unit", F.concat(F.lit("draft "), F.col("unit").cast("string")).alias("draft"))
+    return V.assemble(parts, drafts).select("rel", F.md5("text").alias("digest"))
 
 
 def staged_edges(spark, sf_dir):
@@ -230,8 +231,8 @@ SQL = {
       select key, count(*) as n, sum(line)::bigint as lines from l where has = 1 group by key""",
     "overview_tree": X + " select 4 as headings, 'Detail' as third, count(*) as n, sum(length(intro || e || notes || detail || e || tasks) // 4)::bigint as tokens from x",
     "unfolded": X + " select rel, md5(intro || e || case when length(notes || detail) // 4 <= 12 then notes || detail else '1.1 Notes (' || length(notes || detail) // 4 || ')' end || e || tasks) as digest from x",
-    "wording_guard": "select p_partkey % 6 <> 1 as masks, p_partkey % 6 <> 2 as code, p_partkey % 6 <> 3 as names, p_partkey % 6 <> 5 as words, p_partkey % 6 <> 4 as lists, p_partkey % 6 = 0 as ok, count(*) as n from part group by all",
-    "assembled_notes": "with " + C + """select rel, md5('## Glossary' || e || e || '| Term | Meaning |' || e || '| --- | --- |' || e || '| Alpha ' || k || ' | first |' || e || '| Beta | second |' || e || e || 'draft 3') as digest from (select *, chr(10) as e from c)""",
+    "wording_guard": "select p_partkey % 8 <> 1 as masks, p_partkey % 8 <> 2 as code, p_partkey % 8 <> 3 as names, p_partkey % 8 <> 5 as words, p_partkey % 8 <> 4 as lists, p_partkey % 8 in (0, 6, 7) as ok, count(*) as n from part group by all",
+    "assembled_notes": "with " + C + """select rel, md5('draft 1' || e || '## Glossary' || e || e || '| Term | Meaning |' || e || '| --- | --- |' || e || '| Alpha ' || k || ' | first |' || e || '| Beta | second |' || e || e || 'draft 3') as digest from (select *, chr(10) as e from c)""",
     "staged_edges": "with " + C + """, s as (select k, 'subsumes' as rel from c union all select k, case when k % 10 = 0 then 'likes' else 'part-of' end from c where k % 4 <> 0)
       select rel, rel = 'likes' as off_registry, case when k % 2 = 0 then 'new' end as verdict, k % 2 <> 0 as inconclusive, count(*) as n from s group by all""",
     "decision_errors": """select 'p/' || p_partkey || '.md' as rel, 3 as line, 'not one' as code from part where p_partkey % 3 = 0 union all select 'p/' || p_partkey || '.md', 11, 'unknown verb' from part where p_partkey % 5 = 0

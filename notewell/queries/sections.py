@@ -20,8 +20,9 @@ def section_ranges(spark, sf_dir):
 
 
 def line_owner(spark, sf_dir):
+    """The section of each line that has one."""
     notes = _tickets(spark, sf_dir, "headings")
-    lines = notes.select("rel", F.posexplode(F.split("content", "\n")).alias("i", "t")).where("t like 'See %' or t like '- [ ]%' or t like '%more.' or t = '---'").select("rel", (F.col("i") + 1).alias("line"))
+    lines = notes.select("rel", F.posexplode(F.split("content", "\n")).alias("i", "t")).select("rel", (F.col("i") + 1).alias("line"))
     return sections.owners(lines, sections.ranges(notes)).select("rel", "line", "address")
 
 
@@ -75,7 +76,7 @@ FRONT = T + """, l as (select *, 15 - (k % 11 = 0)::int + (k % 17 = 0)::int + (k
 SQL = {
     "section_ranges": FRONT + """ select rel, '1' as address, 1 as level, f + 1 as start, f + 20 as "end", 'order-' || k as slug from l union all select rel, '1.1', 2, f + 10, f + 17, 'notes' from l
         union all select rel, '1.1.1', 3, f + 14, f + 17, 'detail' from l union all select rel, '1.2', 2, f + 18, f + 20, 'tasks' from l""",
-    "line_owner": FRONT + " select rel, f + 3 as line, '1' as address from l union all select rel, f + 20, '1.2' from l union all select rel, f + 16, '1.1.1' from l where k % 3 <> 0",
+    "line_owner": FRONT + " select rel, f + i as line, case when i < 10 then '1' when i < 14 then '1.1' when i < 18 then '1.1.1' else '1.2' end as address from l, range(1, 21) as r(i)",
     "heading_addresses": "select '1.1' as address, count(*) as n from orders",
     "section_own_prose": T + """, x as (select *, '## Notes' || e || e || 'First line.' || e || e as notes, '### Detail' || e || e || case when k % 3 = 0 then 'Again [[Card-' || o_custkey || '.md]].' else 'Nothing more.' end || e as detail, '## Tasks' || e || e || '- [ ] ship' as tasks,
           '# Order ' || k || e || e || 'See [[track-' || c_nationkey || ']] and [[card-' || o_custkey || '#Notes|card]].' || e || '`[[not-a-link]]` stays.' || e || e || '```' || e || '[[nor-this]]' || e || '```' || e as intro from (select *, chr(10) as e from t)),
