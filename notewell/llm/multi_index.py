@@ -235,29 +235,29 @@ def search(table: DataFrame, queries_divide: int, k: int = 20, key: str = "vec_i
 
     def _nearest(data: list[np.ndarray], part: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
         ids, second, vectors = data
-        out: list[tuple] = []
         asks, cutoffs, x = part.column(3).to_numpy(), part.column(5).to_numpy(), _matrix(part.column(6))
         cells = books.value[0].far(x[:, :cut])[:, [i]] + books.value[1].far(x[:, cut:])
         longest = np.sqrt((vectors**2).sum(1).max())
-        for a in range(0, len(x), 256):
-            visited = cells[a : a + 256] <= cutoffs[a : a + 256, None]
-            rough, _ = products(x[a : a + 256], vectors, second, visited)
+        # Queries at once, such that their products have a bounded size.
+        step = max(16, (1 << 22) // len(vectors))
+        for a in range(0, len(x), step):
+            asked, keys = x[a : a + step], asks[a : a + step]
+            rough, _ = products(asked, vectors, second, cells[a : a + step] <= cutoffs[a : a + step, None])
             # The query's own row.
-            rough[asks[a : a + 256, None] == ids[None, :]] = -np.inf
-            for q in range(len(rough)):
-                row = rough[q]
-                least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                room = 1e-9 * longest * np.sqrt((x[a + q] ** 2).sum())
-                pick = np.flatnonzero((row >= least - room) & (row > -np.inf))
-                if len(pick):
-                    # The score is summed in the order of the components, so that equal vectors score the same.
-                    score = np.zeros(len(pick))
-                    for c in range(x.shape[1]):
-                        score += vectors[pick, c] * x[a + q, c]
-                    best = np.lexsort((ids[pick], -score))[:k]
-                    out.append((np.full(len(best), asks[a + q]), ids[pick][best], score[best]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+            rough[keys[:, None] == ids[None, :]] = -np.inf
+            n = min(k, rough.shape[1])
+            least = np.partition(rough, rough.shape[1] - n, 1)[:, rough.shape[1] - n]
+            room = 1e-9 * longest * np.sqrt((asked**2).sum(1))
+            q, p = np.nonzero((rough >= (least - room)[:, None]) & (rough > -np.inf))
+            # The score is summed in the order of the components, so that equal vectors score the same.
+            score = np.zeros(len(q))
+            for c in range(x.shape[1]):
+                score += vectors[p, c] * asked[q, c]
+            order = np.lexsort((ids[p], -score, q))
+            q, p, score = q[order], p[order], score[order]
+            best = np.arange(len(q)) - np.searchsorted(q, q) < k
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[q[best]]), pa.array(ids[p[best]]), pa.array(score[best])], ["query_id", "vec_id", "score"])
 
     from pyspark.sql import Window
 
