@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from notewell.functions import text, yaml12
+from notewell.sources.shared import written
 
 
 class BaseError(ValueError):
@@ -315,7 +316,10 @@ class Precheck:
         return notes.observe(self.seen, *[F.coalesce(F.max(F.coalesce(c, F.lit(False))), F.lit(False)).alias(f"c{i}") for i, c in enumerate(self.must.values())])
 
     def verify(self) -> None:
-        """After the view was computed: an error with the messages of all conditions that no note meets."""
+        """After the view was collected or written: an error with the messages of all conditions that no note meets.
+
+        Rows that stream to the driver (``toLocalIterator``) report nothing, and this would wait for it.
+        """
         got = self.seen.get
         if missing := [message for i, message in enumerate(self.must) if not got[f"c{i}"]]:
             raise PrecheckError("; ".join(missing))
@@ -324,9 +328,9 @@ class Precheck:
 def render_checked(base: Base, view_name: str, notes: DataFrame, must: dict[str, Column], extra: Column | None = None) -> str:
     """A view as a table, or an error if some condition of ``must`` holds for no note; the notes are read once."""
     check = Precheck(must)
-    table = render_table(run(base, view_name, check.over(notes), extra))
+    rows = written(run(base, view_name, check.over(notes), extra), "view")
     check.verify()
-    return table
+    return render_table(rows)
 
 
 def _headers(rows: DataFrame) -> list[tuple[str, str]]:
