@@ -14,13 +14,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table that is read in fewer tasks than there are cores, dealt to all of them.
+
+    A small table is one file and one task, and notes are rendered and parsed where their rows are; only the table's own
+    narrow rows are shuffled.  A table of many files is left as it is read.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _text(expression: str):
     return F.expr(expression)
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ticket an order; fields are missing, empty or of another kind by the key's remainders."""
-    orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    orders, customers = _dealt(_table(spark, sf_dir, "orders"), "o_orderkey"), _table(spark, sf_dir, "customer")
     rows = orders.join(customers, orders.o_custkey == customers.c_custkey)
     k = "o_orderkey"
     front = f"""concat('---\\ntype: ticket\\n',
@@ -59,7 +69,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A card a part; it refers to a supplier, and its body to another card that may not exist."""
     k = "p_partkey"
-    return _table(spark, sf_dir, "part").select(
+    return _dealt(_table(spark, sf_dir, "part"), k).select(
         _text(f"concat('20 cards/card-', {k}, '.md')").alias("rel"),
         _text(f"""concat('---\\ntype: card\\ndescription: ', p_name, '\\n', if({k} % 9 = 0, '', concat('tags: [', lower(p_type), ', ', lower(regexp_replace(p_brand, '#', '-')), ']\\n')),
           'reference: ', if({k} % 6 = 0, '"plain text"', concat('"[[30 references/ref-', {k} % 150, ']]"')), '\\n', if({k} % 21 = 0, 'superseded: true\\n', ''), 'size: ', p_size, '\\n---\\n',
@@ -77,7 +87,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note a document; labels give trust."""
-    docs = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")), "doc_id", "left")
+    docs = _dealt(_table(spark, sf_dir, "documents"), "doc_id").join(_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")), "doc_id", "left")
     return docs.select(
         _text("concat('10 notes/', lang, '/note-', doc_id, '.md')").alias("rel"),
         _text("concat('---\\ntype: note\\ndescription: Note ', doc_id, ' in ', lang, '\\ntags: [', lang, ', ', source, ']\\n', if(toxic = 1, 'superseded: true\\n', ''), if(quality = 0, 'epistemic_status: provisional\\n', ''), '---\\n', text)").alias("content"),
