@@ -209,17 +209,26 @@ def _parts(found: list[tuple[int, str, str]], batch: int) -> list[InputPartition
 
 
 class VaultReader(DataSourceReader):
-    """Lists the folder once on the driver; each task reads a batch of files.
-
-    Conditions on ``rel`` alone are taken over, with ``spark.sql.python.filterPushdown.enabled``: what a path begins
-    with decides which folders are listed at all, the rest which files are read.
-    """
+    """Lists the folder once on the driver; each task reads a batch of files."""
 
     BATCH = 256
 
     def __init__(self, folder: Folder):
         self.folder, self.prefix, self.tests = folder, "", []
 
+    def partitions(self) -> list[InputPartition]:
+        return _parts(self.folder.notes(self.prefix, lambda rel: all(test(rel) for test in self.tests)), self.BATCH)
+
+    def read(self, partition: FilePart) -> Iterator[tuple]:
+        return self.folder.read(partition)
+
+
+class FilteredVaultReader(VaultReader):
+    """A reader that takes conditions on ``rel`` alone over.
+
+    What a path begins with decides which folders are listed at all, the rest which files are read.
+    """
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
             if (test := self._test(f)) is None:
@@ -250,12 +259,6 @@ class VaultReader(DataSourceReader):
             return lambda rel: value in rel
         return (lambda rel: True) if isinstance(f, IsNotNull) else None
 
-    def partitions(self) -> list[InputPartition]:
-        return _parts(self.folder.notes(self.prefix, lambda rel: all(test(rel) for test in self.tests)), self.BATCH)
-
-    def read(self, partition: FilePart) -> Iterator[tuple]:
-        return self.folder.read(partition)
-
 
 class VaultStream(DataSourceStreamReader):
     """Notes as they come and change: an offset is the time of the last change taken, and the path that it was in.
@@ -363,9 +366,9 @@ class VaultWriter(DataSourceWriter):
 class VaultSource(DataSource):
     """``spark.read.format("vault").load(folder)``: (rel, content) of the notes of a folder; ``ignore=false`` reads all of them.
 
-    ``readStream`` gives notes as they change, ``write`` puts notes into the folder.  With filter push-down on (it is off
-    unless a session asks for it) load the folder anew for each query: Spark 4.1 keeps what the first query with a
-    pushed filter has listed, and reads it again for others of the same DataFrame.
+    ``readStream`` gives notes as they change, ``write`` puts notes into the folder.  ``pushdown=true`` takes conditions on
+    paths over; the session must allow it by ``spark.sql.python.filterPushdown.enabled``, and the folder must be loaded
+    anew for each query, since Spark 4.1 keeps what the first query with a pushed filter has listed.
     """
 
     @classmethod
@@ -376,7 +379,8 @@ class VaultSource(DataSource):
         return "rel string, content string"
 
     def reader(self, schema) -> VaultReader:
-        return VaultReader(Folder(dict(self.options)))
+        pushed = self.options.get("pushdown", "false").lower() == "true"
+        return (FilteredVaultReader if pushed else VaultReader)(Folder(dict(self.options)))
 
     def streamReader(self, schema) -> VaultStream:  # noqa: N802
         return VaultStream(Folder(dict(self.options)), int(self.options.get("settle", "1000")))

@@ -39,7 +39,7 @@ REL = ("rel",)
     ([StringContains(REL, "o"), EqualTo(("content",), "two")], ["a/one.md", "a/two.md", "c/four.md"], 1), ([StringStartsWith(REL, "a/"), StringStartsWith(REL, "b/")], [], 0), ([StringStartsWith(REL, "none/at/all")], [], 0),
 ])
 def test_filters_decide_which_files_are_read(root, filters, want, left):
-    reader = vault.VaultReader(vault.Folder({"path": root}))
+    reader = vault.FilteredVaultReader(vault.Folder({"path": root}))
     assert len(list(reader.pushFilters(filters))) == left
     assert read(reader) == want
 
@@ -61,7 +61,7 @@ def test_folders_that_cant_hold_a_note_are_not_listed(root, monkeypatch):
             return getattr(self.inner, name)
 
     monkeypatch.setattr(vault.Folder, "open", lambda self: (Counted(fs.LocalFileSystem()), self.root))
-    reader = vault.VaultReader(vault.Folder({"path": root}))
+    reader = vault.FilteredVaultReader(vault.Folder({"path": root}))
     list(reader.pushFilters([StringStartsWith(REL, "b/deep/")]))
     assert read(reader) == ["b/deep/er/three.md"] and sorted(listed) == ["b/deep", "b/deep/er"]
     listed.clear()
@@ -69,7 +69,7 @@ def test_folders_that_cant_hold_a_note_are_not_listed(root, monkeypatch):
 
 
 def test_filters_are_pushed_by_spark(spark, root):
-    load = lambda: spark.read.format("vault").load(root)
+    load = lambda: spark.read.format("vault").option("pushdown", "true").load(root)
     some = load().where(F.startswith("rel", F.lit("a/")) & (F.length("content") > 3))
     assert [tuple(r) for r in some.collect()] == [("a/two.md", "two é")]
     plan = some._jdf.queryExecution().executedPlan().toString()
