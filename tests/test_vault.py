@@ -84,7 +84,7 @@ def root(tmp_path_factory):
         "20 cards/Stale advice.md": "---\ntype: card\nsuperseded: true\ntags: [dough]\n---\nhydrates hydrates hydrates hydrates\n",
         "20 cards/Torn.md": "---\ntype: [card\n---\nleft over\n",
         "30 references/Grain and water.md": "---\ntype: reference\ndescription: A manual of dough\ntags: [manual]\n---\n# Grain and water\n\n## Hydration\n\nparts\n\n> [!tip] warm hands\n> make sticky dough\n",
-        "Shopping.md": "---\ndescription: what to buy\n---\nyeast_and*oil*paper [[AUTOLYSE]]\n",
+        "Shopping.md": "---\ndescription: what to buy\n---\nyeast_and/*.oil or in/*.paper but not*this*one [[AUTOLYSE]]\n",
         "templates/Card.md": "---\ntype: card\ntemplate: true\ndescription:\ntags: [a, b]\nreference:\nkind: [idea, fact]\n---\n",
         "60 kitchen/breadbin/Crumbs.md": "---\ntype: bake\noven: 300\n---\n",
         "cellar/old.md": "kept out",
