@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from notewell.operators import canonical as G
 from notewell.operators import review as V
 
-K = F.col("p_partkey")
+
+def _k():
+    return F.col("p_partkey")
 
 
 def _span(a: int, b):
@@ -19,7 +21,7 @@ def _span(a: int, b):
 
 def graph(spark, sf_dir):
     """(notes, units, edges): a note a part with a unit of each kind; some lines have no place, some judgements no mark."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(K.alias("k"), "p_name", "p_type")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(_k().alias("k"), "p_name", "p_type")
     name, n = F.col("p_name"), F.length("p_name")
     none = F.lit(None).cast(G.SPAN)
     made = [

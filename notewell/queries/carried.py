@@ -10,7 +10,9 @@ from notewell.operators import lint as L
 from notewell.operators import notes as N
 from notewell.operators import review as V
 
-K = F.col("p_partkey")
+
+def _k():
+    return F.col("p_partkey")
 
 
 def _parts(spark, sf_dir):
@@ -19,8 +21,8 @@ def _parts(spark, sf_dir):
 
 def _carrying():
     return F.concat(
-        F.lit("See [site](https://x.y/"), K, F.lit(") and [page](some%20page.md#top) ![pic](img-"), K, F.lit(".png) $a + "), K, F.lit("$ [@ref"), K, F.lit("] 12 %, [[old card|it]].\n\n> quoted "), "p_name",
-        F.lit("\n\n```py\ncode "), K, F.lit("\n```\n\n| a | x"), K, F.lit(" |\n|---|---|\n"),
+        F.lit("See [site](https://x.y/"), _k(), F.lit(") and [page](some%20page.md#top) ![pic](img-"), _k(), F.lit(".png) $a + "), _k(), F.lit("$ [@ref"), _k(), F.lit("] 12 %, [[old card|it]].\n\n> quoted "), "p_name",
+        F.lit("\n\n```py\ncode "), _k(), F.lit("\n```\n\n| a | x"), _k(), F.lit(" |\n|---|---|\n"),
     )
 
 
@@ -36,7 +38,7 @@ def internal_edges(spark, sf_dir):
 
 def backstop_residue(spark, sf_dir):
     """What notes lose that are put together again without a link, a quote or a number."""
-    parts = _parts(spark, sf_dir).select(K.cast("string").alias("rel"), _carrying().alias("body"), K.alias("k"))
+    parts = _parts(spark, sf_dir).select(_k().cast("string").alias("rel"), _carrying().alias("body"), _k().alias("k"))
     k = F.col("k")
     text = F.when(k % 4 == 1, F.regexp_replace("body", r"\[\[old card\|it\]\]", "it")).when(k % 4 == 2, F.regexp_replace("body", "(?m)^> ", "")).when(k % 4 == 3, F.regexp_replace("body", "12 %", "some")).otherwise(F.col("body"))
     lost = V.backstop(parts, parts.where(k % 8 != 0).select("rel", text.alias("text")))
@@ -45,19 +47,19 @@ def backstop_residue(spark, sf_dir):
 
 def arrow_relations(spark, sf_dir):
     """Relations in both grammars, with places, predicates and files."""
-    content = F.concat(F.lit("## Relations\n\n- old "), "p_name", F.lit(" — part of → New house (why) 3.."), K, F.lit("\n- A refines:: [[card-"), K, F.lit("|the card]]\n- no edge here\n"))
-    notes = N.parse(_parts(spark, sf_dir).select(F.concat(K, F.lit(".md")).alias("rel"), content.alias("content")), "headings")
+    content = F.concat(F.lit("## Relations\n\n- old "), "p_name", F.lit(" — part of → New house (why) 3.."), _k(), F.lit("\n- A refines:: [[card-"), _k(), F.lit("|the card]]\n- no edge here\n"))
+    notes = N.parse(_parts(spark, sf_dir).select(F.concat(_k(), F.lit(".md")).alias("rel"), content.alias("content")), "headings")
     return L.relations(notes)
 
 
 def residue_items(spark, sf_dir):
     """The choices that a note's losses leave, read back from their block."""
     entries = [
-        ("def", F.concat(F.lit("the `term` "), K), "dropped", []), ("steps", F.lit("Make it"), "gate-inconclusive", [1, 2]), ("thesis", F.lit("x"), "dropped", []),
+        ("def", F.concat(F.lit("the `term` "), _k()), "dropped", []), ("steps", F.lit("Make it"), "gate-inconclusive", [1, 2]), ("thesis", F.lit("x"), "dropped", []),
         ("prose", F.concat(F.lit("a  long\n"), F.repeat(F.concat("p_name", F.lit(" ")), F.lit(20))), "not anchored", []),
     ]
     made = [F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("kind"), label.alias("label"), F.lit(reason).alias("reason"), F.array(*map(F.lit, steps)).cast("array<int>").alias("steps")) for i, (kind, label, reason, steps) in enumerate(entries)]
-    rows = _parts(spark, sf_dir).select(K.alias("k"), F.explode(F.array(*made)).alias("x")).select("k", "x.*")
+    rows = _parts(spark, sf_dir).select(_k().alias("k"), F.explode(F.array(*made)).alias("x")).select("k", "x.*")
     blocks = V.residue_blocks(rows, "k").select(F.concat("k", F.lit(".md")).alias("rel"), F.col("text").alias("content"))
     items = decisions.items(N.parse(blocks, "regions", "dangling"))
     return items.select("rel", "id", "line", "checked", "verb", F.substring_index("target", " — ", -1).alias("reason"), F.length("target").alias("size"))

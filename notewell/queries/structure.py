@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from notewell.operators import notes as N
 from notewell.operators import reading as R
 
-K = F.col("p_partkey").cast("string")
+
+def _k():
+    return F.col("p_partkey").cast("string")
 
 
 def _notes(spark, sf_dir, content, *parts):
-    rel = F.concat(F.lit("p/"), K, F.lit(".md"))
+    rel = F.concat(F.lit("p/"), _k(), F.lit(".md"))
     return N.parse(spark.read.parquet(f"{sf_dir}/part.parquet").select(rel.alias("rel"), content.alias("content")), *parts)
 
 
@@ -22,21 +24,21 @@ def _is(n: int, then: str):
 def nested_blocks(spark, sf_dir):
     """Lists in quotes in lists in quotes, with lines that go on with them lazily, task items and code in an item."""
     lazy = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("lazy "), "p_name", F.lit("\n"))).otherwise(F.lit(""))
-    content = F.concat(F.lit("# "), "p_name", F.lit("\n\n> - "), "p_name", F.lit("\n>   1. deep\n>      > inner "), K, F.lit("\n"), lazy, F.lit("\n- [x] done\n\n  ```py\n  code\n  ```\n"))
+    content = F.concat(F.lit("# "), "p_name", F.lit("\n\n> - "), "p_name", F.lit("\n>   1. deep\n>      > inner "), _k(), F.lit("\n"), lazy, F.lit("\n- [x] done\n\n  ```py\n  code\n  ```\n"))
     nodes = N.part(_notes(spark, sf_dir, content, "nodes"), "nodes")
     return nodes.select("rel", "seq", "parent_seq", "depth", "type", F.col("span.start").alias("start"), F.col("span.end").alias("stop"), "start_line", "tight", "task", "info")
 
 
 def nested_inlines(spark, sf_dir):
     """Emphasis in emphasis, within words and in links; links in images; what looks like a wikilink in code."""
-    content = F.concat(F.lit("**bold *"), "p_name", F.lit("* [x *y*](u"), K, F.lit(")** a*b*c ![p [in](v)](w) _x_y_ `[[c]]` [[n#h|*a*]]\n"))
+    content = F.concat(F.lit("**bold *"), "p_name", F.lit("* [x *y*](u"), _k(), F.lit(")** a*b*c ![p [in](v)](w) _x_y_ `[[c]]` [[n#h|*a*]]\n"))
     inlines = N.part(_notes(spark, sf_dir, content, "inlines"), "inlines")
     return inlines.select("rel", "type", F.col("span.start").alias("start"), F.col("span.end").alias("stop"), "url", "target", "alias", "before", "after")
 
 
 def structure_failures(spark, sf_dir):
     """Notes with a definition that no block claims, and notes whose text changed after they were read."""
-    content = F.concat(F.lit("Intro [[card-"), K, F.lit("]] and **"), "p_name", F.lit("**.\n\n"), _is(4, "[label\nof two lines]: /u\n\n"), F.lit("[one]: /v\n\n```\ncode\n```\n"))
+    content = F.concat(F.lit("Intro [[card-"), _k(), F.lit("]] and **"), "p_name", F.lit("**.\n\n"), _is(4, "[label\nof two lines]: /u\n\n"), F.lit("[one]: /v\n\n```\ncode\n```\n"))
     notes = _notes(spark, sf_dir, content, "headings", "nodes", "inlines")
     stale = notes.withColumn("content", F.when(F.regexp_extract("rel", r"(\d+)", 1).cast("long") % 5 == 0, F.concat(F.lit("x"), "content")).otherwise(F.col("content")))
     return R.check_structure(stale).groupBy("check").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -44,7 +46,7 @@ def structure_failures(spark, sf_dir):
 
 def table_cells(spark, sf_dir):
     """Rows and cells of tables, with bars that are escaped and cells that are missing or too many."""
-    content = F.concat(F.lit("| a | b |\n|:--|--:|\n| "), "p_name", F.lit(r" | x\|"), K, F.lit(" |\n| one |\n| 1 | 2 | 3 |\n"), _is(3, "> quote\n"))
+    content = F.concat(F.lit("| a | b |\n|:--|--:|\n| "), "p_name", F.lit(r" | x\|"), _k(), F.lit(" |\n| one |\n| 1 | 2 | 3 |\n"), _is(3, "> quote\n"))
     notes = _notes(spark, sf_dir, content, "nodes")
     nodes = N.part(notes, "nodes").join(notes.select("rel", F.encode("content", "utf-8").alias("raw")), "rel")
     cut = F.decode(F.expr("substring(raw, int(span.start) + 1, int(span.end - span.start))"), "utf-8")
