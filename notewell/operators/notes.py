@@ -9,7 +9,8 @@ import json
 import posixpath
 import re
 import textwrap
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +35,7 @@ PARTS = {
 }
 #: Parts that the frontmatter alone gives.
 FRONT = ("unquoted", "fm_json", "fields")
+_NUMBER = re.compile(r"[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|nan)", re.I)
 _UNQUOTED = re.compile(r"(?:^|[\s\[,:-])\[\[([^\[\]\n]+)\]\](?!['\"])")
 
 
@@ -53,10 +55,10 @@ def entry(value) -> dict:
     kind = "null" if value is None else "bool" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string" if isinstance(value, str) else "list" if isinstance(value, list) else "map"
     shown = yaml12.display(value)
     num = float(value) if kind == "number" else None
-    if kind == "string" and re.fullmatch(r"[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|nan)", value, re.I):
+    if kind == "string" and _NUMBER.fullmatch(value):
         num = float(value)
     strings = list(_strings(value))
-    links = [{"target": m[1].strip(), "alias": m[2]} for s in strings for m in markdown.WIKI.finditer(s)]
+    links = [{"target": m[1].strip(), "alias": m[2]} for s in strings if "[[" in s for m in markdown.WIKI.finditer(s)]
     return {
         "kind": kind,
         "display": shown,
@@ -69,32 +71,94 @@ def entry(value) -> dict:
     }
 
 
-def parse_one(content: str, parts: tuple[str, ...]) -> dict:
+@lru_cache(1 << 15)
+def _scalar_entry(kind: type, value) -> dict:
+    return entry(value)
+
+
+@lru_cache(1 << 13)
+def _list_entry(kinds: tuple[type, ...], values: tuple) -> dict:
+    return entry(list(values))
+
+
+#: Characters up to which a text's entry is kept, so that what is kept stays small.
+KEPT = 200
+
+
+def _short(value) -> bool:
+    return value is None or isinstance(value, (bool, int)) or (isinstance(value, str) and len(value) <= KEPT)
+
+
+def _entry_of(value) -> dict:
+    """``entry`` of a value, made once for equal ones; the types are asked too, since 1 and true are equal.
+
+    Numbers with a point aren't kept: they rarely recur, and 0.0 equals -0.0.
+    """
+    if _short(value):
+        return _scalar_entry(type(value), value)
+    if isinstance(value, list) and len(value) <= KEPT and all(map(_short, value)):
+        return _list_entry(tuple(map(type, value)), tuple(value))
+    return entry(value)
+
+
+def place_of(content: str) -> dict:
+    """Where the body begins, in characters and lines."""
     block, first = markdown.body_of(content)
+    # The body begins with the end of the line before it; what stands before that is left out, as is a byte order mark.
+    plain = content.removeprefix("\ufeff")
+    skipped = 0 if block is None else sum(len(x) + 1 for x in plain.split("\n", first)[:first]) - 1
+    return {"body_at": len(content) - len(plain) + skipped, "body_start_line": first + 1}
+
+
+def front_of(content: str, parts: tuple[str, ...]) -> dict:
+    """The frontmatter and the parts that it alone gives."""
+    block, _ = markdown.body_of(content)
     fm, error = {}, None
     if block is not None:
         try:
             fm = yaml12.load(block)
         except (ValueError, IndexError, RecursionError) as e:
             fm, error = {}, str(e)
-    # The body begins with the end of the line before it; what stands before that is left out, as is a byte order mark.
-    plain = content.removeprefix("\ufeff")
-    skipped = 0 if block is None else sum(len(x) + 1 for x in plain.split("\n", first)[:first]) - 1
-    out = {"fm": [(k, entry(v)) for k, v in sorted(fm.items())], "fm_error": error, "body_at": len(content) - len(plain) + skipped, "body_start_line": first + 1}
-    if set(parts) - set(FRONT):
-        note = markdown.structure(content, emphasis="inlines" in parts, parts=parts)
-        out |= {p: getattr(note, p) for p in parts if p not in ("links", *FRONT)}
-        if "links" in parts:
-            out["links"] = [{k: x[k] for k in ("target", "alias")} | {"line": x["start_line"], "embed": x["embed"]} for x in note.inlines if x["type"] == "Wikilink"]
+    out = {"fm": [(k, _entry_of(v)) for k, v in sorted(fm.items())], "fm_error": error}
     if "fm_json" in parts:
         out["fm_json"] = json.dumps(fm, ensure_ascii=False, default=str)
     if "fields" in parts:
         out["fields"] = fields_of(block or "")
     if "unquoted" in parts:
-        out["unquoted"] = [{"target": m[1], "line": i + 2} for i, line in enumerate((block or "").split("\n")) if not re.search(r"""["'][^"']*\[\[""", line) for m in _UNQUOTED.finditer(line)]
+        lines = enumerate((block or "").split("\n")) if "[[" in (block or "") else ()
+        out["unquoted"] = [{"target": m[1], "line": i + 2} for i, line in lines if not re.search(r"""["'][^"']*\[\[""", line) for m in _UNQUOTED.finditer(line)]
     return out
 
 
+def structure_of(content: str, parts: tuple[str, ...]) -> dict:
+    """The parts that the structure gives."""
+    note = markdown.structure(content, emphasis="inlines" in parts, parts=parts)
+    out = {p: getattr(note, p) for p in parts if p not in ("links", *FRONT)}
+    if "links" in parts:
+        out["links"] = [{k: x[k] for k in ("target", "alias")} | {"line": x["start_line"], "embed": x["embed"]} for x in note.inlines if x["type"] == "Wikilink"]
+    return out
+
+
+def parse_one(content: str, parts: tuple[str, ...]) -> dict:
+    out = front_of(content, parts) | place_of(content)
+    return out | structure_of(content, parts) if set(parts) - set(FRONT) else out
+
+
+def _reading(read: Callable[[str], dict], schema: StructType) -> Callable:
+    """An Arrow function from texts to what ``read`` gives for each.
+
+    Called deterministic, it would be evaluated again wherever a filter on its result is pushed down.
+    """
+    kind = pa.struct(list(to_arrow_schema(schema)))
+
+    def run(contents: pa.Array) -> pa.Array:
+        out = [pa.array([read(c or "") for c in contents.slice(a, 512).to_pylist()], kind) for a in range(0, len(contents), 512)]
+        return pa.concat_arrays(out) if out else pa.array([], kind)
+
+    run.__annotations__ = {"contents": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, schema).asNondeterministic()
+
+
 def fields_of(block: str) -> list[dict]:
     """The top-level fields of a frontmatter block in the order of its text, with their text, without its indent, and line."""
     out: list[dict] = []
@@ -116,22 +180,16 @@ def parse(files: DataFrame, *parts: str) -> DataFrame:
     Only the parts that a query needs are computed.  What Catalyst can derive (folder, name, type, tier, tokens) is
     added as columns, so a query that doesn't read them doesn't pay for them.
     """
-    schema = _parse_datatype_string(f"fm map<string,{VALUE}>, fm_error string, body_at int, body_start_line int" + "".join(f", {p} {PARTS[p]}" for p in parts))
-    assert isinstance(schema, StructType)
-    arrow = to_arrow_schema(schema)
-
-    def run(contents: pa.Array) -> pa.Array:
-        out = []
-        for a in range(0, len(contents), 512):
-            rows = [parse_one(c or "", parts) for c in contents.slice(a, 512).to_pylist()]
-            out.append(pa.StructArray.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in arrow], fields=list(arrow)))
-        return pa.concat_arrays(out) if out else pa.array([], pa.struct(list(arrow)))
-
-    run.__annotations__ = {"contents": pa.Array, "return": pa.Array}
-    # Called deterministic, it would be evaluated again wherever a filter on its result is pushed down.
-    parsed = F.arrow_udf(run, schema).asNondeterministic()
-    notes = files.select("rel", "content", *(c for c in ("ctime",) if c in files.columns), parsed("content").alias("_p"))
-    notes = notes.select(*(c for c in notes.columns if c != "_p"), "_p.*").withColumn("body", F.substr("content", F.col("body_at") + 1)).drop("body_at")
+    front, body = tuple(p for p in parts if p in FRONT), tuple(p for p in parts if p not in FRONT)
+    schema = lambda *fields: _parse_datatype_string(", ".join(fields))
+    # Each function is one column, so those that a query doesn't read are pruned and never called.
+    columns = {"_place": _reading(place_of, schema("body_at int", "body_start_line int")), "_front": _reading(lambda c: front_of(c, front), schema(f"fm map<string,{VALUE}>", "fm_error string", *(f"{p} {PARTS[p]}" for p in front)))}
+    if body:
+        columns["_structure"] = _reading(lambda c: structure_of(c, body), schema(*(f"{p} {PARTS[p]}" for p in body)))
+    notes = files.select("rel", "content", *(c for c in ("ctime",) if c in files.columns), *(f("content").alias(name) for name, f in columns.items()))
+    plain = [c for c in notes.columns if c not in columns]
+    notes = notes.select(*plain, "_front.fm", "_front.fm_error", "_place.body_at", "_place.body_start_line", *(f"{'_front' if p in FRONT else '_structure'}.{p}" for p in parts))
+    notes = notes.withColumn("body", F.substr("content", F.col("body_at") + 1)).drop("body_at")
     field = lambda key, part: F.col("fm")[key][part]
     is_template = F.coalesce(field("template", "bool"), F.lit(False))
     return (

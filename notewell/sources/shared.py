@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +27,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to many tasks by number: what a shuffle leaves of small rows is few tasks, however long each row takes."""
+    spark = df.sparkSession
+    # A hash of the keys is dealt anew where the rows lie by the keys already.
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64(*keys))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and safe against lost executors."""
     path = fresh_path(df.sparkSession, name)

@@ -24,14 +24,26 @@ def _dealt(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Rows a task at most, where a note is rendered and parsed for each.
+ROWS = 20_000
+
+
+def _spread(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Narrow rows, one for each of ``table``, dealt to as many tasks as they need; counting reads no column.
+
+    However they were read or joined, no task has more than about ``ROWS`` of them, and no core is idle.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-table.count() // ROWS)), F.xxhash64(key))
+
+
 def _text(expression: str):
     return F.expr(expression)
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ticket an order; fields are missing, empty or of another kind by the key's remainders."""
-    orders, customers = _dealt(_table(spark, sf_dir, "orders"), "o_orderkey"), _table(spark, sf_dir, "customer")
-    rows = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    rows = _spread(orders.join(customers, orders.o_custkey == customers.c_custkey), orders, "o_orderkey")
     k = "o_orderkey"
     front = f"""concat('---\\ntype: ticket\\n',
       'slug: "', if({k} % 29 = 0, concat('x', {k}), cast({k} as string)), '"\\n',
@@ -66,10 +78,16 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts, dealt to be rendered as notes."""
+    rows = _table(spark, sf_dir, "part")
+    return _spread(rows, rows, "p_partkey")
+
+
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A card a part; it refers to a supplier, and its body to another card that may not exist."""
     k = "p_partkey"
-    return _dealt(_table(spark, sf_dir, "part"), k).select(
+    return parts(spark, sf_dir).select(
         _text(f"concat('20 cards/card-', {k}, '.md')").alias("rel"),
         _text(f"""concat('---\\ntype: card\\ndescription: ', p_name, '\\n', if({k} % 9 = 0, '', concat('tags: [', lower(p_type), ', ', lower(regexp_replace(p_brand, '#', '-')), ']\\n')),
           'reference: ', if({k} % 6 = 0, '"plain text"', concat('"[[30 references/ref-', {k} % 150, ']]"')), '\\n', if({k} % 21 = 0, 'superseded: true\\n', ''), 'size: ', p_size, '\\n---\\n',
