@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from notewell.operators import notes as N
 from notewell.operators import reading as R
+from notewell.sources import synth
 
 
 def _k():
@@ -14,7 +15,7 @@ def _k():
 
 def _notes(spark, sf_dir, content, *parts):
     rel = F.concat(F.lit("p/"), _k(), F.lit(".md"))
-    return N.parse(spark.read.parquet(f"{sf_dir}/part.parquet").select(rel.alias("rel"), content.alias("content")), *parts)
+    return N.parse(synth.parts(spark, sf_dir).select(rel.alias("rel"), content.alias("content")), *parts)
 
 
 def _is(n: int, then: str):
@@ -48,9 +49,9 @@ def table_cells(spark, sf_dir):
     """Rows and cells of tables, with bars that are escaped and cells that are missing or too many."""
     content = F.concat(F.lit("| a | b |\n|:--|--:|\n| "), "p_name", F.lit(r" | x\|"), _k(), F.lit(" |\n| one |\n| 1 | 2 | 3 |\n"), _is(3, "> quote\n"))
     notes = _notes(spark, sf_dir, content, "nodes")
-    nodes = N.part(notes, "nodes").join(notes.select("rel", F.encode("content", "utf-8").alias("raw")), "rel")
+    nodes = notes.select("rel", F.encode("content", "utf-8").alias("raw"), F.explode("nodes").alias("n")).where("n.type in ('TableCell', 'BlockQuote')").select("rel", "raw", "n.*")
     cut = F.decode(F.expr("substring(raw, int(span.start) + 1, int(span.end - span.start))"), "utf-8")
-    return nodes.where("type in ('TableCell', 'BlockQuote')").select("rel", "type", "start_line", cut.alias("cell"))
+    return nodes.select("rel", "type", "start_line", cut.alias("cell"))
 
 
 QUERIES = {f.__name__: f for f in (nested_blocks, nested_inlines, structure_failures, table_cells)}
