@@ -264,11 +264,13 @@ def best_sections(notes: DataFrame, terms: list[str], stem: bool = True) -> Data
     """
     from notewell.operators import sections
 
-    ranges = sections.ranges(sections.strict(notes))
-    lines = notes.select("rel", F.posexplode(text.lines(F.col("content"))).alias("i", "t")).select("rel", (F.col("i") + 1).alias("line"), F.size(F.filter(tokens(F.col("t"), stem), lambda w: w.isin(*terms))).alias("n")).where("n > 0")
-    owned = sections.owners(lines, ranges).join(lines, ["rel", "line"]).groupBy("rel", "address").agg(F.sum("n").alias("n"))
-    ranked = owned.join(ranges.select("rel", "address", "level", "start"), ["rel", "address"])
-    return ranked.groupBy("rel").agg(F.max_by("address", F.struct("n", "level", -F.col("start"))).alias("section"))
+    # A line looks for its section among the headings of its own row, so the notes are read once and nothing is joined.
+    rows = sections.strict(notes).where(F.size("headings") > 0).select("rel", "headings", F.posexplode(text.lines(F.col("content"))).alias("i", "t"))
+    rows = rows.withColumn("n", F.size(F.filter(tokens(F.col("t"), stem), lambda w: w.isin(*terms)))).where("n > 0")
+    holds = F.filter("headings", lambda h: F.col("i").between(h["sec_start"] - 1, h["sec_end"] - 1))
+    owner = F.array_max(F.transform(holds, lambda h: F.struct(h["level"].alias("level"), h["sec_start"].alias("start"), h["address"].alias("address"))))
+    counted = rows.select("rel", "n", owner.alias("o")).where("o is not null").groupBy("rel", "o").agg(F.sum("n").alias("n"))
+    return counted.groupBy("rel").agg(F.max_by("o.address", F.struct("n", "o.level", -F.col("o.start"))).alias("section"))
 
 
 @dataclass
