@@ -21,9 +21,7 @@ def section_ranges(spark, sf_dir):
 
 def line_owner(spark, sf_dir):
     """The section of each line that has one."""
-    notes = _tickets(spark, sf_dir, "headings")
-    lines = notes.select("rel", F.posexplode(F.split("content", "\n")).alias("i", "t")).select("rel", (F.col("i") + 1).alias("line"))
-    return sections.owners(lines, sections.ranges(notes)).select("rel", "line", "address")
+    return sections.owned(_tickets(spark, sf_dir, "headings"))
 
 
 def heading_addresses(spark, sf_dir):
