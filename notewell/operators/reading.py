@@ -34,10 +34,11 @@ def addressed(asked: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     numeric = F.col("asked").rlike(r"^\d+(\.\d+)*$")
     rows = asked.withColumn("_reserved", reserved(F.col("asked")).isNotNull()).withColumn("_slug", text.slug_segment(F.col("asked"))).withColumn("_numeric", numeric)
-    r = ranges.select(F.col("rel").alias("_rel"), "address", "slug")
-    by_number = rows.where("_numeric").join(r, (F.col("rel") == F.col("_rel")) & (F.col("asked") == F.col("address")), "left")
-    by_slug = rows.where("not _numeric").join(r, (F.col("rel") == F.col("_rel")) & (F.col("_slug") == F.col("slug")) & ~F.col("_reserved"), "left")
-    found = by_number.unionByName(by_slug).groupBy("rel", "asked", "_reserved", "_numeric").agg(F.array_sort(F.collect_set("address")).alias("found"))
+    # One join for both kinds of address, so that the ranges are made once.
+    r = ranges.select(F.col("rel").alias("_rel"), F.explode(F.array(F.struct(F.lit(True).alias("n"), F.col("address").alias("k")), F.struct(F.lit(False).alias("n"), F.col("slug").alias("k")))).alias("_x"), "address")
+    rows = rows.withColumn("_k", F.when(F.col("_numeric"), F.col("asked")).when(~F.col("_reserved"), F.col("_slug")))
+    found = rows.join(r, (F.col("rel") == F.col("_rel")) & (F.col("_k") == F.col("_x.k")) & (F.col("_numeric") == F.col("_x.n")), "left")
+    found = found.groupBy("rel", "asked", "_reserved", "_numeric").agg(F.array_sort(F.collect_set("address")).alias("found"))
     n = F.size("found")
     outcome = F.when(F.col("_reserved"), "reserved").when(n == 1, "found").when(n > 1, "ambiguous").when(F.col("_numeric"), "out of range").otherwise("no match")
     return found.select("rel", "asked", outcome.alias("outcome"), "found")
@@ -45,37 +46,42 @@ def addressed(asked: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def overview(notes: DataFrame) -> DataFrame:
     """(rel, headings, json): the tree of a note's headings with their lines and tokens, in order, as one JSON text."""
-    rows = sections.own_prose(notes, sections.ranges(notes)).join(sections.ranges(notes), ["rel", "address", "level"])
-    node = F.struct("seq", "address", F.col("text").alias("heading"), "level", F.col("start").alias("line"), F.concat_ws("-", "start", "end").alias("lines"), "tokens")
-    tree = rows.groupBy("rel").agg(F.array_sort(F.collect_list(node)).alias("tree"))
-    return tree.select("rel", F.size("tree").alias("headings"), F.to_json(F.transform("tree", lambda x: x.dropFields("seq"))).alias("json"))
+    rows = notes.where(F.size("headings") > 0).select("rel", "headings", text.lines(F.col("content")).alias("lines"))
+    rows = rows.select("rel", sections.weighed(F.col("headings"), F.col("lines")).alias("tree"))
+    node = lambda x: F.struct(x["address"].alias("address"), x["text"].alias("heading"), x["level"].alias("level"), x["start"].alias("line"), F.concat_ws("-", x["start"], x["end"]).alias("lines"), x["tokens"].alias("tokens"))
+    return rows.select("rel", F.size("tree").alias("headings"), F.to_json(F.transform("tree", node)).alias("json"))
 
 
-def unfold(notes: DataFrame, ranges: DataFrame, address: str, threshold: int, depth: int | None = None, full: bool = False) -> DataFrame:
+def unfold(notes: DataFrame, ranges: DataFrame | None, address: str, threshold: int, depth: int | None = None, full: bool = False) -> DataFrame:
     """(rel, text): the own prose of the section at ``address`` and of those below it that open, a line for those that don't.
 
     A section opens if it is within ``depth`` levels and ``threshold`` tokens, and all above it open; a section whose
-    parent opens and that doesn't itself is one line with its address.  Addresses hold the path, so what is above a
-    section is found by equal joins on the beginnings of its address, not by walking a tree.
+    parent opens and that doesn't itself is one line with its address.  Without ``ranges`` all headings of the notes
+    count.  Sections stand in the order of the text, so those below one that doesn't open follow it, and one pass over
+    a note's own row tells what is shown.
     """
-    prose = sections.own_prose(notes, ranges)
-    rows = ranges.join(prose.select("rel", "address", "tokens"), ["rel", "address"]).where((F.col("address") == address) | F.startswith("address", F.lit(address + ".")))
-    below = F.size(F.split("address", r"\.")) - len(address.split("."))
-    opens = F.lit(True) if full else (F.col("tokens") <= threshold) & (F.lit(True) if depth is None else F.col("_below") <= depth)
-    rows = rows.withColumn("_below", below).withColumn("_opens", (F.col("_below") == 0) | opens)
-    steps = F.split("address", r"\.")
-    above = rows.select("rel", "address", F.explode(F.transform(F.sequence(F.lit(len(address.split("."))), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "."))).alias("_above"))
-    state = rows.select("rel", F.col("address").alias("_above"), "_opens", F.col("_below").alias("_level"))
-    shut = above.join(state, ["rel", "_above"]).groupBy("rel", "address").agg(F.min(F.when(~F.col("_opens"), F.col("_level"))).alias("_shut"))
-    shown = rows.join(shut, ["rel", "address"]).where(F.col("_shut").isNull() | (F.col("_shut") == F.col("_below")))
-    body = shown.join(notes.select("rel", text.lines(F.col("content")).alias("lines")), "rel")
-    first = rows.groupBy("rel", F.col("parent_seq").alias("seq")).agg(F.min("start").alias("_child"))
-    body = body.join(first, ["rel", "seq"], "left")
-    end = F.coalesce(F.col("_child") - 1, F.col("end"))
-    own = F.array_join(F.slice("lines", F.col("start"), F.greatest(F.lit(0), end - F.col("start") + 1)), "\n")
-    line = F.concat(F.col("address"), F.lit(" "), F.col("text"), F.lit(" ("), F.col("tokens").cast("string"), F.lit(")"))
-    parts = body.select("rel", "seq", F.when(F.col("_shut").isNull(), own).otherwise(line).alias("part"))
-    return parts.groupBy("rel").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"]), "\n").alias("text"))
+    if ranges is None:
+        rows = notes.select("rel", sections.weighed(F.col("headings"), None).alias("t"), text.lines(F.col("content")).alias("lines"))
+    else:
+        given = ranges.groupBy("rel").agg(F.array_sort(F.collect_list(F.struct("seq", "address", "text", "parent_seq", "start", "end"))).alias("t"))
+        rows = notes.select("rel", text.lines(F.col("content")).alias("lines")).join(given, "rel")
+    rows = rows.withColumn("t", F.filter("t", lambda x: (x["address"] == address) | F.startswith(x["address"], F.lit(address + ".")))).where(F.size("t") > 0)
+    shown = lambda a, b: F.array_join(F.slice("lines", a, F.greatest(F.lit(0), b - a + 1)), "\n")
+
+    def own(x: Column) -> Column:
+        child = F.get(F.filter("t", lambda c: c["parent_seq"] == x["seq"]), F.lit(0))["start"]
+        return shown(x["start"], F.coalesce(child - 1, x["end"]))
+
+    def step(so_far: Column, x: Column) -> Column:
+        n, below = text.tokens(shown(x["start"], x["end"])), F.size(F.split(x["address"], r"\.")) - len(address.split("."))
+        opens = (below == 0) | (F.lit(True) if full else (n <= threshold) & (F.lit(True) if depth is None else below <= depth))
+        hidden = F.coalesce(F.startswith(x["address"], F.concat(so_far["shut"], F.lit("."))), F.lit(False))
+        line = F.concat(x["address"], F.lit(" "), x["text"], F.lit(" ("), n.cast("string"), F.lit(")"))
+        shut = F.when(hidden, so_far["shut"]).when(~opens, x["address"])
+        return F.struct(shut.alias("shut"), F.when(hidden, so_far["parts"]).otherwise(F.concat(so_far["parts"], F.array(F.when(opens, own(x)).otherwise(line)))).alias("parts"))
+
+    start = F.struct(F.lit(None).cast("string").alias("shut"), F.array().cast("array<string>").alias("parts"))
+    return rows.select("rel", F.array_join(F.aggregate("t", start, step, lambda x: x["parts"]), "\n").alias("text"))
 
 
 def read_target(notes: DataFrame, target: str) -> DataFrame:

@@ -46,7 +46,7 @@ def overview_tree(spark, sf_dir):
 
 def unfolded(spark, sf_dir):
     notes = _notes(spark, sf_dir, "ticket", "headings")
-    return R.unfold(notes, sections.ranges(notes), "1", threshold=12).select("rel", F.md5("text").alias("digest"))
+    return R.unfold(notes, None, "1", threshold=12).select("rel", F.md5("text").alias("digest"))
 
 
 def address_outcomes(spark, sf_dir):
@@ -204,7 +204,7 @@ def _decided(spark, sf_dir):
         F.lit("# Part\n\n<!-- interact: pick-one id=a -->\n\n- [x] keep "), "p_name", F.lit("\n- ["), tick(k % 3 == 0), F.lit("] drop it\n\n<!-- /interact -->\n\n<!-- interact: confirm-all id=b -->\n- [X] "),
         F.when(k % 5 == 0, F.lit("eat")).otherwise(F.lit("move")), F.lit(" all\n<!-- /interact -->\n"), F.when(k % 7 == 0, F.lit("\n<!-- interact: pick-any id=c -->\n- [ ] drop more\n")).otherwise(F.lit("")),
     )
-    return N.parse(_table(spark, sf_dir, "part").select(F.concat(F.lit("p/"), k.cast("string"), F.lit(".md")).alias("rel"), content.alias("content")), "regions", "dangling")
+    return N.parse(synth.parts(spark, sf_dir).select(F.concat(F.lit("p/"), k.cast("string"), F.lit(".md")).alias("rel"), content.alias("content")), "regions", "dangling")
 
 
 def decision_errors(spark, sf_dir):

@@ -264,3 +264,31 @@ def test_a_year_of_points(spark):
     assert len(lines) == 10 and lines[-1] == "streak 3 · level 0 · 24 points" and lines[0].split()[:3] == ["Jan", "Feb", "Mar"]
     assert lines[1].startswith("Mon \x1b[48;5;236m  ") and lines[2].startswith("Tue \x1b[48;5;46m  ") and grid.count("()") == 1 and "()" in lines[5]
     assert starter.calendar_grid(days, 2024, 0, datetime.date(2024, 3, 1), dark=False).splitlines()[2].startswith("Tue \x1b[48;5;28m")
+
+
+def test_notes_are_read_once_by_what_looks_at_their_sections(spark):
+    from notewell.operators import notes as N
+
+    files = spark.createDataFrame([("a.md", NOTE)], "rel string, content string")
+    fresh = N.parse(files, "headings")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    # Reading notes twice and joining them with themselves grows with the notes; each of these is one pass.
+    for df in (reading.overview(fresh), reading.unfold(fresh, None, "1", threshold=3), search.best_sections(fresh, ["claim"], stem=False), sections.owned(fresh)):
+        assert plan(df).count("ArrowEvalPython") == 1 and "Join" not in plan(df)
+    asked = fresh.select("rel", F.explode(F.array(F.lit("1.1"), F.lit("Deeper"))).alias("asked"))
+    assert plan(reading.addressed(asked, sections.ranges(fresh))).count("ArrowEvalPython") == 1
+    # The frontmatter isn't read where only headings are asked for.
+    assert "fm" not in plan(sections.ranges(fresh)) and "AS fm" not in plan(reading.overview(fresh))
+
+
+def test_one_pass_gives_what_joins_give(spark, notes):
+    ranges = sections.ranges(notes)
+    lines = notes.select("rel", F.posexplode(F.split("content", "\n")).alias("i", "t")).select("rel", (F.col("i") + 1).alias("line"))
+    assert {tuple(r) for r in sections.owned(notes).collect()} == {tuple(r) for r in sections.owners(lines, ranges).collect()}
+    prose = {(r.rel, r.address): (r.tokens, r.own_tokens) for r in sections.own_prose(notes, ranges).collect()}
+    from notewell.functions import text
+
+    weighed = notes.select("rel", "headings", text.lines(F.col("content")).alias("l")).select("rel", F.inline(sections.weighed(F.col("headings"), F.col("l"))))
+    assert {(r.rel, r.address): (r.tokens, r.own_tokens) for r in weighed.collect()} == prose
+    for how in ({"threshold": 3}, {"threshold": 10}, {"threshold": 1000, "depth": 1}, {"threshold": 0, "full": True}):
+        assert sorted(map(tuple, reading.unfold(notes, None, "1", **how).collect())) == sorted(map(tuple, reading.unfold(notes, ranges, "1", **how).collect()))
