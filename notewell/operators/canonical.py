@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from notewell.functions import text
 from notewell.operators import notes as N
 from notewell.operators import review as V
-from notewell.sources.shared import written
+from notewell.sources.shared import dealt, written
 
 #: The headings of the sections, in their order, and the modalities that are marked.
 SECTIONS = {"concept": "Concepts", "judgment": "Judgements", "inference": "Inferences", "procedure": "Procedures", "payload": "Payload"}
@@ -65,13 +65,18 @@ def _lower(term: Column) -> Column:
     return F.concat(F.lower(F.substring(term, 1, 1)), F.substr(term, F.lit(2)))
 
 
-def problems(units: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """(key, ord, error): edges that can't be written: without a relation, or with an end that names no unit."""
+def _judged(units: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """Edges with the ``error`` that keeps them from being written, or null."""
     ids = units.select(key, F.col("id").alias("_id")).distinct().withColumn("_is", F.lit(True))
     a, b = (ids.withColumnRenamed("_id", c).withColumnRenamed("_is", f"_{c}") for c in ("from_id", "to_id"))
     rows = edges.join(a, [key, "from_id"], "left").join(b, [key, "to_id"], "left")
     error = F.when(F.trim(F.coalesce("rel", F.lit(""))) == "", "no relation").when(F.col("_from_id").isNull(), "from names no unit").when(F.col("_to_id").isNull(), "to names no unit")
-    return rows.select(key, "ord", error.alias("error")).where("error is not null")
+    return rows.select(*(edges[c] if c not in (key, "from_id", "to_id") else c for c in edges.columns), error.alias("error"))
+
+
+def problems(units: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, ord, error): edges that can't be written: without a relation, or with an end that names no unit."""
+    return _judged(units, edges, key).select(key, "ord", "error").where("error is not null")
 
 
 def write(notes: DataFrame, units: DataFrame, edges: DataFrame, key: str, relations: bool = True) -> DataFrame:
@@ -87,7 +92,7 @@ def write(notes: DataFrame, units: DataFrame, edges: DataFrame, key: str, relati
     shown = F.concat(F.lit("## "), title, F.lit("\n\n"), F.when(F.col("type").isin("judgment", "inference"), F.col("tight")).otherwise(F.col("wide")))
     sections = whole.select(key, rank.alias("rank"), shown.alias("shown"))
     if relations:
-        sound = edges.join(problems(units, edges, key), [key, "ord"], "left_anti")
+        sound = _judged(units, edges, key).where("error is null")
         line = F.concat(F.lit("- "), _lower(F.col("from_id")), F.lit(DASH), "rel", F.lit(ARROW), _lower(F.col("to_id")), _anchor(F.col("span")))
         said = sound.select(key, F.struct("ord", line.alias("shown")).alias("x")).groupBy(key).agg(F.concat(F.lit(f"## {RELATIONS}\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["shown"]), "\n")).alias("shown"))
         sections = sections.unionByName(said.select(key, F.lit(len(SECTIONS)).alias("rank"), "shown"))
@@ -108,18 +113,24 @@ def read(docs: DataFrame, key: str, column: str = "text") -> tuple[DataFrame, Da
     section.  A line without an anchor has a null span.  Judgements and inferences are numbered in their
     order; the ends of an edge name the units with their slugs, and an end that names none has a null id.
     """
-    parsed = N.parse(docs.select(F.col(key).alias("rel"), F.col(column).alias("content")), "headings", "nodes")
-    # All three tables come from one parse.
+    parsed = N.parse(dealt(docs.select(F.col(key).alias("rel"), F.col(column).alias("content")), "rel"), "headings", "nodes")
+    # All three tables come from one parse, and all sections from one look at the lines.
     parsed = written(parsed.select("rel", "content", "headings", "nodes"), "canonical-notes")
     code = F.filter("nodes", lambda n: (n["type"] == "CodeBlock") & (n["depth"] == 0))
     heads = F.transform(F.filter("headings", lambda h: h["level"].isin(2, 3)), lambda h: F.struct(h["line"].alias("line"), h["level"].alias("level"), h["text"].alias("text")))
-    rows = parsed.select("rel", heads.alias("heads"), code.alias("code"), F.posexplode(text.lines(F.col("content"))).alias("i", "line"))
-    at = F.col("i") + 1
-    # The last heading of each level before the line; a subsection ends where its section does.
-    before = lambda level: F.try_element_at(F.filter("heads", lambda h: (h["line"] < at) & (h["level"] == level)), F.lit(-1))
-    rows = rows.where((at > F.coalesce(F.get("heads", F.lit(0))["line"], F.lit(1 << 30))) & ~F.exists("heads", lambda h: h["line"] == at))
-    rows = rows.select("rel", at.alias("at"), "line", before(2).alias("section"), before(3).alias("sub"), F.exists("code", lambda c: (c["start_line"] <= at) & (at <= c["end_line"])).alias("coded"))
-    rows = rows.select("rel", "at", "line", "coded", F.lower(F.trim("section.text")).alias("section"), F.when(F.col("sub.line") > F.col("section.line"), F.col("sub")).alias("sub"))
+    rows = parsed.select("rel", heads.alias("heads"), code.alias("code"), text.lines(F.col("content")).alias("lines"))
+
+    def stretch(h: Column, i: Column) -> Column:
+        """The lines from a heading to the next one, with the section and the subsection that they stand in."""
+        section = F.when(h["level"] == 2, h).otherwise(F.try_element_at(F.filter(F.slice("heads", 1, i), lambda x: x["level"] == 2), F.lit(-1)))
+        until = F.coalesce(F.get("heads", i + 1)["line"], F.size("lines") + 1)
+        own = F.slice("lines", h["line"] + 1, F.greatest(F.lit(0), until - h["line"] - 1))
+        return F.struct(F.lower(F.trim(section["text"])).alias("section"), F.when((h["level"] == 3) & section.isNotNull(), h).alias("sub"), (h["line"] + 1).alias("first"), own.alias("own"))
+
+    rows = rows.select("rel", "code", F.inline(F.transform("heads", stretch)))
+    rows = rows.select("rel", "code", "section", "sub", "first", F.posexplode("own").alias("i", "line")).withColumn("at", F.col("first") + F.col("i"))
+    rows = rows.select("rel", "at", "line", F.exists("code", lambda c: (c["start_line"] <= F.col("at")) & (F.col("at") <= c["end_line"])).alias("coded"), "section", "sub")
+    rows = written(rows, "canonical-lines")
     plain = rows.where("not coded").withColumn("t", F.trim("line"))
     gathered = lambda value: F.transform(F.array_sort(F.collect_list(F.struct("at", value.alias("v")))), lambda x: x["v"])
     cut = V.split_span
@@ -131,8 +142,8 @@ def read(docs: DataFrame, key: str, column: str = "text") -> tuple[DataFrame, Da
     def statement(lines: Column) -> Column:
         return F.array_join(F.transform(lines, lambda x: x["text"]), "\n")
 
-    def unit(rows: DataFrame, kind: str, name: Column, parts: Column, order: Column) -> DataFrame:
-        return rows.select("rel", F.lit(list(SECTIONS).index(kind)).alias("rank"), order.alias("at"), name.alias("id"), F.lit(kind).alias("type"), statement(parts).alias("statement"), F.get(parts, F.lit(0))["span"].alias("span"), F.lit(None).cast("string").alias("modality"), F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x["span"]).alias("sub_spans"))
+    def unit(rows: DataFrame, kind: str, name: Column, parts: Column, order: Column, mark: Column | None = None) -> DataFrame:
+        return rows.select("rel", F.lit(list(SECTIONS).index(kind)).alias("rank"), order.alias("at"), name.alias("id"), F.lit(kind).alias("type"), statement(parts).alias("statement"), F.get(parts, F.lit(0))["span"].alias("span"), (F.lit(None).cast("string") if mark is None else mark).alias("modality"), F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x["span"]).alias("sub_spans"))
 
     bullet = F.startswith("t", F.lit("- "))
     concepts = within("concept").groupBy("rel", "sub").agg(gathered(F.when(~bullet, cut(F.col("t")))).alias("defs"), gathered(F.when(bullet, cut(item))).alias("bullets"))
@@ -153,10 +164,10 @@ def read(docs: DataFrame, key: str, column: str = "text") -> tuple[DataFrame, Da
         tag = F.regexp_extract(item, r"^\((" + "|".join(MARKED) + r")\)\s+", 1)
         flat = flat.withColumn("parts", F.array(cut(F.regexp_replace(item, r"^\((?:" + "|".join(MARKED) + r")\)\s+", "")))).withColumn("tag", F.nullif(tag, F.lit("")))
         number = F.row_number().over(Window.partitionBy("rel").orderBy("at"))
-        made = unit(flat.withColumn("id", F.concat(F.lit(letter), number.cast("string"))), kind, F.col("id"), F.col("parts"), F.col("at"))
-        units.append(made if kind == "inference" else made.drop("modality").join(flat.select("rel", "at", F.col("tag").alias("modality")), ["rel", "at"]).select(*made.columns))
+        units.append(unit(flat.withColumn("id", F.concat(F.lit(letter), number.cast("string"))), kind, F.col("id"), F.col("parts"), F.col("at"), None if kind == "inference" else F.col("tag")))
     every = reduce(DataFrame.unionByName, units)
     every = every.withColumn("ord", F.row_number().over(Window.partitionBy("rel").orderBy("rank", "at")) - 1)
+    every = written(every, "canonical-units")
     said = plain.where((F.col("section") == RELATIONS.lower()) & bullet).withColumn("x", cut(item))
     ends = said.select("rel", "at", F.substring_index("x.text", DASH, 1).alias("source"), F.expr(f"substr(x.text, instr(x.text, '{DASH}') + {len(DASH)})").alias("right"), "x.span")
     ends = ends.select("rel", "at", "source", F.substring_index("right", ARROW, 1).alias("edge"), F.expr(f"substr(right, instr(right, '{ARROW}') + {len(ARROW)})").alias("target"), "span")
