@@ -127,10 +127,14 @@ def _probes(rows: DataFrame, name: str) -> DataFrame:
 
 
 def candidates(names: DataFrame, known: DataFrame, most: int = MOST) -> DataFrame:
-    """(a, b): the pairs of ``names`` (a) and ``known`` (b) that are compared, all those within ``most`` edits among them."""
+    """(a, b): the pairs of ``names`` (a) and ``known`` (b) that are compared, all those within ``most`` edits among them.
+
+    A name makes up to some thousand keys, which the size of its table doesn't tell; so both sides are shuffled, however
+    small the tables are, and the keys never go through the driver as a broadcast.
+    """
     rest = lambda rows, name: rows.withColumn("_rest", F.explode(_deleted(F.col(name), most)))
-    short = rest(names.where(F.length("a") < LONG + most), "a").join(rest(known.where(F.length("b") < LONG), "b"), "_rest").select("a", "b")
-    long = _probes(names, "a").join(_bands(known, "b"), "_band").select("a", "b")
+    short = rest(names.where(F.length("a") < LONG + most), "a").join(rest(known.where(F.length("b") < LONG), "b").hint("merge"), "_rest").select("a", "b")
+    long = _probes(names, "a").join(_bands(known, "b").hint("merge"), "_band").select("a", "b")
     return short.union(long).distinct()
 
 
