@@ -45,3 +45,28 @@ def test_kept_values_are_told_apart():
             assert [(k, v) for k, v in notes.front_of(f"---\n{text}\n---\n", ())["fm"]] == [(k, notes.entry(v)) for k, v in sorted(yaml12.load(text).items())]
     # A setext underline below nothing but definitions leaves a paragraph without text.
     assert markdown.structure("[a]: /b\n===\n").headings == [] and markdown.structure("[a]: /b\n\n===\n").nodes
+
+
+def test_keys_of_names_are_not_broadcast(spark):
+    from notewell.operators import distill
+
+    names = spark.createDataFrame([("ann",), ("bert of the long and winding road",)], "a string")
+    plan = distill.candidates(names, names.withColumnRenamed("a", "b"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 2
+
+
+def test_links_of_a_type_are_read_without_a_join(spark):
+    from notewell.operators import lint
+
+    fresh = notes.parse(spark.createDataFrame([("t.md", "---\ntype: ticket\n---\n[[a]] [[b]]\n")], "rel string, content string"), "links")
+    found = lint.ticket_outward_only(lint.Vault(fresh))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 2
+
+
+def test_fields_are_not_dealt_by_their_type(spark):
+    from notewell.operators import lint
+
+    fresh = notes.parse(spark.createDataFrame([("t.md", "---\ntype: card\ntemplate: true\nkind: [a]\n---\n"), ("c.md", "---\ntype: card\nodd: 1\nkind: b\n---\n")], "rel string, content string"))
+    for rule, message in ((lint.unknown_field, "unknown field 'odd' for type 'card'"), (lint.invalid_enum_value, "'b' is no option of 'kind'")):
+        found = rule(lint.Vault(fresh))
+        assert "ResolvedHint" in found._jdf.queryExecution().analyzed().toString() and [tuple(r) for r in found.collect()] == [("c.md", message)]
