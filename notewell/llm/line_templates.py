@@ -2,8 +2,8 @@
 
 1. Fields: a token with a digit is a variable field at once, and reads as one sign, if no more than half of the line's
    tokens are such; a row of numbers stays as it is, since its signs alone would be every other row's.
-2. Tree: a line goes down by its number of tokens, then by its first tokens, LEAD of them or, from LONGER tokens on,
-   twice as many.  Lines that now read the same are one leaf; a leaf that recurs in enough documents is a template.
+2. Tree: a line goes down by its number of tokens, then by its first LEAD tokens.  Lines that now read the same are one
+   leaf; a leaf that recurs in enough documents is a template.
 3. Generalisation: the leaves of a node are compared position by position.  Beyond the leading tokens, one that stands
    at its place in fewer than MIN_DOCS documents of the node is a variable field too.  Leaves that agree in what is
    left are one template, if no more than a WILD-th of the tokens became variable that way and half of all tokens are
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .support import written
 
-LEAD, LONGER, MIN_DOCS = 2, 10, 3
+LEAD, MIN_DOCS = 2, 3
 #: Tokens from which a line is long, and the part of the tokens that may become variable (one in so many).
 LONG, WILD = 50, 5
 #: Rows up to which a table of leaves is broadcast; beyond, it is joined by a shuffle.
@@ -59,18 +59,12 @@ def general(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), masked).otherwise(line)
 
 
-def _lead(n: Column) -> Column:
-    """How many leading tokens the tree looks at."""
-    return F.when(n < LONGER, LEAD).otherwise(2 * LEAD)
-
-
 def _lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     """(id, th, pos, n, path, leaf, t) of each line with at least ``min_chars`` characters, and one at least."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), plain(F.col(text)).alias("text"), F.col(text).rlike("[0-9]").alias("digits"))
     rows = rows.select("id", "th", "digits", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).where(F.length("line") >= max(1, min_chars))
     rows = rows.withColumn("t", F.when(F.col("digits"), general(F.col("line"))).otherwise(F.col("line"))).withColumn("n", n_tokens(F.col("t")).cast("int"))
-    lead = F.when(F.col("n") < LONGER, F.substring_index("t", " ", LEAD)).otherwise(F.substring_index("t", " ", 2 * LEAD))
-    return rows.select("id", "th", "pos", "n", F.xxhash64("n", lead).alias("path"), F.xxhash64(F.lit(7), "t").alias("leaf"), "t")
+    return rows.select("id", "th", "pos", "n", F.xxhash64("n", F.substring_index("t", " ", LEAD)).alias("path"), F.xxhash64(F.lit(7), "t").alias("leaf"), "t")
 
 
 def _documents(in_docs: DataFrame, *by: str) -> DataFrame:
@@ -108,7 +102,7 @@ def _generalised(lines: DataFrame, leaves: DataFrame) -> DataFrame:
     one = written(one.dropDuplicates(["path", "leaf"]), "line-leaf-tokens")
     total = one.agg(F.sum(F.col("n") * F.col("docs"))).first()[0] or 0
     tokens = one.select("path", "leaf", "n", "docs", "rare", F.posexplode("toks").alias("i", "tok"))
-    beyond = F.col("i") >= _lead(F.col("n"))
+    beyond = F.col("i") >= LEAD
     support = tokens.where(beyond).groupBy("path", "i", "tok").agg(F.sum("docs").alias("s")).where(F.col("s") >= MIN_DOCS)
     support = written(support, "line-tokens")
     asked = tokens.where("rare").select("path", "leaf", "n", "docs", "i", "tok")
@@ -196,7 +190,7 @@ w as (select *, string_split(plain, ' ') as ws from p where plain <> ''),
 t as (
   select doc_id, pos, len(ws) as n, case when 2 * len(list_filter(ws, lambda x: regexp_matches(x, '[0-9]'))) <= len(ws)
     then list_transform(ws, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) else ws end as ws from w),
-u as (select *, ws[1:case when n < 10 then 2 else 4 end] as lead from t),
+u as (select *, ws[1:2] as lead from t),
 d as (select ws, n, lead, count(distinct doc_id) as docs, min(doc_id) as lo, max(doc_id) as hi from u group by ws, n, lead),
 k as (select *, unnest(ws) as x, unnest(range(n)) as i from d where n >= 5),
 s as (select n, lead, i, x from k where i >= len(lead) group by n, lead, i, x having sum(docs) >= 3),

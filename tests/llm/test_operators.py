@@ -456,6 +456,15 @@ def test_lines_of_one_token_long_lines_and_short_ones(spark):
     assert dropped_places(spark, [(0, " ".join(passage.split()[:20])), (1, " ".join(passage.split()[:20]))]) == set()
 
 
+def test_longer_lines_vary_right_after_their_first_tokens(spark):
+    names = ["ann", "bert", "carl", "dora", "emil"]
+    rows = [(i, f"Posted by {name} in the big news of our town this week") for i, name in enumerate(names)]
+    assert dropped_places(spark, rows) == {(i, 0) for i in range(1, 5)}
+    base = duckdb.connect()
+    base.register("documents", spark.createDataFrame(rows, "doc_id long, text string").toArrow())
+    assert base.execute(f"select sum(n_dropped) from ({line_templates.SQL})").fetchone()[0] == 4
+
+
 def test_hot_templates_and_tokens_are_joined_by_themselves(spark, monkeypatch):
     draw = random.Random(3)
     rows = [(i, f"Posted by u{draw.choice('abcdefgh')}{draw.choice('xyz')} in {draw.choice(['news', 'sport'])}\nAll rights are reserved\nown {'x' * (i + 9)}") for i in range(60)]
