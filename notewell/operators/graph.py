@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notewell.functions import text
 from notewell.operators import notes as N
+from notewell.sources.shared import written
 
 
 def backlinks(notes: DataFrame, keep_duplicates: bool = True) -> DataFrame:
@@ -91,8 +92,10 @@ def ticket_owner() -> Column:
 
 def roster_check(notes: DataFrame) -> DataFrame:
     """(rel, slug, near): tickets of tracks that no note is, with the tracks whose slug has the same first part."""
-    known = notes.where("type = 'track'").select(F.col("fm")["slug"]["display"].alias("slug"))
+    # Tracks are looked at twice and tickets once; what is asked of both is written, so that the notes are parsed once.
+    asked = written(notes.where("type in ('track', 'ticket')").select("rel", "type", F.when(F.col("type") == "track", F.col("fm")["slug"]["display"]).otherwise(ticket_owner()).alias("slug")), "roster")
+    known = asked.where("type = 'track'").select("slug")
     first = lambda c: F.substring_index(c, "-", 1)
     near = known.groupBy(first("slug").alias("_first")).agg(F.array_sort(F.collect_set("slug")).alias("near"))
-    lost = notes.where("type = 'ticket'").select("rel", ticket_owner().alias("slug")).where("slug is not null").join(known, "slug", "left_anti")
+    lost = asked.where("type = 'ticket'").select("rel", "slug").where("slug is not null").join(known, "slug", "left_anti")
     return lost.withColumn("_first", first("slug")).join(near, "_first", "left").select("rel", "slug", F.coalesce("near", F.array().cast("array<string>")).alias("near"))
