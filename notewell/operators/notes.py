@@ -35,6 +35,8 @@ PARTS = {
 }
 #: Parts that the frontmatter alone gives.
 FRONT = ("unquoted", "fm_json", "fields")
+#: Keys of the frontmatter that the canonical columns are made of.
+CANONICAL = ("description", "epistemic_status", "superseded", "tags", "template", "type")
 _NUMBER = re.compile(r"[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|nan)", re.I)
 _UNQUOTED = re.compile(r"(?:^|[\s\[,:-])\[\[([^\[\]\n]+)\]\](?!['\"])")
 
@@ -52,20 +54,22 @@ def _strings(value) -> Iterator[str]:
 
 def entry(value) -> dict:
     """A frontmatter value in the forms that operators compare."""
-    kind = "null" if value is None else "bool" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string" if isinstance(value, str) else "list" if isinstance(value, list) else "map"
+    if isinstance(value, str):
+        # Most values are texts.
+        links = [{"target": m[1].strip(), "alias": m[2]} for m in markdown.WIKI.finditer(value)] if "[[" in value else []
+        return {"kind": "string", "display": value, "num": float(value) if _NUMBER.fullmatch(value) else None, "bool": {"true": True, "false": False}.get(value), "seq_len": 0, "items": [value], "links": links, "strings": [value]}
+    kind = "null" if value is None else "bool" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "list" if isinstance(value, list) else "map"
     shown = yaml12.display(value)
     num = float(value) if kind == "number" else None
-    if kind == "string" and _NUMBER.fullmatch(value):
-        num = float(value)
     strings = list(_strings(value))
     links = [{"target": m[1].strip(), "alias": m[2]} for s in strings if "[[" in s for m in markdown.WIKI.finditer(s)]
     return {
         "kind": kind,
         "display": shown,
         "num": num,
-        "bool": value if kind == "bool" else {"true": True, "false": False}.get(value) if kind == "string" else None,
+        "bool": value if kind == "bool" else None,
         "seq_len": len(value) if kind == "list" else 0,
-        "items": [value] if kind == "string" else [x for x in value if isinstance(x, str)] if kind == "list" else [],
+        "items": [x for x in value if isinstance(x, str)] if kind == "list" else [],
         "links": links,
         "strings": strings,
     }
@@ -110,8 +114,13 @@ def place_of(content: str) -> dict:
     return {"body_at": len(content) - len(plain) + skipped, "body_start_line": first + 1}
 
 
-def front_of(content: str, parts: tuple[str, ...]) -> dict:
-    """The frontmatter and the parts that it alone gives."""
+def front_of(content: str, parts: tuple[str, ...], keys: tuple[str, ...] | None = None) -> dict:
+    """The frontmatter, of which only some keys may be asked for, and the parts that it alone gives."""
+    if keys is not None and not parts and content.startswith("---\n") and (end := content.find("\n---\n", 3)) > 3:
+        # No plain line ends a frontmatter, so if all are plain it ends here.
+        fm = yaml12.picked(content[4:end], keys)
+        if fm is not None:
+            return {"fm": [(k, _entry_of(v)) for k, v in fm.items()], "fm_error": None}
     block, _ = markdown.body_of(content)
     fm, error = {}, None
     if block is not None:
@@ -119,7 +128,7 @@ def front_of(content: str, parts: tuple[str, ...]) -> dict:
             fm = yaml12.load(block)
         except (ValueError, IndexError, RecursionError) as e:
             fm, error = {}, str(e)
-    out = {"fm": [(k, _entry_of(v)) for k, v in sorted(fm.items())], "fm_error": error}
+    out = {"fm": [(k, _entry_of(v)) for k, v in sorted(fm.items()) if keys is None or k in keys], "fm_error": error}
     if "fm_json" in parts:
         out["fm_json"] = json.dumps(fm, ensure_ascii=False, default=str)
     if "fields" in parts:
@@ -132,6 +141,8 @@ def front_of(content: str, parts: tuple[str, ...]) -> dict:
 
 def structure_of(content: str, parts: tuple[str, ...]) -> dict:
     """The parts that the structure gives."""
+    if parts == ("links",) and (links := markdown.plain_links(content)) is not None:
+        return {"links": links}
     note = markdown.structure(content, emphasis="inlines" in parts, parts=parts)
     out = {p: getattr(note, p) for p in parts if p not in ("links", *FRONT)}
     if "links" in parts:
@@ -144,7 +155,29 @@ def parse_one(content: str, parts: tuple[str, ...]) -> dict:
     return out | structure_of(content, parts) if set(parts) - set(FRONT) else out
 
 
-def _reading(read: Callable[[str], dict], schema: StructType) -> Callable:
+def _rows(rows: list[dict], kind: pa.StructType) -> pa.Array:
+    return pa.array(rows, kind)
+
+
+def _fronts(rows: list[dict], kind: pa.StructType) -> pa.Array:
+    """What ``front_of`` gives for some notes; an entry that many of them share is made once."""
+    number: dict[int, int] = {}
+    entries, keys, places, offsets = [], [], [], [0]
+    for row in rows:
+        for key, value in row["fm"]:
+            at = number.setdefault(id(value), len(entries))
+            if at == len(entries):
+                entries.append(value)
+            keys.append(key)
+            places.append(at)
+        offsets.append(len(keys))
+    fm = kind.field("fm").type
+    maps = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, fm.key_type), pa.array(entries, fm.item_type).take(pa.array(places, pa.int32()))).cast(fm)
+    rest = [pa.array([row[f.name] for row in rows], f.type) for f in kind if f.name != "fm"]
+    return pa.StructArray.from_arrays([maps, *rest], fields=list(kind))
+
+
+def _reading(read: Callable[[str], dict], schema: StructType, made: Callable = _rows) -> Callable:
     """An Arrow function from texts to what ``read`` gives for each.
 
     Called deterministic, it would be evaluated again wherever a filter on its result is pushed down.
@@ -152,7 +185,7 @@ def _reading(read: Callable[[str], dict], schema: StructType) -> Callable:
     kind = pa.struct(list(to_arrow_schema(schema)))
 
     def run(contents: pa.Array) -> pa.Array:
-        out = [pa.array([read(c or "") for c in contents.slice(a, 512).to_pylist()], kind) for a in range(0, len(contents), 512)]
+        out = [made([read(c or "") for c in contents.slice(a, 512).to_pylist()], kind) for a in range(0, len(contents), 512)]
         return pa.concat_arrays(out) if out else pa.array([], kind)
 
     run.__annotations__ = {"contents": pa.Array, "return": pa.Array}
@@ -174,16 +207,19 @@ def fields_of(block: str) -> list[dict]:
     return out
 
 
-def parse(files: DataFrame, *parts: str) -> DataFrame:
+def parse(files: DataFrame, *parts: str, keys: tuple[str, ...] | None = None) -> DataFrame:
     """Notes from (rel, content): the canonical columns and the named parts of the structure.
 
     Only the parts that a query needs are computed.  What Catalyst can derive (folder, name, type, tier, tokens) is
-    added as columns, so a query that doesn't read them doesn't pay for them.
+    added as columns, so a query that doesn't read them doesn't pay for them.  A query that names the ``keys`` it reads
+    gets a ``fm`` of these and of those that the columns are made of; the whole frontmatter is read for errors all the same.
     """
+    if keys is not None:
+        keys = tuple(sorted({*CANONICAL, *keys}))
     front, body = tuple(p for p in parts if p in FRONT), tuple(p for p in parts if p not in FRONT)
     schema = lambda *fields: _parse_datatype_string(", ".join(fields))
     # Each function is one column, so those that a query doesn't read are pruned and never called.
-    columns = {"_place": _reading(place_of, schema("body_at int", "body_start_line int")), "_front": _reading(lambda c: front_of(c, front), schema(f"fm map<string,{VALUE}>", "fm_error string", *(f"{p} {PARTS[p]}" for p in front)))}
+    columns = {"_place": _reading(place_of, schema("body_at int", "body_start_line int")), "_front": _reading(lambda c: front_of(c, front, keys), schema(f"fm map<string,{VALUE}>", "fm_error string", *(f"{p} {PARTS[p]}" for p in front)), _fronts)}
     if body:
         columns["_structure"] = _reading(lambda c: structure_of(c, body), schema(*(f"{p} {PARTS[p]}" for p in body)))
     notes = files.select("rel", "content", *(c for c in ("ctime",) if c in files.columns), *(f("content").alias(name) for name, f in columns.items()))

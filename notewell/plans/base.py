@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from notewell.functions import text, yaml12
+from notewell.operators import notes as N
 from notewell.sources.shared import written
 
 
@@ -92,19 +94,29 @@ def parse(source: str) -> Base:
     return Base(_filters(spec.get("filters")), formulas, names, views)
 
 
+#: Keys that the columns compiled by ``keys`` read.
+_ASKED: ContextVar[set[str] | None] = ContextVar("_ASKED", default=None)
+
+
+def entry(key: str) -> Column:
+    if (asked := _ASKED.get()) is not None:
+        asked.add(key)
+    return F.col("fm")[key]
+
+
 def prop(key: str) -> Column:
-    return text.shown(F.col("fm")[key]["display"])
+    return text.shown(entry(key)["display"])
 
 
 _NAME = r"[\w-]+"
 _STRING = r'"([^"]*)"'
 FILTERS = [
     (rf"({_NAME})\s*==\s*{_STRING}", lambda m: prop(m[1]) == m[2]),
-    (rf"({_NAME})\s*==\s*(true|false)", lambda m: F.coalesce(F.col("fm")[m[1]]["bool"] == (m[2] == "true"), F.lit(False))),
+    (rf"({_NAME})\s*==\s*(true|false)", lambda m: F.coalesce(entry(m[1])["bool"] == (m[2] == "true"), F.lit(False))),
     (rf"(!?)file\.inFolder\({_STRING}\)", lambda m: ~text.in_folder(F.col("rel"), m[2]) if m[1] else text.in_folder(F.col("rel"), m[2])),
-    (rf"({_NAME})\.containsAny\(\s*({_STRING}(?:\s*,\s*{_STRING})*)\s*\)", lambda m: F.coalesce(F.arrays_overlap(F.col("fm")[m[1]]["items"], F.array(*[F.lit(x) for x in re.findall(_STRING, m[2])])), F.lit(False))),
+    (rf"({_NAME})\.containsAny\(\s*({_STRING}(?:\s*,\s*{_STRING})*)\s*\)", lambda m: F.coalesce(F.arrays_overlap(entry(m[1])["items"], F.array(*[F.lit(x) for x in re.findall(_STRING, m[2])])), F.lit(False))),
     (rf"(!?)({_NAME})\.isTruthy\(\)", lambda m: text.truthy(prop(m[2])) != bool(m[1])),
-    (rf"({_NAME})\.length\s*>\s*(\d+)", lambda m: F.coalesce(F.col("fm")[m[1]]["seq_len"], F.lit(0)) > _size(m[2])),
+    (rf"({_NAME})\.length\s*>\s*(\d+)", lambda m: F.coalesce(entry(m[1])["seq_len"], F.lit(0)) > _size(m[2])),
 ]
 
 
@@ -182,7 +194,7 @@ class Formula:
             return Value.of_number(F.lit(float(s)))
         if s in ("true", "false"):
             return Value(F.lit(s), F.lit(None).cast("double"))
-        num = F.col("fm")[s]["num"]
+        num = entry(s)["num"]
         return Value(F.when(num.isNotNull(), text.format_number(num)).otherwise(prop(s)), num)
 
     def condition(self, source: str) -> Column:
@@ -264,6 +276,22 @@ def run(base: Base, view_name: str, notes: DataFrame, extra: Column | None = Non
     return kept.select(*out, group.alias("_group"), F.col("rel").alias("_rel"), *[k.alias(f"_k{i}", metadata={"up": up}) for i, (k, up) in enumerate(keys)])
 
 
+def keys(base: Base, view_name: str, notes: DataFrame) -> tuple[str, ...]:
+    """The frontmatter keys that ``run`` reads for a view, over notes such as ``notes``."""
+    asked: set[str] = set()
+    token = _ASKED.set(asked)
+    try:
+        run(base, view_name, notes)
+    finally:
+        _ASKED.reset(token)
+    return tuple(sorted(asked))
+
+
+def run_files(base: Base, view_name: str, files: DataFrame) -> DataFrame:
+    """``run`` over (rel, content); of the frontmatter only what the view reads is made."""
+    return run(base, view_name, N.parse(files, keys=keys(base, view_name, N.parse(files, keys=()))))
+
+
 def sort_keys(rows: DataFrame) -> list[Column]:
     """The order of a view's rows: texts compared byte by byte, with the path last, so the order is total."""
     keys = [F.col(f.name).asc() if f.metadata["up"] else F.col(f.name).desc() for f in rows.schema.fields if "up" in f.metadata]

@@ -12,8 +12,9 @@ from notewell.queries.views import T
 from notewell.sources import synth
 
 
-def _notes(spark: SparkSession, sf_dir: str, *kinds: str, parts: tuple[str, ...] = ()) -> DataFrame:
-    return N.parse(synth.vault(spark, sf_dir, *kinds), *parts)
+def _notes(spark: SparkSession, sf_dir: str, *kinds: str, parts: tuple[str, ...] = (), keys: tuple[str, ...] | None = ()) -> DataFrame:
+    """Notes of which a query reads the canonical columns and some more keys of the frontmatter (None: all)."""
+    return N.parse(synth.vault(spark, sf_dir, *kinds), *parts, keys=keys)
 
 
 def tags_count(spark, sf_dir):
@@ -25,7 +26,7 @@ def files_by_tag(spark, sf_dir):
 
 
 def list_by_type(spark, sf_dir):
-    return graph.listing(_notes(spark, sf_dir, "card", "ticket"), "card", extra="size")
+    return graph.listing(_notes(spark, sf_dir, "card", "ticket", keys=("size",)), "card", extra="size")
 
 
 def list_live_tickets(spark, sf_dir):
@@ -41,7 +42,7 @@ def card_backlinks(spark, sf_dir):
 
 
 def link_targets(spark, sf_dir):
-    return graph.link_targets(_notes(spark, sf_dir, "card", parts=("links",))).groupBy("rel").agg(F.count("*").alias("n"), F.min_by("target", "ord").alias("first_target"))
+    return graph.link_targets(_notes(spark, sf_dir, "card", parts=("links",), keys=None)).groupBy("rel").agg(F.count("*").alias("n"), F.min_by("target", "ord").alias("first_target"))
 
 
 def resolve_slug(spark, sf_dir):
@@ -58,14 +59,14 @@ def in_folder_boundary(spark, sf_dir):
 
 
 def ticket_by_track(spark, sf_dir):
-    notes = _notes(spark, sf_dir, "ticket")
+    notes = _notes(spark, sf_dir, "ticket", keys=("track",))
     owner = F.regexp_replace(text.resolve_name(F.get(F.col("fm")["track"]["links"], F.lit(0))["target"]), "^track-", "")
     return notes.groupBy(owner.alias("slug")).agg(F.count("*").alias("n"))
 
 
 def track_roster(spark, sf_dir):
     """Tickets of tracks that the vault doesn't have, with near matches by the slug's first part."""
-    notes = _notes(spark, sf_dir, "ticket", "track")
+    notes = _notes(spark, sf_dir, "ticket", "track", keys=("slug", "track"))
     return graph.roster_check(notes).select("rel", "slug", F.array_join("near", ",").alias("near"))
 
 
@@ -74,7 +75,7 @@ def projects_listing(spark, sf_dir):
 
 
 def fm_entry_kinds(spark, sf_dir):
-    return N.fm_entries(_notes(spark, sf_dir, "ticket")).groupBy("key", "kind").agg(F.count("*").alias("n"), F.sum("seq_len").alias("seq_len"))
+    return N.fm_entries(_notes(spark, sf_dir, "ticket", keys=None)).groupBy("key", "kind").agg(F.count("*").alias("n"), F.sum("seq_len").alias("seq_len"))
 
 
 QUERIES = {f.__name__: f for f in (tags_count, files_by_tag, list_by_type, list_live_tickets, backlinks_count, card_backlinks, link_targets, resolve_slug, resolve_many, in_folder_boundary, ticket_by_track, track_roster, projects_listing, fm_entry_kinds)}

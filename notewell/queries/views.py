@@ -92,7 +92,7 @@ views:
 
 def _view(view: str, names: list[str], kinds: tuple[str, ...] = ("ticket",)):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = B.run(B.parse(TICKETS), view, N.parse(synth.vault(spark, sf_dir, *kinds)))
+        rows = B.run_files(B.parse(TICKETS), view, synth.vault(spark, sf_dir, *kinds))
         return rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
     return query
@@ -100,23 +100,23 @@ def _view(view: str, names: list[str], kinds: tuple[str, ...] = ("ticket",)):
 
 def base_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each open ticket of a project in the order of the view."""
-    rows = B.run(B.parse(TICKETS), "Open", N.parse(synth.vault(spark, sf_dir, "ticket")))
+    rows = B.run_files(B.parse(TICKETS), "Open", synth.vault(spark, sf_dir, "ticket"))
     return rows.select(F.col("c0").alias("name"), F.row_number().over(Window.partitionBy("c2").orderBy(*B.sort_keys(rows))).alias("place"))
 
 
 def base_groupby(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.run(B.parse(TICKETS), "Grouped", N.parse(synth.vault(spark, sf_dir, "ticket")))
+    rows = B.run_files(B.parse(TICKETS), "Grouped", synth.vault(spark, sf_dir, "ticket"))
     return rows.groupBy(F.col("_group").alias("label")).agg(F.count("*").alias("n"), F.min("c0").alias("first_name"))
 
 
 def base_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = B.parse(TICKETS)
-    rows = B.run(base, "Totals", N.parse(synth.vault(spark, sf_dir, "ticket")))
+    rows = B.run_files(base, "Totals", synth.vault(spark, sf_dir, "ticket"))
     return B.summaries(base, "Totals", rows).select(F.col("c1").alias("items_sum"), F.col("c2").alias("status_avg"), F.col("c3").alias("kind_other"))
 
 
 def file_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.parse(synth.vault(spark, sf_dir, "ticket", "track")).groupBy("type").agg(F.count("*").alias("n"))
+    return N.parse(synth.vault(spark, sf_dir, "ticket", "track"), keys=()).groupBy("type").agg(F.count("*").alias("n"))
 
 
 QUERIES = {

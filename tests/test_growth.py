@@ -70,3 +70,49 @@ def test_fields_are_not_dealt_by_their_type(spark):
     for rule, message in ((lint.unknown_field, "unknown field 'odd' for type 'card'"), (lint.invalid_enum_value, "'b' is no option of 'kind'")):
         found = rule(lint.Vault(fresh))
         assert "ResolvedHint" in found._jdf.queryExecution().analyzed().toString() and [tuple(r) for r in found.collect()] == [("c.md", message)]
+
+
+def test_only_asked_keys_are_made():
+    plain = '---\ntype: ticket\ntags: [a, "b c"]\ncost: 1.50\nstatus:\nrequires:\n  - "[[x]]"\n  - "[[y]]"\n---\nbody\n'
+    odd = ("---\ntype: 'ticket'\ncost: 1\n---\n", "---\ncost: 1\ncost: 2\n---\n", "---\ncost: [a\n---\n", "---\ncost: 1\n", "no front", "---\ncost: 1\n\n---\n", "---\r\ncost: 1\r\n---\r\n", "---\ncost: a: b\n---\n", '---\ncost: "a" b\n---\n')
+    asked = ("cost", "requires", "status", "tags")
+    assert yaml12.picked(plain[4 : plain.index("\n---\n", 3)], asked) == {"cost": 1.5, "requires": ["[[x]]", "[[y]]"], "status": None, "tags": ["a", "b c"]}
+    for content in (plain, *odd):
+        some, whole = notes.front_of(content, (), asked), notes.front_of(content, ())
+        assert sorted(some["fm"]) == [x for x in whole["fm"] if x[0] in asked] and some["fm_error"] == whole["fm_error"]
+
+
+def test_a_view_names_the_keys_that_it_reads(spark):
+    from notewell.plans import base
+
+    files = spark.createDataFrame([("a.md", '---\ntype: t\ncost: 3\ndue-date: soon\nitems: [x]\nother: 1\n---\n')], "rel string, content string")
+    source = base.parse("filters:\n  and: [items.length > 0]\nformulas:\n  late: due-date\n  twice: cost * 2\nviews:\n  - name: V\n    order: [formula.late, formula.twice]\n    sort:\n      - property: rank\n")
+    assert {"cost", "due-date", "items", "rank"} <= set(base.keys(source, "V", notes.parse(files))) and "other" not in base.keys(source, "V", notes.parse(files))
+    assert [tuple(r)[:2] for r in base.run_files(source, "V", files).collect()] == [tuple(r)[:2] for r in base.run(source, "V", notes.parse(files)).collect()] == [("soon", "6")]
+    assert set(notes.parse(files, keys=("cost",)).first().fm) == {"cost", "type"}
+
+
+def test_links_of_plain_notes_are_those_of_the_structure():
+    import random
+
+    draw = random.Random(3)
+    pieces = ["", "", "word [[b|c]] d", "`[[no]]` [[yes]]", "`[[open", "end` [[z]]", "```", "````", "```a`b", "~~~", "## H [[h]] x", "# H #", "#tag [[q]]", "- item [[i]]", "- [ ] task [[j]]", "---", "| a | b |", "| --- | --- |", "| [[k]] | x |", "  in [[m]]", "> q [[o]]", "1. [[p]]", "a\\[[s]] ![[e|f]]", "t [a]([[v]]) u", "http://x/[[w]] <b [[c]]>", "[[ ]] [[[d]]]", "[[two", "é [[ü]]", "A | B", " ```"]
+    taken = 0
+    for _ in range(4000):
+        content = draw.choice(["", "---\na: 1\n---\n"]) + "\n".join(draw.choice(pieces) for _ in range(draw.randint(1, 8)))
+        found = markdown.plain_links(content)
+        if found is not None:
+            taken += 1
+            whole = markdown.structure(content, emphasis=False, parts=("links",))
+            assert found == [{"target": x["target"], "alias": x["alias"], "line": x["start_line"], "embed": x["embed"]} for x in whole.inlines if x["type"] == "Wikilink"], content
+    assert taken > 400
+    ticket = "---\ntype: ticket\n---\n# T\n\nSee [[a]] and [[b#N|c]].\n`[[no]]` stays.\n\n```\n[[nor]]\n```\n\n## Tasks\n\n- [ ] ship\n"
+    assert [(x["target"], x["line"]) for x in markdown.plain_links(ticket)] == [("a", 6), ("b#N", 6)]
+
+
+def test_notes_are_parsed_once_for_the_roster(spark):
+    from notewell.operators import graph
+
+    files = spark.createDataFrame([("t.md", '---\ntype: track\nslug: "a-1"\n---\n'), ("x.md", '---\ntype: ticket\ntrack: "[[track-a-2]]"\n---\n')], "rel string, content string")
+    found = graph.roster_check(notes.parse(files))
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString() and [tuple(r) for r in found.collect()] == [("x.md", "a-2", ["a-1"])]
