@@ -24,12 +24,15 @@ from pyspark.sql import functions as F
 
 from notewell.functions import text
 from notewell.operators import search as S
+from notewell.sources.shared import written
 
 #: The columns that make a field.
 FIELDS = {"title": ("name",), "description": ("description",), "body": ("body",)}
 CARRIED = ("name", "description", "type", "tier", "tokens", "body")
 #: Notes of a block (a power of two), blocks that seed a threshold, and impacts kept of a term and field.
 BLOCK_BITS, LEAD, KEPT = 12, 16, 20
+#: Rows up to which a batch's candidates, and the terms and notes that it asks for, are broadcast; beyond, they are shuffled.
+BROADCAST_CANDIDATES, BROADCAST_TERMS, BROADCAST_NOTES = 10_000, 100_000, 1_000_000
 #: One byte a length: exact up to EXACT, then a step is so many percent.
 EXACT, STEP = 24, 1.06
 
@@ -97,11 +100,12 @@ def build(notes: DataFrame, path: str, fields: dict[str, tuple[str, ...]] = FIEL
     # An impact that is kept has to be one that a note reaches, so it comes from the length rounded up.
     low = [impact(F.col("tf")[i], length_above(F.col("code")[i]), made.averages[i]) for i in range(len(names))]
     sure = [F.filter(F.slice(F.sort_array(F.collect_list(x), asc=False), 1, KEPT), lambda x: x > 0) for x in low]
-    blocks = posted.groupBy("term", "block").agg(
+    # Dealt by the order in which they are stored, postings are shuffled once, before they are gathered.
+    blocks = posted.repartitionByRange("term", "block").groupBy("term", "block").agg(
         F.collect_list(F.struct("doc", "tf", "code")).alias("postings"), F.array(*[F.max(t) for t in tops]).alias("top"),
         F.array(*[F.count(F.when(F.col("tf")[i] > 0, 1)) for i in range(len(names))]).alias("df"), F.array(*sure).alias("sure"),
     )
-    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    blocks.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
     stored = made.table("postings")
     fielded = stored.select("term", F.posexplode(F.arrays_zip("top", "df", "sure")).alias("field", "x")).select("term", "field", "x.top", "x.df", "x.sure").where("df > 0")
     frequency = fielded.groupBy("term", "field").agg(F.sum("df").alias("df"), F.max("top").alias("top"))
@@ -176,6 +180,11 @@ def search(index: Index, query: str, limit: int = 10, types: tuple[str, ...] = (
     return S.described(hits, asked.terms)
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """A written table, to be broadcast if it is small enough."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def neighbours(index: Index, candidates: DataFrame, k: int = 3) -> DataFrame:
     """(candidate, rank, rel, score): for the text of each of many candidates its ``k`` best notes of a one-field index.
 
@@ -194,18 +203,25 @@ def neighbours(index: Index, candidates: DataFrame, k: int = 3) -> DataFrame:
     by_candidate = Window.partitionBy("candidate").orderBy("most", "term")
     # What this term and all below it add at most.
     below = weighed.withColumn("sum", F.sum("most").over(by_candidate)).withColumn("seed", F.max(F.col("idf") * F.col("kth")).over(Window.partitionBy("candidate")))
-    below = below.withColumn("makes", F.col("sum") * (1 + 1e-9) >= F.col("seed"))
+    below = written(below.withColumn("makes", F.col("sum") * (1 + 1e-9) >= F.col("seed")), "neighbour-terms")
     rest = below.groupBy("candidate").agg(F.sum(F.when(~F.col("makes"), F.col("most")).otherwise(0.0)).alias("rest"), F.max("seed").alias("seed"), F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idfs"))
-    posted = index.table("postings").select("term", F.explode("postings").alias("p")).select("term", "p.doc", F.col("p.tf")[0].alias("tf"), F.col("p.code")[0].alias("code"))
-    pairs = below.where("makes").select("candidate", "term", "idf").join(posted, "term")
+    makes = written(below.where("makes").select("candidate", "term", "idf"), "neighbour-terms")
+    # Blocks whose term no candidate asks for are left before their postings are listed.
+    posted = index.table("postings").join(_small(written(makes.select("term").distinct(), "neighbour-terms"), BROADCAST_TERMS), "term", "left_semi").select("term", F.explode("postings").alias("p")).select("term", "p.doc", F.col("p.tf")[0].alias("tf"), F.col("p.code")[0].alias("code"))
+    pairs = posted.join(_small(makes, BROADCAST_TERMS), "term")
     part = lambda length: F.sum(F.col("idf") * impact(F.col("tf"), length(F.col("code")), average))
     sums = pairs.groupBy("candidate", "doc").agg(part(length_above).alias("least"), part(length_below).alias("upto"))
     # The kth sum of what the pairs have for sure is a better threshold than the seed.
     place = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("least"), "doc"))
     kth = sums.select("candidate", "least", place.alias("place")).where(F.col("place") <= k).groupBy("candidate").agg(F.when(F.count("*") == k, F.min("least")).otherwise(0.0).alias("kth"))
-    able = sums.join(kth, "candidate").join(rest, "candidate").where((F.col("upto") + F.col("rest")) * (1 + 1e-9) >= F.greatest("seed", "kth") * (1 - 1e-9))
-    noted = index.table("forward").select("doc", F.col("lens")[0].cast("double").alias("len"), "terms").join(index.table("docs").select("doc", "rel"), "doc")
+    rest = written(rest, "neighbour-bounds")
+    kth, bounds = (_small(x, BROADCAST_CANDIDATES) for x in (written(kth, "neighbour-bounds"), rest.drop("idfs")))
+    able = sums.join(kth, "candidate").join(bounds, "candidate").where((F.col("upto") + F.col("rest")) * (1 + 1e-9) >= F.greatest("seed", "kth") * (1 - 1e-9))
+    able = written(able.select("candidate", "doc"), "neighbour-pairs")
+    # Only the notes of these pairs are shuffled with their terms.
+    near = _small(written(able.select("doc").distinct(), "neighbour-notes"), BROADCAST_NOTES)
+    noted = index.table("forward").join(near, "doc", "left_semi").select("doc", F.col("lens")[0].cast("double").alias("len"), "terms").join(index.table("docs").select("doc", "rel").join(near, "doc", "left_semi"), "doc")
     exact = F.aggregate(F.array_sort("terms"), F.lit(0.0), lambda acc, t: acc + F.coalesce(F.try_element_at("idfs", t["term"]) * impact(t["tf"][0], F.col("len"), average), F.lit(0.0)))
-    scored = able.join(noted, "doc").select("candidate", "rel", exact.alias("score"))
+    scored = able.join(noted, "doc").join(_small(rest.select("candidate", "idfs"), BROADCAST_CANDIDATES), "candidate").select("candidate", "rel", exact.alias("score"))
     best = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc(F.round("score", 9)), "rel"))
     return scored.withColumn("rank", best).where(F.col("rank") <= k).select("candidate", "rank", "rel", "score")

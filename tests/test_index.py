@@ -112,3 +112,29 @@ def test_search_by_index_describes_hits(notes, tmp_path):
     rows = index.search(found, "w39 w38", limit=5, types=("card",), drop_superseded=True).collect()
     assert len(rows) == 5 and all(r.type == "card" and not r.superseded and any(w in r.snippet or w in r.title for w in ("w38", "w39")) for r in rows)
     assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
+
+
+def test_postings_are_shuffled_once(spark, notes, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = {}, DataFrameWriter.parquet
+
+    def look(self, path, *a, **k):
+        plans[path.rsplit("/", 1)[-1]] = self._df._jdf.queryExecution().executedPlan().toString()
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", look)
+    index.build(notes, str(tmp_path / "once"), stem=False)
+    assert plans["postings"].count("Exchange") == 1
+
+
+@pytest.mark.parametrize("rows", [0, 1000])
+def test_neighbours_ask_for_few_terms_and_notes(spark, notes, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(index, "BROADCAST_TERMS", rows)
+    monkeypatch.setattr(index, "BROADCAST_NOTES", rows)
+    made = index.build(notes, str(tmp_path / f"few{rows}"), {"text": ("name", "description", "body")}, stem=False, carry=())
+    asked = notes.select("rel", "body").orderBy("rel").limit(3).select(F.col("rel").alias("candidate"), F.col("body").alias("text"))
+    found = index.neighbours(made, asked, k=3)
+    assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) or not rows
+    first = {r.candidate: r.rel for r in found.where("rank = 1").collect()}
+    assert len(first) == 3
