@@ -16,15 +16,17 @@ characters (brackets, bullets, "Yes."), and with ``keep_copies`` the long lines
 of each other, where a join of whole documents comes later and would not find fragments.  Documents are copies if half of
 the tokens that the second has in lines of no third document are in lines of these two.
 
-All of it is column expressions.  Hashes of lines and tokens are shuffled; texts only in the last join, and those of
-lines in nodes of several leaves where these are too many to be found by a broadcast.  Each
-count is pre-aggregated.  A template or token that a large part of all lines share is joined by a broadcast whose size
-is bounded, as each of its rows stands for at least a fixed part of all lines.
+All of it is column expressions.  Hashes of lines and tokens are shuffled; texts only those of documents that lose
+lines, in the last join.  What a join will not need is left out before its shuffle by broadcast bits of the keys, whose
+number is fixed, so this goes alike at all sizes.  The leaves of a node with no more than NODE tokens are compared in one task,
+so that their tokens are shuffled once and as arrays; those of larger nodes are counted token by token over the cluster.
+Each count is pre-aggregated.  A template or token that a large part of all lines share is joined by a broadcast whose
+size is bounded, as each of its rows stands for at least a fixed part of all lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .support import written
@@ -32,8 +34,10 @@ from .support import written
 LEAD, MIN_DOCS = 2, 3
 #: Tokens from which a line is long, and the part of the tokens that may become variable (one in so many).
 LONG, WILD = 50, 5
-#: Rows up to which a table of leaves is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Bits for the keys of a join, 64 in a broadcast row; more keys than bits only let more rows through.
+BITS = 1 << 26
+#: Tokens of all leaves of a node up to which one task compares them.
+NODE = 1_000_000
 #: A row that is broadcast stands for at least this part of all lines (or tokens), so there are no more rows than that.
 HOT_LINES, HOT_TOKENS = 10_000, 100_000
 #: What has fewer lines is no hot row, however small the table.
@@ -86,38 +90,69 @@ def _with(rows: DataFrame, table: DataFrame, by: list[str], weight: str, least:
     return split.unionByName(rows.join(F.broadcast(hot), by))
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it is small enough."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def _marked(rows: DataFrame, keys: DataFrame, by: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows that may have a match in ``keys``: all that do and few others; with ``left_anti`` the other rows."""
+    bit = F.pmod(F.xxhash64(*by), F.lit(BITS))
+    word, mark = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    marks = keys.groupBy(word.alias("_word")).agg(F.bit_or(mark).alias("_marks"))
+    return rows.join(F.broadcast(marks), (word == F.col("_word")) & (F.col("_marks").bitwiseAND(mark) != 0), how)
 
 
-def _generalised(lines: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(path, leaf, grp, docs, low, no_id) of the leaves that recur only with further fields generalised."""
-    rare = F.col("docs") < _enough()
-    nodes = leaves.where(F.col("n") >= WILD).groupBy("path").agg(F.sum(F.when(rare, F.col("docs")).otherwise(0)).alias("d"), F.count(F.when(rare, 1)).alias("c")).where((F.col("d") >= MIN_DOCS) & (F.col("c") > 1))
-    members = written(leaves.where(F.col("n") >= WILD).join(_small(written(nodes.select("path"), "line-nodes")), "path").withColumn("rare", rare), "line-members")
-    # A line of the first document speaks for its leaf.
-    one = lines.where(F.col("n") >= WILD).select("path", "leaf", F.col("id").alias("_id"), "t").join(_small(members), ["path", "leaf"])
-    one = one.where(F.col("_id").eqNullSafe(_first())).select("path", "leaf", "n", "docs", "rare", F.transform(F.split("t", " "), lambda w: F.hash(w)).alias("toks"))
-    one = written(one.dropDuplicates(["path", "leaf"]), "line-leaf-tokens")
+def _leaf_tokens(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(path, leaf, n, docs, rare, k, toks) of the leaves of nodes in which several may be one template; k: leaves of the node."""
+    lines, leaves = lines.where(F.col("n") >= WILD), leaves.where(F.col("n") >= WILD).withColumn("rare", F.col("docs") < _enough())
+    nodes = leaves.groupBy("path").agg(F.sum(F.when(F.col("rare"), F.col("docs")).otherwise(0)).alias("d"), F.count(F.when(F.col("rare"), 1)).alias("c"), F.count("*").alias("k"))
+    nodes = written(nodes.where((F.col("d") >= MIN_DOCS) & (F.col("c") > 1)).select("path", "k"), "line-nodes")
+    members = _marked(leaves, nodes, ["path"]).join(nodes, "path").select("path", "leaf", "n", "docs", "rare", "k")
+    members = written(members, "line-members")
+    toks = _marked(lines.select("path", "leaf", "t"), members, ["leaf"]).select("path", "leaf", F.transform(F.split("t", " "), lambda w: F.hash(w)).alias("toks"))
+    return written(toks.dropDuplicates(["path", "leaf"]).join(members, ["path", "leaf"]).select(*members.columns, "toks"), "line-leaf-tokens")
+
+
+def _patterns(constants: DataFrame) -> DataFrame:
+    """(path, leaf, docs, grp) of the leaves that become templates, from the tokens that stay constant in them."""
+    # What the constants leave out of a line's tokens is variable; the constants alone, in any order, name the template.
+    constants = constants.withColumn("h", F.xxhash64("i", "tok")).withColumn("f", _is_field().cast("int"))
+    pattern = constants.groupBy("path", "leaf").agg(F.max("n").alias("n"), F.max("docs").alias("docs"), F.count("*").alias("c"), F.sum("f").alias("f"), F.bit_xor("h").alias("g"))
+    pattern = pattern.where((F.col("c") < F.col("n")) & (WILD * (F.col("n") - F.col("c")) <= F.col("n")) & (2 * (F.col("c") - F.col("f")) >= F.col("n")))
+    return pattern.select("path", "leaf", "docs", F.xxhash64(F.lit(9), "n", "g").alias("grp"))
+
+
+def _is_field() -> Column:
+    return F.col("tok") == F.hash(F.lit(SIGN))
+
+
+def _in_nodes(one: DataFrame) -> DataFrame:
+    """The patterns of nodes of which each is whole in a task."""
+    tokens = one.repartition("path").select("path", "leaf", "n", "docs", "rare", F.posexplode("toks").alias("i", "tok"))
+    tokens = tokens.withColumn("s", F.sum("docs").over(Window.partitionBy("path", "i", "tok")))
+    return _patterns(tokens.where(F.col("rare") & ((F.col("i") < LEAD) | _is_field() | (F.col("s") >= MIN_DOCS))))
+
+
+def _over_cluster(one: DataFrame) -> DataFrame:
+    """The patterns of nodes of any size: tokens are counted by themselves and joined with their counts."""
     total = one.agg(F.sum(F.col("n") * F.col("docs"))).first()[0] or 0
     tokens = one.select("path", "leaf", "n", "docs", "rare", F.posexplode("toks").alias("i", "tok"))
     beyond = F.col("i") >= LEAD
     support = tokens.where(beyond).groupBy("path", "i", "tok").agg(F.sum("docs").alias("s")).where(F.col("s") >= MIN_DOCS)
     support = written(support, "line-tokens")
     asked = tokens.where("rare").select("path", "leaf", "n", "docs", "i", "tok")
-    field = F.col("tok") == F.hash(F.lit(SIGN))
-    given = asked.where(~beyond | field)
-    held = _with(asked.where(beyond & ~field), support, ["path", "i", "tok"], "s", max(LEAST_HOT, total // HOT_TOKENS)).select(*asked.columns)
-    # What the constants leave out of a line's tokens is variable; the constants alone, in any order, name the template.
-    constants = given.unionByName(held).withColumn("h", F.xxhash64("i", "tok")).withColumn("f", field.cast("int"))
-    pattern = constants.groupBy("path", "leaf").agg(F.max("n").alias("n"), F.max("docs").alias("docs"), F.count("*").alias("c"), F.sum("f").alias("f"), F.bit_xor("h").alias("g"))
-    pattern = pattern.where((F.col("c") < F.col("n")) & (WILD * (F.col("n") - F.col("c")) <= F.col("n")) & (2 * (F.col("c") - F.col("f")) >= F.col("n")))
-    pattern = written(pattern.select("path", "leaf", "docs", F.xxhash64(F.lit(9), "n", "g").alias("grp")), "line-patterns")
+    held = _with(asked.where(beyond & ~_is_field()), support, ["path", "i", "tok"], "s", max(LEAST_HOT, total // HOT_TOKENS)).select(*asked.columns)
+    return _patterns(asked.where(~beyond | _is_field()).unionByName(held))
+
+
+def _generalised(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(path, leaf, grp, docs, low, no_id) of the leaves that recur only with further fields generalised."""
+    one = _leaf_tokens(lines, leaves)
+    size = F.col("k") * F.col("n")
+    pattern, large = _in_nodes(one.where(size <= NODE)), one.where(size > NODE)
+    if large.limit(1).count():
+        pattern = pattern.unionByName(_over_cluster(large))
+    pattern = written(pattern, "line-patterns")
     many = pattern.groupBy("path", "grp").agg(F.sum("docs").alias("d")).where(F.col("d") >= MIN_DOCS).select("path", "grp")
     some = written(pattern.join(many, ["path", "grp"]).select("path", "leaf", "grp"), "line-patterns")
     # Documents are counted by their ids: one document may hold many lines of a template.
-    in_docs = lines.select("path", "leaf", "id").join(_small(some), ["path", "leaf"]).select("path", "grp", "id").distinct()
+    in_docs = _marked(lines.select("path", "leaf", "id"), some, ["leaf"]).join(some, ["path", "leaf"]).select("path", "grp", "id").distinct()
     found = _documents(in_docs, "path", "grp").where(F.col("docs") >= MIN_DOCS)
     return some.join(found, ["path", "grp"]).select("path", "leaf", "grp", "docs", "low", "no_id")
 
@@ -150,7 +185,8 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     targets = written(exact.unionByName(_generalised(lines, leaves)), "line-templates")
     # A generalised leaf is rare by itself, but carries its template's documents: it may only be broadcast as what it is.
     weighed = targets.withColumn("weight", F.when(F.col("leaf") == F.col("grp"), F.col("docs")).otherwise(0))
-    hit = _with(lines.select("id", "th", "pos", "path", "leaf"), weighed, ["path", "leaf"], "weight", max(LEAST_HOT, total // HOT_LINES))
+    asked = _marked(lines.select("id", "th", "pos", "path", "leaf"), targets, ["leaf"])
+    hit = _with(asked, weighed, ["path", "leaf"], "weight", max(LEAST_HOT, total // HOT_LINES))
     hit = written(hit.select("id", "th", "pos", "path", "grp", _first().alias("first")), "line-hits")
     there = F.col("id").eqNullSafe(F.col("first"))
     own = hit.where(there).select("path", "grp", "id", "th", "pos")
@@ -167,11 +203,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: i
     with a null key count as one document, the first.  Columns of docs named n_lines or n_dropped are replaced.  An
     empty table gives an empty result.
     """
-    drops = dropped_lines(docs, key, text, min_chars, keep_copies).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("drop").alias("_drop"))
-    joined = docs.join(drops, docs[key].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
-    lines = F.split(docs[text], "\n", -1)
-    rest = F.when(F.col("_drop").isNull(), docs[text]).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
-    columns = [rest.alias(c) if c == text else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    drops = written(dropped_lines(docs, key, text, min_chars, keep_copies), "line-drops")
+    own = docs.select("*", docs[key].alias("_id"), F.xxhash64(docs[text]).alias("_th"))
+    # Documents that lose nothing aren't shuffled.
+    keys = drops.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
+    there = F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_th") == F.col("_lost_th"))
+    some = _marked(own, keys, ["_id", "_th"]).join(drops.select(F.col("id").alias("_lost_id"), F.col("th").alias("_lost_th"), F.col("drop").alias("_drop")), there, "left").drop("_lost_id", "_lost_th")
+    joined = some.unionByName(_marked(own, keys, ["_id", "_th"], "left_anti").withColumn("_drop", F.lit(None).cast("array<int>")))
+    lines = F.split(text, "\n", -1)
+    rest = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
+    columns = [rest.alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 

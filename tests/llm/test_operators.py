@@ -476,6 +476,42 @@ def test_hot_templates_and_tokens_are_joined_by_themselves(spark, monkeypatch):
     assert dropped_places(spark, rows) == want
 
 
+def test_nodes_are_compared_in_a_task_and_over_the_cluster_alike(spark, monkeypatch):
+    draw = random.Random(4)
+    rows = [(i, f"Posted by u{draw.choice('abcdefgh')}{draw.choice('xyz')} in {draw.choice(['news', 'sport'])}\nown {'x' * (i + 9)}\nSold to {draw.choice('abc')}{draw.choice('abc')} for {draw.choice('de')} dollars in town") for i in range(60)]
+    want = dropped_places(spark, rows)
+    assert any(p == 0 for _, p in want) and any(p == 2 for _, p in want)
+    monkeypatch.setattr(line_templates, "NODE", 0)
+    assert dropped_places(spark, rows) == want
+    # With hot tokens, and with so few bits that nearly every row passes.
+    for name, value in (("LEAST_HOT", 10), ("HOT_LINES", 10), ("HOT_TOKENS", 20), ("BITS", 64)):
+        monkeypatch.setattr(line_templates, name, value)
+    assert dropped_places(spark, rows) == want
+
+
+def test_texts_of_documents_that_lose_nothing_are_not_shuffled(spark, monkeypatch):
+    context = spark.sparkContext._jsc.sc()
+    # As where tables are too large for Spark to broadcast them by itself.
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(line_templates, "BROADCAST_ROWS", 0, raising=False)
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty(30_000)
+        found = context.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    draw = random.Random(5)
+    rows = [(i, " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(1000)) + ("\nAll rights are reserved" if i < 4 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = shuffled()
+    try:
+        line_templates.dedup(docs).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert 0 < shuffled() - before < 1_000_000 < sum(len(t) for _, t in rows) / 3
+
+
 def test_licenses_and_inheritance(spark, docs):
     files = [
         ("LICENSE", "Released under the MIT License.", True), ("a/LICENSE", "preamble\nLicensed under the Apache License, Version 2.0.\n", True), ("a/b/x", "no words of it", False), ("c/y", None, False), ("z", "", False),
