@@ -489,7 +489,8 @@ def test_nodes_are_compared_in_a_task_and_over_the_cluster_alike(spark, monkeypa
     assert dropped_places(spark, rows) == want
 
 
-def test_texts_of_documents_that_lose_nothing_are_not_shuffled(spark, monkeypatch):
+@pytest.mark.parametrize("how", [{}, {"min_chars": 8, "keep_copies": True}])
+def test_texts_of_documents_that_lose_nothing_are_not_shuffled(spark, monkeypatch, how):
     context = spark.sparkContext._jsc.sc()
     # As where tables are too large for Spark to broadcast them by itself.
     held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -506,7 +507,7 @@ def test_texts_of_documents_that_lose_nothing_are_not_shuffled(spark, monkeypatc
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     before = shuffled()
     try:
-        line_templates.dedup(docs).write.format("noop").mode("overwrite").save()
+        line_templates.dedup(docs, **how).write.format("noop").mode("overwrite").save()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert 0 < shuffled() - before < 1_000_000 < sum(len(t) for _, t in rows) / 3
