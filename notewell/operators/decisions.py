@@ -6,7 +6,7 @@ each ticked item, ``pick-one`` must have exactly one, ``confirm-all`` must have
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewell.functions import text
@@ -15,50 +15,73 @@ KINDS = ("pick-any", "pick-one", "confirm-all")
 ITEM = r"^\s*- \[([ xX])\] ([\w-]+)(?:\s+(.*?))?\s*$"
 
 
-def _regions(notes: DataFrame) -> DataFrame:
-    rows = notes.select("rel", "content", F.posexplode(F.filter("regions", lambda r: r["label"] == "interact")).alias("block", "r"))
-    info = F.coalesce("r.info", F.lit(""))
-    return rows.select("rel", "content", "block", "r.span", F.col("r.start_line").alias("line"), F.col("r.end_line").alias("last"), F.regexp_extract(info, r"^([\w-]+)", 1).alias("kind"), F.nullif(F.regexp_extract(info, r"\bid=\"?([\w.-]+)", 1), F.lit("")).alias("id"))
+def _blocks(notes: DataFrame) -> DataFrame:
+    """(rel, blocks...): the decision blocks of each note in its own row, with their items and whether they stand within another.
 
+    All that is asked of a block stands in its note, so nothing is shuffled, joined or broadcast, and a note is parsed once.
+    A block that doesn't count has no items.
+    """
+    part = lambda t, i: F.regexp_extract(t, ITEM, i)
 
-def _outer(regions: DataFrame) -> DataFrame:
-    """(rel, block) of the regions that stand within another one of their note; a note has few of them."""
-    each = regions.groupBy("rel").agg(F.collect_list(F.struct("block", "span")).alias("all"))
-    rows = each.select("rel", "all", F.explode("all").alias("x"))
-    inside = F.exists("all", lambda o: (o["block"] != F.col("x.block")) & (o["span"]["start"] <= F.col("x.span.start")) & (F.col("x.span.end") <= o["span"]["end"]))
-    return rows.where(inside).select("rel", "x.block")
+    def opened(r: Column) -> Column:
+        info = F.coalesce(r["info"], F.lit(""))
+        inside = F.exists("_all", lambda o: (o["span"] != r["span"]) & (o["span"]["start"] <= r["span"]["start"]) & (r["span"]["end"] <= o["span"]["end"]))
+        return F.struct(r["start_line"].alias("line"), r["end_line"].alias("last"), F.regexp_extract(info, r"^([\w-]+)", 1).alias("kind"), F.nullif(F.regexp_extract(info, r"\bid=\"?([\w.-]+)", 1), F.lit("")).alias("id"), inside.alias("nested"))
+
+    def listed(b: Column) -> Column:
+        inner = F.slice("_lines", b["line"] + 1, F.greatest(F.lit(0), b["last"] - b["line"] - 1))
+        found = F.filter(F.transform(inner, lambda t, i: F.struct((b["line"] + 1 + i).alias("line"), t.alias("t"))), lambda x: x["t"].rlike(ITEM))
+        made = F.transform(found, lambda x: F.struct(x["line"].alias("line"), (part(x["t"], 1) != " ").alias("checked"), part(x["t"], 2).alias("verb"), F.coalesce(part(x["t"], 3), F.lit("")).alias("target")))
+        return b.withField("items", F.when(counts(b), made).otherwise(F.slice(made, 1, 0)))
+
+    rest = [c for c in ("dangling",) if c in notes.columns]
+    rows = notes.select("rel", "content", *rest, F.filter("regions", lambda r: r["label"] == "interact").alias("_all"))
+    rows = rows.select("rel", *rest, text.lines(F.col("content")).alias("_lines"), F.transform("_all", opened).alias("_opened"))
+    return rows.select("rel", *rest, F.transform("_opened", listed).alias("blocks"))
+
+
+def counts(b: Column) -> Column:
+    return ~b["nested"] & b["kind"].isin(*KINDS) & b["id"].isNotNull()
+
+
+def _listed(blocks: DataFrame) -> DataFrame:
+    # Outer, since else their number is asked for in a filter, which is pushed below what makes the blocks and makes them again.
+    rows = blocks.select("rel", F.posexplode_outer("blocks").alias("block", "b")).select("rel", "block", "b.kind", "b.id", F.explode("b.items").alias("i"))
+    return rows.select("rel", "block", "kind", "id", "i.line", "i.checked", "i.verb", "i.target")
 
 
 def items(notes: DataFrame) -> DataFrame:
     """(rel, block, kind, id, line, checked, verb, target): a row for each item of the blocks that count."""
-    regions = _regions(notes).where(F.col("kind").isin(*KINDS) & F.col("id").isNotNull())
-    rows = regions.join(_outer(_regions(notes)), ["rel", "block"], "left_anti")
-    rows = rows.select("rel", "block", "kind", "id", F.col("line").alias("first"), F.posexplode(F.slice(text.lines(F.col("content")), F.col("line") + 1, F.greatest(F.lit(0), F.col("last") - F.col("line") - 1))).alias("i", "t"))
-    part = lambda i: F.regexp_extract("t", ITEM, i)
-    return rows.where(F.col("t").rlike(ITEM)).select("rel", "block", "kind", "id", (F.col("first") + 1 + F.col("i")).alias("line"), (part(1) != " ").alias("checked"), part(2).alias("verb"), F.coalesce(part(3), F.lit("")).alias("target"))
+    return _listed(_blocks(notes))
+
+
+def _wrong(verbs: tuple[str, ...]) -> Column:
+    """[(line, code)]: all that keeps a note's decisions from being carried out, from the note's own row."""
+    said = lambda rows, code: F.transform(rows, lambda x: F.struct(x["line"].alias("line"), F.lit(code).alias("code")))
+    some = lambda condition: F.filter("blocks", condition)
+    named = F.transform(some(lambda b: ~b["nested"] & b["id"].isNotNull()), lambda b, n: F.struct(n.alias("n"), b["id"].alias("id"), b["line"].alias("line")))
+    # Of the blocks with one id the last is told of, if there is one before it; several may stand on one line.
+    twice = F.filter(named, lambda x: F.exists(named, lambda o: (o["id"] == x["id"]) & (o["n"] < x["n"])) & ~F.exists(named, lambda o: (o["id"] == x["id"]) & (o["n"] > x["n"])))
+    unpaired = F.transform(F.filter("dangling", lambda d: d["label"] == "interact"), lambda d: F.struct(d["line"].alias("line"), F.when(d["kind"] == "open", "never closed").otherwise("never opened").alias("code")))
+    ticked = lambda b: F.size(F.filter(b["items"], lambda i: i["checked"]))
+    return F.concat(
+        said(some(lambda b: b["nested"]), "nested"),
+        said(some(lambda b: ~b["nested"] & (~b["kind"].isin(*KINDS) | b["id"].isNull())), "bad anchor"),
+        said(twice, "repeated id"),
+        unpaired,
+        said(F.filter(F.flatten(F.transform("blocks", lambda b: b["items"])), lambda i: ~i["verb"].isin(*verbs)), "unknown verb"),
+        said(some(lambda b: counts(b) & (b["kind"] == "pick-one") & (ticked(b) != 1)), "not one"),
+        said(some(lambda b: counts(b) & (b["kind"] == "confirm-all") & (ticked(b) < F.size(b["items"]))), "not confirmed"),
+    )
 
 
 def errors(notes: DataFrame, verbs: tuple[str, ...]) -> DataFrame:
     """(rel, line, code): all that keeps a note's decisions from being carried out."""
-    regions, found = _regions(notes), items(notes)
-    nested = regions.join(_outer(regions), ["rel", "block"], "left_semi").select("rel", "line", F.lit("nested").alias("code"))
-    flat = regions.join(_outer(regions), ["rel", "block"], "left_anti")
-    bad = flat.where(~F.col("kind").isin(*KINDS) | F.col("id").isNull()).select("rel", "line", F.lit("bad anchor").alias("code"))
-    twice = flat.where("id is not null").groupBy("rel", "id").agg(F.max("line").alias("line"), F.count("*").alias("n")).where("n > 1").select("rel", "line", F.lit("repeated id").alias("code"))
-    unpaired = notes.select("rel", F.explode(F.filter("dangling", lambda d: d["label"] == "interact")).alias("d")).select("rel", "d.line", F.when(F.col("d.kind") == "open", "never closed").otherwise("never opened").alias("code"))
-    unknown = found.where(~F.col("verb").isin(*verbs)).select("rel", "line", F.lit("unknown verb").alias("code"))
-    kept = flat.where(F.col("kind").isin(*KINDS) & F.col("id").isNotNull()).select("rel", "block", "kind", "line")
-    ticks = found.groupBy("rel", "block").agg(F.sum(F.col("checked").cast("int")).alias("checked"), F.sum((~F.col("checked")).cast("int")).alias("open"))
-    state = kept.join(ticks, ["rel", "block"], "left").na.fill(0, ["checked", "open"])
-    one = state.where("kind = 'pick-one' and checked <> 1").select("rel", "line", F.lit("not one").alias("code"))
-    every = state.where("kind = 'confirm-all' and open > 0").select("rel", "line", F.lit("not confirmed").alias("code"))
-    out = nested
-    for more in (bad, twice, unpaired, unknown, one, every):
-        out = out.unionByName(more)
-    return out
+    return _blocks(notes).select("rel", F.explode(_wrong(verbs)).alias("e")).select("rel", "e.line", "e.code")
 
 
 def fired(notes: DataFrame, verbs: tuple[str, ...]) -> DataFrame:
     """(rel, id, kind, verb, target): the ticked items of notes without any error; a note with one fires nothing."""
-    wrong = errors(notes, verbs).select("rel").distinct()
-    return items(notes).where("checked").join(wrong, "rel", "left_anti").select("rel", "id", "kind", "verb", "target")
+    # No filter either.
+    right = _blocks(notes).select("rel", F.when(F.size(_wrong(verbs)) == 0, F.col("blocks")).alias("blocks"))
+    return _listed(right).where("checked").select("rel", "id", "kind", "verb", "target")

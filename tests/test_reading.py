@@ -234,6 +234,20 @@ def test_decisions_that_nest_or_repeat(spark):
     assert [tuple(r) for r in decisions.fired(notes, ("keep", "drop")).collect()] == [("plain.md", "z", "pick-any", "keep", "two")]
 
 
+def test_decisions_are_read_in_their_own_row(spark):
+    same = "<!-- interact: pick-any id=a --><!-- /interact --><!-- interact: pick-any id=a --><!-- /interact -->\n"
+    one = "<!-- interact: pick-one id=b -->\n- [X] keep\n- [ ] drop x\n<!-- /interact -->\n"
+    files = [("twice.md", same), ("one.md", one + "\n<!-- interact: confirm-all id=c -->\n<!-- /interact -->\n"), ("open.md", one.replace("[ ]", "[x]") + "<!-- interact: confirm-all id=c -->\n- [ ] eat\n"), ("none.md", "text\n")]
+    notes = N.parse(spark.createDataFrame(files, "rel string, content string"), "regions", "dangling")
+    wrong, right = decisions.errors(notes, ("keep", "drop")), decisions.fired(notes, ("keep", "drop"))
+    assert sorted(tuple(r) for r in wrong.collect()) == [("open.md", 1, "not one"), ("open.md", 5, "never closed"), ("twice.md", 1, "repeated id")]
+    assert [tuple(r) for r in right.collect()] == [("one.md", "b", "pick-one", "keep", "")]
+    # Nothing is joined, shuffled or broadcast, and a note is parsed once.
+    for found in (wrong, right):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in ("Join", "Aggregate", "Repartition")) and plan.count("ArrowEvalPython") == 1
+
+
 def test_starter_files(tmp_path):
     root = str(tmp_path)
     path = starter.init_views(root, "41 projects/own", "Tickets.base")
