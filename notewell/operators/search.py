@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewell.functions import text
+from notewell.functions.stem import beginning, stemmed
 from notewell.functions.stem import stem as stem_word
-from notewell.functions.stem import stemmed
+from notewell.sources.shared import written
 
 BOOSTS = {"title": 1.0, "description": 1.5, "body": 1.0}
 K1, B = 1.2, 0.75
@@ -24,6 +25,15 @@ def tokens(column: Column, stem: bool) -> Column:
     return stemmed(words) if stem else words
 
 
+def matching(words: Column, terms: list[str], stem: bool) -> Column:
+    """Of the words those that may be one of the terms, stemmed if asked for; only words that begin as a term's words do are stemmed."""
+    if not stem:
+        return F.filter(words, lambda w: w.isin(terms))
+    begins = sorted({beginning(t) for t in terms})
+    same = (lambda w: F.translate(w, "ё", "е")) if any("е" in b for b in begins) else (lambda w: w)
+    return stemmed(F.filter(words, lambda w: text.any_of([F.startswith(same(w), F.lit(b)) for b in begins])))
+
+
 def fields(notes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return notes.select("rel", *carry, F.col("name").alias("_f_title"), F.col("description").alias("_f_description"), F.col("body").alias("_f_body"))
 
@@ -91,18 +101,20 @@ CARRIED = ("name", "type", "tier", "tokens", "body")
 def _scored(notes: DataFrame, query: Query, stem: bool, boosts: dict[str, float] | None, carry: tuple[str, ...]) -> DataFrame:
     """(rel, score, carry...) of the notes that a query holds for; the notes are parsed and cut into terms once.
 
-    Only the query's terms leave a document: its terms are counted in its own row, so what is shuffled is three sums a
-    field and, of those that hold, the columns that the caller carries on; no postings list is made.  The statistics
-    and the scores read the same shuffled rows.
+    Only the query's terms leave a document: its terms are counted in its own row, and nothing is shuffled but sums; no
+    postings list is made.  The statistics and the scores read one table in the shared folder: the counts of each note
+    and, of those that hold, the columns that the caller carries on.
     """
     boosts, terms = boosts or BOOSTS, query.terms
     asked = sorted({*terms, *(t for _, barred in query.groups for t in barred)})
-    counted = fields(notes, carry).select("rel", *carry, *[tokens(F.col(f"_f_{f}"), stem).alias(f"_t_{f}") for f in boosts])
+    cut = fields(notes, carry).select("rel", *carry, *[tokens(F.col(f"_f_{f}"), stem=False).alias(f"_w_{f}") for f in boosts])
+    counted = cut.select("rel", *carry, *[F.size(f"_w_{f}").alias(f"len_{f}") for f in boosts], *[matching(F.col(f"_w_{f}"), asked, stem).alias(f"_t_{f}") for f in boosts])
     count = lambda f, t: F.size(F.filter(f"_t_{f}", lambda w: w == t))
-    rows = counted.select("rel", *carry, *[F.size(f"_t_{f}").alias(f"len_{f}") for f in boosts], *[count(f, t).alias(f"tf_{f}_{i}") for f in boosts for i, t in enumerate(asked)])
+    rows = counted.select("rel", *carry, *[f"len_{f}" for f in boosts], *[count(f, t).alias(f"tf_{f}_{i}") for f in boosts for i, t in enumerate(asked)])
     has = lambda t: text.any_of([F.col(f"tf_{f}_{asked.index(t)}") > 0 for f in boosts])
     rows = rows.withColumn("hit", query.holds(has)).select("rel", *[F.when(F.col("hit"), F.col(c)).alias(c) for c in carry], *[c for c in rows.columns if c not in ("rel", *carry)], "hit")
-    rows = rows.repartition(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rel")
+    # The statistics and the scores ask for other columns, so an exchange of theirs wouldn't be shared.
+    rows = written(rows, "scored-notes")
     stats = rows.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in boosts], *[F.sum((F.col(f"tf_{f}_{i}") > 0).cast("int")).alias(f"df_{f}_{i}") for f in boosts for i in range(len(asked))])
     score: Column = F.lit(0.0)
     for f, boost in boosts.items():
@@ -144,7 +156,8 @@ def search(notes: DataFrame, query: str, limit: int = 10, types: tuple[str, ...]
 
 
 def described(hits: DataFrame, terms: list[str]) -> DataFrame:
-    """What a search says of its hits, a row a note; there are no more of them than its limit."""
+    """What a search says of its hits, a row a note; there are no more of them than its limit, and they are found once."""
+    hits = written(hits, "search-hits")
     body = F.regexp_replace("body", r"^\n+", "")
     more = [F.col("_links").alias("links")] if "_links" in hits.columns else []
     rows = hits.select("rel", F.col("name").alias("title"), "type", "score", "tokens", (F.col("tier") == "superseded").alias("superseded"), body.alias("body"), *more)

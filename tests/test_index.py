@@ -138,3 +138,29 @@ def test_neighbours_ask_for_few_terms_and_notes(spark, notes, tmp_path, monkeypa
     assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) or not rows
     first = {r.candidate: r.rel for r in found.where("rank = 1").collect()}
     assert len(first) == 3
+
+
+def test_words_begin_as_their_stem_does():
+    from notewell.functions import stem
+
+    draw = random.Random(5)
+    ends = [x for x, _ in stem.STEP2 + stem.STEP3] + stem.STEP4 + ["s", "ed", "ing", "eed", "ies", "y", "ll", "sses", "edly", "", "", *"ившись вши его ость ейше нн ь ся ую ями ешь".split()]
+    for _ in range(20000):
+        word = "".join(draw.choice(draw.choice(["abeilnstyz", "абеёиклностя"])) for _ in range(draw.randint(1, 5))) + draw.choice(ends) + draw.choice(ends)
+        assert word.replace("ё", "е").startswith(stem.beginning(stem.stem(word))), word
+    assert all(w.startswith(stem.beginning(s)) for w, s in stem.SPECIAL.items())
+
+
+@pytest.mark.parametrize("query", ["skies", "hoping nationally", "ёлками", "skies NOT hoped"])
+def test_scored_notes_are_read_once_and_stemmed_as_a_whole(spark, query):
+    from notewell.functions.stem import stem
+    from notewell.operators import notes as N
+
+    bodies = ["the sky hopes", "skies and national hoping", "nations hope ёлка елками", "ёлки skying dyed", "", "hoped sky sky"]
+    files = spark.createDataFrame([(f"n{i}.md", f"---\ntype: card\ndescription: d\n---\n{b}") for i, b in enumerate(bodies)], "rel string, content string")
+    scored = search.bm25(N.parse(files), search.parse_query(query))
+    assert "ArrowEvalPython" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    wanted, barred = query.split(" NOT ")[0].split(), query.split(" NOT ")[1:]
+    holds = lambda b, q: {stem(w) for w in b.split()} & {stem(w) for w in q}
+    assert {r.rel for r in scored.collect()} == {f"n{i}.md" for i, b in enumerate(bodies) if holds(b, wanted) and not holds(b, barred)}
+    assert "ArrowEvalPython" not in search.search(N.parse(files), query)._jdf.queryExecution().optimizedPlan().toString()
