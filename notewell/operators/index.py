@@ -17,10 +17,17 @@ over all notes of the index.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from notewell.functions import text
 from notewell.operators import search as S
@@ -225,3 +232,110 @@ def neighbours(index: Index, candidates: DataFrame, k: int = 3) -> DataFrame:
     scored = able.join(noted, "doc").join(_small(rest.select("candidate", "idfs"), BROADCAST_CANDIDATES), "candidate").select("candidate", "rel", exact.alias("score"))
     best = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc(F.round("score", 9)), "rel"))
     return scored.withColumn("rank", best).where(F.col("rank") <= k).select("candidate", "rank", "rel", "score")
+
+
+#: Candidates and pairs of candidate and term up to which a batch is scored as the notes are read; a larger one asks an index.
+BATCH, BATCH_TERMS = 2_000, 500_000
+#: Sums and products that a task holds at once.
+CELLS, PRODUCTS = 2_000_000, 4_000_000
+
+
+def _counted(terms) -> Callable:
+    """An Arrow function from a note's words to their number and, of the batch's terms, places and counts in order."""
+    kind = pa.struct([("len", pa.int32()), ("ids", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32()))])
+
+    def run(words: pa.Array) -> pa.Array:
+        known, out = pa.array(terms.value, pa.string()), []
+        for a in range(0, len(words), 2048):
+            part = words.slice(a, 2048)
+            lens = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.fill_null(pc.index_in(part.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys, n = np.unique((np.repeat(np.arange(len(lens)), lens) * len(known) + at)[at >= 0], return_counts=True)
+            offsets = pa.array(np.searchsorted(keys, np.arange(len(lens) + 1) * len(known)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (keys % len(known), n)]
+            out.append(pa.StructArray.from_arrays([pa.array(lens, pa.int32()), *lists], fields=list(kind)))
+        return pa.concat_arrays(out) if out else pa.array([], kind)
+
+    run.__annotations__ = {"words": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "len int, ids array<int>, tfs array<int>").asNondeterministic()
+
+
+@lru_cache(1 << 16)
+def _rounded(score: float) -> float:
+    """As Spark rounds, so that a task keeps what the whole would keep."""
+    return float(Decimal(repr(score)).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+
+
+def _scores(weights, average: float, k: int) -> Callable:
+    """A function over Arrow batches of counted notes: of each task the ``k`` best notes of each candidate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, begins, holders, m = weights.value
+        best: dict[int, list] = {}
+        least = np.zeros(m)
+        for batch in batches:
+            rels = batch.column("rel")
+            sizes = pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, tfs = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ids", "tfs"))
+            lens = batch.column("len").to_numpy(zero_copy_only=False).astype(np.float64)
+            rows = np.repeat(np.arange(len(sizes)), sizes)
+            tf = tfs.astype(np.float64)
+            value = idf[ids] * (tf * (S.K1 + 1) / (tf + S.K1 * (1 - S.B + S.B * lens[rows] / average)))
+            n = begins[ids + 1] - begins[ids]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            products = np.concatenate([[0], np.cumsum(n)])[ends]
+            a = 0
+            while a < len(sizes):
+                b = int(np.searchsorted(products, products[a] + PRODUCTS, "right")) - 1
+                b = min(len(sizes), max(a + 1, min(b, a + max(1, CELLS // m))))
+                of = slice(ends[a], ends[b])
+                each = n[of]
+                # The candidates that hold each posting's term, one after the other; a sum takes its terms in their order.
+                place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begins[ids[of]], each)
+                cell = np.repeat(rows[of] - a, each) * m + holders[place]
+                sums = np.bincount(cell, np.repeat(value[of], each), (b - a) * m).reshape(b - a, m)
+                floor = np.maximum(least, np.partition(sums, b - a - k, axis=0)[b - a - k] if b - a > k else 0.0)
+                r, c = np.nonzero((sums > 0) & (sums >= floor - 2e-9))
+                found: dict[int, list] = {}
+                for i, j, x in zip(rels.take(pa.array(r + a)).to_pylist(), c.tolist(), sums[r, c].tolist(), strict=True):
+                    found.setdefault(j, []).append((-_rounded(x), i, x))
+                for j, more in found.items():
+                    best[j] = sorted(best.get(j, []) + more)[:k]
+                    least[j] = -best[j][-1][0] if len(best[j]) == k else 0.0
+                a = b
+        flat = [(j, i, x) for j, kept in best.items() for _, i, x in kept]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.int32()), pa.array([f[1] for f in flat], pa.string()), pa.array([f[2] for f in flat], pa.float64())], ["at", "rel", "score"])
+
+    return run
+
+
+def nearest(notes: DataFrame, candidates: DataFrame, path: str, fields: tuple[str, ...], k: int = 3, stem: bool = False) -> DataFrame | None:
+    """As ``neighbours`` of an index of one field, without one; None if the batch is too large for it.
+
+    Of each note the counts of the batch's terms alone are kept, in its own row in the folder ``path``, so nothing of the
+    notes is shuffled.  Then each task scores its notes exactly for all candidates and gives its ``k`` best of each.
+    """
+    spark = notes.sparkSession
+    asked = written(candidates.where("candidate is not null").select("candidate", F.explode(F.array_distinct(S.tokens(F.col("text"), stem))).alias("term")).distinct(), "neighbour-terms")
+    size = asked.agg(F.count("*").alias("n"), F.count_distinct("candidate").alias("m")).first()
+    if size.m > BATCH or size.n > BATCH_TERMS:
+        return None
+    # At most BATCH_TERMS rows.
+    pairs = asked.collect()
+    terms, keys = sorted({r.term for r in pairs}), list({r.candidate: None for r in pairs})
+    number, place = {t: i for i, t in enumerate(terms)}, {c: i for i, c in enumerate(keys)}
+    held = sorted((number[r.term], place[r.candidate]) for r in pairs)
+    begins = np.searchsorted(np.array([t for t, _ in held], np.int64), np.arange(len(terms) + 1))
+    words = notes.select("rel", _counted(spark.sparkContext.broadcast(terms))(S.tokens(F.concat_ws(" ", *fields), stem)).alias("x"))
+    words.select("rel", "x.*").write.mode("overwrite").parquet(f"{path}/counts")
+    counts = spark.read.schema("rel string, len int, ids array<int>, tfs array<int>").parquet(f"{path}/counts")
+    total = counts.agg(F.count("*").alias("docs"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("average")).first()
+    idf = np.zeros(len(terms))
+    for r in counts.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("df")).collect():
+        idf[r.id] = math.log1p((total.docs - r.df + 0.5) / (r.df + 0.5))
+    weights = spark.sparkContext.broadcast((idf, begins, np.array([c for _, c in held], np.int64), len(keys)))
+    found = counts.where(F.size("ids") > 0).mapInArrow(_scores(weights, max(total.average, 1e-300), k), "at int, rel string, score double")
+    best = F.row_number().over(Window.partitionBy("at").orderBy(F.desc(F.round("score", 9)), "rel"))
+    ranked = found.withColumn("rank", best).where(F.col("rank") <= k)
+    named = spark.createDataFrame(list(enumerate(keys)), StructType([StructField("at", IntegerType()), StructField("candidate", candidates.schema["candidate"].dataType)]))
+    return ranked.join(F.broadcast(named), "at").select("candidate", "rank", "rel", "score")

@@ -181,13 +181,14 @@ def located_graph(notes: DataFrame, quotes: DataFrame, found: DataFrame, key: st
 def neighbours(notes: DataFrame, candidates: DataFrame, path: str, k: int = 3, stem: bool = False) -> DataFrame:
     """(candidate, rank, rel, score): for each candidate's text its ``k`` best notes, superseded ones left out.
 
-    The live notes are indexed at ``path`` as one field of name, description and body; another batch of candidates can
-    be asked of that index by ``index.neighbours``.
+    Name, description and body of the live notes are one field.  A batch of few candidates is scored as the notes are
+    read; for a large one they are indexed at ``path``.
     """
     from notewell.operators import index
 
     live = notes.where("tier <> 'superseded'")
-    return index.neighbours(index.build(live, path, {"text": ("name", "description", "body")}, stem, carry=()), candidates, k)
+    near = index.nearest(live, candidates, path, ("name", "description", "body"), k, stem)
+    return near if near is not None else index.neighbours(index.build(live, path, {"text": ("name", "description", "body")}, stem, carry=()), candidates, k)
 
 
 def same_items(a: Column, b: Column) -> Column:

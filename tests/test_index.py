@@ -164,3 +164,19 @@ def test_scored_notes_are_read_once_and_stemmed_as_a_whole(spark, query):
     holds = lambda b, q: {stem(w) for w in b.split()} & {stem(w) for w in q}
     assert {r.rel for r in scored.collect()} == {f"n{i}.md" for i, b in enumerate(bodies) if holds(b, wanted) and not holds(b, barred)}
     assert "ArrowEvalPython" not in search.search(N.parse(files), query)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("cells", [5, 2_000_000])
+def test_few_candidates_are_scored_as_notes_are_read(spark, notes, tmp_path, monkeypatch, cells):
+    asked = spark.createDataFrame([("a", "the of w1 w5 w39"), ("b", "the"), ("c", "w7 of the the"), ("d", ""), ("e", "unknown"), ("f", None), ("g", " ".join(WORDS))], "candidate string, text string")
+    shown = lambda df: sorted((r.candidate, r["rank"], r.rel, round(r.score, 9)) for r in df.collect())
+    monkeypatch.setattr(index, "BATCH", 0)
+    want = shown(review.neighbours(notes, asked, str(tmp_path / "all"), k=4))
+    monkeypatch.setattr(index, "BATCH", 100)
+    for name in ("CELLS", "PRODUCTS"):
+        monkeypatch.setattr(index, name, cells)
+    found = review.neighbours(notes, asked, str(tmp_path / "few"), k=4)
+    assert shown(found) == want and len(want) == 16
+    # No table of postings, and no text is shuffled: what is left of a note is counts of the batch's terms.
+    assert sorted(p.name for p in (tmp_path / "few").iterdir()) == ["counts"]
+    assert review.neighbours(notes, asked.where("candidate = 'd'"), str(tmp_path / "none"), k=4).count() == 0
