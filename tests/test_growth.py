@@ -116,3 +116,45 @@ def test_notes_are_parsed_once_for_the_roster(spark):
     files = spark.createDataFrame([("t.md", '---\ntype: track\nslug: "a-1"\n---\n'), ("x.md", '---\ntype: ticket\ntrack: "[[track-a-2]]"\n---\n')], "rel string, content string")
     found = graph.roster_check(notes.parse(files))
     assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString() and [tuple(r) for r in found.collect()] == [("x.md", "a-2", ["a-1"])]
+
+
+def test_narrow_parts_are_those_of_the_structure():
+    import random
+
+    draw = random.Random(11)
+    pieces = ["", "", "", "word [[b|c]] d", "`[[no]]` x", "```", "````", "## H [[h]] x", "# T", "# H #", "#", "# ", "#tag", "### é x ", "###  two", "- item [[i]]", "- [ ] task [[j]]", "- [x] done", "- [ ]", "- [ ] # h", "- # h", "---", "===", "| a | b |", "| --- | --- |", "  in", "> q", "> [!N] q\n> r", "1. n", "a *b* c", "snake_case_x", "__x__", "<b>", "[d]: /e", "é ü", " # in"]
+    taken, narrow = 0, ("links", "headings", "emphasis", "leads", "opens")
+    for _ in range(6000):
+        content = draw.choice(["", "---\na_b: 1\n---\n"]) + "\n".join(draw.choice(pieces) for _ in range(draw.randint(1, 7)))
+        if (plain := markdown.plain_parts(content)) is not None:
+            taken += 1
+            read = markdown.structure(content, parts=("links", "headings", "nodes", "inlines"))
+            links = [{"target": x["target"], "alias": x["alias"], "line": x["start_line"], "embed": x["embed"]} for x in read.inlines if x["type"] == "Wikilink"]
+            opens = bool(read.headings) and all(n["span"]["start"] > read.headings[0]["span"]["start"] for n in read.nodes if n["depth"] == 0)
+            assert (plain["links"], plain["headings"], plain["opens"]) == (links, read.headings, opens), content
+            assert not [x for x in read.inlines if x["type"] in ("Emph", "Strong")] and not [n for n in read.nodes if n["type"] == "BlockQuote"], content
+    assert taken > 500 and notes.structure_of("> [!N] q\n> r\n\n*e*\n", narrow)["leads"][0]["end_line"] == 2
+
+
+def test_rendered_notes_are_plain_for_lint(spark):
+    for kind in ("ticket", "track", "card", "reference"):
+        assert all(markdown.plain_parts(r.content) is not None for r in synth.vault(spark, SF, kind).limit(200).collect())
+
+
+def test_rules_find_the_same_in_narrow_parts(spark):
+    from notewell.operators import lint
+
+    bodies = ["# a\n\ntext\n", "x\n\n# a\n", "> [!N] q\n> r\n", "- > [!N] q\n  > r\n\nsee a/*.b and c/*.d, __x__ **y**\n", "# b\n- [ ] t [[a]]\n", "A | B\n===\n"]
+    files = spark.createDataFrame([(f"{i}/a.md", f"---\ntype: note\n---\n{b}") for i, b in enumerate(bodies)], "rel string, content string")
+    wide, narrow = (sorted(map(tuple, lint.findings(lint.Vault(notes.parse(files, *parts))).collect())) for parts in (lint.PARTS, lint.NARROW))
+    assert wide == narrow and {"duplicate-h1", "callout-missing-separator", "unintended-emphasis"} <= {r[0] for r in narrow}
+
+
+def test_all_keys_of_plain_frontmatter_are_made_alike():
+    plain = '---\ntype: ticket\ntags: [a, "b c"]\ncost: 1.50\nstatus:\nproject: "[[p]]"\nrequires:\n  - "[[x]]"\n  - "[[y]]"\n---\nbody\n'
+    odd = ("---\ncost: 1\ncost: 2\n---\n", "---\nrelated: [[card-1]]\n---\n", "---\ncost: [a\n---\n", "---\n'a b': 1\n---\n", "no front", "---\nb: {x: 1}\na: 'q'\n---\n", "---\n- a\n---\n", "---\na: b # c\n---\n", "---\na:\n  b: 1\n---\n")
+    assert list(yaml12.picked(plain[4 : plain.index("\n---\n", 3)], None)) == ["cost", "project", "requires", "status", "tags", "type"]
+    for content in (plain, *odd):
+        # A part besides takes the long way.
+        short, long = notes.front_of(content, ("unquoted",)), notes.front_of(content, ("unquoted", "fields"))
+        assert short == {k: v for k, v in long.items() if k != "fields"}, content
